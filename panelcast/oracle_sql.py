@@ -36,3 +36,165 @@ SELECT count(label) AS labeled_rows,
        max(CASE WHEN label IS NOT NULL THEN period END) AS last_period
 FROM lab
 WHERE label IS NOT NULL AND consecutive_history_months >= 6 AND period < (SELECT h_start FROM bounds)"""
+
+from .oracle import ORDERS_PANEL  # noqa: E402
+
+EXPORT = """
+export AS (
+  SELECT strftime(period, '%m/%d/%Y') AS "Month",
+         'B' || CAST(entity_id % 5 AS VARCHAR) AS "Borough",
+         CASE WHEN entity_id % 4 = 0 THEN 'Escalator' ELSE 'Elevator' END AS "Equipment Type",
+         'EQ' || lpad(CAST(entity_id AS VARCHAR), 6, '0') AS "Equipment Code",
+         CAST(total_events AS VARCHAR) AS "Total Outages",
+         CAST(planned_events AS VARCHAR) AS "Scheduled Outages",
+         CAST(unplanned_events AS VARCHAR) AS "Unscheduled Outages",
+         CAST(severe_events AS VARCHAR) AS "Entrapments",
+         age AS "Time Since Major Improvement",
+         CASE WHEN entity_id % 3 = 0 THEN CAST(CAST(avail_peak_am * 100.0 AS DECIMAL(9,4)) AS VARCHAR) || '%'
+              ELSE CAST(CAST(avail_peak_am AS DECIMAL(9,6)) AS VARCHAR) END AS "AM Peak Availability",
+         avail_peak_am * hours AS "AM Peak Hours Available", hours AS "AM Peak Total Hours",
+         CAST(CAST(avail_peak_pm * 100.0 AS DECIMAL(9,4)) AS VARCHAR) AS "PM Peak Availability",
+         avail_peak_pm * hours AS "PM Peak Hours Available", hours AS "PM Peak Total Hours",
+         CAST(CAST(avail_all_day AS DECIMAL(9,6)) AS VARCHAR) AS "24-Hour Availability",
+         avail_all_day * hours AS "24-Hour Hours Available", hours AS "24-Hour Total Hours",
+         'Station ' || CAST(entity_id % 50 AS VARCHAR) AS "Station Name", entity_id % 50 AS "Station MRN",
+         'Complex ' || CAST(entity_id % 25 AS VARCHAR) AS "Station Complex Name", entity_id % 25 AS "Station Complex MRN",
+         period, entity_id
+  FROM (SELECT *, CAST(day(last_day(period)) AS DOUBLE) * 24.0 AS hours FROM panel)
+)"""
+
+
+def _ratio(col: str) -> str:
+    t = f'trim("{col}")'
+    return (f"CASE WHEN coalesce(ends_with({t}, '%'), false) THEN TRY_CAST(rtrim({t}, '%') AS DOUBLE) / 100.0 "
+            f"ELSE TRY_CAST(rtrim({t}, '%') AS DOUBLE) END")
+
+
+RATIO_COLS = ("AM Peak Availability", "PM Peak Availability", "24-Hour Availability")
+
+SQL["canonicalize"] = with_(PANEL, EXPORT) + f"""
+, norm AS (
+  SELECT *, {_ratio(RATIO_COLS[0])} AS r0, {_ratio(RATIO_COLS[1])} AS r1, {_ratio(RATIO_COLS[2])} AS r2 FROM export
+), scale AS (
+  SELECT CASE WHEN max(r0) > 1 THEN 100.0 ELSE 1.0 END AS s0, CASE WHEN max(r1) > 1 THEN 100.0 ELSE 1.0 END AS s1,
+         CASE WHEN max(r2) > 1 THEN 100.0 ELSE 1.0 END AS s2 FROM norm
+)
+SELECT "Month", "Borough", "Equipment Type", "Equipment Code",
+       TRY_CAST("Total Outages" AS BIGINT) AS "Total Outages",
+       TRY_CAST("Scheduled Outages" AS BIGINT) AS "Scheduled Outages",
+       TRY_CAST("Unscheduled Outages" AS BIGINT) AS "Unscheduled Outages",
+       TRY_CAST("Entrapments" AS BIGINT) AS "Entrapments",
+       round("Time Since Major Improvement", 6) AS "Time Since Major Improvement",
+       round(r0 / (SELECT s0 FROM scale), 6) AS "AM Peak Availability",
+       round("AM Peak Hours Available", 6) AS "AM Peak Hours Available", round("AM Peak Total Hours", 6) AS "AM Peak Total Hours",
+       round(r1 / (SELECT s1 FROM scale), 6) AS "PM Peak Availability",
+       round("PM Peak Hours Available", 6) AS "PM Peak Hours Available", round("PM Peak Total Hours", 6) AS "PM Peak Total Hours",
+       round(r2 / (SELECT s2 FROM scale), 6) AS "24-Hour Availability",
+       round("24-Hour Hours Available", 6) AS "24-Hour Hours Available", round("24-Hour Total Hours", 6) AS "24-Hour Total Hours",
+       "Station Name", "Station MRN", "Station Complex Name", "Station Complex MRN"
+FROM norm
+WHERE "Equipment Type" = 'Elevator' AND strptime("Month", '%m/%d/%Y') >= DATE '1996-01-01'"""
+
+DIRTY = EXPORT.replace("strftime(period, '%m/%d/%Y') AS \"Month\"",
+                       "CASE WHEN entity_id % 97 = 0 AND month(period) = 1 THEN 'bad' ELSE strftime(period, '%m/%d/%Y') END AS \"Month\"") \
+    .replace('CAST(total_events AS VARCHAR) AS "Total Outages"',
+             'CASE WHEN entity_id % 89 = 0 AND month(period) = 2 THEN \'n/a\' ELSE CAST(total_events AS VARCHAR) END AS "Total Outages"')
+
+SQL["parse_failures"] = with_(PANEL, DIRTY) + """
+SELECT count_if(try_strptime("Month", '%m/%d/%Y') IS NULL) AS unparseable_months,
+       count_if("Total Outages" IS NOT NULL AND TRY_CAST("Total Outages" AS BIGINT) IS NULL) AS bad_total_outages,
+       count_if("Scheduled Outages" IS NOT NULL AND TRY_CAST("Scheduled Outages" AS BIGINT) IS NULL) AS bad_scheduled_outages,
+       count_if("Unscheduled Outages" IS NOT NULL AND TRY_CAST("Unscheduled Outages" AS BIGINT) IS NULL) AS bad_unscheduled_outages,
+       count_if("Entrapments" IS NOT NULL AND TRY_CAST("Entrapments" AS BIGINT) IS NULL) AS bad_entrapments
+FROM export"""
+
+
+def _ratio_report_part(col: str) -> str:
+    t = f'trim("{col}")'
+    pct = f"coalesce(ends_with({t}, '%'), false)"
+    return f"""SELECT '{col}' AS "column", count_if({pct}) AS percent_rows,
+       count_if("{col}" IS NOT NULL AND ({_ratio(col)}) IS NULL) AS unparseable_rows,
+       round(max({_ratio(col)}), 6) AS max_value,
+       count_if({pct}) > 0 AND count_if(NOT {pct} AND ({_ratio(col)}) > 1) > 0 AS mixed_encoding
+FROM export"""
+
+
+SQL["normalize_ratio"] = with_(PANEL, EXPORT) + "\nUNION ALL\n".join(_ratio_report_part(c) for c in RATIO_COLS)
+
+SQL["rule_violations"] = with_(PANEL) + """
+SELECT count_if(total_events < 0) AS negative_total_events, count_if(planned_events < 0) AS negative_planned_events,
+       count_if(unplanned_events < 0) AS negative_unplanned_events, count_if(severe_events < 0) AS negative_severe_events,
+       count_if(avail_peak_am < 0 OR avail_peak_am > 1) AS out_of_range_avail_peak_am,
+       count_if(avail_peak_pm < 0 OR avail_peak_pm > 1) AS out_of_range_avail_peak_pm,
+       count_if(avail_all_day < 0 OR avail_all_day > 1) AS out_of_range_avail_all_day,
+       count_if(coalesce(total_events <> planned_events + unplanned_events, true)) AS identity_mismatch
+FROM panel"""
+
+SQL["dup_keys"] = """
+SELECT CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS duplicate_rows, count_if(n > 1) AS duplicated_keys
+FROM (SELECT l_suppkey, l_shipdate, count(*) AS n FROM lineitem GROUP BY 1, 2)"""
+
+SQL["gap_count"] = with_(ORDERS_PANEL) + """
+SELECT count(step) AS transitions, count_if(step <> 1) AS nonconsecutive_transitions
+FROM (SELECT lead(year(period) * 12 + month(period)) OVER (PARTITION BY entity_id ORDER BY period)
+             - (year(period) * 12 + month(period)) AS step FROM panel)"""
+
+SQL["history_summary"] = with_(ORDERS_PANEL) + """
+SELECT min(n) AS history_min, round(median(n), 6) AS history_median, max(n) AS history_max
+FROM (SELECT entity_id, count(*) AS n FROM panel GROUP BY 1)"""
+
+SQL["null_profile"] = with_(PANEL) + """
+SELECT count_if(entity_id IS NULL) AS nulls_entity_id, count_if(period IS NULL) AS nulls_period,
+       count_if(total_events IS NULL) AS nulls_total_events, count_if(planned_events IS NULL) AS nulls_planned_events,
+       count_if(unplanned_events IS NULL) AS nulls_unplanned_events, count_if(severe_events IS NULL) AS nulls_severe_events,
+       count_if(avail_peak_am IS NULL) AS nulls_avail_peak_am, count_if(avail_peak_pm IS NULL) AS nulls_avail_peak_pm,
+       count_if(avail_all_day IS NULL) AS nulls_avail_all_day, count_if(age IS NULL) AS nulls_age
+FROM panel"""
+
+SQL["panel_profile"] = with_(PANEL) + """
+SELECT count(*) AS rows, count(DISTINCT entity_id) AS entities, min(period) AS first_period, max(period) AS last_period
+FROM panel"""
+
+SQL["eligibility_audit"] = with_(PANEL) + """
+, e AS (SELECT entity_id, coalesce(ends_with(CAST(entity_id AS VARCHAR), '7'), false) AS x, count(*) AS n, min(period) AS first
+        FROM panel GROUP BY 1, 2)
+SELECT CAST(coalesce(sum(CASE WHEN x THEN n ELSE 0 END), 0) AS BIGINT) AS excluded_rows,
+       count_if(x) AS excluded_entities,
+       CAST(coalesce(sum(CASE WHEN NOT x THEN n ELSE 0 END), 0) AS BIGINT) AS eligible_rows,
+       count_if(NOT x) AS eligible_entities,
+       count_if(NOT x AND first > (SELECT min(first) FROM e WHERE NOT x)) AS newly_introduced_entities
+FROM e"""
+
+SQL["feature_history_audit"] = with_(PANEL, history_ctes()) + """
+SELECT fs AS feature_set, m AS minimum_history,
+       count_if(consecutive_history_months >= m) AS eligible_rows,
+       count(DISTINCT CASE WHEN consecutive_history_months >= m THEN entity_id END) AS eligible_entities
+FROM hist, (VALUES ('current_only', 1), ('short_history', 4), ('full_history', 6)) AS t(fs, m)
+WHERE eligible_for_modeling
+GROUP BY 1, 2"""
+
+SQL["missing_age_audit"] = with_(PANEL) + """
+SELECT count_if(miss) AS missing_rows, count(DISTINCT CASE WHEN miss THEN entity_id END) AS affected_entities,
+       coalesce(bool_and(NOT miss OR first), true) AS all_on_first_record
+FROM (SELECT entity_id, age IS NULL AS miss, row_number() OVER (PARTITION BY entity_id ORDER BY period) = 1 AS first
+      FROM panel WHERE NOT coalesce(ends_with(CAST(entity_id AS VARCHAR), '7'), false))"""
+
+AGE_STEPS = with_(PANEL, history_ctes(), label_cte(), HOLDOUT) + """
+, pre AS (SELECT * FROM lab WHERE period < (SELECT h_start FROM bounds))
+, steps AS (
+  SELECT entity_id, period, age, delta,
+         c AND delta IS NOT NULL AS observed,
+         c AND delta IS NOT NULL AND delta < 0 AS reset,
+         c AND delta IS NOT NULL AND (delta < 1 OR delta > 1) AND NOT (delta < 0) AS anomaly
+  FROM (SELECT *, coalesce(lag(idx) OVER w = idx - 1, false) AS c, age - lag(age) OVER w AS delta
+        FROM pre WINDOW w AS (PARTITION BY entity_id ORDER BY idx))
+)
+"""
+
+SQL["age_behavior"] = AGE_STEPS + """
+SELECT count_if(observed) AS observed_transitions, round(median(CASE WHEN observed THEN delta END), 6) AS median_increment,
+       count_if(reset) AS resets, count_if(anomaly) AS anomalies
+FROM steps"""
+
+SQL["age_resets"] = AGE_STEPS + """
+SELECT entity_id, period, round(age, 6) AS age FROM steps WHERE reset ORDER BY entity_id, period LIMIT 20"""

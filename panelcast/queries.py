@@ -81,3 +81,121 @@ def q_label_prevalence(spark, sf_dir):
         F.col(RULE.name).isNotNull() & (F.col("consecutive_history_months") >= 6) & (F.col(SPEC.period) < start)
     )
     return rounded(labels.prevalence(dev, SPEC, RULE.name))
+
+
+# --- B: canonicalization and quality ---------------------------------------------------
+
+def _orders_panel(spark, sf_dir):
+    from .sources.tables import panel_from_orders
+    return panel_from_orders(spark, sf_dir)
+
+
+def _export(spark, sf_dir, dirty=False):
+    from .sources.tables import export_from_lineitem
+    return export_from_lineitem(spark, sf_dir, dirty)
+
+
+@query("canonicalize")
+def q_canonicalize(spark, sf_dir):
+    from .operators.canonical import canonicalize
+    return rounded(canonicalize(_export(spark, sf_dir), start_month="1996-01-01", equipment_type="Elevator"))
+
+
+@query("parse_failures")
+def q_parse_failures(spark, sf_dir):
+    """B3/B4 on a dirty export: unparseable months and non-numeric counts."""
+    from .operators.canonical import coerce_count, parse_period
+    from .spec import ELEVATOR
+    src = _export(spark, sf_dir, dirty=True)
+    return src.agg(
+        F.count_if(parse_period("Month").isNull()).alias("unparseable_months"),
+        *[F.count_if(F.col(f"`{c}`").isNotNull() & coerce_count(c).isNull()).alias(f"bad_{c.lower().replace(' ', '_')}")
+          for c in ELEVATOR.counts],
+    )
+
+
+@query("normalize_ratio")
+def q_normalize_ratio(spark, sf_dir):
+    from .operators.canonical import ratio_report
+    from .spec import ELEVATOR
+    return rounded(ratio_report(_export(spark, sf_dir), ELEVATOR.ratios))
+
+
+@query("rule_violations")
+def q_rule_violations(spark, sf_dir):
+    from .operators.quality import rule_violations
+    return rule_violations(_panel(spark, sf_dir), SPEC)
+
+
+@query("dup_keys")
+def q_dup_keys(spark, sf_dir):
+    """B9 on raw shipments keyed by (supplier, ship day): many repeated keys."""
+    from .operators.quality import duplicate_keys
+    from .spec import PanelSpec
+    from .sources.tables import read_table
+    raw = read_table(spark, sf_dir, "lineitem", ["l_suppkey", "l_shipdate"])
+    return duplicate_keys(raw, PanelSpec(entity="l_suppkey", period="l_shipdate"))
+
+
+@query("gap_count")
+def q_gap_count(spark, sf_dir):
+    from .operators.quality import gap_count
+    return gap_count(_orders_panel(spark, sf_dir), SPEC)
+
+
+@query("history_summary")
+def q_history_summary(spark, sf_dir):
+    from .operators.quality import history_summary
+    return rounded(history_summary(_orders_panel(spark, sf_dir), SPEC))
+
+
+@query("null_profile")
+def q_null_profile(spark, sf_dir):
+    from .operators.quality import null_profile
+    return null_profile(_panel(spark, sf_dir))
+
+
+@query("panel_profile")
+def q_panel_profile(spark, sf_dir):
+    from .operators.quality import panel_profile
+    return panel_profile(_panel(spark, sf_dir), SPEC)
+
+
+@query("eligibility_audit")
+def q_eligibility_audit(spark, sf_dir):
+    from .operators.quality import eligibility_audit
+    return eligibility_audit(_panel(spark, sf_dir), SPEC, TEST_RUN.excluded_suffixes)
+
+
+@query("feature_history_audit")
+def q_feature_history_audit(spark, sf_dir):
+    from .operators.quality import feature_history_audit
+    return feature_history_audit(_panel(spark, sf_dir), SPEC, TEST_RUN.excluded_suffixes, FEATURE_SETS)
+
+
+@query("missing_age_audit")
+def q_missing_age_audit(spark, sf_dir):
+    from .operators.quality import missing_age_audit
+    return missing_age_audit(_panel(spark, sf_dir), SPEC, TEST_RUN.excluded_suffixes)
+
+
+AGE_BAND = (1, 1)  # panel age is in months: a normal step is exactly +1
+
+
+def _pre_holdout_eligible(spark, sf_dir):
+    from .operators.splits import holdout_window
+    panel = _panel(spark, sf_dir)
+    start, _ = holdout_window(panel, SPEC, 3)
+    return _labeled(spark, sf_dir).where(F.col(SPEC.period) < start)
+
+
+@query("age_behavior")
+def q_age_behavior(spark, sf_dir):
+    from .operators.quality import age_behavior
+    return rounded(age_behavior(_pre_holdout_eligible(spark, sf_dir), SPEC, AGE_BAND))
+
+
+@query("age_resets")
+def q_age_resets(spark, sf_dir):
+    from .operators.quality import age_examples
+    return rounded(age_examples(_pre_holdout_eligible(spark, sf_dir), SPEC, AGE_BAND, "reset", 20))

@@ -100,3 +100,50 @@ def panel_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.avg(F.col("value") / 100.0).alias(spec.ratios[0]),
         F.avg(F.when(F.col("event_type") == "purchase", 1.0).otherwise(0.0)).alias(spec.ratios[1]),
     )
+
+
+def export_from_lineitem(spark: SparkSession, sf_dir: str, dirty: bool = False) -> DataFrame:
+    """A raw 22-column "official export" derived from the lineitem panel.
+
+    Month is text (MM/dd/yyyy), counts are text, the AM ratio is a percent string
+    with '%' on every third entity, the PM ratio is percent numbers without '%'
+    (column max > 1 -> whole column / 100), the all-day ratio is a plain proportion.
+    Every fourth entity is an escalator. ``dirty`` adds unparseable months and
+    counts at deterministic keys for the strict-parse rules.
+    """
+    p = panel_from_lineitem(spark, sf_dir)
+    e = F.col("entity_id")
+    hours = F.dayofmonth(F.last_day("period")).cast("double") * 24.0
+    am, pm, day = (F.col(c) for c in DEFAULT_PANEL.ratios)
+    month_text = F.date_format("period", "MM/dd/yyyy")
+    total_text = F.col("total_events").cast("string")
+    if dirty:
+        month_text = F.when((e % 97 == 0) & (F.month("period") == 1), F.lit("bad")).otherwise(month_text)
+        total_text = F.when((e % 89 == 0) & (F.month("period") == 2), F.lit("n/a")).otherwise(total_text)
+    am_text = F.when(
+        e % 3 == 0, F.concat((am * 100.0).cast("decimal(9,4)").cast("string"), F.lit("%"))
+    ).otherwise(am.cast("decimal(9,6)").cast("string"))
+    return p.select(
+        month_text.alias("Month"),
+        F.concat(F.lit("B"), (e % 5).cast("string")).alias("Borough"),
+        F.when(e % 4 == 0, "Escalator").otherwise("Elevator").alias("Equipment Type"),
+        F.concat(F.lit("EQ"), F.lpad(e.cast("string"), 6, "0")).alias("Equipment Code"),
+        total_text.alias("Total Outages"),
+        F.col("planned_events").cast("string").alias("Scheduled Outages"),
+        F.col("unplanned_events").cast("string").alias("Unscheduled Outages"),
+        F.col("severe_events").cast("string").alias("Entrapments"),
+        F.col("age").alias("Time Since Major Improvement"),
+        am_text.alias("AM Peak Availability"),
+        (am * hours).alias("AM Peak Hours Available"),
+        hours.alias("AM Peak Total Hours"),
+        (pm * 100.0).cast("decimal(9,4)").cast("string").alias("PM Peak Availability"),
+        (pm * hours).alias("PM Peak Hours Available"),
+        hours.alias("PM Peak Total Hours"),
+        day.cast("decimal(9,6)").cast("string").alias("24-Hour Availability"),
+        (day * hours).alias("24-Hour Hours Available"),
+        hours.alias("24-Hour Total Hours"),
+        F.concat(F.lit("Station "), (e % 50).cast("string")).alias("Station Name"),
+        (e % 50).alias("Station MRN"),
+        F.concat(F.lit("Complex "), (e % 25).cast("string")).alias("Station Complex Name"),
+        (e % 25).alias("Station Complex MRN"),
+    )
