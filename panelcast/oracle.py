@@ -159,3 +159,32 @@ dev AS (
   WHERE label IS NOT NULL AND consecutive_history_months >= 6
     AND period < (SELECT h_start FROM bounds)
 )"""
+
+
+def feature_select(lags=(1, 2, 3), windows=(3, 6), age: bool = False, season: bool = False) -> str:
+    """Select list of a feature set in the fixed order, doubles rounded."""
+    dbl = {"avail_peak_am", "avail_peak_pm", "avail_all_day"}
+    cols = [f"round({c}, 6) AS {c}" if c in dbl else c for c in OPS]
+    if age:
+        cols += ["round(age, 6) AS age", "age_missing"]
+    for c in OPS:
+        for k in lags:
+            n = f"{c}_lag_{k}"
+            cols.append(f"round({n}, 6) AS {n}" if c in dbl else n)
+        for w in windows:
+            n = f"{c}_roll_{w}_mean"
+            cols.append(f"round({n}, 6) AS {n}")
+    if season:
+        cols += ["month_of_year", "is_winter"]
+    return ", ".join(cols)
+
+
+def fold_cte(src: str = "dev", k: int = 4, m: int = 3) -> str:
+    """Fold list (position, name, bounds) from the last development period."""
+    return f"""
+folds AS (
+  SELECT p AS position,
+         CAST(last - to_months(({k} - p) * {m} + {m - 1}) AS DATE) AS v_start,
+         CAST(last - to_months(({k} - p) * {m}) AS DATE) AS v_end
+  FROM (SELECT max(period) AS last FROM {src}), range(1, {k + 1}) AS t(p)
+)"""

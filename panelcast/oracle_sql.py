@@ -198,3 +198,118 @@ FROM steps"""
 
 SQL["age_resets"] = AGE_STEPS + """
 SELECT entity_id, period, round(age, 6) AS age FROM steps WHERE reset ORDER BY entity_id, period LIMIT 20"""
+
+from .oracle import EVENTS_PANEL, OPS, feature_select, fold_cte  # noqa: E402
+
+SQL["feature_eligibility"] = with_(PANEL, history_ctes(), label_cte()) + \
+    "SELECT entity_id, period, eligible_for_modeling AND consecutive_history_months >= 4 AS eligible_for_feature_set FROM lab"
+
+SQL["panel_features"] = with_(PANEL, history_ctes(), label_cte(), features_cte(age=True, season=True)) + \
+    f"SELECT entity_id, period, label, {feature_select(age=True, season=True)} FROM feat"
+
+SQL["lag_features"] = with_(ORDERS_PANEL) + """
+SELECT entity_id, period,
+       lag(unplanned_events, 1) OVER w AS unplanned_events_lag_1,
+       lag(unplanned_events, 2) OVER w AS unplanned_events_lag_2,
+       lag(unplanned_events, 3) OVER w AS unplanned_events_lag_3
+FROM panel WINDOW w AS (PARTITION BY entity_id ORDER BY period)"""
+
+SQL["rolling_features"] = with_(ORDERS_PANEL, features_cte(src="(SELECT *, year(period) * 12 + month(period) AS idx FROM panel)", lags=())) + \
+    "SELECT entity_id, period, " + ", ".join(
+        f"round({c}_roll_{w}_mean, 6) AS {c}_roll_{w}_mean" for c in OPS for w in (3, 6)) + " FROM feat"
+
+SQL["season_features"] = with_(EVENTS_PANEL) + """
+SELECT entity_id, period, CAST(month(period) AS INTEGER) AS month_of_year,
+       CAST(month(period) IN (12, 1, 2) AS INTEGER) AS is_winter FROM panel"""
+
+DEV_CTES = with_(PANEL, history_ctes(), label_cte(), features_cte(), HOLDOUT, DEV)
+
+SQL["prepared_cohort"] = DEV_CTES + f"SELECT entity_id, period, label, consecutive_history_months, {feature_select()} FROM dev"
+
+SQL["sequence_windows"] = with_(PANEL, history_ctes(), label_cte(), HOLDOUT) + """
+, ends AS (SELECT entity_id, idx AS end_idx, period AS end_period FROM lab
+           WHERE label IS NOT NULL AND consecutive_history_months >= 6 AND period < (SELECT h_start FROM bounds))
+SELECT e.entity_id, CAST(e.end_period - INTERVAL 5 MONTH AS DATE) AS start_period, e.end_period,
+       CAST(l.idx - (e.end_idx - 5) AS INTEGER) AS step,
+       CAST(l.total_events AS DOUBLE) AS total_events, CAST(l.unplanned_events AS DOUBLE) AS unplanned_events,
+       CAST(l.planned_events AS DOUBLE) AS planned_events, CAST(l.severe_events AS DOUBLE) AS severe_events,
+       round(l.avail_peak_am, 6) AS avail_peak_am, round(l.avail_peak_pm, 6) AS avail_peak_pm,
+       round(l.avail_all_day, 6) AS avail_all_day
+FROM ends e JOIN lab l ON l.entity_id = e.entity_id AND l.idx BETWEEN e.end_idx - 5 AND e.end_idx"""
+
+SQL["sequence_cohorts"] = with_(PANEL, history_ctes(), label_cte(), HOLDOUT) + """
+, dev AS (SELECT * FROM lab WHERE label IS NOT NULL AND period < (SELECT h_start FROM bounds))
+, pe AS (SELECT entity_id, count_if(consecutive_history_months >= 6) AS r6, count_if(consecutive_history_months >= 12) AS r12,
+                count_if(consecutive_history_months >= 24) AS r24 FROM dev GROUP BY 1)
+SELECT 6 AS sequence_length, CAST(sum(r6) AS BIGINT) AS rows, count_if(r6 > 0) AS entities, count(*) - count_if(r6 > 0) AS entities_lost FROM pe
+UNION ALL
+SELECT 12, CAST(sum(r12) AS BIGINT), count_if(r12 > 0), count(*) - count_if(r12 > 0) FROM pe
+UNION ALL
+SELECT 24, CAST(sum(r24) AS BIGINT), count_if(r24 > 0), count(*) - count_if(r24 > 0) FROM pe"""
+
+LABELED_FEAT = with_(PANEL, history_ctes(), label_cte(), features_cte(), HOLDOUT) + """
+, lf AS (SELECT * FROM feat WHERE label IS NOT NULL AND consecutive_history_months >= 6)
+"""
+
+SQL["holdout_split"] = LABELED_FEAT + """
+SELECT entity_id, period, CASE WHEN period < (SELECT h_start FROM bounds) THEN 'development' ELSE 'holdout' END AS split
+FROM lf WHERE period <= (SELECT h_end FROM bounds)"""
+
+SQL["latest_split"] = DEV_CTES + """
+SELECT entity_id, period,
+       CASE WHEN period < (SELECT CAST(max(period) - INTERVAL 2 MONTH AS DATE) FROM dev) THEN 'train' ELSE 'validation' END AS role
+FROM dev"""
+
+FOLD_ROWS = DEV_CTES + """
+, a AS (
+  SELECT *, back,
+         CASE WHEN back >= 0 AND back < 12 THEN CAST(4 - floor(back / 3) AS INTEGER) END AS validation_fold,
+         CASE WHEN back >= 3 THEN CAST(greatest(1, 4 - floor(back / 3) + 1) AS INTEGER) END AS first_train_fold,
+         CASE WHEN back >= 3 THEN CAST(least(4, floor(back / 3)) AS INTEGER) ELSE 0 END AS train_fold_count
+  FROM (SELECT *, (SELECT max(year(period) * 12 + month(period)) FROM dev) - idx AS back FROM dev)
+)
+"""
+
+SQL["rolling_folds"] = FOLD_ROWS + "SELECT entity_id, period, validation_fold, first_train_fold, train_fold_count FROM a"
+
+SQL["fold_audit"] = FOLD_ROWS + "," + fold_cte("dev").strip("\n") + """
+, sides AS (
+  SELECT validation_fold AS position, 'validation' AS role, count(*) AS rows, count(DISTINCT entity_id) AS entities,
+         CAST(sum(label) AS BIGINT) AS positives, min(period) AS first_period, max(period) AS last_period
+  FROM a WHERE validation_fold IS NOT NULL GROUP BY 1
+  UNION ALL
+  SELECT f.position, 'train', count(*), count(DISTINCT a.entity_id), CAST(sum(a.label) AS BIGINT), min(a.period), max(a.period)
+  FROM folds f JOIN a ON a.first_train_fold <= f.position GROUP BY 1
+)
+SELECT strftime(f.v_start, '%Y-%m') || '_to_' || strftime(f.v_end, '%Y-%m') AS fold, CAST(f.position AS INTEGER) AS position,
+       s.role, s.rows, s.entities, s.positives, round(s.positives / s.rows, 6) AS prevalence, s.first_period, s.last_period
+FROM folds f JOIN sides s ON s.position = f.position"""
+
+SQL["group_folds"] = DEV_CTES + """
+SELECT CAST(entity_id % 4 AS INTEGER) AS group_fold, count(*) AS rows, count(DISTINCT entity_id) AS entities,
+       round(avg(CAST(label AS DOUBLE)), 6) AS prevalence, CAST(0 AS BIGINT) AS shared_entities
+FROM dev GROUP BY 1"""
+
+SQL["holdout_counts"] = LABELED_FEAT + """
+, act AS (SELECT period, count(*) AS actual_rows FROM lf
+          WHERE period BETWEEN (SELECT h_start FROM bounds) AND (SELECT h_end FROM bounds) GROUP BY 1)
+, exp AS (SELECT period, count(*) AS expected_rows FROM lab
+          WHERE label IS NOT NULL AND period BETWEEN (SELECT h_start FROM bounds) AND (SELECT h_end FROM bounds) GROUP BY 1)
+SELECT coalesce(act.period, exp.period) AS period, coalesce(actual_rows, 0) AS actual_rows,
+       coalesce(expected_rows, 0) AS expected_rows, coalesce(actual_rows, 0) = coalesce(expected_rows, 0) AS matches
+FROM act FULL OUTER JOIN exp ON act.period = exp.period"""
+
+SQL["calibration_split"] = DEV_CTES + "," + fold_cte("dev").strip("\n") + """
+, tr AS (SELECT f.position, f.v_start, f.v_end, max(d.period) AS tmax FROM folds f JOIN dev d ON d.period < f.v_start GROUP BY 1, 2, 3)
+SELECT strftime(tr.v_start, '%Y-%m') || '_to_' || strftime(tr.v_end, '%Y-%m') AS fold, CAST(tr.position AS INTEGER) AS position,
+       CAST(tmax - INTERVAL 2 MONTH AS DATE) AS calibration_start,
+       count_if(d.period < CAST(tmax - INTERVAL 2 MONTH AS DATE)) AS base_rows,
+       count_if(d.period >= CAST(tmax - INTERVAL 2 MONTH AS DATE)) AS calibration_rows
+FROM tr JOIN dev d ON d.period < tr.v_start GROUP BY tr.position, tr.v_start, tr.v_end, tmax"""
+
+SQL["prospective_rows"] = LABELED_FEAT + "SELECT entity_id, period, label FROM lf WHERE period > (SELECT h_end FROM bounds)"
+
+SQL["chrono_split"] = DEV_CTES + """
+SELECT entity_id, period,
+       row_number() OVER (ORDER BY period, entity_id) <= (SELECT least(greatest(1, floor(count(*) * 0.85)), count(*) - 1) FROM dev) AS early
+FROM dev"""

@@ -199,3 +199,203 @@ def q_age_behavior(spark, sf_dir):
 def q_age_resets(spark, sf_dir):
     from .operators.quality import age_examples
     return rounded(age_examples(_pre_holdout_eligible(spark, sf_dir), SPEC, AGE_BAND, "reset", 20))
+
+
+# --- C5 / E: features ---------------------------------------------------------------------
+
+def _featured(spark, sf_dir, fs=None, age=True, season=True):
+    from dataclasses import replace
+    from .operators.features import build_features
+    fs = replace(fs or FEATURE_SETS["full_history"], include_age=age, include_season=season)
+    return build_features(_labeled(spark, sf_dir), SPEC, fs)
+
+
+@query("feature_eligibility")
+def q_feature_eligibility(spark, sf_dir):
+    df = history.add_feature_set_eligibility(_labeled(spark, sf_dir), SPEC, FEATURE_SETS["short_history"].minimum_history)
+    return df.select(SPEC.entity, SPEC.period, "eligible_for_feature_set")
+
+
+@query("panel_features")
+def q_panel_features(spark, sf_dir):
+    """Full history set with age and season on the eligible labeled panel."""
+    df, names = _featured(spark, sf_dir)
+    return rounded(df.select(SPEC.entity, SPEC.period, RULE.name, *names))
+
+
+@query("lag_features")
+def q_lag_features(spark, sf_dir):
+    """E2 on the sparse panel: row lags, blind to gaps (hence C5 before use)."""
+    from .operators.features import feature_expressions
+    from .spec import FeatureSet
+    exprs = feature_expressions(SPEC, FeatureSet("lags", lags=(1, 2, 3)))
+    d = history.with_index(_orders_panel(spark, sf_dir), SPEC)
+    return d.select(SPEC.entity, SPEC.period, *[e.alias(n) for n, e in exprs if "_lag_" in n and n.startswith("unplanned")])
+
+
+@query("rolling_features")
+def q_rolling_features(spark, sf_dir):
+    """E3 on the sparse panel: trailing means incl. the current row, nulls skipped."""
+    from .operators.features import feature_expressions
+    from .spec import FeatureSet
+    exprs = feature_expressions(SPEC, FeatureSet("rolls", windows=(3, 6)))
+    d = history.with_index(_orders_panel(spark, sf_dir), SPEC)
+    return rounded(d.select(SPEC.entity, SPEC.period, *[e.alias(n) for n, e in exprs if "_roll_" in n]))
+
+
+@query("season_features")
+def q_season_features(spark, sf_dir):
+    """E5 on the daily panel: month of year and winter flag."""
+    from .sources.tables import DAILY_PANEL, panel_from_events
+    p = panel_from_events(spark, sf_dir)
+    return p.select(DAILY_PANEL.entity, DAILY_PANEL.period, F.month(DAILY_PANEL.period).alias("month_of_year"),
+                    F.month(DAILY_PANEL.period).isin(12, 1, 2).cast("int").alias("is_winter"))
+
+
+@query("prepared_cohort")
+def q_prepared_cohort(spark, sf_dir):
+    """Flags -> history -> eligible -> label -> features -> C5 -> labeled, pre-holdout."""
+    from .plans.cohort import development_panel
+    prep, _, _ = development_panel(_panel(spark, sf_dir), TEST_RUN)
+    return rounded(prep.frame.select(SPEC.entity, SPEC.period, prep.label, "consecutive_history_months", *prep.features))
+
+
+def _dev(spark, sf_dir, fs=None):
+    from .plans.cohort import development_panel
+    prep, start, end = development_panel(_panel(spark, sf_dir), TEST_RUN, fs)
+    return prep, start, end
+
+
+SEQ_LEN = 6
+
+
+@query("sequence_windows")
+def q_sequence_windows(spark, sf_dir):
+    """Windows of 6 consecutive periods ending at each labeled development row, one row per step."""
+    from .operators.features import build_sequences, explode_sequences
+    from .operators.splits import holdout_window
+    start, _ = holdout_window(_panel(spark, sf_dir), SPEC, 3)
+    lab = _labeled(spark, sf_dir)
+    seq = build_sequences(lab, SPEC, SEQ_LEN, RULE.name).where(F.col("end_period") < start)
+    return rounded(explode_sequences(seq, SPEC))
+
+
+@query("sequence_cohorts")
+def q_sequence_cohorts(spark, sf_dir):
+    """E8 for L in (6, 12, 24): rows, entities, entities lost vs. the labeled development panel.
+    A window of L consecutive rows ends at a row iff its consecutive history >= L, so one
+    pass with conditional counts replaces three array builds."""
+    from .operators.splits import holdout_window
+    start, _ = holdout_window(_panel(spark, sf_dir), SPEC, 3)
+    dev = _labeled(spark, sf_dir).where(F.col(RULE.name).isNotNull() & (F.col(SPEC.period) < start))
+    lengths = (6, 12, 24)
+    per_entity = dev.groupBy(SPEC.entity).agg(
+        *[F.count_if(F.col("consecutive_history_months") >= n).alias(f"r{n}") for n in lengths])
+    wide = per_entity.agg(
+        F.count(F.lit(1)).alias("base"),
+        *[F.sum(f"r{n}").alias(f"rows{n}") for n in lengths],
+        *[F.count_if(F.col(f"r{n}") > 0).alias(f"ent{n}") for n in lengths],
+    )
+    rows = [F.struct(F.lit(n).alias("sequence_length"), F.col(f"rows{n}").cast("bigint").alias("rows"),
+                     F.col(f"ent{n}").alias("entities"), (F.col("base") - F.col(f"ent{n}")).alias("entities_lost"))
+            for n in lengths]
+    return wide.select(F.inline(F.array(*rows)))
+
+
+# --- F: splits ---------------------------------------------------------------------------
+
+def _labeled_feat(spark, sf_dir):
+    """Labeled, history>=6 rows (all periods) with bounds of the holdout."""
+    from .plans.cohort import prepare_cohort
+    from .operators.splits import holdout_window
+    panel = _panel(spark, sf_dir)
+    start, end = holdout_window(panel, SPEC, 3)
+    prep = prepare_cohort(panel, TEST_RUN, labeled_only=True)
+    return prep, start, end
+
+
+@query("holdout_split")
+def q_holdout_split(spark, sf_dir):
+    prep, start, end = _labeled_feat(spark, sf_dir)
+    p = F.col(SPEC.period)
+    return prep.frame.where(p <= end).select(
+        SPEC.entity, SPEC.period, F.when(p < start, "development").otherwise("holdout").alias("split"))
+
+
+@query("latest_split")
+def q_latest_split(spark, sf_dir):
+    from .operators.splits import latest_split
+    prep, _, _ = _dev(spark, sf_dir)
+    train, val = latest_split(prep.frame, SPEC, 3)
+    return train.select(SPEC.entity, SPEC.period, F.lit("train").alias("role")).unionByName(
+        val.select(SPEC.entity, SPEC.period, F.lit("validation").alias("role")))
+
+
+def _last_dev_period(dev):
+    return dev.select(F.max(SPEC.period)).scalar()
+
+
+@query("rolling_folds")
+def q_rolling_folds(spark, sf_dir):
+    from .operators.splits import assign_folds
+    prep, _, _ = _dev(spark, sf_dir)
+    dev = prep.frame
+    a = assign_folds(dev, SPEC, _last_dev_period(dev), TEST_RUN.validation_months, TEST_RUN.fold_count)
+    return a.select(SPEC.entity, SPEC.period, "validation_fold", "first_train_fold", "train_fold_count")
+
+
+@query("fold_audit")
+def q_fold_audit(spark, sf_dir):
+    from .operators.splits import fold_audit
+    prep, _, _ = _dev(spark, sf_dir)
+    dev = prep.frame
+    last = dev.agg(F.max(SPEC.period).alias("m")).first()["m"]
+    return rounded(fold_audit(dev, SPEC, RULE.name, last, TEST_RUN.validation_months, TEST_RUN.fold_count))
+
+
+@query("group_folds")
+def q_group_folds(spark, sf_dir):
+    """entity-disjoint folds; ``shared_entities`` counts entities seen in more than one fold (must be 0)."""
+    from .operators.splits import group_folds
+    prep, _, _ = _dev(spark, sf_dir)
+    g = group_folds(prep.frame, SPEC, 4)
+    per = g.groupBy("group_fold").agg(F.count(F.lit(1)).alias("rows"), F.countDistinct(SPEC.entity).alias("entities"),
+                                      F.avg(F.col(RULE.name).cast("double")).alias("prevalence"))
+    shared = g.groupBy(SPEC.entity).agg(F.countDistinct("group_fold").alias("_k")).where("_k > 1").select(F.count(F.lit(1)).alias("shared_entities"))
+    return rounded(per.withColumn("shared_entities", shared.scalar()))
+
+
+@query("holdout_counts")
+def q_holdout_counts(spark, sf_dir):
+    """holdout rows with feature history vs. target-eligible holdout rows per period."""
+    from .operators.splits import holdout_counts
+    prep, start, end = _labeled_feat(spark, sf_dir)
+    p = F.col(SPEC.period)
+    holdout = prep.frame.where(p.between(start, end)).drop(RULE.name)
+    expected = _labeled(spark, sf_dir).where(F.col(RULE.name).isNotNull() & p.between(start, end)) \
+        .groupBy(SPEC.period).agg(F.count(F.lit(1)).alias("expected_rows"))
+    return holdout_counts(holdout, SPEC, expected)
+
+
+@query("calibration_split")
+def q_calibration_split(spark, sf_dir):
+    """F8: per fold, training rows before / inside the last 3 training months (calibrator only)."""
+    from .operators.splits import calibration_split_counts
+    prep, _, _ = _dev(spark, sf_dir)
+    dev = prep.frame
+    last = dev.agg(F.max(SPEC.period).alias("m")).first()["m"]
+    return calibration_split_counts(dev, SPEC, last, TEST_RUN.validation_months, TEST_RUN.fold_count, 3)
+
+
+@query("prospective_rows")
+def q_prospective_rows(spark, sf_dir):
+    from .operators.splits import prospective_rows
+    prep, _, end = _labeled_feat(spark, sf_dir)
+    return prospective_rows(prep.frame, SPEC, RULE.name, end).select(SPEC.entity, SPEC.period, RULE.name)
+
+
+@query("chrono_split")
+def q_chrono_split(spark, sf_dir):
+    from .operators.splits import chrono_split
+    prep, _, _ = _dev(spark, sf_dir)
+    return chrono_split(prep.frame.select(SPEC.entity, SPEC.period), SPEC, 0.85)
