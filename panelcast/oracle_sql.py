@@ -313,3 +313,160 @@ SQL["chrono_split"] = DEV_CTES + """
 SELECT entity_id, period,
        row_number() OVER (ORDER BY period, entity_id) <= (SELECT least(greatest(1, floor(count(*) * 0.85)), count(*) - 1) FROM dev) AS early
 FROM dev"""
+
+PREDS = FOLD_ROWS + """
+, preds AS (SELECT validation_fold AS fold, entity_id, period, label, least(1.0, unplanned_events_roll_3_mean / 10.0) AS score,
+                   first_train_fold, age FROM a WHERE validation_fold IS NOT NULL)
+"""
+
+
+def ladder_sql(by: list[str], src: str = "preds", name: str = "lad") -> str:
+    b = "".join(f"{c}, " for c in by)
+    part = f"PARTITION BY {', '.join(by)}" if by else ""
+    return f"""
+, {name}_g AS (SELECT {b}score, CAST(sum(label) AS BIGINT) AS pos, count(*) AS n FROM {src} GROUP BY {b}score)
+, {name} AS (SELECT *, CAST(sum(pos) OVER ({part} ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS BIGINT) AS cum_pos,
+                 CAST(sum(n) OVER ({part} ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS BIGINT) AS cum_n,
+                 CAST(sum(pos) OVER ({part}) AS BIGINT) AS tot_pos, CAST(sum(n) OVER ({part}) AS BIGINT) AS tot_n FROM {name}_g)
+, {name}_rank AS (SELECT {b}
+       CASE WHEN max(tot_pos) > 0 THEN sum(pos * (cum_pos / cum_n)) / max(tot_pos) END AS pr_auc,
+       CASE WHEN max(tot_pos) > 0 AND max(tot_n) - max(tot_pos) > 0
+            THEN sum((n - pos) * ((cum_pos - pos) + pos / 2.0)) / (max(tot_pos) * (max(tot_n) - max(tot_pos))) END AS roc_auc
+  FROM {name} GROUP BY ALL)
+"""
+
+
+def cands_sql(by: list[str], src: str = "preds", lad: str = "lad") -> str:
+    b = "".join(f"{c}, " for c in by)
+    grp = f"GROUP BY {', '.join(by)}" if by else ""
+    edges = "\n  UNION\n  ".join(
+        f"SELECT {b}CAST({t} AS DOUBLE), CAST(sum(CASE WHEN score >= {t} THEN label ELSE 0 END) AS BIGINT), count_if(score >= {t}), "
+        f"CAST(sum(label) AS BIGINT), count(*) FROM {src} {grp}" for t in ("0.0", "1.0"))
+    return f"""
+, cand0 AS (
+  SELECT {b}CAST(score AS DOUBLE) AS threshold, cum_pos AS tp, cum_n AS pp, tot_pos, tot_n FROM {lad}
+  UNION
+  {edges}
+)
+, cands AS (
+  SELECT *, 2 * precision * recall / greatest(precision + recall, 1e-12) AS f1 FROM (
+    SELECT {b}threshold, tp, pp - tp AS fp, tot_pos - tp AS fn, tot_n - tot_pos - (pp - tp) AS tn,
+           CASE WHEN pp > 0 THEN tp / pp ELSE 0.0 END AS precision,
+           CASE WHEN tot_pos > 0 THEN tp / tot_pos ELSE 0.0 END AS recall
+    FROM cand0)
+)
+"""
+
+
+def pick(r: float, src: str = "cands") -> str:
+    return (f"coalesce((SELECT threshold FROM {src} WHERE recall >= {r} ORDER BY precision DESC, recall DESC, threshold DESC LIMIT 1),"
+            f" (SELECT threshold FROM {src} ORDER BY f1 DESC, recall DESC, threshold ASC LIMIT 1))")
+
+
+def conf_cols(t: str) -> str:
+    return (f"count_if(label = 1 AND score >= {t}) AS true_positives, count_if(label = 0 AND score >= {t}) AS false_positives, "
+            f"count_if(label = 1 AND score < {t}) AS false_negatives, count_if(label = 0 AND score < {t}) AS true_negatives")
+
+
+PR = ("round(CASE WHEN true_positives + false_positives > 0 THEN true_positives / (true_positives + false_positives) ELSE 0.0 END, 6) AS precision, "
+      "round(CASE WHEN true_positives + false_negatives > 0 THEN true_positives / (true_positives + false_negatives) ELSE 0.0 END, 6) AS recall")
+
+SQL["confusion"] = PREDS + f"SELECT fold, *, {PR} FROM (SELECT fold, {conf_cols('0.5')} FROM preds GROUP BY fold)".replace("SELECT fold, *,", "SELECT *,")
+
+SQL["average_precision"] = PREDS + ladder_sql(["fold"]) + "SELECT fold, round(pr_auc, 6) AS pr_auc FROM lad_rank"
+SQL["roc_auc"] = PREDS + ladder_sql(["fold"]) + "SELECT fold, round(roc_auc, 6) AS roc_auc FROM lad_rank"
+
+SQL["brier"] = PREDS + """
+, tp AS (SELECT f.p AS fold, avg(CAST(d.label AS DOUBLE)) AS prev
+         FROM range(1, 5) AS f(p) JOIN a d ON d.first_train_fold <= f.p GROUP BY 1)
+SELECT fold, round(b, 6) AS brier_score, round(r, 6) AS reference_brier, round(1 - b / r, 6) AS brier_skill
+FROM (SELECT preds.fold, avg(pow(score - label, 2)) AS b, avg(pow(prev - label, 2)) AS r
+      FROM preds JOIN tp ON tp.fold = preds.fold GROUP BY 1)"""
+
+BIN = "((score >= 0.2)::INT + (score >= 0.4)::INT + (score >= 0.6000000000000001)::INT + (score >= 0.8)::INT)"
+
+SQL["calibration_bins"] = PREDS + f"""
+, spine AS (SELECT * FROM (VALUES (0, 0.0, 0.2), (1, 0.2, 0.4), (2, 0.4, 0.6000000000000001), (3, 0.6000000000000001, 0.8), (4, 0.8, 1.0))
+            AS t(bin, lower, upper))
+, g AS (SELECT DISTINCT fold FROM preds)
+, agg AS (SELECT fold, {BIN} AS bin, count(*) AS rows, avg(score) AS mp, avg(CAST(label AS DOUBLE)) AS obs FROM preds GROUP BY 1, 2)
+SELECT g.fold, spine.bin, round(CAST(spine.lower AS DOUBLE), 6) AS lower, round(CAST(spine.upper AS DOUBLE), 6) AS upper,
+       coalesce(agg.rows, 0) AS rows, round(mp, 6) AS mean_probability, round(obs, 6) AS observed_rate
+FROM g CROSS JOIN spine LEFT JOIN agg ON agg.fold = g.fold AND agg.bin = spine.bin"""
+
+SQL["ece"] = PREDS + f"""
+SELECT fold, round(sum(n * abs(p - y)) / sum(n), 6) AS expected_calibration_error
+FROM (SELECT fold, {BIN} AS bin, count(*) AS n, avg(score) AS p, avg(CAST(label AS DOUBLE)) AS y FROM preds GROUP BY 1, 2) GROUP BY fold"""
+
+SQL["operating_threshold"] = PREDS + ladder_sql([]) + cands_sql([]) + f"SELECT round({pick(0.7)}, 6) AS threshold"
+
+POLICIES = """
+SELECT * FROM (
+  SELECT 'approximately_70_percent_recall' AS policy, {p70} AS threshold
+  UNION ALL SELECT 'approximately_80_percent_recall', {p80}
+  UNION ALL SELECT 'best_validation_f1', (SELECT threshold FROM cands ORDER BY f1 DESC, recall DESC, threshold ASC LIMIT 1)
+  UNION ALL SELECT 'fn_cost_3x_fp', (SELECT threshold FROM cands ORDER BY 3 * fn + fp ASC, recall DESC, threshold ASC LIMIT 1))"""
+
+SQL["threshold_policies"] = PREDS + ladder_sql([]) + cands_sql([]) + \
+    "SELECT policy, round(threshold, 6) AS threshold FROM (" + POLICIES.format(p70=pick(0.7), p80=pick(0.8)) + ")"
+
+SQL["policy_transfer"] = PREDS + """
+, sel AS (SELECT * FROM preds WHERE fold < (SELECT max(fold) FROM preds))
+, latest AS (SELECT * FROM preds WHERE fold = (SELECT max(fold) FROM preds))
+""" + ladder_sql([], "sel") + cands_sql([], "sel") + ", pol AS (" + POLICIES.format(p70=pick(0.7), p80=pick(0.8)) + """)
+SELECT policy, round(threshold, 6) AS threshold, true_positives, false_positives, false_negatives, true_negatives, """ + PR + """
+FROM (SELECT policy, threshold,
+             count_if(label = 1 AND score >= threshold) AS true_positives, count_if(label = 0 AND score >= threshold) AS false_positives,
+             count_if(label = 1 AND score < threshold) AS false_negatives, count_if(label = 0 AND score < threshold) AS true_negatives
+      FROM pol JOIN latest ON true GROUP BY 1, 2)"""
+
+
+def eval_sql(by: list[str], t: str, src: str = "preds", name: str = "ev") -> str:
+    """CTE ``{name}``: ranking metrics, Brier and confusion at ``t`` per group."""
+    b = ", ".join(by)
+    on = " AND ".join(f"r.{c} = c.{c}" for c in by) or "true"
+    return ladder_sql(by, src, name + "_l") + f"""
+, {name} AS (
+  SELECT c.*, r.pr_auc, r.roc_auc FROM {name}_l_rank r JOIN (
+    SELECT {b + ', ' if by else ''}avg(pow(score - label, 2)) AS brier_score, {conf_cols(t)}
+    FROM {src} {'GROUP BY ' + b if by else ''}) c ON {on}
+)
+"""
+
+
+EVAL_COLS = ("round(pr_auc, 6) AS pr_auc, round(roc_auc, 6) AS roc_auc, round(brier_score, 6) AS brier_score, "
+             "true_positives, false_positives, false_negatives, true_negatives, " + PR)
+
+POOLED = PREDS + ladder_sql([]) + cands_sql([]) + f", thr AS (SELECT {pick(0.7)} AS t)" + \
+    eval_sql(["fold"], "(SELECT t FROM thr)") + eval_sql([], "(SELECT t FROM thr)", name="evp")
+
+SQL["pooled_metrics"] = POOLED + f"""
+SELECT 'fold_' || CAST(fold AS VARCHAR) AS scope, {EVAL_COLS}, round((SELECT t FROM thr), 6) AS threshold FROM ev
+UNION ALL
+SELECT 'pooled', {EVAL_COLS}, round((SELECT t FROM thr), 6) FROM evp"""
+
+_SUMMARY_PARTS = []
+for _m in ("pr_auc", "roc_auc", "brier_score", "precision", "recall", "false_positives", "false_negatives"):
+    _SUMMARY_PARTS.append(
+        f"SELECT '{_m}' AS metric, round(avg(CAST({_m} AS DOUBLE)), 6) AS mean, round(stddev_pop(CAST({_m} AS DOUBLE)), 6) AS std, "
+        f"round(min(CAST({_m} AS DOUBLE)), 6) AS min, round(max(CAST({_m} AS DOUBLE)), 6) AS max FROM evx")
+SQL["fold_summary"] = POOLED + """
+, evx AS (SELECT *, CASE WHEN true_positives + false_positives > 0 THEN true_positives / (true_positives + false_positives) ELSE 0.0 END AS precision,
+                 CASE WHEN true_positives + false_negatives > 0 THEN true_positives / (true_positives + false_negatives) ELSE 0.0 END AS recall FROM ev)
+""" + "\nUNION ALL\n".join(_SUMMARY_PARTS)
+
+SQL["metrics_by_period"] = PREDS + eval_sql(["period"], "0.5") + f"""
+SELECT s.period, s.rows, s.entities, s.positives, round(s.prevalence, 6) AS prevalence, {EVAL_COLS}
+FROM (SELECT period, count(*) AS rows, count(DISTINCT entity_id) AS entities, CAST(sum(label) AS BIGINT) AS positives,
+             avg(CAST(label AS DOUBLE)) AS prevalence FROM preds GROUP BY 1) s JOIN ev ON ev.period = s.period"""
+
+SQL["subgroup_metrics"] = PREDS + """
+, sp AS (SELECT *, CASE WHEN age IS NULL THEN 'imputed_age' ELSE 'observed_age' END AS subgroup FROM preds)
+""" + eval_sql(["fold", "subgroup"], "0.5", "sp") + f"""
+SELECT s.fold, s.subgroup, s.rows, s.ok AS metrics_available,
+       CASE WHEN s.ok THEN round(pr_auc, 6) END AS pr_auc, CASE WHEN s.ok THEN round(roc_auc, 6) END AS roc_auc,
+       CASE WHEN s.ok THEN round(brier_score, 6) END AS brier_score,
+       CASE WHEN s.ok THEN round(CASE WHEN true_positives + false_positives > 0 THEN true_positives / (true_positives + false_positives) ELSE 0.0 END, 6) END AS precision,
+       CASE WHEN s.ok THEN round(CASE WHEN true_positives + false_negatives > 0 THEN true_positives / (true_positives + false_negatives) ELSE 0.0 END, 6) END AS recall
+FROM (SELECT fold, subgroup, count(*) AS rows, count(DISTINCT label) = 2 AS ok FROM sp GROUP BY 1, 2) s
+LEFT JOIN ev ON ev.fold = s.fold AND ev.subgroup = s.subgroup"""

@@ -399,3 +399,127 @@ def q_chrono_split(spark, sf_dir):
     from .operators.splits import chrono_split
     prep, _, _ = _dev(spark, sf_dir)
     return chrono_split(prep.frame.select(SPEC.entity, SPEC.period), SPEC, 0.85)
+
+
+# --- H: metrics on a deterministic score (exact SQL oracle) ---------------------------------
+
+def _preds(spark, sf_dir, extras=()):
+    from .plans.predictions import fold_predictions, rule_score
+    prep, _, _ = _dev(spark, sf_dir)
+    dev = prep.frame
+    last = dev.agg(F.max(SPEC.period).alias("m")).first()["m"]
+    return fold_predictions(dev, SPEC, RULE.name, rule_score(SPEC), last, TEST_RUN.validation_months, TEST_RUN.fold_count, extras)
+
+
+@query("confusion")
+def q_confusion(spark, sf_dir):
+    from .operators.metrics import confusion
+    return rounded(confusion(_preds(spark, sf_dir), 0.5, by=["fold"]))
+
+
+@query("average_precision")
+def q_average_precision(spark, sf_dir):
+    from .operators.ladder import ranking_metrics, score_ladder
+    return rounded(ranking_metrics(score_ladder(_preds(spark, sf_dir), by=["fold"]), ["fold"]).select("fold", "pr_auc"))
+
+
+@query("roc_auc")
+def q_roc_auc(spark, sf_dir):
+    from .operators.ladder import ranking_metrics, score_ladder
+    return rounded(ranking_metrics(score_ladder(_preds(spark, sf_dir), by=["fold"]), ["fold"]).select("fold", "roc_auc"))
+
+
+@query("brier")
+def q_brier(spark, sf_dir):
+    """H5: Brier per fold and skill vs. the fold's training-prevalence constant."""
+    from .operators.metrics import brier
+    from .operators.splits import fold_audit
+    prep, _, _ = _dev(spark, sf_dir)
+    dev = prep.frame
+    last = dev.agg(F.max(SPEC.period).alias("m")).first()["m"]
+    prev = fold_audit(dev, SPEC, RULE.name, last, TEST_RUN.validation_months, TEST_RUN.fold_count) \
+        .where("role = 'train'").select(F.col("position").alias("fold"), F.col("prevalence").alias("_prev"))
+    p = _preds(spark, sf_dir).join(F.broadcast(prev), "fold")  # k-row table
+    ref = p.groupBy("fold").agg(F.avg(F.pow(F.col("_prev") - F.col("label"), 2)).alias("reference_brier"))
+    out = brier(p, by=["fold"]).select("fold", "brier_score").join(ref, "fold")
+    return rounded(out.withColumn("brier_skill", 1 - F.col("brier_score") / F.col("reference_brier")))
+
+
+@query("calibration_bins")
+def q_calibration_bins(spark, sf_dir):
+    from .operators.metrics import calibration_bins
+    return rounded(calibration_bins(_preds(spark, sf_dir), by=["fold"]))
+
+
+@query("ece")
+def q_ece(spark, sf_dir):
+    from .operators.metrics import ece
+    return rounded(ece(_preds(spark, sf_dir), by=["fold"]))
+
+
+@query("operating_threshold")
+def q_operating_threshold(spark, sf_dir):
+    """H7: pooled threshold for recall >= 0.70 (precision first), F1 fallback."""
+    from .operators.metrics import operating_threshold
+    return rounded(operating_threshold(_preds(spark, sf_dir), 0.70))
+
+
+@query("threshold_policies")
+def q_threshold_policies(spark, sf_dir):
+    from .operators.metrics import threshold_policies
+    return rounded(threshold_policies(_preds(spark, sf_dir)))
+
+
+@query("policy_transfer")
+def q_policy_transfer(spark, sf_dir):
+    from .operators.metrics import policy_transfer
+    return rounded(policy_transfer(_preds(spark, sf_dir)))
+
+
+def _pooled_eval(spark, sf_dir):
+    from .operators.metrics import evaluate, operating_threshold
+    p = _preds(spark, sf_dir)
+    t = operating_threshold(p, 0.70).select("threshold").scalar()
+    per_fold = evaluate(p, t, by=["fold"]).withColumn("threshold", t)
+    return p, t, per_fold
+
+
+@query("pooled_metrics")
+def q_pooled_metrics(spark, sf_dir):
+    """One pooled threshold, metrics per fold plus the pooled row."""
+    from .operators.metrics import evaluate
+    p, t, per_fold = _pooled_eval(spark, sf_dir)
+    pooled = evaluate(p, t).withColumn("threshold", t).withColumn("scope", F.lit("pooled"))
+    per = per_fold.withColumn("scope", F.concat(F.lit("fold_"), F.col("fold").cast("string"))).drop("fold")
+    return rounded(per.unionByName(pooled))
+
+
+@query("fold_summary")
+def q_fold_summary(spark, sf_dir):
+    from .operators.metrics import fold_summary
+    _, _, per_fold = _pooled_eval(spark, sf_dir)
+    return rounded(fold_summary(per_fold))
+
+
+@query("metrics_by_period")
+def q_metrics_by_period(spark, sf_dir):
+    """Rows, entities, positives, prevalence, AP, AUC, Brier and confusion at 0.5 per period."""
+    from .operators.metrics import evaluate
+    p = _preds(spark, sf_dir)
+    stats = p.groupBy(SPEC.period).agg(F.count(F.lit(1)).alias("rows"), F.countDistinct(SPEC.entity).alias("entities"),
+                                       F.sum("label").cast("bigint").alias("positives"), F.avg(F.col("label").cast("double")).alias("prevalence"))
+    return rounded(stats.join(evaluate(p, 0.5, by=[SPEC.period]), SPEC.period))
+
+
+@query("subgroup_metrics")
+def q_subgroup_metrics(spark, sf_dir):
+    """Per fold and age subgroup; metrics only when both classes occur."""
+    from .operators.metrics import evaluate
+    p = _preds(spark, sf_dir, extras=(SPEC.age,)).withColumn(
+        "subgroup", F.when(F.col(SPEC.age).isNull(), "imputed_age").otherwise("observed_age"))
+    by = ["fold", "subgroup"]
+    sizes = p.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"), (F.countDistinct("label") == 2).alias("metrics_available"))
+    m = evaluate(p, 0.5, by=by).select(*by, "pr_auc", "roc_auc", "brier_score", "precision", "recall")
+    out = sizes.join(m, by, "left")
+    gated = [F.when(F.col("metrics_available"), F.col(c)).alias(c) for c in ("pr_auc", "roc_auc", "brier_score", "precision", "recall")]
+    return rounded(out.select(*by, "rows", "metrics_available", *gated))
