@@ -470,3 +470,93 @@ SELECT s.fold, s.subgroup, s.rows, s.ok AS metrics_available,
        CASE WHEN s.ok THEN round(CASE WHEN true_positives + false_negatives > 0 THEN true_positives / (true_positives + false_negatives) ELSE 0.0 END, 6) END AS recall
 FROM (SELECT fold, subgroup, count(*) AS rows, count(DISTINCT label) = 2 AS ok FROM sp GROUP BY 1, 2) s
 LEFT JOIN ev ON ev.fold = s.fold AND ev.subgroup = s.subgroup"""
+
+SQL["label_variants"] = with_(PANEL, history_ctes(), label_cte()) + """
+SELECT entity_id, period, label,
+       CASE WHEN lead(idx) OVER w = idx + 1 AND lead(unplanned_events) OVER w IS NOT NULL AND lead(severe_events) OVER w IS NOT NULL
+            THEN CAST((lead(unplanned_events) OVER w >= 3 OR lead(severe_events) OVER w > 0) AS INTEGER) END AS label_secondary
+FROM lab WINDOW w AS (PARTITION BY entity_id ORDER BY idx)"""
+
+SQL["current_period_label"] = with_(PANEL) + """
+SELECT entity_id, period, CAST((unplanned_events >= 5 OR severe_events > 0) AS INTEGER) AS current_label FROM panel"""
+
+SQL["prevalence_populations"] = with_(PANEL, HOLDOUT) + """
+, safe AS (SELECT * FROM panel WHERE period <= (SELECT h_start FROM bounds))
+""" + "," + history_ctes("safe").strip("\n") + "," + label_cte().strip("\n") + """
+, dev AS (SELECT * FROM lab WHERE period < (SELECT h_start FROM bounds) AND label IS NOT NULL)
+, pops AS (
+  SELECT 'all_eligible' AS population, * FROM dev
+  UNION ALL SELECT 'history_1', * FROM dev WHERE consecutive_history_months >= 1
+  UNION ALL SELECT 'history_4', * FROM dev WHERE consecutive_history_months >= 4
+  UNION ALL SELECT 'history_6', * FROM dev WHERE consecutive_history_months >= 6
+)
+SELECT population, count(*) AS labeled_rows, count_if(label = 1) AS positive_rows, count_if(label = 0) AS negative_rows,
+       round(count_if(label = 1) / count(*), 6) AS prevalence, count(DISTINCT entity_id) AS entities,
+       (SELECT count(*) FROM lab WHERE label IS NULL) AS safe_source_unlabeled_rows
+FROM pops GROUP BY population"""
+
+SQL["label_decomposition"] = with_(PANEL, history_ctes()) + """
+, k AS (
+  SELECT lead(unplanned_events) OVER w >= 5 AS a, lead(severe_events) OVER w > 0 AS b,
+         coalesce(lead(idx) OVER w = idx + 1, false) AND lead(unplanned_events) OVER w IS NOT NULL
+           AND lead(severe_events) OVER w IS NOT NULL AS known
+  FROM hist WHERE eligible_for_modeling WINDOW w AS (PARTITION BY entity_id ORDER BY idx)
+)
+SELECT count(*) AS labeled_rows, count_if(a) AS unplanned_clause, count_if(b) AS severe_clause, count_if(a AND b) AS both_clauses,
+       count_if(b AND NOT a) AS severe_only_extra, count_if(a OR b) AS positive_rows
+FROM k WHERE known"""
+
+SQL["source_profile"] = with_(PANEL, EXPORT) + """
+SELECT "Equipment Type" AS equipment_type, count(*) AS type_rows,
+       (SELECT count(*) FROM export) AS rows, 22 AS columns,
+       (SELECT min(strptime("Month", '%m/%d/%Y'))::DATE FROM export) AS first_month,
+       (SELECT max(strptime("Month", '%m/%d/%Y'))::DATE FROM export) AS last_month,
+       (SELECT count(DISTINCT "Equipment Code") FROM export) AS entities,
+       (SELECT CAST(coalesce(sum(n - 1), 0) AS BIGINT) FROM (SELECT count(*) AS n FROM export GROUP BY "Equipment Code", "Month") WHERE n > 1) AS duplicate_keys
+FROM export GROUP BY 1"""
+
+_CANON_SELECT = SQL["canonicalize"].split("SELECT \"Month\", \"Borough\"", 1)
+_CANON_BODY = "SELECT \"Month\", \"Borough\"" + _CANON_SELECT[1]
+SQL["snapshot_diff"] = _CANON_SELECT[0] + """
+, regen AS (""" + _CANON_BODY + """)
+, snap AS (""" + _CANON_BODY.replace("DATE '1996-01-01'", "DATE '1997-01-01'") + """)
+SELECT (SELECT count(*) FROM (SELECT * FROM regen EXCEPT ALL SELECT * FROM snap)) AS left_only,
+       (SELECT count(*) FROM (SELECT * FROM snap EXCEPT ALL SELECT * FROM regen)) AS right_only"""
+
+SCORED = with_(PANEL, history_ctes(), label_cte(), features_cte(), HOLDOUT) + """
+, scored AS (SELECT *, least(1.0, unplanned_events_roll_3_mean / 10.0) AS probability FROM feat WHERE consecutive_history_months >= 6)
+, latest AS (SELECT *, CAST(period + INTERVAL 1 MONTH AS DATE) AS target_period FROM scored
+             WHERE period = (SELECT max(period) FROM scored) AND label IS NULL)
+"""
+
+TIER = "CASE WHEN probability >= 0.4433219097353501 THEN 'high' WHEN probability >= 0.3 THEN 'medium' ELSE 'low' END"
+
+SQL["prediction_table"] = SCORED + """
+SELECT entity_id, period, round(probability, 6) AS probability, CAST(probability >= 0.4433219097353501 AS INTEGER) AS predicted,
+       label AS actual
+FROM scored WHERE label IS NOT NULL AND period BETWEEN (SELECT h_start FROM bounds) AND (SELECT h_end FROM bounds)"""
+
+SQL["latest_unlabeled"] = SCORED + "SELECT entity_id, period, target_period, round(probability, 6) AS probability FROM latest"
+
+SQL["risk_tiers"] = SCORED + f"SELECT entity_id, round(probability, 6) AS probability, {TIER} AS risk_tier FROM latest"
+SQL["ranked_batch"] = SQL["risk_tiers"] + " ORDER BY probability DESC, entity_id"
+
+SQL["tier_counts"] = SCORED + f"""
+SELECT t.risk_tier, count(l.entity_id) AS rows
+FROM (VALUES ('high'), ('medium'), ('low')) AS t(risk_tier) LEFT JOIN (SELECT *, {TIER} AS tier FROM latest) l ON l.tier = t.risk_tier
+GROUP BY 1"""
+
+SQL["scored_batch"] = SCORED + f"""
+SELECT entity_id, period, target_period, round(probability, 6) AS probability, {TIER} AS risk_tier,
+       CAST(probability >= 0.4433219097353501 AS INTEGER) AS predicted, 'rule_unplanned_r3' AS model_name,
+       round(CAST(0.4433219097353501 AS DOUBLE), 6) AS threshold, round(avail_all_day, 6) AS avail_all_day
+FROM latest"""
+
+SQL["run_summary"] = SCORED + """
+, h AS (SELECT * FROM scored WHERE label IS NOT NULL AND period BETWEEN (SELECT h_start FROM bounds) AND (SELECT h_end FROM bounds))
+SELECT period, count(*) AS rows, count(DISTINCT entity_id) AS entities, CAST(sum(label) AS BIGINT) AS positives,
+       round(avg(CAST(label AS DOUBLE)), 6) AS prevalence, count(DISTINCT period) AS periods, 'period' AS scope
+FROM h GROUP BY period
+UNION ALL
+SELECT NULL, count(*), count(DISTINCT entity_id), CAST(sum(label) AS BIGINT), round(avg(CAST(label AS DOUBLE)), 6),
+       count(DISTINCT period), 'all' FROM h"""

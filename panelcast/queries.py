@@ -523,3 +523,162 @@ def q_subgroup_metrics(spark, sf_dir):
     out = sizes.join(m, by, "left")
     gated = [F.when(F.col("metrics_available"), F.col(c)).alias(c) for c in ("pr_auc", "roc_auc", "brier_score", "precision", "recall")]
     return rounded(out.select(*by, "rows", "metrics_available", *gated))
+
+
+# --- D: remaining label operators ------------------------------------------------------------
+
+SECOND = LabelRule(unplanned_threshold=3, severe_threshold=0, name="label_secondary")
+
+
+@query("label_variants")
+def q_label_variants(spark, sf_dir):
+    from .operators.labels import add_label_variants
+    from .plans.cohort import flag_and_label
+    df = add_label_variants(flag_and_label(_panel(spark, sf_dir), SPEC, RULE, TEST_RUN.excluded_suffixes).drop(RULE.name), SPEC, RULE, SECOND)
+    return df.select(SPEC.entity, SPEC.period, RULE.name, SECOND.name)
+
+
+@query("current_period_label")
+def q_current_period_label(spark, sf_dir):
+    from .operators.labels import current_period_label
+    return _panel(spark, sf_dir).select(SPEC.entity, SPEC.period, current_period_label(SPEC, RULE).alias("current_label"))
+
+
+@query("prevalence_populations")
+def q_prevalence_populations(spark, sf_dir):
+    """Nested populations on a source truncated at the holdout start (no holdout label can exist)."""
+    from .operators.splits import holdout_window
+    panel = _panel(spark, sf_dir)
+    start, _ = holdout_window(panel, SPEC, 3)
+    safe = panel.where(F.col(SPEC.period) <= start)
+    lab = flag_and_label(safe, SPEC, RULE, TEST_RUN.excluded_suffixes)
+    dev = lab.where((F.col(SPEC.period) < start) & F.col(RULE.name).isNotNull())
+    h = F.col("consecutive_history_months")
+    pops = [("all_eligible", F.lit(True)), ("history_1", h >= 1), ("history_4", h >= 4), ("history_6", h >= 6)]
+    aggs = []
+    for name, cond in pops:
+        aggs += [F.count_if(cond).alias(f"{name}__n"), F.count_if(cond & (F.col(RULE.name) == 1)).alias(f"{name}__p"),
+                 F.countDistinct(F.when(cond, F.col(SPEC.entity))).alias(f"{name}__e")]
+    wide = dev.agg(*aggs, F.count_if(F.col(RULE.name).isNull()).alias("_u"))
+    rows = [F.struct(F.lit(n).alias("population"), F.col(f"{n}__n").alias("labeled_rows"), F.col(f"{n}__p").alias("positive_rows"),
+                     (F.col(f"{n}__n") - F.col(f"{n}__p")).alias("negative_rows"),
+                     (F.col(f"{n}__p") / F.col(f"{n}__n")).alias("prevalence"), F.col(f"{n}__e").alias("entities")) for n, _ in pops]
+    unlabeled = lab.where(F.col(RULE.name).isNull()).select(F.count(F.lit(1))).scalar()
+    return rounded(wide.select(F.inline(F.array(*rows))).withColumn("safe_source_unlabeled_rows", unlabeled))
+
+
+@query("label_decomposition")
+def q_label_decomposition(spark, sf_dir):
+    from .operators.labels import label_decomposition
+    from .plans.cohort import flag_and_label
+    from .operators.history import add_consecutive_history, add_eligibility_flags
+    flagged = add_consecutive_history(add_eligibility_flags(_panel(spark, sf_dir), SPEC, TEST_RUN.excluded_suffixes), SPEC)
+    return label_decomposition(flagged.where("eligible_for_modeling"), SPEC, RULE)
+
+
+# --- A: source profile, fingerprint, snapshot diff ----------------------------------------
+
+@query("source_profile")
+def q_source_profile(spark, sf_dir):
+    """A5 on the raw export: rows, columns, month range, entities, duplicate keys, rows per type."""
+    from .operators.canonical import parse_period
+    src = _export(spark, sf_dir)
+    per_type = src.groupBy(F.col("`Equipment Type`").alias("equipment_type")).agg(F.count(F.lit(1)).alias("type_rows"))
+    dup = src.groupBy("`Equipment Code`", "Month").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1") \
+        .select(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).cast("bigint")).scalar()
+    stats = src.agg(F.count(F.lit(1)).alias("rows"), F.min(parse_period("Month")).alias("first_month"),
+                    F.max(parse_period("Month")).alias("last_month"), F.countDistinct("`Equipment Code`").alias("entities"))
+    return per_type.withColumns({
+        "rows": stats.select("rows").scalar(), "columns": F.lit(len(src.columns)),
+        "first_month": stats.select("first_month").scalar(), "last_month": stats.select("last_month").scalar(),
+        "entities": stats.select("entities").scalar(), "duplicate_keys": dup})
+
+
+@query("table_fingerprint")
+def q_table_fingerprint(spark, sf_dir):
+    """Order-insensitive content fingerprint of each input table (row count + hash sum)."""
+    from .sources.tables import read_table
+    from .functions.fingerprint import table_fingerprint
+    parts = [table_fingerprint(read_table(spark, sf_dir, t)).withColumn("table", F.lit(t)) for t in ("lineitem", "orders", "events")]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@query("snapshot_diff")
+def q_snapshot_diff(spark, sf_dir):
+    """Canonical snapshot vs. a regeneration from the export; rows only on either side."""
+    from .operators.canonical import canonicalize
+    from .functions.fingerprint import snapshot_diff
+    regenerated = canonicalize(_export(spark, sf_dir), start_month="1996-01-01", equipment_type="Elevator")
+    snapshot = canonicalize(_export(spark, sf_dir), start_month="1997-01-01", equipment_type="Elevator")
+    return snapshot_diff(regenerated, snapshot)
+
+
+# --- J: scoring outputs -----------------------------------------------------------------------
+
+def _scored(spark, sf_dir):
+    """History>=6 panel rows with the rule score (labels may be null)."""
+    from .plans.cohort import prepare_cohort
+    from .plans.predictions import rule_score
+    prep = prepare_cohort(_panel(spark, sf_dir), TEST_RUN)
+    return prep.frame.withColumn("probability", rule_score(SPEC))
+
+
+@query("prediction_table")
+def q_prediction_table(spark, sf_dir):
+    """Holdout rows: entity, period, probability, thresholded prediction (>=), actual."""
+    from .operators.scoring import prediction_table
+    from .operators.splits import holdout_window
+    start, end = holdout_window(_panel(spark, sf_dir), SPEC, 3)
+    df = _scored(spark, sf_dir).where(F.col(SPEC.period).between(start, end) & F.col(RULE.name).isNotNull())
+    return rounded(prediction_table(df, SPEC, "probability", RULE.name, 0.4433219097353501))
+
+
+@query("latest_unlabeled")
+def q_latest_unlabeled(spark, sf_dir):
+    """The latest period's unlabeled eligible rows and the period they predict."""
+    from .operators.scoring import latest_unlabeled
+    return rounded(latest_unlabeled(_scored(spark, sf_dir), SPEC, RULE.name).select(SPEC.entity, SPEC.period, "target_period", "probability"))
+
+
+@query("risk_tiers")
+def q_risk_tiers(spark, sf_dir):
+    from .operators.scoring import latest_unlabeled, risk_tier
+    df = latest_unlabeled(_scored(spark, sf_dir), SPEC, RULE.name)
+    return rounded(df.select(SPEC.entity, "probability", risk_tier(F.col("probability")).alias("risk_tier")))
+
+
+@query("tier_counts")
+def q_tier_counts(spark, sf_dir):
+    from .operators.scoring import latest_unlabeled, tier_counts
+    return tier_counts(latest_unlabeled(_scored(spark, sf_dir), SPEC, RULE.name), "probability")
+
+
+@query("scored_batch")
+def q_scored_batch(spark, sf_dir):
+    """Batch rows with constant metadata and optional context columns present in the source."""
+    from .operators.scoring import latest_unlabeled, scored_batch
+    df = latest_unlabeled(_scored(spark, sf_dir), SPEC, RULE.name)
+    return rounded(scored_batch(df, SPEC, "probability", model_name="rule_unplanned_r3", threshold=0.4433219097353501,
+                                context=("avail_all_day", "not_a_column")))
+
+
+@query("ranked_batch")
+def q_ranked_batch(spark, sf_dir):
+    """Probability descending, entity ascending (distributed range sort)."""
+    from .operators.scoring import latest_unlabeled, risk_tier
+    df = latest_unlabeled(_scored(spark, sf_dir), SPEC, RULE.name)
+    return rounded(df.select(SPEC.entity, "probability", risk_tier(F.col("probability")).alias("risk_tier"))
+                   .orderBy(F.col("probability").desc(), F.col(SPEC.entity)))
+
+
+@query("run_summary")
+def q_run_summary(spark, sf_dir):
+    """Rows, entities, periods, positives, prevalence overall and per period (grouping sets)."""
+    from .operators.scoring import run_summary
+    from .operators.splits import holdout_window
+    start, end = holdout_window(_panel(spark, sf_dir), SPEC, 3)
+    df = _scored(spark, sf_dir).where(F.col(SPEC.period).between(start, end) & F.col(RULE.name).isNotNull())
+    return rounded(run_summary(df, SPEC, RULE.name))
