@@ -560,3 +560,61 @@ FROM h GROUP BY period
 UNION ALL
 SELECT NULL, count(*), count(DISTINCT entity_id), CAST(sum(label) AS BIGINT), round(avg(CAST(label AS DOUBLE)), 6),
        count(DISTINCT period), 'all' FROM h"""
+
+FEATS42 = [*OPS] + [f"{c}_lag_{k}" for c in OPS for k in (1, 2, 3)]
+FEATS42 = [*OPS] + [x for c in OPS for x in ([f"{c}_lag_{k}" for k in (1, 2, 3)] + [f"{c}_roll_{w}_mean" for w in (3, 6)])]
+LAST_TRAIN = FOLD_ROWS + ", tr AS (SELECT * FROM a WHERE first_train_fold <= 4)\n"
+
+SQL["median_impute"] = LAST_TRAIN + "\nUNION ALL\n".join(
+    f"SELECT '{c}' AS feature, round(median(CAST({c} AS DOUBLE)), 6) AS median FROM tr" for c in FEATS42)
+
+
+def _robust(c: str, src: str = "tr", fold: str | None = None) -> str:
+    imp = f"coalesce(CAST({c} AS DOUBLE), (SELECT median(CAST({c} AS DOUBLE)) FROM {src}))"
+    f = f"{fold} AS fold, " if fold else ""
+    return (f"SELECT {f}'{c}' AS feature, round(q[2], 6) AS center, round(CASE WHEN q[3] - q[1] <> 0 THEN q[3] - q[1] ELSE 1.0 END, 6) AS scale "
+            f"FROM (SELECT quantile_cont({imp}, [0.25, 0.5, 0.75]) AS q FROM {src})")
+
+
+SQL["robust_scale"] = LAST_TRAIN + "\nUNION ALL\n".join(_robust(c) for c in FEATS42)
+
+
+def _audit(c: str, p: int) -> str:
+    src = f"tr{p}"
+    imp = f"coalesce(CAST({c} AS DOUBLE), (SELECT median(CAST({c} AS DOUBLE)) FROM {src}))"
+    return (f"SELECT {p} AS fold, '{c}' AS feature, round((SELECT median(CAST({c} AS DOUBLE)) FROM {src}), 6) AS median, "
+            f"round(q[2], 6) AS center, round(CASE WHEN q[3] - q[1] <> 0 THEN q[3] - q[1] ELSE 1.0 END, 6) AS scale, "
+            f"(SELECT count(*) FROM {src}) AS fit_rows, (SELECT min(period) FROM {src}) AS fit_start, (SELECT max(period) FROM {src}) AS fit_end "
+            f"FROM (SELECT quantile_cont({imp}, [0.25, 0.5, 0.75]) AS q FROM {src})")
+
+
+SQL["prep_audit"] = FOLD_ROWS + "".join(f", tr{p} AS (SELECT * FROM a WHERE first_train_fold <= {p})\n" for p in range(1, 5)) + \
+    "\nUNION ALL\n".join(_audit(c, p) for p in range(1, 5) for c in FEATS42)
+
+SQL["class_weights"] = FOLD_ROWS + """
+SELECT f.p AS fold, count(*) AS rows, CAST(sum(d.label) AS BIGINT) AS positives,
+       round(count(*) / (2.0 * (count(*) - sum(d.label))), 6) AS weight_negative, round(count(*) / (2.0 * sum(d.label)), 6) AS weight_positive
+FROM range(1, 5) AS f(p) JOIN a d ON d.first_train_fold <= f.p GROUP BY 1"""
+
+SQL["onehot"] = FOLD_ROWS + """
+, tr AS (SELECT * FROM a WHERE first_train_fold <= 4)
+, fill AS (SELECT month(period) AS m FROM tr GROUP BY 1 ORDER BY count(*) DESC, m ASC LIMIT 1)
+SELECT entity_id, period, """ + ", ".join(
+    f"CAST(coalesce(month(period), (SELECT m FROM fill)) = {m} AS INTEGER) AS month_of_year_{m}" for m in range(1, 13)) + \
+    " FROM a WHERE validation_fold = 4"
+
+SQL["baseline_scores"] = FOLD_ROWS + """
+, prev AS (SELECT f.p AS fold, CAST(sum(d.label) AS BIGINT) / count(*) AS cp FROM range(1, 5) AS f(p) JOIN a d ON d.first_train_fold <= f.p GROUP BY 1)
+, v AS (SELECT validation_fold AS fold, entity_id, period, label, unplanned_events, severe_events FROM a WHERE validation_fold IS NOT NULL)
+SELECT v.fold, entity_id, period, label, 'constant_prevalence' AS baseline, round(cp, 6) AS score FROM v JOIN prev ON prev.fold = v.fold
+UNION ALL SELECT fold, entity_id, period, label, 'previous_period_failure', CAST((unplanned_events >= 5 OR severe_events > 0) AS DOUBLE) FROM v
+UNION ALL SELECT fold, entity_id, period, label, 'simple_outage_rule', CAST(unplanned_events >= 1 AS DOUBLE) FROM v"""
+
+_SEQ_STEPS = SQL["sequence_windows"]
+SQL["sequence_scale"] = "WITH st AS (" + _SEQ_STEPS.replace("round(l.avail_peak_am, 6)", "l.avail_peak_am").replace(
+    "round(l.avail_peak_pm, 6)", "l.avail_peak_pm").replace("round(l.avail_all_day, 6)", "l.avail_all_day") + ")\n" + "\nUNION ALL\n".join(
+    f"SELECT '{c}' AS channel, round((SELECT median({c}) FROM st), 6) AS median, round(q[2], 6) AS center, "
+    f"round(CASE WHEN q[3] - q[1] <> 0 THEN q[3] - q[1] ELSE 1.0 END, 6) AS scale "
+    f"FROM (SELECT quantile_cont(coalesce({c}, (SELECT median({c}) FROM st)), [0.25, 0.5, 0.75]) AS q FROM st)" for c in OPS)
+
+SQL["matched_cohort"] = DEV_CTES + "SELECT entity_id, period, label FROM dev WHERE consecutive_history_months >= 12"

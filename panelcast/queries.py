@@ -682,3 +682,120 @@ def q_run_summary(spark, sf_dir):
     start, end = holdout_window(_panel(spark, sf_dir), SPEC, 3)
     df = _scored(spark, sf_dir).where(F.col(SPEC.period).between(start, end) & F.col(RULE.name).isNotNull())
     return rounded(run_summary(df, SPEC, RULE.name))
+
+
+# --- G: preparation statistics (exact SQL oracle) ----------------------------------------------
+
+def _dev_folds(spark, sf_dir, fs=None):
+    from .operators.splits import rolling_folds
+    prep, _, _ = _dev(spark, sf_dir, fs)
+    dev = prep.frame.persist()
+    return prep, dev, rolling_folds(dev, SPEC, TEST_RUN.validation_months, TEST_RUN.fold_count, check=False)
+
+
+@query("median_impute")
+def q_median_impute(spark, sf_dir):
+    """G1: exact midpoint medians of every feature on the last fold's training rows."""
+    from .operators.prep import fit_medians
+    prep, dev, folds = _dev_folds(spark, sf_dir)
+    med = fit_medians(folds[-1].train, prep.features)
+    return rounded(spark.createDataFrame([(k, v) for k, v in med.items()], "feature string, median double"))
+
+
+@query("robust_scale")
+def q_robust_scale(spark, sf_dir):
+    """Center and IQR scale (0 -> 1) after median imputation, last fold's training rows."""
+    from .operators.prep import fit_stats, stats_table
+    prep, dev, folds = _dev_folds(spark, sf_dir)
+    st = fit_stats(folds[-1].train, prep.features)
+    return rounded(stats_table(spark, st).drop("median"))
+
+
+@query("prep_audit")
+def q_prep_audit(spark, sf_dir):
+    """Per fold: fit rows, date bounds and the statistics of each feature."""
+    from .operators.prep import fit_stats, stats_table
+    prep, dev, folds = _dev_folds(spark, sf_dir)
+    parts = []
+    for f in folds:
+        st = fit_stats(f.train, prep.features)
+        b = f.train.agg(F.count(F.lit(1)).alias("n"), F.min(SPEC.period).alias("a"), F.max(SPEC.period).alias("z")).first()
+        parts.append(stats_table(spark, st, fold=f.position, fit_rows=b["n"]).withColumns(
+            {"fit_start": F.lit(b["a"]), "fit_end": F.lit(b["z"])}))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return rounded(out)
+
+
+@query("class_weights")
+def q_class_weights(spark, sf_dir):
+    """Balanced weights n / (2 n_c) per fold from the fold's training rows (nested-fold running sums)."""
+    from .operators.splits import fold_audit
+    prep, _, _ = _dev(spark, sf_dir)
+    dev = prep.frame
+    last = dev.agg(F.max(SPEC.period).alias("m")).first()["m"]
+    tr = fold_audit(dev, SPEC, RULE.name, last, TEST_RUN.validation_months, TEST_RUN.fold_count).where("role = 'train'")
+    n, p = F.col("rows"), F.col("positives")
+    return rounded(tr.select(F.col("position").alias("fold"), n, p, (n / (2.0 * (n - p))).alias("weight_negative"),
+                             (n / (2.0 * p)).alias("weight_positive")))
+
+
+@query("onehot")
+def q_onehot(spark, sf_dir):
+    """Month of year one-hot from the last fold's training categories, mode-imputed, on its validation rows."""
+    from dataclasses import replace
+    from .operators.features import build_features
+    from .operators.prep import fit_categories, fit_mode, one_hot
+    from .operators.splits import rolling_folds
+    prep, _, _ = _dev(spark, sf_dir, replace(FEATURE_SETS["full_history"], include_season=True))
+    folds = rolling_folds(prep.frame, SPEC, TEST_RUN.validation_months, TEST_RUN.fold_count, check=False)
+    tr, va = folds[-1].train, folds[-1].validation
+    cats, fill = fit_categories(tr, "month_of_year"), fit_mode(tr, "month_of_year")
+    return va.select(SPEC.entity, SPEC.period, *[e.alias(n) for n, e in one_hot("month_of_year", cats, fill).items()])
+
+
+@query("baseline_scores")
+def q_baseline_scores(spark, sf_dir):
+    """Constant training prevalence, same-period rule, any unplanned event; per validation row."""
+    from .plans.predictions import fold_predictions
+    from .operators.labels import current_period_label
+    from .operators.splits import fold_audit
+    prep, _, _ = _dev(spark, sf_dir)
+    dev = prep.frame
+    last = dev.agg(F.max(SPEC.period).alias("m")).first()["m"]
+    prev = fold_audit(dev, SPEC, RULE.name, last, TEST_RUN.validation_months, TEST_RUN.fold_count) \
+        .where("role = 'train'").select(F.col("position").alias("fold"), F.col("prevalence").alias("constant_prevalence"))
+    p = fold_predictions(dev, SPEC, RULE.name, F.lit(0.0), last, TEST_RUN.validation_months, TEST_RUN.fold_count,
+                         extras=(SPEC.unplanned, SPEC.severe)).join(F.broadcast(prev), "fold")  # k-row table
+    wide = p.select("fold", SPEC.entity, SPEC.period, "label", "constant_prevalence",
+                    current_period_label(SPEC, RULE).cast("double").alias("previous_period_failure"),
+                    (F.col(SPEC.unplanned) >= 1).cast("double").alias("simple_outage_rule"))
+    names = ["constant_prevalence", "previous_period_failure", "simple_outage_rule"]
+    return rounded(wide.select("fold", SPEC.entity, SPEC.period, "label",
+                               F.inline(F.array(*[F.struct(F.lit(n).alias("baseline"), F.col(n).alias("score")) for n in names]))))
+
+
+@query("sequence_scale")
+def q_sequence_scale(spark, sf_dir):
+    """Per-channel median and robust scale over all steps of the development sequences."""
+    from .operators.features import build_sequences
+    from .operators.splits import holdout_window
+    from .spec import feature_prefix
+    start, _ = holdout_window(_panel(spark, sf_dir), SPEC, 3)
+    seq = build_sequences(_labeled(spark, sf_dir), SPEC, SEQ_LEN, RULE.name).where(F.col("end_period") < start)
+    steps = seq.select(F.explode("steps").alias("s")).select("s.*")
+    chans = [feature_prefix(c) for c in SPEC.operational]
+    med = steps.agg(*[F.median(c).alias(c) for c in chans]).first().asDict()
+    q = steps.agg(*[F.percentile(F.coalesce(F.col(c), F.lit(med[c])), [0.25, 0.5, 0.75]).alias(c) for c in chans]).first().asDict()
+    rows = [(c, med[c], q[c][1], (q[c][2] - q[c][0]) or 1.0) for c in chans]
+    return rounded(spark.createDataFrame(rows, "channel string, median double, center double, scale double"))
+
+
+@query("matched_cohort")
+def q_matched_cohort(spark, sf_dir):
+    """Tabular development rows restricted to the keys of 12-step sequence endpoints (left semi join)."""
+    from .operators.features import build_sequences
+    prep, _, _ = _dev(spark, sf_dir)
+    ends = build_sequences(_labeled(spark, sf_dir), SPEC, 12, RULE.name).select(SPEC.entity, F.col("end_period").alias(SPEC.period))
+    return prep.frame.join(ends, [SPEC.entity, SPEC.period], "left_semi").select(SPEC.entity, SPEC.period, RULE.name)
