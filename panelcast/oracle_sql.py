@@ -618,3 +618,100 @@ SQL["sequence_scale"] = "WITH st AS (" + _SEQ_STEPS.replace("round(l.avail_peak_
     f"FROM (SELECT quantile_cont(coalesce({c}, (SELECT median({c}) FROM st)), [0.25, 0.5, 0.75]) AS q FROM st)" for c in OPS)
 
 SQL["matched_cohort"] = DEV_CTES + "SELECT entity_id, period, label FROM dev WHERE consecutive_history_months >= 12"
+
+ZOO = FOLD_ROWS + """
+, v AS (SELECT validation_fold AS fold, entity_id, period, label, unplanned_events_roll_3_mean AS u3, unplanned_events_roll_6_mean AS u6,
+               total_events_roll_3_mean AS t3, unplanned_events, severe_events FROM a WHERE validation_fold IS NOT NULL)
+, zp AS (
+  SELECT 'rule_unplanned_r3' AS model, fold, entity_id, period, label, least(1.0, u3 / 10.0) AS score FROM v
+  UNION ALL SELECT 'rule_unplanned_r6', fold, entity_id, period, label, least(1.0, u6 / 10.0) FROM v
+  UNION ALL SELECT 'rule_total_r3', fold, entity_id, period, label, least(1.0, t3 / 20.0) FROM v
+  UNION ALL SELECT 'previous_period_failure', fold, entity_id, period, label, CAST((unplanned_events >= 5 OR severe_events > 0) AS DOUBLE) FROM v
+  UNION ALL SELECT 'simple_outage_rule', fold, entity_id, period, label, CAST(unplanned_events >= 1 AS DOUBLE) FROM v
+)
+""" + eval_sql(["model", "fold"], "0.5", "zp") + """
+, mt AS (SELECT *, CASE WHEN true_positives + false_positives > 0 THEN true_positives / (true_positives + false_positives) ELSE 0.0 END AS precision,
+                CASE WHEN true_positives + false_negatives > 0 THEN true_positives / (true_positives + false_negatives) ELSE 0.0 END AS recall FROM ev)
+, summ AS (
+  SELECT model, avg(CASE WHEN fold < 4 THEN pr_auc END) AS selection_mean_pr_auc, avg(pr_auc) AS all_fold_mean_pr_auc,
+         stddev_pop(pr_auc) AS all_fold_std_pr_auc, min(pr_auc) AS worst_fold_pr_auc,
+         max(CASE WHEN fold = 4 THEN pr_auc END) AS latest_fold_pr_auc, max(CASE WHEN fold = 4 THEN precision END) AS latest_precision,
+         max(CASE WHEN fold = 4 THEN recall END) AS latest_recall, max(CASE WHEN fold = 4 THEN false_positives END) AS latest_false_positives,
+         max(CASE WHEN fold = 4 THEN false_negatives END) AS latest_false_negatives
+  FROM mt GROUP BY model
+)
+, weak AS (SELECT fold, avg(pr_auc) AS m FROM mt WHERE model NOT IN ('previous_period_failure', 'simple_outage_rule') GROUP BY fold ORDER BY m LIMIT 1)
+"""
+
+SQL["weak_fold"] = ZOO + "SELECT fold AS weak_fold, round(m, 6) AS mean_pr_auc FROM weak"
+
+SQL["model_comparison"] = ZOO + """
+SELECT model, round(selection_mean_pr_auc, 6) AS selection_mean_pr_auc, round(all_fold_mean_pr_auc, 6) AS all_fold_mean_pr_auc,
+       round(all_fold_std_pr_auc, 6) AS all_fold_std_pr_auc, round(worst_fold_pr_auc, 6) AS worst_fold_pr_auc,
+       round(latest_fold_pr_auc, 6) AS latest_fold_pr_auc, round(latest_precision, 6) AS latest_precision,
+       round(latest_recall, 6) AS latest_recall, latest_false_positives, latest_false_negatives FROM summ"""
+
+SQL["candidate_ranking"] = ZOO + """
+SELECT model, round(selection_mean_pr_auc, 6) AS selection_mean_pr_auc, round(all_fold_std_pr_auc, 6) AS all_fold_std_pr_auc,
+       CAST(row_number() OVER (ORDER BY selection_mean_pr_auc DESC, all_fold_std_pr_auc ASC, model) AS INTEGER) AS rank,
+       selection_mean_pr_auc >= (SELECT max(selection_mean_pr_auc) FROM summ) - 0.01 AS within_materiality
+FROM summ"""
+
+SQL["replace_rule"] = ZOO + """
+SELECT 'rule_unplanned_r3' AS incumbent, 'rule_unplanned_r6' AS challenger, round(c.selection_mean_pr_auc - i.selection_mean_pr_auc, 6) AS selection_gain,
+       (c.selection_mean_pr_auc - i.selection_mean_pr_auc >= 0.01)
+         OR (c.latest_false_negatives < i.latest_false_negatives AND c.latest_false_positives <= i.latest_false_positives) AS replace
+FROM summ i JOIN summ c ON i.model = 'rule_unplanned_r3' AND c.model = 'rule_unplanned_r6'"""
+
+SQL["readiness_gate"] = ZOO + """
+SELECT round(b, 6) AS best_baseline_pr_auc, round(w, 6) AS weakest_model_pr_auc, round(wf, 6) AS worst_model_fold_pr_auc,
+       w > b AND wf >= 0.45 AS ready
+FROM (SELECT max(CASE WHEN model IN ('previous_period_failure', 'simple_outage_rule') THEN selection_mean_pr_auc END) AS b,
+             min(CASE WHEN model NOT IN ('previous_period_failure', 'simple_outage_rule') THEN selection_mean_pr_auc END) AS w,
+             min(CASE WHEN model NOT IN ('previous_period_failure', 'simple_outage_rule') THEN worst_fold_pr_auc END) AS wf FROM summ)"""
+
+SQL["cohort_profile"] = ZOO + """
+, fp AS (SELECT entity_id, min(period) AS first FROM dev GROUP BY 1)
+SELECT CASE WHEN validation_fold = (SELECT fold FROM weak) THEN 'weak_fold' ELSE 'other_folds' END AS cohort,
+       count(*) AS rows, count(DISTINCT a.entity_id) AS entities, round(avg(CAST(label AS DOUBLE)), 6) AS prevalence,
+       count_if(period = fp.first) AS new_entity_rows, """ + ", ".join(
+    f"round(avg(CAST({c} IS NULL AS DOUBLE)), 6) AS null_share_{c}" for c in OPS) + """
+FROM a JOIN fp ON fp.entity_id = a.entity_id WHERE validation_fold IS NOT NULL GROUP BY 1"""
+
+SQL["feature_drift"] = ZOO + """
+, va AS (SELECT *, validation_fold = (SELECT fold FROM weak) AS w FROM a WHERE validation_fold IS NOT NULL)
+, d AS (""" + "\nUNION ALL\n".join(
+    f"SELECT '{c}' AS feature, avg(CASE WHEN w THEN CAST({c} AS DOUBLE) END) AS wm, avg(CASE WHEN NOT w THEN CAST({c} AS DOUBLE) END) AS om, "
+    f"stddev_pop(CAST({c} AS DOUBLE)) AS s FROM va" for c in FEATS42) + """)
+SELECT feature, round(wm, 6) AS weak_fold_mean, round(om, 6) AS other_folds_mean, round(smd, 6) AS standardized_mean_difference
+FROM (SELECT *, CASE WHEN s = 0 THEN 0.0 ELSE (wm - om) / s END AS smd FROM d)
+ORDER BY abs(smd) DESC, feature LIMIT 15"""
+
+WEAK_ERR = ZOO + """
+, sel AS (SELECT * FROM zp WHERE model = 'rule_unplanned_r3' AND fold < 4)
+""" + ladder_sql([], "sel") + cands_sql([], "sel") + f"""
+, thr AS (SELECT {pick(0.7)} AS t)
+, werr AS (SELECT *, CAST(CAST(score >= (SELECT t FROM thr) AS INTEGER) <> label AS INTEGER) AS error
+           FROM zp WHERE model = 'rule_unplanned_r3' AND fold = (SELECT fold FROM weak))
+"""
+
+SQL["error_top_entities"] = WEAK_ERR + """
+, top AS (SELECT entity_id, CAST(sum(error) AS BIGINT) AS errors FROM werr GROUP BY 1 ORDER BY errors DESC, entity_id LIMIT 10)
+SELECT entity_id, errors, round((SELECT sum(errors) FROM top) / greatest((SELECT sum(error) FROM werr), 1), 6) AS top_10_share FROM top"""
+
+SQL["error_by_period"] = WEAK_ERR + "SELECT period, CAST(sum(error) AS BIGINT) AS errors, count(*) AS rows FROM werr GROUP BY 1"
+
+_PAIRS = [(x, y) for i, x in enumerate(FEATS42) for y in FEATS42[i + 1:]]
+SQL["high_correlation"] = LAST_TRAIN + ", pc AS (" + "\nUNION ALL\n".join(
+    f"SELECT '{x}' AS feature_a, '{y}' AS feature_b, abs(corr(CAST({x} AS DOUBLE), CAST({y} AS DOUBLE))) AS r FROM tr" for x, y in _PAIRS) + \
+    ")\nSELECT feature_a, feature_b, round(r, 6) AS absolute_correlation FROM pc WHERE r >= 0.95"
+
+SQL["stage_comparison"] = ZOO.replace("WITH ", "WITH sc_unused AS (SELECT 1), ", 1) + """
+, hs AS (SELECT entity_id, period, label, least(1.0, unplanned_events_roll_3_mean / 10.0) AS score FROM feat
+         WHERE label IS NOT NULL AND consecutive_history_months >= 6 AND period BETWEEN (SELECT h_start FROM bounds) AND (SELECT h_end FROM bounds))
+, st AS (SELECT 'development' AS stage, entity_id, period, label, score FROM zp WHERE model = 'rule_unplanned_r3' AND fold = 4
+         UNION ALL SELECT 'holdout', entity_id, period, label, score FROM hs)
+""" + eval_sql(["stage"], "0.5", "st", "sev") + f"""
+SELECT s.stage, s.rows, s.entities, round(s.prevalence, 6) AS prevalence, {EVAL_COLS}
+FROM (SELECT stage, count(*) AS rows, count(DISTINCT entity_id) AS entities, avg(CAST(label AS DOUBLE)) AS prevalence FROM st GROUP BY 1) s
+JOIN sev ON sev.stage = s.stage"""

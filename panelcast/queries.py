@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .operators import history, labels
 from .plans.cohort import flag_and_label
@@ -689,7 +689,7 @@ def q_run_summary(spark, sf_dir):
 def _dev_folds(spark, sf_dir, fs=None):
     from .operators.splits import rolling_folds
     prep, _, _ = _dev(spark, sf_dir, fs)
-    dev = prep.frame.persist()
+    dev = prep.frame
     return prep, dev, rolling_folds(dev, SPEC, TEST_RUN.validation_months, TEST_RUN.fold_count, check=False)
 
 
@@ -799,3 +799,308 @@ def q_matched_cohort(spark, sf_dir):
     prep, _, _ = _dev(spark, sf_dir)
     ends = build_sequences(_labeled(spark, sf_dir), SPEC, 12, RULE.name).select(SPEC.entity, F.col("end_period").alias(SPEC.period))
     return prep.frame.join(ends, [SPEC.entity, SPEC.period], "left_semi").select(SPEC.entity, SPEC.period, RULE.name)
+
+
+# --- G: learned models (rows-only check: solvers differ from any SQL oracle) --------------------
+
+from .plans.modeling import ModelSpec  # noqa: E402
+
+LOGISTIC = ModelSpec("logistic", {"C": 1.0, "maxIter": 100})
+FOREST = ModelSpec("forest", {"numTrees": 40, "maxDepth": 10, "minInstancesPerNode": 5})
+BOOSTING = ModelSpec("boosting", {"maxIter": 30, "maxDepth": 3})
+
+
+def _model_preds(spark, sf_dir, m: ModelSpec, keep=None):
+    from .plans.modeling import fold_predictions
+    prep, dev, folds = _dev_folds(spark, sf_dir)
+    return fold_predictions(folds, SPEC, prep.features, RULE.name, m, keep), prep
+
+
+@query("logreg_scores")
+def q_logreg_scores(spark, sf_dir):
+    return _model_preds(spark, sf_dir, LOGISTIC)[0]
+
+
+@query("forest_scores")
+def q_forest_scores(spark, sf_dir):
+    return _model_preds(spark, sf_dir, FOREST)[0]
+
+
+@query("gbt_scores")
+def q_gbt_scores(spark, sf_dir):
+    return _model_preds(spark, sf_dir, BOOSTING)[0]
+
+
+@query("cv_predictions")
+def q_cv_predictions(spark, sf_dir):
+    """Per-fold metric table of the logistic model at the pooled operating threshold."""
+    from .operators.metrics import evaluate, operating_threshold
+    p = _model_preds(spark, sf_dir, LOGISTIC)[0]
+    t = operating_threshold(p, 0.70).select("threshold").scalar()
+    return evaluate(p, t, by=["fold"]).withColumn("threshold", t)
+
+
+@query("tune_select")
+def q_tune_select(spark, sf_dir):
+    """Logistic grid; mean AP over all folds but the last, tie-break lower std over all folds."""
+    from .plans.modeling import fold_predictions
+    from .operators.ladder import ranking_metrics, score_ladder
+    from .spec import LOGISTIC_GRID
+    prep, dev, folds = _dev_folds(spark, sf_dir)
+    parts = []
+    for i, (pen, C) in enumerate(LOGISTIC_GRID):
+        p = fold_predictions(folds, SPEC, prep.features, RULE.name, ModelSpec("logistic", {"C": C, "penalty": pen, "maxIter": 50}))
+        parts.append(ranking_metrics(score_ladder(p, by=["fold"]), ["fold"]).withColumns(
+            {"candidate": F.lit(i), "penalty": F.lit(pen), "C": F.lit(C)}))
+    table = parts[0]
+    for p in parts[1:]:
+        table = table.unionByName(p)
+    from .plans.reports import select_candidate
+    return select_candidate(table, TEST_RUN.fold_count)
+
+
+def _calibration_runs(spark, sf_dir):
+    """Per fold: base model on training rows before the 3-month tail, calibrators on the tail."""
+    from .plans.modeling import fit_pipeline, isotonic_calibrate, platt_calibrate, score
+    from .functions.periods import add_periods
+    prep, dev, folds = _dev_folds(spark, sf_dir)
+    out = []
+    for f in folds:
+        tmax = f.train.agg(F.max(SPEC.period).alias("m")).first()["m"]
+        cal_start = F.add_months(F.lit(tmax), -2)
+        base = f.train.where(F.col(SPEC.period) < cal_start)
+        cal = f.train.where(F.col(SPEC.period) >= cal_start)
+        model = fit_pipeline(base, prep.features, RULE.name, LOGISTIC)
+        keep = [SPEC.entity, SPEC.period, F.col(RULE.name).alias("label"), "score"]
+        sc_cal = score(model, cal).select(*keep)
+        sc_val = score(model, f.validation).select(*keep)
+        for method, frame in (("uncalibrated", sc_val), ("platt", platt_calibrate(sc_cal, sc_val)),
+                              ("isotonic", isotonic_calibrate(sc_cal, sc_val))):
+            out.append(frame.select(F.lit(f.position).alias("fold"), F.lit(method).alias("method"), *[c for c in frame.columns]))
+    table = out[0]
+    for p in out[1:]:
+        table = table.unionByName(p)
+    return table
+
+
+@query("platt_scores")
+def q_platt_scores(spark, sf_dir):
+    return _calibration_runs(spark, sf_dir).where("method = 'platt'")
+
+
+@query("isotonic_scores")
+def q_isotonic_scores(spark, sf_dir):
+    return _calibration_runs(spark, sf_dir).where("method = 'isotonic'")
+
+
+@query("calibration_choice")
+def q_calibration_choice(spark, sf_dir):
+    """AP, Brier, ECE per method and fold; methods within 0.005 AP; best Brier; needed if gain >= 0.005."""
+    from .plans.reports import calibration_choice
+    runs = _calibration_runs(spark, sf_dir)
+    return calibration_choice(runs)
+
+
+@query("seed_stability")
+def q_seed_stability(spark, sf_dir):
+    """Forest over five seeds: mean/std/min of mean AP and the largest per-row score spread."""
+    from .plans.modeling import fold_predictions
+    from .plans.reports import seed_stability
+    from .spec import FOREST_SEEDS
+    prep, dev, folds = _dev_folds(spark, sf_dir)
+    parts = [fold_predictions(folds, SPEC, prep.features, RULE.name, ModelSpec("forest", {"numTrees": 15, "maxDepth": 8}, seed))
+             .withColumn("seed", F.lit(seed)) for seed in FOREST_SEEDS]
+    runs = parts[0]
+    for p in parts[1:]:
+        runs = runs.unionByName(p)
+    return seed_stability(runs, [SPEC.entity, SPEC.period])
+
+
+@query("coef_stability")
+def q_coef_stability(spark, sf_dir):
+    """Logistic coefficients per fold: mean, pop std, direction, sign stability, counter-intuitive flag."""
+    from .plans.modeling import coefficients
+    from .plans.reports import coefficient_report
+    keep = []
+    p, prep = _model_preds(spark, sf_dir, LOGISTIC, keep)
+    coef = coefficients(spark, keep, prep.features)
+    return coefficient_report(coef, negative_tokens=("avail",), positive_tokens=("events",))
+
+
+@query("ablation_summary")
+def q_ablation_summary(spark, sf_dir):
+    """Logistic AP over folds for current / short / full feature sets, with and without age."""
+    from dataclasses import replace
+    from .plans.modeling import fold_predictions
+    from .operators.ladder import ranking_metrics, score_ladder
+    from .operators.splits import rolling_folds
+    parts = []
+    for name in ("current_only", "short_history", "full_history"):
+        for age in (False, True):
+            fs = replace(FEATURE_SETS[name], include_age=age)
+            prep, _, _ = _dev(spark, sf_dir, FEATURE_SETS["full_history"])  # same rows for every variant
+            from .operators.features import feature_names
+            feats = feature_names(SPEC, fs)
+            dev = prep.frame
+            if age:
+                dev = dev.withColumn("age_missing", F.col(SPEC.age).isNull().cast("int"))
+            folds = rolling_folds(dev, SPEC, TEST_RUN.validation_months, TEST_RUN.fold_count, check=False)
+            p = fold_predictions(folds, SPEC, feats, RULE.name, ModelSpec("logistic", {"maxIter": 50}))
+            m = ranking_metrics(score_ladder(p, by=["fold"]), ["fold"])
+            parts.append(m.agg(F.avg("pr_auc").alias("mean_pr_auc"), F.min("pr_auc").alias("worst_pr_auc"))
+                         .withColumns({"feature_set": F.lit(name), "include_age": F.lit(age), "features": F.lit(len(feats))}))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+# --- I: diagnostics over a deterministic scorer set (exact SQL oracle) -----------------------------
+
+def zoo() -> dict:
+    """Deterministic scorers (name -> score expression over the feature panel)."""
+    return {
+    "rule_unplanned_r3": F.least(F.lit(1.0), F.col("unplanned_events_roll_3_mean") / 10.0),
+    "rule_unplanned_r6": F.least(F.lit(1.0), F.col("unplanned_events_roll_6_mean") / 10.0),
+    "rule_total_r3": F.least(F.lit(1.0), F.col("total_events_roll_3_mean") / 20.0),
+    "previous_period_failure": ((F.col(SPEC.unplanned) >= 5) | (F.col(SPEC.severe) > 0)).cast("double"),
+    "simple_outage_rule": (F.col(SPEC.unplanned) >= 1).cast("double"),
+    }
+
+
+BASELINES = ["previous_period_failure", "simple_outage_rule"]
+
+
+def _zoo_preds(spark, sf_dir):
+    """Validation rows x scorers (model, fold, entity, period, label, score)."""
+    from .operators.splits import assign_folds
+    prep, _, _ = _dev(spark, sf_dir)
+    dev = prep.frame
+    last = dev.select(F.max(SPEC.period)).scalar()
+    a = assign_folds(dev, SPEC, last, TEST_RUN.validation_months, TEST_RUN.fold_count).where(F.col("validation_fold").isNotNull())
+    rows = [F.struct(F.lit(n).alias("model"), e.alias("score")) for n, e in zoo().items()]
+    return a.select(F.col("validation_fold").alias("fold"), SPEC.entity, SPEC.period, F.col(RULE.name).alias("label"),
+                    F.inline(F.array(*rows)))
+
+
+def _zoo_summary(spark, sf_dir):
+    from .plans.reports import metric_table, model_summary
+    # models x 1 summary rows, reused by several scalar decisions: persisted once
+    return model_summary(metric_table(_zoo_preds(spark, sf_dir), 0.5), TEST_RUN.fold_count)
+
+
+@query("weak_fold")
+def q_weak_fold(spark, sf_dir):
+    """Fold with the lowest mean AP over the rule models."""
+    from .plans.reports import metric_table
+    t = metric_table(_zoo_preds(spark, sf_dir).where(~F.col("model").isin(*BASELINES)), 0.5)
+    per = t.groupBy("fold").agg(F.avg("pr_auc").alias("mean_pr_auc"))
+    return rounded(per.agg(F.min_by("fold", "mean_pr_auc").alias("weak_fold"), F.min("mean_pr_auc").alias("mean_pr_auc")))
+
+
+def _weak(spark, sf_dir):
+    from .plans.reports import metric_table
+    t = metric_table(_zoo_preds(spark, sf_dir).where(~F.col("model").isin(*BASELINES)), 0.5)
+    return t.groupBy("fold").agg(F.avg("pr_auc").alias("m")).select(F.min_by("fold", "m")).scalar()
+
+
+@query("cohort_profile")
+def q_cohort_profile(spark, sf_dir):
+    """I4: weak fold validation vs. other folds: rows, entities, prevalence, rows at the entity's first
+    development period, null share of the operational columns."""
+    from .operators.splits import assign_folds
+    prep, _, _ = _dev(spark, sf_dir)
+    dev = prep.frame
+    last = dev.select(F.max(SPEC.period)).scalar()
+    first = dev.groupBy(SPEC.entity).agg(F.min(SPEC.period).alias("_first"))  # one row per entity
+    a = assign_folds(dev, SPEC, last, TEST_RUN.validation_months, TEST_RUN.fold_count).where(F.col("validation_fold").isNotNull())
+    a = a.join(first, SPEC.entity).withColumn("cohort", F.when(F.col("validation_fold") == _weak(spark, sf_dir), "weak_fold").otherwise("other_folds"))
+    return rounded(a.groupBy("cohort").agg(
+        F.count(F.lit(1)).alias("rows"), F.countDistinct(SPEC.entity).alias("entities"),
+        F.avg(F.col(RULE.name).cast("double")).alias("prevalence"),
+        F.count_if(F.col(SPEC.period) == F.col("_first")).alias("new_entity_rows"),
+        *[F.avg(F.col(c).isNull().cast("double")).alias(f"null_share_{c}") for c in SPEC.operational]))
+
+
+@query("feature_drift")
+def q_feature_drift(spark, sf_dir):
+    """Top 15 features by |standardized mean difference| between the weak fold and the others."""
+    from .operators.splits import assign_folds
+    from .plans.reports import standardized_drift
+    prep, _, _ = _dev(spark, sf_dir)
+    dev = prep.frame
+    last = dev.select(F.max(SPEC.period)).scalar()
+    a = assign_folds(dev, SPEC, last, TEST_RUN.validation_months, TEST_RUN.fold_count).where(F.col("validation_fold").isNotNull())
+    weak = _weak(spark, sf_dir)
+    return rounded(standardized_drift(a.where(F.col("validation_fold") == weak), a.where(F.col("validation_fold") != weak), prep.features))
+
+
+def _weak_errors(spark, sf_dir):
+    """Weak-fold rows of the primary rule score with errors at its recall-0.70 threshold from the selection folds."""
+    from .operators.metrics import operating_threshold
+    z = _zoo_preds(spark, sf_dir).where(F.col("model") == "rule_unplanned_r3")
+    t = operating_threshold(z.where(F.col("fold") < TEST_RUN.fold_count), 0.70).select("threshold").scalar()
+    w = z.where(F.col("fold") == _weak(spark, sf_dir))
+    return w.withColumn("error", ((F.col("score") >= t).cast("int") != F.col("label")).cast("int"))
+
+
+@query("error_top_entities")
+def q_error_top_entities(spark, sf_dir):
+    """Ten entities with most errors in the weak fold (entity ascending on ties) - a top-k report."""
+    e = _weak_errors(spark, sf_dir)
+    total = e.select(F.sum("error")).scalar()
+    top = e.groupBy(SPEC.entity).agg(F.sum("error").cast("bigint").alias("errors")).orderBy(F.col("errors").desc(), SPEC.entity).limit(10)
+    return rounded(top.withColumn("top_10_share", F.sum("errors").over(Window.partitionBy()) / F.greatest(total, F.lit(1))))
+
+
+@query("error_by_period")
+def q_error_by_period(spark, sf_dir):
+    e = _weak_errors(spark, sf_dir)
+    return e.groupBy(SPEC.period).agg(F.sum("error").cast("bigint").alias("errors"), F.count(F.lit(1)).alias("rows"))
+
+
+@query("high_correlation")
+def q_high_correlation(spark, sf_dir):
+    """|r| >= 0.95 pairs on the last fold's training rows (pairwise complete)."""
+    from .plans.reports import high_correlation
+    prep, dev, folds = _dev_folds(spark, sf_dir)
+    return rounded(high_correlation(folds[-1].train, prep.features))
+
+
+@query("candidate_ranking")
+def q_candidate_ranking(spark, sf_dir):
+    from .plans.reports import candidate_ranking
+    return rounded(candidate_ranking(_zoo_summary(spark, sf_dir)))
+
+
+@query("model_comparison")
+def q_model_comparison(spark, sf_dir):
+    return rounded(_zoo_summary(spark, sf_dir))
+
+
+@query("replace_rule")
+def q_replace_rule(spark, sf_dir):
+    from .plans.reports import replace_rule
+    return rounded(replace_rule(_zoo_summary(spark, sf_dir), "rule_unplanned_r3", "rule_unplanned_r6"))
+
+
+@query("readiness_gate")
+def q_readiness_gate(spark, sf_dir):
+    from .plans.reports import readiness_gate
+    return rounded(readiness_gate(_zoo_summary(spark, sf_dir), BASELINES))
+
+
+@query("stage_comparison")
+def q_stage_comparison(spark, sf_dir):
+    """Development (latest fold) vs. holdout for the primary rule score at 0.5."""
+    from .operators.metrics import evaluate
+    from .operators.splits import holdout_window
+    z = _zoo_preds(spark, sf_dir).where((F.col("model") == "rule_unplanned_r3") & (F.col("fold") == TEST_RUN.fold_count))
+    start, end = holdout_window(_panel(spark, sf_dir), SPEC, 3)
+    h = _scored(spark, sf_dir).where(F.col(SPEC.period).between(start, end) & F.col(RULE.name).isNotNull()) \
+        .select(SPEC.entity, SPEC.period, F.col(RULE.name).alias("label"), F.col("probability").alias("score"))
+    both = z.select(F.lit("development").alias("stage"), SPEC.entity, SPEC.period, "label", "score") \
+        .unionByName(h.select(F.lit("holdout").alias("stage"), SPEC.entity, SPEC.period, "label", "score"))
+    stats = both.groupBy("stage").agg(F.count(F.lit(1)).alias("rows"), F.countDistinct(SPEC.entity).alias("entities"),
+                                      F.avg(F.col("label").cast("double")).alias("prevalence"))
+    return rounded(stats.join(evaluate(both, 0.5, by=["stage"]), "stage"))
