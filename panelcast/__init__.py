@@ -1,0 +1 @@
+"""panelcast: entity-period risk analytics as Spark DataFrame jobs."""

@@ -836,8 +836,8 @@ def q_cv_predictions(spark, sf_dir):
     """Per-fold metric table of the logistic model at the pooled operating threshold."""
     from .operators.metrics import evaluate, operating_threshold
     p = _model_preds(spark, sf_dir, LOGISTIC)[0]
-    t = operating_threshold(p, 0.70).select("threshold").scalar()
-    return evaluate(p, t, by=["fold"]).withColumn("threshold", t)
+    t = float(operating_threshold(p, 0.70).first()["threshold"])  # one scalar
+    return evaluate(p, t, by=["fold"]).withColumn("threshold", F.lit(t))
 
 
 @query("tune_select")

@@ -1,0 +1,2 @@
+"""No streaming operators: the reference reads complete files per command and has no
+stream, watermark or state API, so nothing here is built (see README)."""
