@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .operators import history, labels
 from .plans.cohort import flag_and_label
+from .session import cut_lineage
 from .sources.tables import DEFAULT_PANEL, panel_from_lineitem
 from .spec import FEATURE_SETS, LabelRule, RunConfig
 
@@ -36,7 +37,10 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 
 
 def _panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return panel_from_lineitem(spark, sf_dir)
+    """The entity-period panel, materialized once per query in the shared checkpoint folder:
+    later jobs (bounds, windows, per-fold statistics, fits) read it instead of re-aggregating
+    the raw table. The panel is far smaller than its source (one row per entity and period)."""
+    return cut_lineage(panel_from_lineitem(spark, sf_dir))
 
 
 def _labeled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -261,9 +265,11 @@ def q_prepared_cohort(spark, sf_dir):
 
 
 def _dev(spark, sf_dir, fs=None):
+    """Development cohort (labeled, history >= minimum, before the holdout), materialized once."""
+    from dataclasses import replace
     from .plans.cohort import development_panel
     prep, start, end = development_panel(_panel(spark, sf_dir), TEST_RUN, fs)
-    return prep, start, end
+    return replace(prep, frame=cut_lineage(prep.frame)), start, end
 
 
 SEQ_LEN = 6
