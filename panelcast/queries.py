@@ -40,7 +40,7 @@ def _panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The entity-period panel, materialized once per query in the shared checkpoint folder:
     later jobs (bounds, windows, per-fold statistics, fits) read it instead of re-aggregating
     the raw table. The panel is far smaller than its source (one row per entity and period)."""
-    return cut_lineage(panel_from_lineitem(spark, sf_dir))
+    return panel_from_lineitem(spark, sf_dir, materialize=cut_lineage)
 
 
 def _labeled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +51,7 @@ def _labeled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("scan_panel")
 def q_scan_panel(spark, sf_dir):
-    return rounded(_panel(spark, sf_dir))
+    return rounded(_panel(spark, sf_dir).drop(history.IDX))
 
 
 # --- C: history -----------------------------------------------------------------------
@@ -156,7 +156,7 @@ def q_history_summary(spark, sf_dir):
 @query("null_profile")
 def q_null_profile(spark, sf_dir):
     from .operators.quality import null_profile
-    return null_profile(_panel(spark, sf_dir))
+    return null_profile(_panel(spark, sf_dir).drop(history.IDX))
 
 
 @query("panel_profile")

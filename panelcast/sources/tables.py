@@ -25,17 +25,18 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] |
 
 
 def _with_age(panel: DataFrame, spec: PanelSpec, marker: str) -> DataFrame:
-    """Periods since the entity's last marked period; null before the first mark."""
+    """Periods since the entity's last marked period; null before the first mark.
+    The period index ``_idx`` stays on the panel so later entity windows reuse this sort."""
     w = Window.partitionBy(spec.entity).orderBy("_idx").rowsBetween(Window.unboundedPreceding, 0)
     last_mark = F.max(F.when(F.col(marker), F.col("_idx"))).over(w)
     return (
         panel.withColumn("_idx", period_index(spec.period, spec.grain))
         .withColumn(spec.age, (F.col("_idx") - last_mark).cast("double"))
-        .drop("_idx", marker)
+        .drop(marker)
     )
 
 
-def panel_from_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+def panel_from_lineitem(spark: SparkSession, sf_dir: str, materialize=None) -> DataFrame:
     """Dense monthly panel: supplier x ship month.
 
     total = lines; planned = return flag 'N'; unplanned = other flags;
@@ -61,6 +62,10 @@ def panel_from_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.avg(avail).alias(spec.ratios[2]),
         F.max(F.col("l_quantity") >= 50).alias("_mark"),
     )
+    # ``materialize`` (e.g. a reliable checkpoint) cuts the lineage after the aggregate and
+    # before the age window, so the age window and all later entity windows share one exchange.
+    if materialize is not None:
+        panel = materialize(panel)
     return _with_age(panel, spec, "_mark")
 
 
