@@ -27,6 +27,8 @@ HEADLINE = [
     "threshold_policies",   # four operating policies from one ladder
     "metrics_by_period",    # grouped ladder
     "latest_unlabeled",     # batch scoring
+    "holdout_evaluation",   # load -> prepare -> forest fit on development -> holdout metrics
+    "forest_scores",        # forest, 4 expanding folds fit + predict
 ]
 
 

@@ -113,3 +113,17 @@ def isotonic_calibrate(cal: DataFrame, target: DataFrame) -> DataFrame:
         cal.withColumn("label", F.col("label").cast("double")))
     return model.transform(target).withColumn("score", F.least(F.greatest(F.col("calibrated"), F.lit(0.0)), F.lit(1.0))) \
         .drop("features", "calibrated")
+
+
+def holdout_evaluation(dev: DataFrame, holdout: DataFrame, spec: PanelSpec, features: list[str], label: str, m: ModelSpec,
+                       threshold: float) -> DataFrame:
+    """Final evaluation: fit once on all development rows, score the holdout rows, then
+    AP / ROC-AUC / Brier / confusion at the locked threshold and ECE in one metric row."""
+    from ..operators.metrics import ece, evaluate
+    model = fit_pipeline(dev, features, label, m)
+    preds = score(model, holdout).select(spec.entity, spec.period, F.col(label).alias("label"), "score").withColumn("_all", F.lit(0))
+    metrics = evaluate(preds, threshold, by=["_all"])
+    calib = ece(preds, by=["_all"])
+    stats = preds.groupBy("_all").agg(F.count(F.lit(1)).alias("rows"), F.countDistinct(spec.entity).alias("entities"),
+                                      F.avg(F.col("label").cast("double")).alias("prevalence"))
+    return stats.join(metrics, "_all").join(calib, "_all").drop("_all").withColumn("threshold", F.lit(float(threshold)))

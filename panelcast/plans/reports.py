@@ -73,22 +73,56 @@ def coefficient_report(coef: DataFrame, negative_tokens=("availability",), posit
     ).orderBy(F.abs(F.col("mean_coefficient")).desc())
 
 
-def high_correlation(df: DataFrame, features: list[str], threshold: float = 0.95, chunk: int = 48) -> DataFrame:
-    """|r| >= threshold over pairwise-complete rows. Pairs are computed as ``corr``
-    aggregates in chunks (a few dozen per aggregate keeps generated code small);
-    rows are never paired with each other."""
-    pairs = [(a, b) for i, a in enumerate(features) for b in features[i + 1:]]
-    parts = []
-    for start in range(0, len(pairs), chunk):
-        block = pairs[start:start + chunk]
-        wide = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"p{i}") for i, (a, b) in enumerate(block)])
-        rows = [F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), F.abs(F.col(f"p{i}")).alias("absolute_correlation"))
-                for i, (a, b) in enumerate(block)]
-        parts.append(wide.select(F.inline(F.array(*rows))))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.where(F.col("absolute_correlation") >= threshold)
+def pairwise_moments(df: DataFrame, features: list[str]) -> DataFrame:
+    """Pairwise-complete co-moments for every feature pair in one pass.
+
+    Values are shifted by the column means (one small aggregate) for numerical
+    stability. Each task turns its Arrow batches into masked numpy Gram matrices
+    (d x d, independent of the row count) and emits one row per pair. A
+    ``groupBy(i, j)`` sums the partials (combined map side). Rows are never paired.
+    """
+    import numpy as np
+    import pandas as pd
+
+    means = df.agg(*[F.avg(F.col(f).cast("double")).alias(f"m{i}") for i, f in enumerate(features)]).first()
+    shift = np.array([means[f"m{i}"] if means[f"m{i}"] is not None else 0.0 for i in range(len(features))])
+    d = len(features)
+    iu, ju = np.triu_indices(d, k=1)
+    cols = [F.col(f).cast("double").alias(f"c{i}") for i, f in enumerate(features)]
+
+    def partial(batches):
+        n = np.zeros((d, d)); sa = np.zeros((d, d)); saa = np.zeros((d, d)); sab = np.zeros((d, d))
+        for pdf in batches:
+            x = pdf.to_numpy(dtype=float) - shift
+            m = ~np.isnan(x)
+            x0 = np.where(m, x, 0.0)
+            mf = m.astype(float)
+            n += mf.T @ mf
+            sa += x0.T @ mf
+            saa += (x0 * x0).T @ mf
+            sab += x0.T @ x0
+        yield pd.DataFrame({"i": iu, "j": ju, "n": n[iu, ju], "sa": sa[iu, ju], "sb": sa[ju, iu],
+                            "saa": saa[iu, ju], "sbb": saa[ju, iu], "sab": sab[iu, ju]})
+
+    schema = "i long, j long, n double, sa double, sb double, saa double, sbb double, sab double"
+    parts = df.select(*cols).mapInPandas(partial, schema)
+    return parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sa", "sb", "saa", "sbb", "sab")])
+
+
+def high_correlation(df: DataFrame, features: list[str], threshold: float = 0.95) -> DataFrame:
+    """|r| >= threshold over pairwise-complete rows (two passes: means, co-moments)."""
+    mom = pairwise_moments(df, features)
+    n, sa, sb = F.col("n"), F.col("sa"), F.col("sb")
+    cov = n * F.col("sab") - sa * sb
+    va = n * F.col("saa") - sa * sa
+    vb = n * F.col("sbb") - sb * sb
+    r = F.when((n > 1) & (va > 0) & (vb > 0), cov / F.sqrt(va * vb))
+    names = F.array(*[F.lit(f) for f in features])
+    return mom.select(
+        F.element_at(names, (F.col("i") + 1).cast("int")).alias("feature_a"),
+        F.element_at(names, (F.col("j") + 1).cast("int")).alias("feature_b"),
+        F.abs(r).alias("absolute_correlation"),
+    ).where(F.col("absolute_correlation") >= threshold)
 
 
 def metric_table(preds: DataFrame, threshold: float = 0.5, model: str = "model") -> DataFrame:

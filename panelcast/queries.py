@@ -1110,3 +1110,14 @@ def q_stage_comparison(spark, sf_dir):
     stats = both.groupBy("stage").agg(F.count(F.lit(1)).alias("rows"), F.countDistinct(SPEC.entity).alias("entities"),
                                       F.avg(F.col("label").cast("double")).alias("prevalence"))
     return rounded(stats.join(evaluate(both, 0.5, by=["stage"]), "stage"))
+
+
+@query("holdout_evaluation")
+def q_holdout_evaluation(spark, sf_dir):
+    """Final evaluation (J1 + H1-H6): forest fitted on all development rows, scored on the holdout."""
+    from .plans.modeling import holdout_evaluation
+    from .session import cut_lineage as _cut
+    prep, start, end = _dev(spark, sf_dir)
+    labeled, _, _ = _labeled_feat(spark, sf_dir)
+    holdout = _cut(labeled.frame.where(F.col(SPEC.period).between(start, end)))
+    return holdout_evaluation(prep.frame, holdout, SPEC, prep.features, RULE.name, FOREST, 0.4433219097353501)

@@ -76,3 +76,21 @@ def test_percent_strings_normalised(spark):
 def test_missing_column_error(spark):
     with pytest.raises(CanonicalError):
         check_columns(spark.createDataFrame([(1,)], "Month int"))
+
+
+def test_pairwise_correlation_matches_pairwise_complete(spark):
+    import numpy as np
+    import pandas as pd
+    from panelcast.plans.reports import high_correlation
+    rng = np.random.default_rng(7)
+    a = rng.normal(size=200)
+    b = a * 3 + rng.normal(scale=0.01, size=200)
+    c = rng.normal(size=200)
+    b[::7] = np.nan  # pairwise complete rows only
+    pdf = pd.DataFrame({"a": a, "b": b, "c": c})
+    df = spark.createDataFrame(pdf).repartition(3)
+    got = {(r[0], r[1]): r[2] for r in high_correlation(df, ["a", "b", "c"], 0.0).collect()}
+    exp = pdf.corr()
+    for (x, y), v in got.items():
+        assert v == pytest.approx(abs(exp.loc[x, y]), abs=1e-9)
+    assert len(got) == 3
