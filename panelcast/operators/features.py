@@ -84,8 +84,13 @@ def explode_sequences(seq: DataFrame, spec: PanelSpec) -> DataFrame:
 
 
 def sequence_cohort(seq: DataFrame, spec: PanelSpec, base_entities: DataFrame) -> DataFrame:
-    """E8 for one length: rows, entities, entities lost relative to a base set."""
-    seq_entities = seq.select(spec.entity).distinct()
-    lost = base_entities.join(seq_entities, spec.entity, "left_anti").agg(F.count(F.lit(1)).alias("entities_lost"))
-    stats = seq.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct(spec.entity).alias("entities"))
-    return stats.crossJoin(lost)
+    """E8 for one length: rows, entities, entities lost relative to a base set.
+    Per-entity counts on both sides meet in one full outer join on the entity key."""
+    per_seq = seq.groupBy(spec.entity).agg(F.count(F.lit(1)).alias("_rows"))
+    base = base_entities.select(spec.entity).distinct().withColumn("_base", F.lit(True))
+    both = per_seq.join(base, spec.entity, "full")
+    return both.agg(
+        F.coalesce(F.sum("_rows"), F.lit(0)).cast("bigint").alias("rows"),
+        F.count("_rows").alias("entities"),
+        F.count_if(F.col("_base") & F.col("_rows").isNull()).alias("entities_lost"),
+    )

@@ -71,3 +71,11 @@ def test_rolling_folds_ordered_disjoint(monthly, spec):
     assert [f.name for f in folds] == ["2024-11_to_2024-11", "2024-12_to_2024-12", "2025-01_to_2025-01"]
     for f in folds:
         assert f.train.agg(F.max(spec.period)).first()[0] < f.validation_start
+
+
+def test_sequence_cohort_counts(spark, monthly, spec):
+    from panelcast.operators.features import sequence_cohort
+    lab = add_next_period_label(monthly, spec, PRIMARY_RULE)
+    seq = build_sequences(lab, spec, 3, PRIMARY_RULE.name)
+    r = sequence_cohort(seq, spec, lab.select(spec.entity)).first()
+    assert r["rows"] == 12 and r["entities"] == 2 and r["entities_lost"] == 0
