@@ -94,3 +94,28 @@ def test_pairwise_correlation_matches_pairwise_complete(spark):
     for (x, y), v in got.items():
         assert v == pytest.approx(abs(exp.loc[x, y]), abs=1e-9)
     assert len(got) == 3
+
+
+def test_pipeline_persists_and_scores_unchanged(spark, tmp_path, monthly, spec):
+    from pyspark.ml import PipelineModel
+    from panelcast.operators.labels import add_next_period_label
+    from panelcast.operators.features import build_features
+    from panelcast.plans.modeling import ModelSpec, fit_pipeline, score
+    from panelcast.spec import FEATURE_SETS, PRIMARY_RULE
+    lab = add_next_period_label(monthly, spec, PRIMARY_RULE).where(F.col(PRIMARY_RULE.name).isNotNull())
+    df, names = build_features(lab, spec, FEATURE_SETS["short_history"])
+    model = fit_pipeline(df, names, PRIMARY_RULE.name, ModelSpec("logistic", {"maxIter": 20}))
+    before = [r["score"] for r in score(model, df).orderBy(f"`{spec.entity}`", spec.period).collect()]
+    path = str(tmp_path / "model")
+    model.write().overwrite().save(path)
+    after = [r["score"] for r in score(PipelineModel.load(path), df).orderBy(f"`{spec.entity}`", spec.period).collect()]
+    assert before == pytest.approx(after)
+    assert all(0.0 <= p <= 1.0 for p in before)
+
+
+def test_strict_parse_errors(spark):
+    from panelcast.operators.canonical import canonicalize
+    from panelcast.sources.tables import export_from_lineitem
+    dirty = export_from_lineitem(spark, "/root/testdata/sf0.001", dirty=True)
+    with pytest.raises(CanonicalError, match="Month|numeric"):
+        canonicalize(dirty, start_month="1996-01-01")
