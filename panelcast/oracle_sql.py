@@ -715,3 +715,13 @@ SQL["stage_comparison"] = ZOO.replace("WITH ", "WITH sc_unused AS (SELECT 1), ",
 SELECT s.stage, s.rows, s.entities, round(s.prevalence, 6) AS prevalence, {EVAL_COLS}
 FROM (SELECT stage, count(*) AS rows, count(DISTINCT entity_id) AS entities, avg(CAST(label AS DOUBLE)) AS prevalence FROM st GROUP BY 1) s
 JOIN sev ON sev.stage = s.stage"""
+
+SQL["fold_overlap"] = FOLD_ROWS + """
+SELECT CAST(f.p AS INTEGER) AS position,
+       max(CASE WHEN first_train_fold <= f.p THEN period END) AS train_last_period,
+       min(CASE WHEN validation_fold = f.p THEN period END) AS validation_first_period,
+       max(CASE WHEN first_train_fold <= f.p THEN period END) >= min(CASE WHEN validation_fold = f.p THEN period END) AS date_overlap,
+       count_if(validation_fold = f.p AND first_train_fold <= f.p) AS row_overlap_rows,
+       count_if((first_train_fold <= f.p OR validation_fold = f.p)
+                AND period BETWEEN (SELECT h_start FROM bounds) AND (SELECT h_end FROM bounds)) AS holdout_rows
+FROM range(1, 5) AS f(p), a GROUP BY f.p"""

@@ -1121,3 +1121,13 @@ def q_holdout_evaluation(spark, sf_dir):
     labeled, _, _ = _labeled_feat(spark, sf_dir)
     holdout = _cut(labeled.frame.where(F.col(SPEC.period).between(start, end)))
     return holdout_evaluation(prep.frame, holdout, SPEC, prep.features, RULE.name, FOREST, 0.4433219097353501)
+
+
+@query("fold_overlap")
+def q_fold_overlap(spark, sf_dir):
+    """F4 guards: date overlap, row overlap and holdout contamination per fold."""
+    from .operators.splits import fold_overlap
+    prep, start, end = _dev(spark, sf_dir)
+    dev = prep.frame
+    last = dev.agg(F.max(SPEC.period).alias("m")).first()["m"]
+    return fold_overlap(dev, SPEC, last, TEST_RUN.validation_months, TEST_RUN.fold_count, start, end)

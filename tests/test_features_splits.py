@@ -79,3 +79,18 @@ def test_sequence_cohort_counts(spark, monthly, spec):
     seq = build_sequences(lab, spec, 3, PRIMARY_RULE.name)
     r = sequence_cohort(seq, spec, lab.select(spec.entity)).first()
     assert r["rows"] == 12 and r["entities"] == 2 and r["entities_lost"] == 0
+
+
+def test_sinks_roundtrip(spark, tmp_path, monthly, spec):
+    from panelcast.sources.sinks import read_metrics, write_metrics, write_table
+    df = monthly.withColumnRenamed(spec.period, "period").withColumnRenamed(spec.entity, "entity_id").select("entity_id", "period")
+    path = str(tmp_path / "t")
+    write_table(df, path)
+    assert spark.read.parquet(path).count() == 18
+    with pytest.raises(Exception):
+        write_table(df, path)  # refuses an existing target
+    write_table(df, path, overwrite=True)
+    m = spark.createDataFrame([("m", 1, 0.5)], "model string, fold int, pr_auc double")
+    write_metrics(m, str(tmp_path / "m"))
+    back = read_metrics(spark, str(tmp_path / "m"), "model string, fold int, pr_auc double").collect()
+    assert [tuple(r) for r in back] == [("m", 1, 0.5)]
