@@ -47,13 +47,13 @@ def _learner(m: ModelSpec, weight_sum: float):
                                       numTrees=p.pop("numTrees", 50), maxDepth=p.pop("maxDepth", 10),
                                       minInstancesPerNode=p.pop("minInstancesPerNode", 5),
                                       featureSubsetStrategy=p.pop("featureSubsetStrategy", "sqrt"), maxBins=p.pop("maxBins", 64),
-                                      # larger node groups per pass and cached node ids: fewer passes per tree level
-                                      maxMemoryInMB=p.pop("maxMemoryInMB", 1024), cacheNodeIds=p.pop("cacheNodeIds", True), **p)
+                                      # larger node groups per pass: fewer passes over the data per tree level
+                                      maxMemoryInMB=p.pop("maxMemoryInMB", 1024), cacheNodeIds=p.pop("cacheNodeIds", False), **p)
     if m.kind == "boosting":
         return GBTClassifier(featuresCol="features", labelCol="label", seed=m.seed, maxIter=p.pop("maxIter", 50),
                              maxDepth=p.pop("maxDepth", 3), stepSize=p.pop("stepSize", 0.1),
                              minInstancesPerNode=p.pop("minInstancesPerNode", 20), maxBins=p.pop("maxBins", 64),
-                             maxMemoryInMB=p.pop("maxMemoryInMB", 1024), cacheNodeIds=p.pop("cacheNodeIds", True), **p)
+                             maxMemoryInMB=p.pop("maxMemoryInMB", 1024), cacheNodeIds=p.pop("cacheNodeIds", False), **p)
     raise ValueError(m.kind)
 
 
