@@ -139,3 +139,34 @@ def policy_thresholds(cands: DataFrame, by: list[str] | tuple = ()) -> DataFrame
     names = ["approximately_70_percent_recall", "approximately_80_percent_recall", "best_validation_f1", "fn_cost_3x_fp"]
     rows = [F.struct(F.lit(n).alias("policy"), F.col(n).alias("threshold")) for n in names]
     return wide.select(*by, F.inline(F.array(*rows)))
+
+
+def _order_key(df: DataFrame, col: str):
+    """A double that never decreases along the column's sort order (bucketing only;
+    exact order is applied inside buckets). Text: first 7 UTF-8 bytes as a number."""
+    dtype = dict(df.dtypes)[col]
+    if dtype in ("tinyint", "smallint", "int", "bigint", "float", "double") or dtype.startswith("decimal"):
+        return F.col(col).cast("double")
+    if dtype == "date":
+        return F.unix_date(F.col(col)).cast("double")
+    hex7 = F.rpad(F.substring(F.hex(F.col(col).cast("string")), 1, 14), 14, "0")
+    return F.conv(hex7, 16, 10).cast("double")
+
+
+def distributed_rank(df: DataFrame, col: str, buckets: int = 256, name: str = "rank") -> DataFrame:
+    """1-based rank by ascending ``col`` (unique values) without a single-partition window:
+    equi-depth buckets (at most ``buckets`` cut points reach the driver), per-bucket
+    counts and offsets over at most ``buckets`` rows, exact order inside each bucket."""
+    keyed = df.withColumn("_okey", _order_key(df, col))
+    cuts = sorted({q for q in keyed.approxQuantile("_okey", [i / buckets for i in range(1, buckets)], 1.0 / (4 * buckets)) if q is not None})
+    if cuts:
+        keyed = Bucketizer(splits=[float("-inf"), *cuts, float("inf")], inputCol="_okey", outputCol=BUCKET,
+                           handleInvalid="keep").transform(keyed)
+    else:
+        keyed = keyed.withColumn(BUCKET, F.lit(0.0))
+    sizes = keyed.groupBy(BUCKET).agg(F.count(F.lit(1)).alias("_bn"))
+    before = Window.orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)  # at most ``buckets`` rows
+    offsets = sizes.select(BUCKET, F.coalesce(F.sum("_bn").over(before), F.lit(0)).alias("_off"))
+    inner = Window.partitionBy(BUCKET).orderBy(col)
+    return keyed.join(offsets, BUCKET).withColumn(name, F.col("_off") + F.row_number().over(inner)) \
+        .drop("_okey", BUCKET, "_off")

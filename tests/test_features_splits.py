@@ -94,3 +94,13 @@ def test_sinks_roundtrip(spark, tmp_path, monthly, spec):
     write_metrics(m, str(tmp_path / "m"))
     back = read_metrics(spark, str(tmp_path / "m"), "model string, fold int, pr_auc double").collect()
     assert [tuple(r) for r in back] == [("m", 1, 0.5)]
+
+
+def test_distributed_rank_exact(spark):
+    from panelcast.operators.ladder import distributed_rank
+    df = spark.range(0, 5000).selectExpr("id * 7919 % 5003 AS k", "cast(id * 31 % 977 AS string) AS s").dropDuplicates(["k"])
+    got = {r["k"]: r["rank"] for r in distributed_rank(df.select("k"), "k", buckets=16).collect()}
+    assert got == {k: i + 1 for i, k in enumerate(sorted(got))}
+    txt = spark.createDataFrame([(w,) for w in ["b", "a", "ab", "abc", "z", "B", "", "éa"]], "w string")
+    ranks = {r["w"]: r["rank"] for r in distributed_rank(txt, "w", buckets=4).collect()}
+    assert [w for w, _ in sorted(ranks.items(), key=lambda kv: kv[1])] == sorted(ranks, key=lambda w: w.encode())
