@@ -96,7 +96,7 @@ def _orders_panel(spark, sf_dir):
 
 def _export(spark, sf_dir, dirty=False):
     from .sources.tables import export_from_lineitem
-    return export_from_lineitem(spark, sf_dir, dirty)
+    return export_from_lineitem(spark, sf_dir, dirty, materialize=cut_lineage)
 
 
 @query("canonicalize")

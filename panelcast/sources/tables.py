@@ -107,7 +107,7 @@ def panel_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def export_from_lineitem(spark: SparkSession, sf_dir: str, dirty: bool = False) -> DataFrame:
+def export_from_lineitem(spark: SparkSession, sf_dir: str, dirty: bool = False, materialize=None) -> DataFrame:
     """A raw 22-column "official export" derived from the lineitem panel.
 
     Month is text (MM/dd/yyyy), counts are text, the AM ratio is a percent string
@@ -116,7 +116,7 @@ def export_from_lineitem(spark: SparkSession, sf_dir: str, dirty: bool = False)
     Every fourth entity is an escalator. ``dirty`` adds unparseable months and
     counts at deterministic keys for the strict-parse rules.
     """
-    p = panel_from_lineitem(spark, sf_dir)
+    p = panel_from_lineitem(spark, sf_dir, materialize)
     e = F.col("entity_id")
     hours = F.dayofmonth(F.last_day("period")).cast("double") * 24.0
     am, pm, day = (F.col(c) for c in DEFAULT_PANEL.ratios)
