@@ -35,7 +35,8 @@ HEADLINE = [
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
-    spark = build_session(f"local[{cpus}]", app="panelcast-bench", shuffle_partitions=max(8, 2 * cpus))
+    spark = build_session(f"local[{cpus}]", app="panelcast-bench", shuffle_partitions=max(8, 2 * cpus),
+                          driver_memory=os.environ.get("BENCH_DRIVER_MEMORY", "16g"))
     times = {}
     for name in HEADLINE:
         t0 = time.perf_counter()

@@ -12,11 +12,15 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
-def build_session(master: str | None = None, app: str = "panelcast", shuffle_partitions: int | None = None) -> SparkSession:
-    """Return a session tuned for panel work; existing cluster settings win."""
+def build_session(master: str | None = None, app: str = "panelcast", shuffle_partitions: int | None = None,
+                  driver_memory: str | None = None) -> SparkSession:
+    """Return a session tuned for panel work; existing cluster settings win.
+    ``driver_memory`` only matters for local masters, where the driver JVM does all the work."""
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
+        if driver_memory and master.startswith("local"):
+            builder = builder.config("spark.driver.memory", driver_memory)
     builder = (
         builder.config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
