@@ -130,3 +130,17 @@ def holdout_evaluation(dev: DataFrame, holdout: DataFrame, spec: PanelSpec, feat
     stats = preds.groupBy("_all").agg(F.count(F.lit(1)).alias("rows"), F.countDistinct(spec.entity).alias("entities"),
                                       F.avg(F.col("label").cast("double")).alias("prevalence"))
     return stats.join(metrics, "_all").join(calib, "_all").drop("_all").withColumn("threshold", F.lit(float(threshold)))
+
+
+def tune(folds: list[Fold], spec: PanelSpec, features: list[str], label: str, candidates: list[ModelSpec]) -> DataFrame:
+    """G11 for any learner: per candidate and fold AP / ROC-AUC (metric table, candidates x folds rows)."""
+    from ..operators.ladder import ranking_metrics, score_ladder
+    parts = []
+    for i, m in enumerate(candidates):
+        p = fold_predictions(folds, spec, features, label, m)
+        parts.append(ranking_metrics(score_ladder(p, by=["fold"]), ["fold"]).withColumns(
+            {"candidate": F.lit(i), "kind": F.lit(m.kind), "params": F.lit(repr(sorted(m.params.items())))}))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

@@ -862,7 +862,7 @@ def q_tune_select(spark, sf_dir):
     for p in parts[1:]:
         table = table.unionByName(p)
     from .plans.reports import select_candidate
-    return select_candidate(table, TEST_RUN.fold_count)
+    return select_candidate(cut_lineage(table), TEST_RUN.fold_count)  # candidates x folds rows, read twice
 
 
 def _calibration_runs(spark, sf_dir):
@@ -977,22 +977,23 @@ def zoo() -> dict:
 BASELINES = ["previous_period_failure", "simple_outage_rule"]
 
 
-def _zoo_preds(spark, sf_dir):
-    """Validation rows x scorers (model, fold, entity, period, label, score)."""
+def _zoo_preds(spark, sf_dir, prep=None):
+    """Validation rows x scorers (model, fold, entity, period, label, score), materialized once."""
     from .operators.splits import assign_folds
-    prep, _, _ = _dev(spark, sf_dir)
+    if prep is None:
+        prep, _, _ = _dev(spark, sf_dir)
     dev = prep.frame
     last = dev.select(F.max(SPEC.period)).scalar()
     a = assign_folds(dev, SPEC, last, TEST_RUN.validation_months, TEST_RUN.fold_count).where(F.col("validation_fold").isNotNull())
     rows = [F.struct(F.lit(n).alias("model"), e.alias("score")) for n, e in zoo().items()]
-    return a.select(F.col("validation_fold").alias("fold"), SPEC.entity, SPEC.period, F.col(RULE.name).alias("label"),
-                    F.inline(F.array(*rows)))
+    return cut_lineage(a.select(F.col("validation_fold").alias("fold"), SPEC.entity, SPEC.period, F.col(RULE.name).alias("label"),
+                    F.inline(F.array(*rows))))
 
 
 def _zoo_summary(spark, sf_dir):
     from .plans.reports import metric_table, model_summary
-    # models x 1 summary rows, reused by several scalar decisions: persisted once
-    return model_summary(metric_table(_zoo_preds(spark, sf_dir), 0.5), TEST_RUN.fold_count)
+    # models x 1 summary rows, reused by several scalar decisions: materialized once
+    return cut_lineage(model_summary(metric_table(_zoo_preds(spark, sf_dir), 0.5), TEST_RUN.fold_count))
 
 
 @query("weak_fold")
@@ -1004,9 +1005,10 @@ def q_weak_fold(spark, sf_dir):
     return rounded(per.agg(F.min_by("fold", "mean_pr_auc").alias("weak_fold"), F.min("mean_pr_auc").alias("mean_pr_auc")))
 
 
-def _weak(spark, sf_dir):
+def _weak(z):
+    """Weak fold (scalar) from zoo predictions already built in the calling query."""
     from .plans.reports import metric_table
-    t = metric_table(_zoo_preds(spark, sf_dir).where(~F.col("model").isin(*BASELINES)), 0.5)
+    t = metric_table(z.where(~F.col("model").isin(*BASELINES)), 0.5)
     return t.groupBy("fold").agg(F.avg("pr_auc").alias("m")).select(F.min_by("fold", "m")).scalar()
 
 
@@ -1020,7 +1022,8 @@ def q_cohort_profile(spark, sf_dir):
     last = dev.select(F.max(SPEC.period)).scalar()
     first = dev.groupBy(SPEC.entity).agg(F.min(SPEC.period).alias("_first"))  # one row per entity
     a = assign_folds(dev, SPEC, last, TEST_RUN.validation_months, TEST_RUN.fold_count).where(F.col("validation_fold").isNotNull())
-    a = a.join(first, SPEC.entity).withColumn("cohort", F.when(F.col("validation_fold") == _weak(spark, sf_dir), "weak_fold").otherwise("other_folds"))
+    weak = _weak(_zoo_preds(spark, sf_dir, prep))
+    a = a.join(first, SPEC.entity).withColumn("cohort", F.when(F.col("validation_fold") == weak, "weak_fold").otherwise("other_folds"))
     return rounded(a.groupBy("cohort").agg(
         F.count(F.lit(1)).alias("rows"), F.countDistinct(SPEC.entity).alias("entities"),
         F.avg(F.col(RULE.name).cast("double")).alias("prevalence"),
@@ -1037,16 +1040,17 @@ def q_feature_drift(spark, sf_dir):
     dev = prep.frame
     last = dev.select(F.max(SPEC.period)).scalar()
     a = assign_folds(dev, SPEC, last, TEST_RUN.validation_months, TEST_RUN.fold_count).where(F.col("validation_fold").isNotNull())
-    weak = _weak(spark, sf_dir)
+    weak = _weak(_zoo_preds(spark, sf_dir, prep))
     return rounded(standardized_drift(a.where(F.col("validation_fold") == weak), a.where(F.col("validation_fold") != weak), prep.features))
 
 
 def _weak_errors(spark, sf_dir):
     """Weak-fold rows of the primary rule score with errors at its recall-0.70 threshold from the selection folds."""
     from .operators.metrics import operating_threshold
-    z = _zoo_preds(spark, sf_dir).where(F.col("model") == "rule_unplanned_r3")
+    zall = _zoo_preds(spark, sf_dir)
+    z = zall.where(F.col("model") == "rule_unplanned_r3")
     t = operating_threshold(z.where(F.col("fold") < TEST_RUN.fold_count), 0.70).select("threshold").scalar()
-    w = z.where(F.col("fold") == _weak(spark, sf_dir))
+    w = z.where(F.col("fold") == _weak(zall))
     return w.withColumn("error", ((F.col("score") >= t).cast("int") != F.col("label")).cast("int"))
 
 
@@ -1131,3 +1135,30 @@ def q_fold_overlap(spark, sf_dir):
     dev = prep.frame
     last = dev.agg(F.max(SPEC.period).alias("m")).first()["m"]
     return fold_overlap(dev, SPEC, last, TEST_RUN.validation_months, TEST_RUN.fold_count, start, end)
+
+
+def _scaled(grid, **override):
+    """Test-run copy of a reference grid with fewer trees / iterations (local mode)."""
+    return [{**g, **override} for g in grid]
+
+
+@query("forest_tune")
+def q_forest_tune(spark, sf_dir):
+    """Forest grid of two; selection = mean AP over folds 1..3, tie-break lower std."""
+    from .plans.modeling import tune
+    from .plans.reports import select_candidate
+    from .spec import FOREST_GRID
+    prep, dev, folds = _dev_folds(spark, sf_dir)
+    cands = [ModelSpec("forest", {**g, "maxDepth": 6}) for g in _scaled(FOREST_GRID, numTrees=20)]
+    return select_candidate(cut_lineage(tune(folds, SPEC, prep.features, RULE.name, cands)), TEST_RUN.fold_count)
+
+
+@query("gbt_tune")
+def q_gbt_tune(spark, sf_dir):
+    """Boosting grid of two (iterations scaled for the test run)."""
+    from .plans.modeling import tune
+    from .plans.reports import select_candidate
+    from .spec import BOOSTING_GRID
+    prep, dev, folds = _dev_folds(spark, sf_dir)
+    cands = [ModelSpec("boosting", g) for g in _scaled(BOOSTING_GRID, maxIter=10)]
+    return select_candidate(cut_lineage(tune(folds, SPEC, prep.features, RULE.name, cands)), TEST_RUN.fold_count)

@@ -120,3 +120,11 @@ class RunConfig:
     holdout_months: int = 3
     validation_months: int = 3
     fold_count: int = 4
+
+# The reference's first tree grids (two candidates each), in Spark terms.
+# Forest: trees, minimum leaf rows, features per split. Boosting: iterations, step size,
+# depth ~ ceil(log2(max leaf nodes)) for 15 and 31 leaves.
+FOREST_GRID = ({"numTrees": 200, "minInstancesPerNode": 5, "featureSubsetStrategy": "sqrt"},
+               {"numTrees": 200, "minInstancesPerNode": 12, "featureSubsetStrategy": "0.7"})
+BOOSTING_GRID = ({"maxIter": 150, "stepSize": 0.1, "maxDepth": 4},
+                 {"maxIter": 150, "stepSize": 0.05, "maxDepth": 5})
