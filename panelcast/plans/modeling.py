@@ -57,12 +57,28 @@ def _learner(m: ModelSpec, weight_sum: float):
     raise ValueError(m.kind)
 
 
-def fit_pipeline(train: DataFrame, features: list[str], label: str, m: ModelSpec) -> PipelineModel:
-    """Statistics + assembler + learner fitted on ``train``; persistable with ``.save``."""
-    stats = fit_stats(train, features, scale=m.scaled)
+@dataclass(frozen=True)
+class FoldPrep:
+    """Training-fold statistics shared by every candidate fitted on the same rows."""
+    stats: object
+    weights: tuple[float, float]
+    rows: int
+
+
+def prepare_fold(train: DataFrame, features: list[str], label: str, scaled: bool) -> FoldPrep:
+    stats = fit_stats(train, features, scale=scaled)
     w = class_weight_values(train, label)
+    n = train.count()
+    return FoldPrep(stats, w, n)
+
+
+def fit_pipeline(train: DataFrame, features: list[str], label: str, m: ModelSpec, prepared: FoldPrep | None = None) -> PipelineModel:
+    """Statistics + assembler + learner fitted on ``train``; persistable with ``.save``."""
+    prepared = prepared or prepare_fold(train, features, label, m.scaled)
+    stats, w = prepared.stats, prepared.weights
     staged = train.withColumn("label", F.col(label).cast("double")).withColumn("weight", class_weight(label, w))
-    weight_sum = staged.agg(F.sum("weight")).first()[0] if m.kind == "logistic" else 1.0
+    # balanced weights sum to the row count when both classes occur: n0*n/(2 n0) + n1*n/(2 n1) = n
+    weight_sum = float(prepared.rows) if all(w) else staged.agg(F.sum("weight")).first()[0]
     stages = [as_sql_stage(stats), VectorAssembler(inputCols=[f"{c}__prep" for c in features], outputCol="features"),
               _learner(m, weight_sum)]
     return Pipeline(stages=stages).fit(staged)
@@ -73,11 +89,11 @@ def score(model: PipelineModel, df: DataFrame) -> DataFrame:
 
 
 def fold_predictions(folds: list[Fold], spec: PanelSpec, features: list[str], label: str, m: ModelSpec,
-                     keep_models: list | None = None) -> DataFrame:
+                     keep_models: list | None = None, prepared: dict | None = None) -> DataFrame:
     """Fit per fold on its training rows, score its validation rows, union."""
     parts = []
     for f in folds:
-        model = fit_pipeline(f.train, features, label, m)
+        model = fit_pipeline(f.train, features, label, m, (prepared or {}).get(f.position))
         if keep_models is not None:
             keep_models.append((f, model))
         parts.append(score(model, f.validation).select(
@@ -135,9 +151,11 @@ def holdout_evaluation(dev: DataFrame, holdout: DataFrame, spec: PanelSpec, feat
 def tune(folds: list[Fold], spec: PanelSpec, features: list[str], label: str, candidates: list[ModelSpec]) -> DataFrame:
     """G11 for any learner: per candidate and fold AP / ROC-AUC (metric table, candidates x folds rows)."""
     from ..operators.ladder import ranking_metrics, score_ladder
+    shared = {scaled: {f.position: prepare_fold(f.train, features, label, scaled) for f in folds}
+              for scaled in {m.scaled for m in candidates}}
     parts = []
     for i, m in enumerate(candidates):
-        p = fold_predictions(folds, spec, features, label, m)
+        p = fold_predictions(folds, spec, features, label, m, prepared=shared[m.scaled])
         parts.append(ranking_metrics(score_ladder(p, by=["fold"]), ["fold"]).withColumns(
             {"candidate": F.lit(i), "kind": F.lit(m.kind), "params": F.lit(repr(sorted(m.params.items())))}))
     out = parts[0]

@@ -848,21 +848,14 @@ def q_cv_predictions(spark, sf_dir):
 
 @query("tune_select")
 def q_tune_select(spark, sf_dir):
-    """Logistic grid; mean AP over all folds but the last, tie-break lower std over all folds."""
-    from .plans.modeling import fold_predictions
-    from .operators.ladder import ranking_metrics, score_ladder
+    """Logistic grid; mean AP over all folds but the last, tie-break lower std over all folds.
+    Fold statistics are fitted once per fold and shared by the seven candidates."""
+    from .plans.modeling import tune
+    from .plans.reports import select_candidate
     from .spec import LOGISTIC_GRID
     prep, dev, folds = _dev_folds(spark, sf_dir)
-    parts = []
-    for i, (pen, C) in enumerate(LOGISTIC_GRID):
-        p = fold_predictions(folds, SPEC, prep.features, RULE.name, ModelSpec("logistic", {"C": C, "penalty": pen, "maxIter": 50}))
-        parts.append(ranking_metrics(score_ladder(p, by=["fold"]), ["fold"]).withColumns(
-            {"candidate": F.lit(i), "penalty": F.lit(pen), "C": F.lit(C)}))
-    table = parts[0]
-    for p in parts[1:]:
-        table = table.unionByName(p)
-    from .plans.reports import select_candidate
-    return select_candidate(cut_lineage(table), TEST_RUN.fold_count)  # candidates x folds rows, read twice
+    cands = [ModelSpec("logistic", {"C": C, "penalty": pen, "maxIter": 50}) for pen, C in LOGISTIC_GRID]
+    return select_candidate(cut_lineage(tune(folds, SPEC, prep.features, RULE.name, cands)), TEST_RUN.fold_count)
 
 
 def _calibration_runs(spark, sf_dir):
