@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..spec import CANONICAL_COLUMNS, ELEVATOR, PanelSpec
+from ..spec import CANONICAL_COLUMNS, EXPORT_SPEC, PanelSpec
 
 MONTH_FORMAT = "MM/dd/yyyy"
 
@@ -102,7 +102,7 @@ def canonicalize(
     *,
     start_month: str = "2021-01-01",
     equipment_type: str = "Elevator",
-    spec: PanelSpec = ELEVATOR,
+    spec: PanelSpec = EXPORT_SPEC,
     columns=CANONICAL_COLUMNS,
     type_column: str = "Equipment Type",
     strict: bool = True,

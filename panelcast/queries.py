@@ -109,20 +109,20 @@ def q_canonicalize(spark, sf_dir):
 def q_parse_failures(spark, sf_dir):
     """B3/B4 on a dirty export: unparseable months and non-numeric counts."""
     from .operators.canonical import coerce_count, parse_period
-    from .spec import ELEVATOR
+    from .spec import EXPORT_SPEC
     src = _export(spark, sf_dir, dirty=True)
     return src.agg(
         F.count_if(parse_period("Month").isNull()).alias("unparseable_months"),
         *[F.count_if(F.col(f"`{c}`").isNotNull() & coerce_count(c).isNull()).alias(f"bad_{c.lower().replace(' ', '_')}")
-          for c in ELEVATOR.counts],
+          for c in EXPORT_SPEC.counts],
     )
 
 
 @query("normalize_ratio")
 def q_normalize_ratio(spark, sf_dir):
     from .operators.canonical import ratio_report
-    from .spec import ELEVATOR
-    return rounded(ratio_report(_export(spark, sf_dir), ELEVATOR.ratios))
+    from .spec import EXPORT_SPEC
+    return rounded(ratio_report(_export(spark, sf_dir), EXPORT_SPEC.ratios))
 
 
 @query("rule_violations")

@@ -1,7 +1,7 @@
 """Panel description and fixed parameters.
 
 A panel is one row per (entity, period). ``PanelSpec`` names the columns so the
-same operators run on the elevator export layout and on panels derived from
+same operators run on the official export layout and on panels derived from
 the driver's tables.
 """
 
@@ -61,7 +61,7 @@ class LabelRule:
 
 
 # Fixed values that must equal the reference's configuration.
-ELEVATOR = PanelSpec(
+EXPORT_SPEC = PanelSpec(
     entity="Equipment Code",
     period="Month",
     total="Total Outages",

@@ -7,7 +7,7 @@ import pytest
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from panelcast.session import build_session  # noqa: E402
-from panelcast.spec import ELEVATOR  # noqa: E402
+from panelcast.spec import EXPORT_SPEC  # noqa: E402
 
 SCHEMA = ("`Month` date, `Equipment Code` string, `Total Outages` bigint, `Scheduled Outages` bigint, "
           "`Unscheduled Outages` bigint, `Entrapments` bigint, `Time Since Major Improvement` double, "
@@ -44,4 +44,4 @@ def monthly(spark):
 
 @pytest.fixture
 def spec():
-    return ELEVATOR
+    return EXPORT_SPEC
