@@ -104,3 +104,24 @@ def test_distributed_rank_exact(spark):
     txt = spark.createDataFrame([(w,) for w in ["b", "a", "ab", "abc", "z", "B", "", "éa"]], "w string")
     ranks = {r["w"]: r["rank"] for r in distributed_rank(txt, "w", buckets=4).collect()}
     assert [w for w, _ in sorted(ranks.items(), key=lambda kv: kv[1])] == sorted(ranks, key=lambda w: w.encode())
+
+
+def test_holdout_count_guard(spark, monthly, spec):
+    from panelcast.operators.splits import SplitError, assert_holdout_counts
+    expected = spark.createDataFrame([(month(6), 2), (month(7), 2)], f"`{spec.period}` date, expected_rows long")
+    holdout = monthly.where(F.col(spec.period).isin(month(6), month(7)))
+    assert_holdout_counts(holdout, spec, expected)
+    with pytest.raises(SplitError):
+        assert_holdout_counts(holdout.limit(3), spec, expected)
+
+
+def test_guarded_canonical_sink(spark, tmp_path, monthly):
+    from panelcast.operators.canonical import CanonicalError, write_canonical
+    protected = str(tmp_path / "snapshot")
+    with pytest.raises(CanonicalError):
+        write_canonical(monthly, protected, protected=(protected,))
+    out = str(tmp_path / "out")
+    write_canonical(monthly, out)
+    with pytest.raises(Exception):
+        write_canonical(monthly, out)
+    write_canonical(monthly, out, overwrite=True)
