@@ -63,3 +63,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A table path below the shared checkpoint folder."""
     return os.path.join(checkpoint_dir(spark), name)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin to the default parallelism when a (small, AQE-coalesced) frame has fewer
+    partitions than cores; a no-op for large inputs, which already have more."""
+    dp = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(dp) if df.rdd.getNumPartitions() < dp else df
