@@ -74,8 +74,9 @@ def prepare_fold(train: DataFrame, features: list[str], label: str, scaled: bool
 
 def fit_pipeline(train: DataFrame, features: list[str], label: str, m: ModelSpec, prepared: FoldPrep | None = None) -> PipelineModel:
     """Statistics + assembler + learner fitted on ``train``; persistable with ``.save``."""
-    from ..session import spread
-    train = spread(train)  # iterative learners: use every core even for small folds
+    if m.kind in ("forest", "boosting"):
+        from ..session import spread
+        train = spread(train)  # histogram passes are heavy per row: use every core even for small folds
     prepared = prepared or prepare_fold(train, features, label, m.scaled)
     stats, w = prepared.stats, prepared.weights
     staged = train.withColumn("label", F.col(label).cast("double")).withColumn("weight", class_weight(label, w))
