@@ -116,13 +116,16 @@ def eligibility_audit(df: DataFrame, spec: PanelSpec, suffixes) -> DataFrame:
 
 def feature_history_audit(df: DataFrame, spec: PanelSpec, suffixes, feature_sets: dict[str, FeatureSet]) -> DataFrame:
     """Per feature set, non-excluded rows and entities with history >= its minimum.
-    One aggregation with conditional counts, stacked into one row per set."""
+    Per-entity partial counts first (no distinct-aggregate row expansion), then one
+    aggregate stacked into one row per set."""
     h = add_consecutive_history(df, spec).where(~excluded_suffix(spec, suffixes))
+    hist = F.col("consecutive_history_months")
+    per_entity = h.groupBy(spec.entity).agg(
+        *[F.count_if(hist >= fs.minimum_history).alias(f"{name}__n") for name, fs in feature_sets.items()])
     aggs = []
-    for name, fs in feature_sets.items():
-        ok = F.col("consecutive_history_months") >= fs.minimum_history
-        aggs += [F.count_if(ok).alias(f"{name}__rows"), F.countDistinct(F.when(ok, F.col(spec.entity))).alias(f"{name}__entities")]
-    wide = h.agg(*aggs)
+    for name in feature_sets:
+        aggs += [F.sum(f"{name}__n").cast("bigint").alias(f"{name}__rows"), F.count_if(F.col(f"{name}__n") > 0).alias(f"{name}__entities")]
+    wide = per_entity.agg(*aggs)
     rows = [
         F.struct(F.lit(name).alias("feature_set"), F.lit(fs.minimum_history).alias("minimum_history"),
                  F.col(f"{name}__rows").alias("eligible_rows"), F.col(f"{name}__entities").alias("eligible_entities"))
@@ -132,15 +135,17 @@ def feature_history_audit(df: DataFrame, spec: PanelSpec, suffixes, feature_sets
 
 
 def missing_age_audit(df: DataFrame, spec: PanelSpec, suffixes) -> DataFrame:
-    """Null-age rows, affected entities, whether every null lies on the entity's first row."""
-    w = entity_window(spec)
-    staged = with_index(df, spec).where(~excluded_suffix(spec, suffixes)).select(
-        spec.entity, F.col(spec.age).isNull().alias("_miss"), (F.row_number().over(w) == 1).alias("_first")
-    )
-    return staged.agg(
-        F.count_if("_miss").alias("missing_rows"),
-        F.countDistinct(F.when(F.col("_miss"), F.col(spec.entity))).alias("affected_entities"),
-        F.coalesce(F.bool_and(~F.col("_miss") | F.col("_first")), F.lit(True)).alias("all_on_first_record"),
+    """Null-age rows, affected entities, whether every null lies on the entity's first row.
+    One row per period and entity, so "all nulls on the first row" is max(null idx) = min(idx):
+    a per-entity partial aggregate replaces the row-number window."""
+    d = with_index(df, spec).where(~excluded_suffix(spec, suffixes))
+    miss = F.col(spec.age).isNull()
+    per_entity = d.groupBy(spec.entity).agg(
+        F.count_if(miss).alias("_m"), F.min(IDX).alias("_first"), F.max(F.when(miss, F.col(IDX))).alias("_last_miss"))
+    return per_entity.agg(
+        F.sum("_m").cast("bigint").alias("missing_rows"),
+        F.count_if(F.col("_m") > 0).alias("affected_entities"),
+        F.coalesce(F.bool_and((F.col("_m") == 0) | (F.col("_last_miss") == F.col("_first"))), F.lit(True)).alias("all_on_first_record"),
     )
 
 

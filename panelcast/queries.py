@@ -561,11 +561,16 @@ def q_prevalence_populations(spark, sf_dir):
     dev = lab.where((F.col(SPEC.period) < start) & F.col(RULE.name).isNotNull())
     h = F.col("consecutive_history_months")
     pops = [("all_eligible", F.lit(True)), ("history_1", h >= 1), ("history_4", h >= 4), ("history_6", h >= 6)]
+    y = F.col(RULE.name) == 1
+    # per-entity partial counts first: distinct entities become plain counts (no row expansion)
+    per_entity = dev.groupBy(SPEC.entity).agg(
+        *[F.count_if(cond).alias(f"{name}__n") for name, cond in pops],
+        *[F.count_if(cond & y).alias(f"{name}__p") for name, cond in pops])
     aggs = []
-    for name, cond in pops:
-        aggs += [F.count_if(cond).alias(f"{name}__n"), F.count_if(cond & (F.col(RULE.name) == 1)).alias(f"{name}__p"),
-                 F.countDistinct(F.when(cond, F.col(SPEC.entity))).alias(f"{name}__e")]
-    wide = dev.agg(*aggs, F.count_if(F.col(RULE.name).isNull()).alias("_u"))
+    for name, _ in pops:
+        aggs += [F.sum(f"{name}__n").cast("bigint").alias(f"{name}__n"), F.sum(f"{name}__p").cast("bigint").alias(f"{name}__p"),
+                 F.count_if(F.col(f"{name}__n") > 0).alias(f"{name}__e")]
+    wide = per_entity.agg(*aggs)
     rows = [F.struct(F.lit(n).alias("population"), F.col(f"{n}__n").alias("labeled_rows"), F.col(f"{n}__p").alias("positive_rows"),
                      (F.col(f"{n}__n") - F.col(f"{n}__p")).alias("negative_rows"),
                      (F.col(f"{n}__p") / F.col(f"{n}__n")).alias("prevalence"), F.col(f"{n}__e").alias("entities")) for n, _ in pops]
