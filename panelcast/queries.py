@@ -908,12 +908,13 @@ def q_calibration_choice(spark, sf_dir):
 @query("seed_stability")
 def q_seed_stability(spark, sf_dir):
     """Forest over five seeds: mean/std/min of mean AP and the largest per-row score spread."""
-    from .plans.modeling import fold_predictions
+    from .plans.modeling import fold_predictions, prepare_fold
     from .plans.reports import seed_stability
     from .spec import FOREST_SEEDS
     prep, dev, folds = _dev_folds(spark, sf_dir)
-    parts = [fold_predictions(folds, SPEC, prep.features, RULE.name, ModelSpec("forest", {"numTrees": 15, "maxDepth": 8}, seed))
-             .withColumn("seed", F.lit(seed)) for seed in FOREST_SEEDS]
+    shared = {f.position: prepare_fold(f.train, prep.features, RULE.name, False) for f in folds}  # same for every seed
+    parts = [fold_predictions(folds, SPEC, prep.features, RULE.name, ModelSpec("forest", {"numTrees": 15, "maxDepth": 8}, seed),
+                              prepared=shared).withColumn("seed", F.lit(seed)) for seed in FOREST_SEEDS]
     runs = parts[0]
     for p in parts[1:]:
         runs = runs.unionByName(p)
@@ -937,18 +938,16 @@ def q_ablation_summary(spark, sf_dir):
     from dataclasses import replace
     from .plans.modeling import fold_predictions
     from .operators.ladder import ranking_metrics, score_ladder
+    from .operators.features import feature_names
     from .operators.splits import rolling_folds
+    prep, _, _ = _dev(spark, sf_dir, FEATURE_SETS["full_history"])  # same rows for every variant, built once
+    base = prep.frame.withColumn("age_missing", F.col(SPEC.age).isNull().cast("int"))
+    folds = rolling_folds(base, SPEC, TEST_RUN.validation_months, TEST_RUN.fold_count, check=False)
     parts = []
     for name in ("current_only", "short_history", "full_history"):
         for age in (False, True):
             fs = replace(FEATURE_SETS[name], include_age=age)
-            prep, _, _ = _dev(spark, sf_dir, FEATURE_SETS["full_history"])  # same rows for every variant
-            from .operators.features import feature_names
             feats = feature_names(SPEC, fs)
-            dev = prep.frame
-            if age:
-                dev = dev.withColumn("age_missing", F.col(SPEC.age).isNull().cast("int"))
-            folds = rolling_folds(dev, SPEC, TEST_RUN.validation_months, TEST_RUN.fold_count, check=False)
             p = fold_predictions(folds, SPEC, feats, RULE.name, ModelSpec("logistic", {"maxIter": 50}))
             m = ranking_metrics(score_ladder(p, by=["fold"]), ["fold"])
             parts.append(m.agg(F.avg("pr_auc").alias("mean_pr_auc"), F.min("pr_auc").alias("worst_pr_auc"))
