@@ -119,3 +119,31 @@ def test_strict_parse_errors(spark):
     dirty = export_from_lineitem(spark, "/root/testdata/sf0.001", dirty=True)
     with pytest.raises(CanonicalError, match="Month|numeric"):
         canonicalize(dirty, start_month="1996-01-01")
+
+
+def _brute_ap_auc(y, p):
+    import numpy as np
+    y, p = np.asarray(y), np.asarray(p)
+    P, N = y.sum(), len(y) - y.sum()
+    ap = 0.0
+    for s in np.unique(p)[::-1]:
+        hit = p >= s
+        ap += y[p == s].sum() / P * (y[hit].sum() / hit.sum())
+    auc = sum((1.0 if a > b else 0.5 if a == b else 0.0) for a in p[y == 1] for b in p[y == 0]) / (P * N)
+    return ap, auc
+
+
+def test_ladder_matches_brute_force_with_groups_and_buckets(spark):
+    import numpy as np
+    rng = np.random.default_rng(3)
+    rows, expect = [], {}
+    for g in range(3):
+        p = np.round(rng.uniform(size=120), 2)  # many ties
+        y = (rng.uniform(size=120) < p).astype(int)
+        rows += [(g, int(a), float(b)) for a, b in zip(y, p)]
+        expect[g] = _brute_ap_auc(y, p)
+    df = spark.createDataFrame(rows, "fold int, label int, score double")
+    got = {r["fold"]: (r["pr_auc"], r["roc_auc"]) for r in ranking_metrics(score_ladder(df, by=["fold"], buckets=8), ["fold"]).collect()}
+    for g, (ap, auc) in expect.items():
+        assert got[g][0] == pytest.approx(ap, abs=1e-12)
+        assert got[g][1] == pytest.approx(auc, abs=1e-12)
