@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelcast.llm import packing, quality
+from panelcast.llm import langid, neardup, packing, quality
 from panelcast.llm.common import table
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -21,6 +21,16 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(table(spark, sf_dir, "documents"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), size=4)
+
+
 REGISTRY["op2_best_fit_packing"] = op2_best_fit_packing
 REGISTRY["op3_quality_rules"] = op3_quality_rules
+REGISTRY["op4_language_id"] = op4_language_id
+REGISTRY["op10_minhash_near_dedup"] = op10_minhash_near_dedup
 SQL["op3_quality_rules"] = quality.REPORT_SQL
