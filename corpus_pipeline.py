@@ -1,12 +1,53 @@
-"""The corpus pipeline: stages applied to ``documents`` one after another."""
+"""The corpus pipeline: quality rules, language identification, near-duplicate removal, benchmark
+decontamination and packing, each on all rows its predecessor kept.
+
+A stage takes (spark, docs, sf_dir). All but the last return the columns of ``docs``; the first one
+replaces ``text`` (and ``n_chars``, if present) by the lines that passed. Rows with a null doc_id pass
+the filters that look at the row alone, and never stand for a group of near copies.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from panelcast.llm import decontam, langid, neardup, packing, quality
 from panelcast.llm.common import table, written
 
-STAGES: list = []
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Line-first cleaning: rejected documents go, the others keep their passing lines."""
+    judged = quality.judge(docs).filter(F.col("quality.kept"))
+    fresh = {"text": F.col("quality.clean_text"), "n_chars": F.length("quality.clean_text").cast("long")}
+    return judged.select(*[fresh[c].alias(c) if c in fresh else F.col(f"`{c}`") for c in docs.columns])
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without letters or too far from every language's centroids go."""
+    model = langid.fit(docs.filter(~langid.held_out(F.col("doc_id"))))
+    return docs.withColumn("__lang", langid.predictor(model)(F.col("text").cast("string"))).filter(~F.col("__lang.rejected")).select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate component stays: the one with its smallest id, once."""
+    kept = written(neardup.near_duplicates(docs).filter("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("__rows")), "kept")
+    once = docs.join(kept.filter("__rows = 1"), "doc_id", "left_semi")
+    again = docs.join(kept.filter("__rows > 1"), "doc_id", "left_semi").dropDuplicates(["doc_id"])  # repeated rows of a kept id
+    return once.unionByName(again).select(*docs.columns)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that leak a benchmark item go."""
+    return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the remaining documents and their places in sequences."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [("quality_rules", quality_rules), ("language_id", language_id), ("near_dedup", near_dedup),
+          ("benchmark_decontamination", benchmark_decontamination), ("best_fit_packing", best_fit_packing)]
 #: Language models, tokenisation and packing are not SQL-expressible; tests hold the stages against brute force.
 ORACLE_SQL = None
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelcast.llm import langid, neardup, packing, quality
+from panelcast.llm import decontam, langid, neardup, packing, quality
 from panelcast.llm.common import table
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,6 +25,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), size=4)
 
@@ -32,5 +36,6 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 REGISTRY["op2_best_fit_packing"] = op2_best_fit_packing
 REGISTRY["op3_quality_rules"] = op3_quality_rules
 REGISTRY["op4_language_id"] = op4_language_id
+REGISTRY["op5_benchmark_decontamination"] = op5_benchmark_decontamination
 REGISTRY["op10_minhash_near_dedup"] = op10_minhash_near_dedup
 SQL["op3_quality_rules"] = quality.REPORT_SQL
