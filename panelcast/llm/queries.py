@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from panelcast.llm import decontam, langid, neardup, packing, quality
+from panelcast.llm import decontam, langid, neardup, packing, quality, sharding
 from panelcast.llm.common import table
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +30,11 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_karmarkar_karp_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(table(spark, sf_dir, "documents")).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), size=4)
 
@@ -37,5 +43,6 @@ REGISTRY["op2_best_fit_packing"] = op2_best_fit_packing
 REGISTRY["op3_quality_rules"] = op3_quality_rules
 REGISTRY["op4_language_id"] = op4_language_id
 REGISTRY["op5_benchmark_decontamination"] = op5_benchmark_decontamination
+REGISTRY["op6_karmarkar_karp_sharding"] = op6_karmarkar_karp_sharding
 REGISTRY["op10_minhash_near_dedup"] = op10_minhash_near_dedup
 SQL["op3_quality_rules"] = quality.REPORT_SQL
