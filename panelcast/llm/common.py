@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import math
+import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+import panelcast
 from panelcast.session import checkpoint_dir
 
 #: Words everywhere in this package: runs of anything but ASCII white space.
@@ -20,6 +24,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application; they need not share the driver's folders."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    root = Path(panelcast.__file__).resolve().parent
+    path = Path(tempfile.mkdtemp()) / "panelcast.zip"  # on the driver, which serves the file to executors
+    with zipfile.ZipFile(path, "w") as out:
+        for part in sorted(root.rglob("*.py")):
+            out.write(part, part.relative_to(root.parent))
+    context.addPyFile(str(path))
+    _shipped.add(context.applicationId)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh folder below the shared checkpoint folder, visible to the driver and every executor."""
     return f"{checkpoint_dir(spark).rstrip('/')}/panelcast-{name}-{uuid.uuid4().hex}"

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelcast.llm.common import written
+from panelcast.llm.common import ship, written
 
 WINDOW = 5
 MIN_PLAIN = 3
@@ -132,6 +132,7 @@ def _windows(rows: DataFrame, ids: list[str], wanted: np.ndarray | None) -> Data
 
 def leaks(docs: DataFrame, benchmark: DataFrame, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
     """(doc_id, item_id, n_windows, n_matched, coverage, reparameterised) of every leaked item."""
+    ship(docs.sparkSession)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).distinct()
     items = items.withColumn("variant", F.xxhash64("text"))
     known = written(_windows(items, ["item_id", "variant"], None).withColumn("n_windows", F.count(F.lit(1)).over(Window.partitionBy("item_id", "variant"))), "templates")

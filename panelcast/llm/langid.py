@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelcast.llm.common import ship
+
 UND = "und"
 DIMS = 1 << 13
 CLUSTERS = 4
@@ -92,6 +94,7 @@ def held_out(doc_id: Column) -> Column:
 
 def fit(docs: DataFrame) -> Model:
     """Learn from ``text`` and non-null ``lang`` of the rows given (doc_id only orders the sample)."""
+    ship(docs.sparkSession)
     rows = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).filter(
         F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
 

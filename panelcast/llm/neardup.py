@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelcast.llm.common import hot_join, written
+from panelcast.llm.common import hot_join, ship, written
 
 SHINGLE = 5
 SIMILARITY = 80                # per cent, inclusive
@@ -154,6 +154,7 @@ def components(links: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, similarity: int = SIMILARITY) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row."""
+    ship(docs.sparkSession)
     feats = written(features(docs, size), "features")
     classes = written(feats.filter("n_shingles > 0").groupBy("digest", "sig").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_docs")), "classes")
     total = classes.count()

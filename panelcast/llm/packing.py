@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelcast.llm.common import rank_within, written
+from panelcast.llm.common import rank_within, ship, written
 
 CAPACITY = 2048
 END_ID = 0
@@ -93,6 +93,7 @@ class WordTokenizer:
 
 def tokenised_pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer_path: str | None = None) -> DataFrame:
     """One row per piece: (doc_id, piece, start, length, ids_crc32). Only longer documents are cut."""
+    ship(docs.sparkSession)
     end = np.asarray([END_ID], dtype="<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,6 +219,7 @@ def plan_bins(counts: dict[int, int], capacity: int = CAPACITY) -> list[Pattern]
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Add (sequence_id, offset) to pieces with a ``length`` of 1 to ``capacity``."""
+    ship(pieces.sparkSession)
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `capacity` rows
     keys, firsts, each, bases, offsets = [], [], [], [], []
     given: dict[int, int] = {}

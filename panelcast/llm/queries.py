@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelcast.llm import decontam, langid, neardup, packing, quality, sharding
+from panelcast.llm import decontam, extract, langid, neardup, packing, quality, sharding, warc
 from panelcast.llm.common import table
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,6 +35,14 @@ def op6_karmarkar_karp_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract(table(spark, sf_dir, "pages"))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_and_read(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), size=4)
 
@@ -44,5 +52,7 @@ REGISTRY["op3_quality_rules"] = op3_quality_rules
 REGISTRY["op4_language_id"] = op4_language_id
 REGISTRY["op5_benchmark_decontamination"] = op5_benchmark_decontamination
 REGISTRY["op6_karmarkar_karp_sharding"] = op6_karmarkar_karp_sharding
+REGISTRY["op7_html_extraction"] = op7_html_extraction
+REGISTRY["op8_warc"] = op8_warc
 REGISTRY["op10_minhash_near_dedup"] = op10_minhash_near_dedup
 SQL["op3_quality_rules"] = quality.REPORT_SQL

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelcast.llm.common import hot_join, rank_within, written
+from panelcast.llm.common import hot_join, rank_within, ship, written
 
 SHARDS = 16
 BLOCK = 1 << 14
@@ -73,6 +73,7 @@ def _weights(docs: DataFrame) -> DataFrame:
 def assign(rows: DataFrame, shards: int = SHARDS) -> DataFrame:
     """Add ``shard`` to rows of (key, size, doc_id): groups of one key go together, sums come out equal."""
     spark = rows.sparkSession
+    ship(spark)
     per_key = written(rows.groupBy("key").agg(F.sum("size").alias("weight"), F.count(F.lit(1)).alias("n")), "groups")
     total, n_rows = (x or 0 for x in per_key.agg(F.sum("weight"), F.sum("n")).first())
     share = max(1, total // shards)
