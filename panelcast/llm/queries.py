@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelcast.llm import decontam, extract, langid, neardup, packing, quality, sharding, warc
+from panelcast.llm import decontam, extract, langid, licenses, neardup, packing, quality, sharding, toxicity, warc
 from panelcast.llm.common import table
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -43,16 +47,15 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_and_read(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
 
 
+def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), size=4)
 
 
-REGISTRY["op2_best_fit_packing"] = op2_best_fit_packing
-REGISTRY["op3_quality_rules"] = op3_quality_rules
-REGISTRY["op4_language_id"] = op4_language_id
-REGISTRY["op5_benchmark_decontamination"] = op5_benchmark_decontamination
-REGISTRY["op6_karmarkar_karp_sharding"] = op6_karmarkar_karp_sharding
-REGISTRY["op7_html_extraction"] = op7_html_extraction
-REGISTRY["op8_warc"] = op8_warc
-REGISTRY["op10_minhash_near_dedup"] = op10_minhash_near_dedup
+for _query in (op1_toxicity, op2_best_fit_packing, op3_quality_rules, op4_language_id, op5_benchmark_decontamination, op6_karmarkar_karp_sharding,
+               op7_html_extraction, op8_warc, op9_license_scans, op10_minhash_near_dedup):
+    REGISTRY[_query.__name__] = _query
 SQL["op3_quality_rules"] = quality.REPORT_SQL
