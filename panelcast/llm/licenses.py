@@ -123,7 +123,7 @@ def _needles(vocabulary: list[str], weights: list[list[float]], bias: list[float
                 room[c] -= gain[g][c]
         else:
             keep.append(g)
-    return sorted({max(g.split(" "), key=len) for g in keep})  # a pair needs both of its words: the longer one will do
+    return sorted({max(g.split(" "), key=lambda w: (w not in COMMON, len(w))) for g in keep})  # a pair needs both of its words: the rarer one will do
 
 
 def _probabilities(rows: DataFrame, model: Model, keys: list[str]) -> DataFrame:

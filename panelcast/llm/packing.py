@@ -39,7 +39,7 @@ class WordTokenizer:
     """Token ids of a text as little-endian uint32 bytes, the same as the tokenizer's own encode.
 
     White space separates tokens in this vocabulary, so ids are looked up word by word and each
-    distinct word is encoded once per worker.
+    distinct word is encoded once per worker. The strings of special tokens are ordinary text.
     """
 
     _loaded: dict[str, "WordTokenizer"] = {}
@@ -49,9 +49,12 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         # fixed value: the vocabulary's own split pattern
         self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+        self.separator = regex.compile("[\x1c-\x1f]")
+        self.space = regex.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # byte-level alphabet: printable bytes stand for themselves
         hidden = [b for b in range(256) if b not in shown]
         self.letter = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
@@ -70,7 +73,7 @@ class WordTokenizer:
     def _encode(self, word: str) -> bytes:
         if max(word) < "ɐ":  # below the combining marks: lower case and NFC act letter by letter
             ids: list[int] = []
-            for part in self.split.findall(word):
+            for part in self.split.findall(word.lower()):
                 ids += [t.id for t in self.model.tokenize("".join([self.letter[b] for b in part.encode()]))]
         else:
             ids = self.tokenizer.encode(word, add_special_tokens=False).ids
@@ -79,6 +82,8 @@ class WordTokenizer:
     def ids(self, text: str) -> bytes:
         lowered = text.lower() if not text or max(text) < "ɐ" else text
         words = lowered.split()
+        if self.separator.search(lowered):  # white space to str.split, but not to the tokenizer
+            words = [w for w in self.space.split(lowered) if w]
         known = self.words
         if len(known) > CACHE_WORDS:
             known.clear()
@@ -147,10 +152,10 @@ def dominance_reduction(counts: dict[int, int], capacity: int) -> tuple[list[Pat
         lo, hi, best = 0, len(sizes) - 1, 0
         while lo <= hi:
             a, b = sizes[lo], sizes[hi]
-            if a + b > room:
+            if a + b > room or left[b] == (b == w):
                 hi -= 1
                 continue
-            if (left[a] - (a == w) >= 1 + (a == b)) and left[b] - (b == w) >= 1:
+            if left[a] - (a == w) >= 1 + (a == b):
                 best = max(best, a + b)
             lo += 1
         return best
