@@ -2,19 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
-def table_fingerprint(df: DataFrame) -> DataFrame:
-    """Order-insensitive: row count and the exact decimal sum of a 64-bit row hash.
-    Partial sums combine map side, so it scales like a count."""
-    h = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]).cast("decimal(38,0)")
-    return df.agg(F.count(F.lit(1)).alias("rows"), F.sum(h).cast("string").alias("hash_sum"))
+def _as_text(df: DataFrame, name: str) -> Column:
+    """One spelling per value: floating numbers as whole millionths, times to the second, null as a bare mark."""
+    kind, c = dict(df.dtypes)[name], F.col(f"`{name}`")
+
+    def millionths(x: Column) -> Column:
+        return F.round(x.cast("double") * 1_000_000).cast("decimal(38,0)").cast("string")
 
+    if kind in ("double", "float"):
+        text = millionths(c)
+    elif kind in ("array<float>", "array<double>"):
+        text = F.array_join(F.transform(c, millionths), ";")
+    elif kind.startswith("timestamp"):
+        text = F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+    else:
+        text = c.cast("string")
+    return F.coalesce(F.concat(F.lit("="), text), F.lit("-"))
 
-def file_fingerprints(spark, path_glob: str) -> DataFrame:
-    """Per-file SHA-256 of the raw bytes (pins data versions of source files)."""
-    return spark.read.format("binaryFile").load(path_glob).select("path", "length", F.sha2("content", 256).alias("sha256"))
+
+def table_fingerprint(df: DataFrame) -> DataFrame:
+    """Order-insensitive: row count and the exact sum of 60 bits of each row's MD5, which other engines
+    compute alike. Partial sums combine map side, so it scales like a count."""
+    row = F.md5(F.concat_ws("|", *[_as_text(df, c) for c in df.columns]).cast("binary"))
+    h = F.conv(F.substring(row, 1, 15), 16, 10).cast("decimal(38,0)")
+    return df.agg(F.count(F.lit(1)).alias("rows"), F.sum(h).cast("string").alias("hash_sum"))
 
 
 def snapshot_diff(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -34,12 +34,6 @@ def add_periods(col: Column | str, n: int | Column, grain: str = "month") -> Col
     raise ValueError(f"unknown grain {grain!r}")
 
 
-def period_label(col: Column | str) -> Column:
-    """``YYYY-MM`` text of a period (fold names)."""
-    c = F.col(col) if isinstance(col, str) else col
-    return F.date_format(c, "yyyy-MM")
-
-
 def nan_to_null(col: Column | str) -> Column:
     """NaN means unknown: never let a floating NaN into an aggregate."""
     c = F.col(col) if isinstance(col, str) else col

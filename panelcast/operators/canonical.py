@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.periods import nan_to_null
 from ..spec import CANONICAL_COLUMNS, EXPORT_SPEC, PanelSpec
 
 MONTH_FORMAT = "MM/dd/yyyy"
@@ -22,7 +23,7 @@ def check_columns(df: DataFrame, required=CANONICAL_COLUMNS) -> None:
     """B1: missing columns listed in contract order."""
     missing = [c for c in required if c not in df.columns]
     if missing:
-        raise CanonicalError(f"Missing source columns: {missing}")
+        raise CanonicalError(f"the export lacks {missing}")
 
 
 def parse_period(col: str = "Month", fmt: str = MONTH_FORMAT) -> Column:
@@ -31,18 +32,20 @@ def parse_period(col: str = "Month", fmt: str = MONTH_FORMAT) -> Column:
 
 
 def coerce_count(col: str) -> Column:
-    """Text or number to bigint; null for bad text (caller counts failures)."""
-    return F.col(f"`{col}`").cast("string").try_cast("bigint")
+    """A number, or text that is one ("3", "3.0"), to bigint; null for anything else (caller counts failures)."""
+    number = F.trim(F.col(f"`{col}`").cast("string")).try_cast("double")
+    return F.when((number == F.floor(number)) & (F.abs(number) < 2**53), number.try_cast("bigint"))
 
 
 def _ratio_raw(df: DataFrame, col: str) -> tuple[Column, Column]:
     """Per-row value and percent flag: strings are trimmed, a trailing '%' divides that row by 100."""
     c = F.col(f"`{col}`")
-    if dict(df.dtypes)[col] in ("double", "float", "int", "bigint", "decimal"):
-        return c.cast("double"), F.lit(False)
+    if not dict(df.dtypes)[col].startswith("string"):
+        return nan_to_null(c.cast("double")), F.lit(False)
     text = F.trim(c.cast("string"))
     pct = F.coalesce(text.endswith("%"), F.lit(False))
     value = F.regexp_replace(text, "%+$", "").try_cast("double")
+    value = nan_to_null(value)  # a NaN is an unknown ratio and must not win the column's maximum
     return F.when(pct, value / 100.0).otherwise(value), pct
 
 
@@ -61,7 +64,7 @@ def ratio_scales(df: DataFrame, cols) -> dict[str, float]:
             if m <= 100.0:
                 scales[c] = 100.0
             else:
-                raise CanonicalError(f"Ratio values exceed expected percent scale in {c}.")
+                raise CanonicalError(f"{c} reaches {m}, above a percentage")
         else:
             scales[c] = 1.0
     return scales
@@ -107,7 +110,7 @@ def canonicalize(
     type_column: str = "Equipment Type",
     strict: bool = True,
 ) -> DataFrame:
-    """B1 -> B7. Keeps the original month text; counts become bigint, ratios proportions."""
+    """B1 -> B6 (the sink applies the order, B7). Keeps the original month text; counts become bigint, ratios proportions."""
     check_columns(source, columns)
     canonical = source.select(*[F.col(f"`{c}`") for c in columns])
     parsed = parse_period(spec.period)
@@ -118,24 +121,33 @@ def canonicalize(
             *[F.count_if(F.col(f"`{c}`").isNotNull() & counts[c].isNull()).alias(c) for c in spec.counts],
         ).first().asDict()
         if bad.pop("months"):
-            raise CanonicalError("Month contains unparseable values.")
+            raise CanonicalError(f"{spec.period}: some values are no {MONTH_FORMAT} date (Month)")
         for c, n in bad.items():
             if n:
-                raise CanonicalError(f"{c} contains non-numeric values.")
+                raise CanonicalError(f"{n} values of {c} are not numeric counts")
     canonical = normalize_ratios(canonical.withColumns(counts), spec.ratios)
     return (
         canonical.withColumn("_parsed", parsed)
         .where((F.col(f"`{type_column}`") == equipment_type) & (F.col("_parsed") >= F.lit(start_month).cast("date")))
-        .orderBy(F.col("_parsed").desc(), F.col(f"`{spec.entity}`"))
         .drop("_parsed")
     )
 
 
-def write_canonical(df: DataFrame, path: str, *, protected: tuple[str, ...] = (), overwrite: bool = False) -> None:
-    """A4: refuse a protected path; refuse an existing output unless ``overwrite``."""
-    import os
+def export_order(df: DataFrame, spec: PanelSpec = EXPORT_SPEC) -> DataFrame:
+    """Newest month first, then entity; a range sort for the sink, not for later operators."""
+    return df.orderBy(parse_period(spec.period).desc(), F.col(f"`{spec.entity}`"))
+
 
-    norm = os.path.realpath(path)
-    if any(norm == os.path.realpath(p) for p in protected):
-        raise CanonicalError("Refusing to overwrite the fixed training snapshot.")
-    df.write.mode("overwrite" if overwrite else "errorifexists").parquet(path)
+def write_canonical(df: DataFrame, path: str, *, protected: tuple[str, ...] = (), overwrite: bool = False) -> None:
+    """Refuse a protected path, however it is spelled, and an existing output unless ``overwrite``."""
+    spark = df.sparkSession
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+
+    def qualified(p: str) -> str:
+        """Scheme, authority and normalized path as the path's own file system names it."""
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path(p)
+        return hadoop.getFileSystem(conf).makeQualified(hadoop).toString().rstrip("/")
+
+    if qualified(path) in {qualified(p) for p in protected}:
+        raise CanonicalError(f"{path} is protected and is not written")
+    export_order(df).write.mode("overwrite" if overwrite else "errorifexists").parquet(path)

@@ -2,8 +2,8 @@
 per group, without a single-partition global window.
 
 1. ``groupBy(by, score)`` combines map side: one row per distinct score.
-2. Equi-depth buckets over the distinct scores (approximate quantiles, at most
-   ``buckets`` cut points reach the driver) keep every bucket about the same
+2. Equi-depth buckets over the distinct scores (approximate quantiles; a cut point
+   per ROWS_PER_BUCKET distinct scores reaches the driver) keep every bucket about the same
    size even when scores pile up in a narrow range or one group is hot.
 3. Per-(group, bucket) totals are tiny; their running offsets come from a
    window over at most ``buckets`` rows per group.
@@ -14,10 +14,15 @@ from its measured runtime size.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..session import cut_lineage
+
 BUCKET = "_bucket"
+ROWS_PER_BUCKET = 50_000
 
 
 def _cuts(g: DataFrame, score: str, buckets: int) -> list[float]:
@@ -28,13 +33,14 @@ def _cuts(g: DataFrame, score: str, buckets: int) -> list[float]:
     return sorted({q for q in qs if q is not None})
 
 
-def score_ladder(preds: DataFrame, label: str = "label", score: str = "score", by: list[str] | tuple = (), buckets: int = 256) -> DataFrame:
-    """Rows: by..., score, pos, n, cum_pos (score >= s), cum_n, total_pos, total_n."""
+def score_ladder(preds: DataFrame, label: str = "label", score: str = "score", by: list[str] | tuple = (), buckets: int | None = None) -> DataFrame:
+    """Rows: by..., score, pos, n, cum_pos (score >= s), cum_n, total_pos, total_n.
+    Without ``buckets`` their number follows from ROWS_PER_BUCKET and the distinct scores."""
     by = list(by)
     g = preds.where(F.col(label).isNotNull() & F.col(score).isNotNull()).groupBy(*by, score).agg(
         F.sum(F.col(label).cast("long")).alias("pos"), F.count(F.lit(1)).alias("n")
     )
-    cuts = _cuts(g, score, buckets)
+    cuts = _cuts(g, score, buckets or max(1, math.ceil(g.count() / ROWS_PER_BUCKET)))
     if cuts:
         splits = [float("-inf"), *cuts, float("inf")]
         gb = Bucketizer(splits=splits, inputCol=score, outputCol=BUCKET, handleInvalid="keep").transform(g)
@@ -94,7 +100,9 @@ def threshold_candidates(preds: DataFrame, ladder: DataFrame, label: str = "labe
         )
         for t in (0.0, 1.0)
     ]
-    cand = base.unionByName(edge[0]).unionByName(edge[1]).dropDuplicates([*by, "threshold"])
+    # an edge that is also a score is in the ladder already
+    ends = edge[0].unionByName(edge[1]).join(base.where(F.col("threshold").isin(0.0, 1.0)).select(*by, "threshold"), [*by, "threshold"], "left_anti")
+    cand = base.unionByName(ends)
     tp, pp = F.col("tp"), F.col("pp")
     prec = F.when(pp > 0, tp / pp).otherwise(0.0)
     rec = F.when(F.col("total_pos") > 0, tp / F.col("total_pos")).otherwise(0.0)
@@ -141,32 +149,14 @@ def policy_thresholds(cands: DataFrame, by: list[str] | tuple = ()) -> DataFrame
     return wide.select(*by, F.inline(F.array(*rows)))
 
 
-def _order_key(df: DataFrame, col: str):
-    """A double that never decreases along the column's sort order (bucketing only;
-    exact order is applied inside buckets). Text: first 7 UTF-8 bytes as a number."""
-    dtype = dict(df.dtypes)[col]
-    if dtype in ("tinyint", "smallint", "int", "bigint", "float", "double") or dtype.startswith("decimal"):
-        return F.col(col).cast("double")
-    if dtype == "date":
-        return F.unix_date(F.col(col)).cast("double")
-    hex7 = F.rpad(F.substring(F.hex(F.col(col).cast("string")), 1, 14), 14, "0")
-    return F.conv(hex7, 16, 10).cast("double")
-
-
-def distributed_rank(df: DataFrame, col: str, buckets: int = 256, name: str = "rank") -> DataFrame:
-    """1-based rank by ascending ``col`` (unique values) without a single-partition window:
-    equi-depth buckets (at most ``buckets`` cut points reach the driver), per-bucket
-    counts and offsets over at most ``buckets`` rows, exact order inside each bucket."""
-    keyed = df.withColumn("_okey", _order_key(df, col))
-    cuts = sorted({q for q in keyed.approxQuantile("_okey", [i / buckets for i in range(1, buckets)], 1.0 / (4 * buckets)) if q is not None})
-    if cuts:
-        keyed = Bucketizer(splits=[float("-inf"), *cuts, float("inf")], inputCol="_okey", outputCol=BUCKET,
-                           handleInvalid="keep").transform(keyed)
-    else:
-        keyed = keyed.withColumn(BUCKET, F.lit(0.0))
-    sizes = keyed.groupBy(BUCKET).agg(F.count(F.lit(1)).alias("_bn"))
-    before = Window.orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)  # at most ``buckets`` rows
+def distributed_rank(df: DataFrame, col: str, buckets: int | None = None, name: str = "rank") -> DataFrame:
+    """1-based rank by ascending ``col`` (unique values) without a single-partition window: rows are range
+    partitioned on the value itself (``buckets`` ranges, by default the session's shuffle partitions) and
+    written once, so ranges stand; offsets are running counts over the ranges."""
+    n = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = cut_lineage(df.repartitionByRange(n, col).withColumn(BUCKET, F.spark_partition_id()))
+    sizes = ranged.groupBy(BUCKET).agg(F.count(F.lit(1)).alias("_bn"))
+    before = Window.orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)  # a row per range
     offsets = sizes.select(BUCKET, F.coalesce(F.sum("_bn").over(before), F.lit(0)).alias("_off"))
     inner = Window.partitionBy(BUCKET).orderBy(col)
-    return keyed.join(offsets, BUCKET).withColumn(name, F.col("_off") + F.row_number().over(inner)) \
-        .drop("_okey", BUCKET, "_off")
+    return ranged.join(offsets, BUCKET).withColumn(name, F.col("_off") + F.row_number().over(inner)).drop(BUCKET, "_off")

@@ -78,7 +78,7 @@ def ece(preds: DataFrame, label: str = "label", score: str = "score", by=()) ->
         (F.sum(F.col("_n") * F.abs(F.col("_p") - F.col("_y"))) / F.sum("_n")).alias("expected_calibration_error"))
 
 
-def evaluate(preds: DataFrame, threshold, label: str = "label", score: str = "score", by=(), buckets: int = 256) -> DataFrame:
+def evaluate(preds: DataFrame, threshold, label: str = "label", score: str = "score", by=(), buckets: int | None = None) -> DataFrame:
     """Full metric row per group: AP, ROC-AUC, Brier + confusion at the threshold."""
     pooled = not by
     if pooled:  # one group: a constant key keeps the same grouped code path
@@ -92,19 +92,19 @@ def evaluate(preds: DataFrame, threshold, label: str = "label", score: str = "sc
     return out.drop("_all") if pooled else out
 
 
-def operating_threshold(preds: DataFrame, minimum_recall: float = 0.70, label: str = "label", score: str = "score", by=(), buckets: int = 256) -> DataFrame:
+def operating_threshold(preds: DataFrame, minimum_recall: float = 0.70, label: str = "label", score: str = "score", by=(), buckets: int | None = None) -> DataFrame:
     """H7: one threshold per group from the ladder candidates."""
     lad = score_ladder(preds, label, score, by, buckets)
     return select_threshold(threshold_candidates(preds, lad, label, score, by), minimum_recall, by)
 
 
-def threshold_policies(preds: DataFrame, label: str = "label", score: str = "score", by=(), buckets: int = 256) -> DataFrame:
+def threshold_policies(preds: DataFrame, label: str = "label", score: str = "score", by=(), buckets: int | None = None) -> DataFrame:
     """H8: four policies."""
     lad = score_ladder(preds, label, score, by, buckets)
     return policy_thresholds(threshold_candidates(preds, lad, label, score, by), by)
 
 
-def policy_transfer(preds: DataFrame, fold: str = "fold", label: str = "label", score: str = "score", buckets: int = 256) -> DataFrame:
+def policy_transfer(preds: DataFrame, fold: str = "fold", label: str = "label", score: str = "score", buckets: int | None = None) -> DataFrame:
     """H9: policies chosen on all folds but the last, evaluated on the last fold only.
     One aggregate over the latest fold scores all four thresholds."""
     last = preds.select(F.max(fold)).scalar()

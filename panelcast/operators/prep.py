@@ -4,17 +4,19 @@ Statistics are fitted on training rows only, in one aggregate each, and come
 back as a handful of scalars per feature. They are applied as native column
 expressions; ``as_sql_stage`` turns them into a persistable pipeline stage.
 
-Exact ``median`` / ``percentile`` keep a value->count map per feature: right for
-counts and bounded ratios. ``approx=True`` switches to ``percentile_approx``
-for high-cardinality doubles at very large scale.
+Quantiles are exact and distributed (``ValueCounts``): no reducer holds a feature's values.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.ml.feature import SQLTransformer
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from ..functions.periods import nan_to_null
+from ..session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -24,41 +26,102 @@ class Stats:
     scales: dict[str, float]
 
 
-def _q(c: Column, probs, approx: bool) -> Column:
-    return F.percentile_approx(c, probs, 10000) if approx else F.percentile(c, probs)
-
-
-def fit_medians(train: DataFrame, cols, approx: bool = False) -> dict[str, float | None]:
+class ValueCounts:
+    """Exact quantiles of many columns without one buffer per column.
+
+    ``groupBy(feature, value)`` combines map side; the counts are range partitioned by (feature, value)
+    and written once, and running counts need a row per (feature, range) plus an order inside a range.
+    Only ranks and their values (a few per feature) reach the driver.
+    """
+
+    def __init__(self, df: DataFrame, cols):
+        self.cols = list(cols)
+        spark = df.sparkSession
+        pairs = F.inline(F.array(*[F.struct(F.lit(i).alias("f"), nan_to_null(F.col(f"`{c}`").cast("double")).alias("v")) for i, c in enumerate(self.cols)]))
+        counts = df.select(pairs).groupBy("f", "v").agg(F.count(F.lit(1)).alias("n"))
+        ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        counts = cut_lineage(counts.repartitionByRange(ranges, "f", "v").withColumn("p", F.spark_partition_id()))
+        sums = counts.groupBy("f").agg(F.sum(F.when(F.col("v").isNotNull(), F.col("n"))).alias("known"), F.sum(F.when(F.col("v").isNull(), F.col("n"))).alias("null")).collect()
+        self.known = {i: 0 for i in range(len(self.cols))} | {r["f"]: r["known"] or 0 for r in sums}
+        self.nulls = {r["f"]: r["null"] or 0 for r in sums}
+        known = counts.where("v IS NOT NULL")
+        before = Window.partitionBy("f").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+        starts = known.groupBy("f", "p").agg(F.sum("n").alias("m")).select("f", "p", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("start"))
+        inside = Window.partitionBy("f", "p").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+        self.running = known.join(starts, ["f", "p"]).select("f", "v", "n", (F.col("start") + F.sum("n").over(inside)).alias("upto"))
+
+    def at(self, ranks: dict[int, set[int]]) -> dict[tuple[int, int], float]:
+        """(feature, rank from 0) -> value."""
+        rows = [(f, r) for f, wanted in ranks.items() for r in wanted]
+        if not rows:
+            return {}
+        asked = self.running.sparkSession.createDataFrame(rows, "f int, r long")
+        hit = self.running.join(F.broadcast(asked), "f").where((F.col("upto") - F.col("n") <= F.col("r")) & (F.col("r") < F.col("upto")))
+        return {(x["f"], x["r"]): x["v"] for x in hit.select("f", "r", "v").collect()}
+
+    def quantiles(self, probs, fill: dict[int, float | None] | None = None) -> dict[int, list[float | None]]:
+        """Linear interpolation between ranks; with ``fill``, as if the nulls of a feature held that value."""
+        below: dict[int, tuple[int, int]] = {}
+        if fill:
+            spots = self.running.sparkSession.createDataFrame([(f, v) for f, v in fill.items() if v is not None], "f int, m double")
+            rows = self.running.join(F.broadcast(spots), "f").groupBy("f").agg(
+                F.sum(F.when(F.col("v") < F.col("m"), F.col("n"))).alias("less"), F.sum(F.when(F.col("v") == F.col("m"), F.col("n"))).alias("same")).collect()
+            below = {r["f"]: (r["less"] or 0, r["same"] or 0) for r in rows}
+        size = {f: n + (self.nulls.get(f, 0) if fill else 0) for f, n in self.known.items()}
+
+        def source(f: int, rank: int) -> int | None:
+            """Rank among the known values; None: the filled value."""
+            if not fill or not self.nulls.get(f, 0):
+                return rank
+            less, same = below.get(f, (0, 0))
+            if rank < less:
+                return rank
+            return None if rank < less + same + self.nulls[f] else rank - self.nulls[f]
+
+        spans = {f: [(math.floor(p * (n - 1)), math.ceil(p * (n - 1)), p * (n - 1)) for p in probs] for f, n in size.items() if n}
+        found = self.at({f: {s for lo, hi, _ in span for s in (source(f, lo), source(f, hi)) if s is not None} for f, span in spans.items()})
+
+        def value(f: int, rank: int) -> float:
+            s = source(f, rank)
+            return fill[f] if s is None else found[f, s]
+
+        return {f: [value(f, lo) + (value(f, hi) - value(f, lo)) * (at - lo) for lo, hi, at in spans[f]] if f in spans else [None] * len(probs) for f in size}
+
+
+def fit_medians(train: DataFrame, cols) -> dict[str, float | None]:
     """G1: exact midpoint medians (not ml.Imputer, which returns an element)."""
     if not cols:
         return {}
-    aggs = [(_q(F.col(c).cast("double"), 0.5, approx) if approx else F.median(F.col(c).cast("double"))).alias(c) for c in cols]
-    return train.agg(*aggs).first().asDict()
+    found = ValueCounts(train, cols).quantiles([0.5])
+    return {c: found[i][0] for i, c in enumerate(cols)}
 
 
 def impute(cols, medians: dict) -> dict[str, Column]:
     return {c: F.coalesce(F.col(c).cast("double"), F.lit(medians[c] if medians[c] is not None else 0.0)) for c in cols}
 
 
-def fit_robust(train: DataFrame, cols, medians: dict, approx: bool = False) -> tuple[dict, dict]:
-    """center = median, scale = IQR with linear interpolation; IQR 0 -> 1. Fitted after imputation."""
-    imp = impute(cols, medians)
-    row = train.agg(*[_q(imp[c], [0.25, 0.5, 0.75], approx).alias(c) for c in cols]).first().asDict()
+def _robust(counts: ValueCounts, medians: dict) -> tuple[dict, dict]:
+    filled = {i: medians[c] if medians[c] is not None else 0.0 for i, c in enumerate(counts.cols)}
     centers, scales = {}, {}
-    for c in cols:
-        q1, q2, q3 = row[c]
-        centers[c] = q2
-        iqr = q3 - q1
-        scales[c] = iqr if iqr != 0 else 1.0
+    for i, (q1, q2, q3) in counts.quantiles([0.25, 0.5, 0.75], filled).items():
+        iqr = 0.0 if q1 is None else q3 - q1
+        centers[counts.cols[i]] = 0.0 if q2 is None else q2
+        scales[counts.cols[i]] = iqr if iqr != 0 else 1.0
     return centers, scales
 
 
-def fit_stats(train: DataFrame, cols, scale: bool = True, approx: bool = False) -> Stats:
-    med = fit_medians(train, cols, approx)
-    if scale:
-        centers, scales = fit_robust(train, cols, med, approx)
-    else:
-        centers, scales = {c: 0.0 for c in cols}, {c: 1.0 for c in cols}
+def fit_robust(train: DataFrame, cols, medians: dict) -> tuple[dict, dict]:
+    """center = median, scale = IQR with linear interpolation; IQR 0 -> 1. Fitted after imputation."""
+    return _robust(ValueCounts(train, cols), medians)
+
+
+def fit_stats(train: DataFrame, cols, scale: bool = True) -> Stats:
+    """G1 and G2 from one pass of value counts."""
+    if not cols:
+        return Stats({}, {}, {})
+    counts = ValueCounts(train, cols)
+    med = {c: q[0] for c, q in zip(counts.cols, (counts.quantiles([0.5])[i] for i in range(len(counts.cols))))}
+    centers, scales = _robust(counts, med) if scale else ({c: 0.0 for c in cols}, {c: 1.0 for c in cols})
     return Stats(med, centers, scales)
 
 

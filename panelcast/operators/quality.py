@@ -72,26 +72,27 @@ def panel_profile(df: DataFrame, spec: PanelSpec) -> DataFrame:
 
 def validate(df: DataFrame, spec: PanelSpec) -> dict:
     """Raise on the first failed rule (contract order); else return the report."""
-    missing = sorted({spec.entity, spec.period, *spec.counts, *spec.ratios} - set(df.columns))
+    age = () if spec.age is None else (spec.age,)
+    missing = sorted({spec.entity, spec.period, *spec.counts, *spec.ratios, *age} - set(df.columns))
     if missing:
-        raise DataValidationError(f"Missing required columns: {missing}")
+        raise DataValidationError(f"the panel lacks required columns {missing}")
     report = (
         rule_violations(df, spec).first().asDict()
         | duplicate_keys(df, spec).first().asDict()
         | df.agg(F.count_if(F.col(spec.period).isNull()).alias("bad_periods")).first().asDict()
     )
     if report["bad_periods"]:
-        raise DataValidationError("Period contains unparseable values.")
+        raise DataValidationError("some periods are null")
     if report["duplicate_rows"]:
-        raise DataValidationError(f"Found {report['duplicate_rows']} duplicate entity and period rows.")
+        raise DataValidationError(f"{report['duplicate_rows']} duplicate rows for a key of entity and period")
     for c in spec.counts:
         if report[f"negative_{c}"]:
-            raise DataValidationError(f"{c} contains negative values.")
+            raise DataValidationError(f"{c} has negative counts")
     for c in spec.ratios:
         if report[f"out_of_range_{c}"]:
-            raise DataValidationError(f"{c} contains values outside [0, 1].")
+            raise DataValidationError(f"{c} leaves the range 0 to 1")
     if report["identity_mismatch"]:
-        raise DataValidationError(f"Found {report['identity_mismatch']} inconsistent total rows.")
+        raise DataValidationError(f"{report['identity_mismatch']} rows with inconsistent totals")
     report |= gap_count(df, spec).first().asDict() | panel_profile(df, spec).first().asDict()
     report |= history_summary(df, spec).first().asDict()
     report["missing_values"] = null_profile(df).first().asDict()

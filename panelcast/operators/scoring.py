@@ -16,10 +16,11 @@ def prediction_table(df: DataFrame, spec: PanelSpec, prob: str, label: str, thre
                      (F.col(prob) >= threshold).cast("int").alias("predicted"), F.col(label).alias("actual"))
 
 
-def latest_unlabeled(df: DataFrame, spec: PanelSpec, label: str, eligible_col: str | None = None) -> DataFrame:
-    """Rows at the latest period with an unknown label (and eligible); target = next period.
-    The latest period is a scalar subquery (one small aggregate)."""
-    last = df.select(F.max(spec.period)).scalar()
+def latest_unlabeled(df: DataFrame, spec: PanelSpec, label: str, eligible_col: str | None = None, source: DataFrame | None = None) -> DataFrame:
+    """Rows at the latest period of ``source`` (the panel before any row filter) with an unknown
+    label (and eligible); target = next period. The latest period is a scalar subquery. Callers that
+    must not score an empty batch pass the result through ``assert_nonempty``."""
+    last = (df if source is None else source).select(F.max(spec.period)).scalar()
     cond = (F.col(spec.period) == last) & F.col(label).isNull()
     if eligible_col:
         cond = cond & F.col(eligible_col)
@@ -28,7 +29,7 @@ def latest_unlabeled(df: DataFrame, spec: PanelSpec, label: str, eligible_col: s
 
 def assert_nonempty(df: DataFrame) -> DataFrame:
     if df.isEmpty():
-        raise ValueError("No unlabeled rows in the latest period.")
+        raise ValueError("nothing to score: the latest period has no row with enough history and an open label")
     return df
 
 

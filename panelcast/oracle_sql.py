@@ -35,7 +35,7 @@ SELECT count(label) AS labeled_rows,
        min(CASE WHEN label IS NOT NULL THEN period END) AS first_period,
        max(CASE WHEN label IS NOT NULL THEN period END) AS last_period
 FROM lab
-WHERE label IS NOT NULL AND consecutive_history_months >= 6 AND period < (SELECT h_start FROM bounds)"""
+WHERE consecutive_history_months >= 6 AND period < (SELECT h_start FROM bounds)"""
 
 from .oracle import ORDERS_PANEL  # noqa: E402
 
@@ -495,16 +495,36 @@ SELECT population, count(*) AS labeled_rows, count_if(label = 1) AS positive_row
        (SELECT count(*) FROM lab WHERE label IS NULL) AS safe_source_unlabeled_rows
 FROM pops GROUP BY population"""
 
-SQL["label_decomposition"] = with_(PANEL, history_ctes()) + """
+_SAFE = with_(PANEL, HOLDOUT) + """
+, safe AS (SELECT * FROM panel WHERE period <= (SELECT h_start FROM bounds))
+""" + "," + history_ctes("safe").strip("\n")
+
+SQL["prevalence_alternatives"] = _SAFE + """
+, nx AS (
+  SELECT entity_id, period, eligible_for_modeling AS e, unplanned_events AS u, severe_events AS s,
+         lead(unplanned_events) OVER w AS nu, lead(severe_events) OVER w AS ns, lead(idx) OVER w = idx + 1 AS adjacent
+  FROM hist WINDOW w AS (PARTITION BY entity_id ORDER BY idx)
+)
+, r AS (SELECT *, coalesce(adjacent, false) AND nu IS NOT NULL AND ns IS NOT NULL AS known FROM nx WHERE period < (SELECT h_start FROM bounds))
+, d AS (
+  SELECT 'next_period_with_excluded' AS definition, entity_id, CAST(nu >= 5 OR ns > 0 AS INTEGER) AS v FROM r WHERE known
+  UNION ALL SELECT 'current_period_with_excluded', entity_id, CAST(u >= 5 OR s > 0 AS INTEGER) FROM r
+  UNION ALL SELECT 'next_period_unplanned_only', entity_id, CAST(nu >= 5 AS INTEGER) FROM r WHERE known AND e
+)
+SELECT definition, count(*) AS labeled_rows, CAST(sum(v) AS BIGINT) AS positive_rows, CAST(count(*) - sum(v) AS BIGINT) AS negative_rows,
+       round(avg(CAST(v AS DOUBLE)), 6) AS prevalence, count(DISTINCT entity_id) AS entities
+FROM d GROUP BY definition"""
+
+SQL["label_decomposition"] = _SAFE + """
 , k AS (
-  SELECT lead(unplanned_events) OVER w >= 5 AS a, lead(severe_events) OVER w > 0 AS b,
+  SELECT period, lead(unplanned_events) OVER w >= 5 AS a, lead(severe_events) OVER w > 0 AS b,
          coalesce(lead(idx) OVER w = idx + 1, false) AND lead(unplanned_events) OVER w IS NOT NULL
            AND lead(severe_events) OVER w IS NOT NULL AS known
   FROM hist WHERE eligible_for_modeling WINDOW w AS (PARTITION BY entity_id ORDER BY idx)
 )
 SELECT count(*) AS labeled_rows, count_if(a) AS unplanned_clause, count_if(b) AS severe_clause, count_if(a AND b) AS both_clauses,
        count_if(b AND NOT a) AS severe_only_extra, count_if(a OR b) AS positive_rows
-FROM k WHERE known"""
+FROM k WHERE known AND period < (SELECT h_start FROM bounds)"""
 
 SQL["source_profile"] = with_(PANEL, EXPORT) + """
 SELECT "Equipment Type" AS equipment_type, count(*) AS type_rows,
@@ -526,7 +546,7 @@ SELECT (SELECT count(*) FROM (SELECT * FROM regen EXCEPT ALL SELECT * FROM snap)
 SCORED = with_(PANEL, history_ctes(), label_cte(), features_cte(), HOLDOUT) + """
 , scored AS (SELECT *, least(1.0, unplanned_events_roll_3_mean / 10.0) AS probability FROM feat WHERE consecutive_history_months >= 6)
 , latest AS (SELECT *, CAST(period + INTERVAL 1 MONTH AS DATE) AS target_period FROM scored
-             WHERE period = (SELECT max(period) FROM scored) AND label IS NULL)
+             WHERE period = (SELECT max(period) FROM panel) AND label IS NULL)
 """
 
 TIER = "CASE WHEN probability >= 0.4433219097353501 THEN 'high' WHEN probability >= 0.3 THEN 'medium' ELSE 'low' END"
@@ -664,18 +684,16 @@ SELECT 'rule_unplanned_r3' AS incumbent, 'rule_unplanned_r6' AS challenger, roun
 FROM summ i JOIN summ c ON i.model = 'rule_unplanned_r3' AND c.model = 'rule_unplanned_r6'"""
 
 SQL["readiness_gate"] = ZOO + """
-SELECT round(b, 6) AS best_baseline_pr_auc, round(w, 6) AS weakest_model_pr_auc, round(wf, 6) AS worst_model_fold_pr_auc,
-       w > b AND wf >= 0.45 AS ready
-FROM (SELECT max(CASE WHEN model IN ('previous_period_failure', 'simple_outage_rule') THEN selection_mean_pr_auc END) AS b,
-             min(CASE WHEN model NOT IN ('previous_period_failure', 'simple_outage_rule') THEN selection_mean_pr_auc END) AS w,
-             min(CASE WHEN model NOT IN ('previous_period_failure', 'simple_outage_rule') THEN worst_fold_pr_auc END) AS wf FROM summ)"""
+SELECT round(b, 6) AS best_baseline_pr_auc, round(w, 6) AS weakest_model_pr_auc, w > b AND w >= 0.45 AS ready
+FROM (SELECT max(CASE WHEN model IN ('previous_period_failure', 'simple_outage_rule') THEN all_fold_mean_pr_auc END) AS b,
+             min(CASE WHEN model NOT IN ('previous_period_failure', 'simple_outage_rule') THEN all_fold_mean_pr_auc END) AS w FROM summ)"""
 
 SQL["cohort_profile"] = ZOO + """
 , fp AS (SELECT entity_id, min(period) AS first FROM dev GROUP BY 1)
 SELECT CASE WHEN validation_fold = (SELECT fold FROM weak) THEN 'weak_fold' ELSE 'other_folds' END AS cohort,
        count(*) AS rows, count(DISTINCT a.entity_id) AS entities, round(avg(CAST(label AS DOUBLE)), 6) AS prevalence,
        count_if(period = fp.first) AS new_entity_rows, """ + ", ".join(
-    f"round(avg(CAST({c} IS NULL AS DOUBLE)), 6) AS null_share_{c}" for c in OPS) + """
+    f"round(avg(CAST({c} IS NULL AS DOUBLE)), 6) AS null_share_{c}" for c in FEATS42) + """
 FROM a JOIN fp ON fp.entity_id = a.entity_id WHERE validation_fold IS NOT NULL GROUP BY 1"""
 
 SQL["feature_drift"] = ZOO + """
@@ -706,6 +724,14 @@ SQL["high_correlation"] = LAST_TRAIN + ", pc AS (" + "\nUNION ALL\n".join(
     f"SELECT '{x}' AS feature_a, '{y}' AS feature_b, abs(corr(CAST({x} AS DOUBLE), CAST({y} AS DOUBLE))) AS r FROM tr" for x, y in _PAIRS) + \
     ")\nSELECT feature_a, feature_b, round(r, 6) AS absolute_correlation FROM pc WHERE r >= 0.95"
 
+SQL["correlation_pairs"] = SQL["high_correlation"].replace("r >= 0.95", "r >= 0.3")
+
+SQL["ranking_orders"] = ZOO + """
+SELECT model, CAST(row_number() OVER (ORDER BY selection_mean_pr_auc DESC, all_fold_std_pr_auc, model) AS INTEGER) AS by_selection,
+       CAST(row_number() OVER (ORDER BY all_fold_mean_pr_auc DESC, worst_fold_pr_auc DESC, all_fold_std_pr_auc, model) AS INTEGER) AS by_worst_fold,
+       CAST(row_number() OVER (ORDER BY all_fold_mean_pr_auc DESC, latest_fold_pr_auc DESC, model) AS INTEGER) AS by_latest_fold
+FROM summ"""
+
 SQL["stage_comparison"] = ZOO.replace("WITH ", "WITH sc_unused AS (SELECT 1), ", 1) + """
 , hs AS (SELECT entity_id, period, label, least(1.0, unplanned_events_roll_3_mean / 10.0) AS score FROM feat
          WHERE label IS NOT NULL AND consecutive_history_months >= 6 AND period BETWEEN (SELECT h_start FROM bounds) AND (SELECT h_end FROM bounds))
@@ -725,3 +751,23 @@ SELECT CAST(f.p AS INTEGER) AS position,
        count_if((first_train_fold <= f.p OR validation_fold = f.p)
                 AND period BETWEEN (SELECT h_start FROM bounds) AND (SELECT h_end FROM bounds)) AS holdout_rows
 FROM range(1, 5) AS f(p), a GROUP BY f.p"""
+
+
+from .sources.tables import FLOAT_LISTS, FLOATS, TABLES, TIMES  # noqa: E402
+
+
+def _spelled(c: str) -> str:
+    if c in FLOATS:
+        text = f"CAST(CAST(round(CAST({c} AS DOUBLE) * 1000000) AS DECIMAL(38,0)) AS VARCHAR)"
+    elif c in FLOAT_LISTS:
+        text = f"array_to_string(list_transform({c}, lambda x: CAST(CAST(round(CAST(x AS DOUBLE) * 1000000) AS DECIMAL(38,0)) AS VARCHAR)), ';')"
+    elif c in TIMES:
+        text = f"strftime({c}, '%Y-%m-%d %H:%M:%S')"
+    else:
+        text = f"CAST({c} AS VARCHAR)"
+    return f"coalesce('=' || {text}, '-')"
+
+
+SQL["table_fingerprint"] = "\nUNION ALL\n".join(
+    f"SELECT '{t}' AS \"table\", count(*) AS rows, CAST(sum(CAST('0x' || substr(md5(" + " || '|' || ".join(map(_spelled, cols)) + f"), 1, 15) AS BIGINT)) AS VARCHAR) AS hash_sum FROM {t}"
+    for t, cols in TABLES.items())

@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators.metrics import evaluate
 from ..operators.quality import eligibility_audit, feature_history_audit, validate as validate_panel
-from ..operators.scoring import latest_unlabeled, risk_tier, tier_counts
-from ..operators.splits import access_holdout_labels, create_development_split, fold_audit, rolling_folds
+from ..operators.scoring import assert_nonempty, latest_unlabeled, risk_tier, tier_counts
+from ..operators.splits import holdout_labels, label_access_row, split_periods, fold_audit, rolling_folds
 from ..spec import FEATURE_SETS, RunConfig
 from .cohort import prepare_cohort
 from .modeling import ModelSpec, fit_pipeline, fold_predictions, score
@@ -43,12 +43,13 @@ def train(panel: DataFrame, cfg: RunConfig, model: ModelSpec, holdout_start, thr
 def final_evaluation(panel: DataFrame, cfg: RunConfig, model: ModelSpec, holdout_start, holdout_end, threshold: float,
                      acknowledgment: str, audit_path: str) -> tuple[PipelineModel, DataFrame]:
     """Fit once on development rows, score label-free holdout rows, then unlock labels
-    through the acknowledgment gate and evaluate."""
+    through the acknowledgment gate and evaluate. ``audit_path`` is a table that each access appends to."""
     prep = prepare_cohort(panel, cfg, labeled_only=True)
-    split = create_development_split(prep.frame, cfg.spec, holdout_start, holdout_end, prep.label)
-    fitted = fit_pipeline(split.development, prep.features, prep.label, model)
-    scored = score(fitted, split.holdout_features).select(cfg.spec.entity, cfg.spec.period, "score")
-    labels = access_holdout_labels(split, acknowledgment, audit_path).select(cfg.spec.entity, cfg.spec.period, F.col(prep.label).alias("label"))
+    marked = split_periods(prep.frame, cfg.spec, holdout_start, holdout_end, prep.label)
+    fitted = fit_pipeline(marked.where("split = 'development'"), prep.features, prep.label, model, spread_by=cfg.spec.key)
+    scored = score(fitted, marked.where("split = 'holdout'").drop(prep.label)).select(cfg.spec.entity, cfg.spec.period, "score")
+    labels = holdout_labels(marked, acknowledgment).select(cfg.spec.entity, cfg.spec.period, F.col(prep.label).alias("label"))
+    label_access_row(panel.sparkSession).write.mode("append").json(audit_path)
     preds = scored.join(labels, [cfg.spec.entity, cfg.spec.period])
     return fitted, evaluate(preds, threshold)
 
@@ -57,7 +58,7 @@ def score_latest(panel: DataFrame, cfg: RunConfig, fitted: PipelineModel) -> tup
     """Latest-period unlabeled rows with enough history: probability, tier, target period,
     ranked by probability (desc) then entity; plus tier counts with zeros."""
     prep = prepare_cohort(panel, cfg)
-    batch = latest_unlabeled(prep.frame, cfg.spec, prep.label)
+    batch = assert_nonempty(latest_unlabeled(prep.frame, cfg.spec, prep.label, source=panel))
     scored = score(fitted, batch).select(cfg.spec.entity, cfg.spec.period, "target_period", F.col("score").alias("probability"))
     ranked = scored.withColumn("risk_tier", risk_tier(F.col("probability"))).orderBy(F.col("probability").desc(), cfg.spec.entity)
     return ranked, tier_counts(scored, "probability")

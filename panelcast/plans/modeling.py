@@ -72,11 +72,12 @@ def prepare_fold(train: DataFrame, features: list[str], label: str, scaled: bool
     return FoldPrep(stats, w, n)
 
 
-def fit_pipeline(train: DataFrame, features: list[str], label: str, m: ModelSpec, prepared: FoldPrep | None = None) -> PipelineModel:
+def fit_pipeline(train: DataFrame, features: list[str], label: str, m: ModelSpec, prepared: FoldPrep | None = None,
+                 spread_by: tuple[str, ...] = ()) -> PipelineModel:
     """Statistics + assembler + learner fitted on ``train``; persistable with ``.save``."""
     if m.kind in ("forest", "boosting"):
-        from ..session import spread
-        train = spread(train)  # histogram passes are heavy per row: use every core even for small folds
+        # one explicit layout: bagging follows partitions, so scores depend on this count alone, not on cores or data size
+        train = train.repartition(int(train.sparkSession.conf.get("spark.sql.shuffle.partitions")), *spread_by)
     prepared = prepared or prepare_fold(train, features, label, m.scaled)
     stats, w = prepared.stats, prepared.weights
     staged = train.withColumn("label", F.col(label).cast("double")).withColumn("weight", class_weight(label, w))
@@ -96,7 +97,7 @@ def fold_predictions(folds: list[Fold], spec: PanelSpec, features: list[str], la
     """Fit per fold on its training rows, score its validation rows, union."""
     parts = []
     for f in folds:
-        model = fit_pipeline(f.train, features, label, m, (prepared or {}).get(f.position))
+        model = fit_pipeline(f.train, features, label, m, (prepared or {}).get(f.position), spec.key)
         if keep_models is not None:
             keep_models.append((f, model))
         parts.append(score(model, f.validation).select(
@@ -142,7 +143,7 @@ def holdout_evaluation(dev: DataFrame, holdout: DataFrame, spec: PanelSpec, feat
     """Final evaluation: fit once on all development rows, score the holdout rows, then
     AP / ROC-AUC / Brier / confusion at the locked threshold and ECE in one metric row."""
     from ..operators.metrics import ece, evaluate
-    model = fit_pipeline(dev, features, label, m)
+    model = fit_pipeline(dev, features, label, m, spread_by=spec.key)
     preds = score(model, holdout).select(spec.entity, spec.period, F.col(label).alias("label"), "score").withColumn("_all", F.lit(0))
     metrics = evaluate(preds, threshold, by=["_all"])
     calib = ece(preds, by=["_all"])

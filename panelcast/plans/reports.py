@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..operators.ladder import ranking_metrics, score_ladder
 from ..operators.metrics import ece
+from ..spec import CALIBRATION_GAIN, MATERIAL_AP_GAIN, MINIMUM_AP
 
 
 def select_candidate(table: DataFrame, fold_count: int, key: str = "candidate") -> DataFrame:
@@ -32,21 +33,28 @@ def seed_stability(runs: DataFrame, key: list[str]) -> DataFrame:
                    F.min("m").alias("minimum_mean_pr_auc_across_seeds")).withColumn("maximum_prediction_difference", spread)
 
 
-def calibration_choice(runs: DataFrame, ap_tolerance: float = 0.005, gain: float = 0.005) -> DataFrame:
-    """Per method mean AP / Brier / ECE over folds; keep methods within tolerance of the best
-    AP, choose the best Brier among them; calibration needed if it beats uncalibrated by ``gain``."""
+def calibration_choice(runs: DataFrame, ap_tolerance: float = 0.005, gain: float = CALIBRATION_GAIN) -> DataFrame:
+    """Per method mean AP / Brier / ECE over folds, then ``choose_calibration``."""
     by = ["method", "fold"]
     ap = ranking_metrics(score_ladder(runs, by=by), by).select(*by, "pr_auc")
     br = runs.groupBy(*by).agg(F.avg(F.pow(F.col("score") - F.col("label"), 2)).alias("brier_score"))
     ec = ece(runs, by=by)
     per = ap.join(br, by).join(ec, by).groupBy("method").agg(
         F.avg("pr_auc").alias("pr_auc"), F.avg("brier_score").alias("brier_score"), F.avg("expected_calibration_error").alias("ece"))
-    best_ap = per.select(F.max("pr_auc")).scalar()
-    eligible = per.withColumn("eligible", F.col("pr_auc") >= best_ap - ap_tolerance)
-    chosen = eligible.where("eligible").select(F.min_by("method", F.col("brier_score"))).scalar()
-    unc = eligible.where("method = 'uncalibrated'").select("brier_score").scalar()
-    return eligible.withColumns({"chosen": F.col("method") == chosen,
-                                 "calibration_needed": (unc - F.col("brier_score")) >= gain})
+    return choose_calibration(per, ap_tolerance, gain)
+
+
+def choose_calibration(per: DataFrame, ap_tolerance: float = 0.005, gain: float = CALIBRATION_GAIN) -> DataFrame:
+    """H15 rule on a (method, pr_auc, brier_score, ...) table: methods whose AP is within the tolerance
+    of the *uncalibrated* AP are eligible, the lowest Brier among them is chosen, and calibration is
+    needed when that is another method and gains at least ``gain`` Brier over uncalibrated."""
+    w = Window.partitionBy()  # a row per method
+    plain = F.col("method") == "uncalibrated"
+    ap, brier = (F.max(F.when(plain, F.col(c))).over(w) for c in ("pr_auc", "brier_score"))
+    marked = per.withColumns({"eligible": F.col("pr_auc") >= ap - ap_tolerance, "_gain": brier - F.col("brier_score")})
+    chosen = F.min_by("method", F.when(F.col("eligible"), F.col("brier_score"))).over(w)
+    out = marked.withColumn("chosen", F.col("method") == chosen)
+    return out.withColumn("calibration_needed", F.max(F.col("chosen") & ~plain & (F.col("_gain") >= gain)).over(w)).drop("_gain")
 
 
 def coefficient_report(coef: DataFrame, negative_tokens=("availability",), positive_tokens=("outage", "entrapment"), eps=1e-10) -> DataFrame:
@@ -147,7 +155,7 @@ def model_summary(table: DataFrame, fold_count: int, model: str = "model") -> Da
     )
 
 
-def candidate_ranking(summary: DataFrame, materiality: float = 0.01, model: str = "model") -> DataFrame:
+def candidate_ranking(summary: DataFrame, materiality: float = MATERIAL_AP_GAIN, model: str = "model") -> DataFrame:
     """Order by (selection mean desc, std asc, model); flag candidates within ``materiality`` of the best."""
     best = summary.select(F.max("selection_mean_pr_auc")).scalar()
     w = Window.orderBy(F.col("selection_mean_pr_auc").desc(), F.col("all_fold_std_pr_auc").asc(), F.col(model))  # models x 1 rows
@@ -155,10 +163,22 @@ def candidate_ranking(summary: DataFrame, materiality: float = 0.01, model: str
                           (F.col("selection_mean_pr_auc") >= best - materiality).alias("within_materiality"))
 
 
-def replace_rule(summary: DataFrame, incumbent: str, challenger: str, gain: float = 0.01, model: str = "model") -> DataFrame:
+def ranking_orders(summary: DataFrame, model: str = "model") -> DataFrame:
+    """Ranks under all three orderings: (selection mean, -std), (all-fold mean, worst, -std), (all-fold mean, latest)."""
+    std = F.col("all_fold_std_pr_auc")
+    orders = {"by_selection": [F.col("selection_mean_pr_auc").desc(), std.asc()],
+              "by_worst_fold": [F.col("all_fold_mean_pr_auc").desc(), F.col("worst_fold_pr_auc").desc(), std.asc()],
+              "by_latest_fold": [F.col("all_fold_mean_pr_auc").desc(), F.col("latest_fold_pr_auc").desc()]}
+    return summary.select(model, *[F.row_number().over(Window.orderBy(*o, F.col(model))).alias(name) for name, o in orders.items()])  # a row per model
+
+
+def replace_rule(summary: DataFrame, incumbent: str, challenger: str, gain: float = MATERIAL_AP_GAIN, model: str = "model") -> DataFrame:
     """Replace when the challenger gains >= ``gain`` selection AP, or has fewer FN and no more FP on the latest fold.
     Compares exactly two summary rows (fetched once; bounded)."""
     rows = {r[model]: r for r in summary.where(F.col(model).isin(incumbent, challenger)).collect()}
+    unknown = {incumbent, challenger} - rows.keys()
+    if unknown:
+        raise ValueError(f"not in the summary: {sorted(unknown)}")
     i, c = rows[incumbent], rows[challenger]
     d = c["selection_mean_pr_auc"] - i["selection_mean_pr_auc"]
     rep = d >= gain or (c["latest_false_negatives"] < i["latest_false_negatives"] and c["latest_false_positives"] <= i["latest_false_positives"])
@@ -166,14 +186,13 @@ def replace_rule(summary: DataFrame, incumbent: str, challenger: str, gain: floa
                                                 "incumbent string, challenger string, selection_gain double, replace boolean")
 
 
-def readiness_gate(summary: DataFrame, baselines: list[str], minimum_ap: float = 0.45, model: str = "model") -> DataFrame:
-    """Every candidate beats the best baseline AND its worst fold AP >= minimum."""
+def readiness_gate(summary: DataFrame, baselines: list[str], minimum_ap: float = MINIMUM_AP, model: str = "model") -> DataFrame:
+    """The weakest candidate's all-fold mean AP beats the best baseline's and reaches the minimum."""
     isb = F.col(model).isin(*baselines)
     return summary.agg(
-        F.max(F.when(isb, F.col("selection_mean_pr_auc"))).alias("best_baseline_pr_auc"),
-        F.min(F.when(~isb, F.col("selection_mean_pr_auc"))).alias("weakest_model_pr_auc"),
-        F.min(F.when(~isb, F.col("worst_fold_pr_auc"))).alias("worst_model_fold_pr_auc"),
-    ).withColumn("ready", (F.col("weakest_model_pr_auc") > F.col("best_baseline_pr_auc")) & (F.col("worst_model_fold_pr_auc") >= minimum_ap))
+        F.max(F.when(isb, F.col("all_fold_mean_pr_auc"))).alias("best_baseline_pr_auc"),
+        F.min(F.when(~isb, F.col("all_fold_mean_pr_auc"))).alias("weakest_model_pr_auc"),
+    ).withColumn("ready", (F.col("weakest_model_pr_auc") > F.col("best_baseline_pr_auc")) & (F.col("weakest_model_pr_auc") >= minimum_ap))
 
 
 def standardized_drift(a: DataFrame, b: DataFrame, features: list[str], top: int = 15) -> DataFrame:

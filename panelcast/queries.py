@@ -8,6 +8,7 @@ only where the operator is a top-k report.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
@@ -24,18 +25,41 @@ RULE = LabelRule(unplanned_threshold=5, severe_threshold=0, name="label")
 TEST_RUN = RunConfig(spec=SPEC, rule=RULE, feature_set=FEATURE_SETS["full_history"], excluded_suffixes=("7",))
 
 
+_BUILT: dict = {}
+
+
 def query(name: str):
     def deco(fn):
-        REGISTRY[name] = fn
+        @wraps(fn)
+        def call(spark, sf_dir):
+            _BUILT.clear()
+            try:
+                return fn(spark, sf_dir)
+            finally:
+                _BUILT.clear()
+
+        REGISTRY[name] = call
         return fn
     return deco
 
 
+def once(fn):
+    """Frames that several parts of one query use are built (and the raw table read) once per query call."""
+    @wraps(fn)
+    def build(spark, sf_dir, *args):
+        key = (fn.__name__, sf_dir, *args)
+        if key not in _BUILT:
+            _BUILT[key] = fn(spark, sf_dir, *args)
+        return _BUILT[key]
+    return build
+
+
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Round every double column (float sums are order dependent across engines)."""
     return df.select(*[F.round(c, digits).alias(c) if t in ("double", "float") else F.col(f"`{c}`") for c, t in df.dtypes])
 
 
+@once
 def _panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The entity-period panel, materialized once per query in the shared checkpoint folder:
     later jobs (bounds, windows, per-fold statistics, fits) read it instead of re-aggregating
@@ -43,6 +67,7 @@ def _panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return panel_from_lineitem(spark, sf_dir, materialize=cut_lineage)
 
 
+@once
 def _labeled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flag_and_label(_panel(spark, sf_dir), SPEC, RULE, TEST_RUN.excluded_suffixes)
 
@@ -77,13 +102,11 @@ def q_next_period_label(spark, sf_dir):
 
 @query("label_prevalence")
 def q_label_prevalence(spark, sf_dir):
-    """Flagship: prevalence of the history>=6 development panel."""
+    """Flagship: prevalence of the history>=6 development panel, rows of unknown label counted apart."""
     from .operators.splits import holdout_window
     panel = _panel(spark, sf_dir)
     start, _ = holdout_window(panel, SPEC, 3)
-    dev = _labeled(spark, sf_dir).where(
-        F.col(RULE.name).isNotNull() & (F.col("consecutive_history_months") >= 6) & (F.col(SPEC.period) < start)
-    )
+    dev = _labeled(spark, sf_dir).where((F.col("consecutive_history_months") >= 6) & (F.col(SPEC.period) < start))
     return rounded(labels.prevalence(dev, SPEC, RULE.name))
 
 
@@ -94,6 +117,7 @@ def _orders_panel(spark, sf_dir):
     return panel_from_orders(spark, sf_dir)
 
 
+@once
 def _export(spark, sf_dir, dirty=False):
     from .sources.tables import export_from_lineitem
     return export_from_lineitem(spark, sf_dir, dirty, materialize=cut_lineage)
@@ -110,7 +134,7 @@ def q_parse_failures(spark, sf_dir):
     """B3/B4 on a dirty export: unparseable months and non-numeric counts."""
     from .operators.canonical import coerce_count, parse_period
     from .spec import EXPORT_SPEC
-    src = _export(spark, sf_dir, dirty=True)
+    src = _export(spark, sf_dir, True)
     return src.agg(
         F.count_if(parse_period("Month").isNull()).alias("unparseable_months"),
         *[F.count_if(F.col(f"`{c}`").isNotNull() & coerce_count(c).isNull()).alias(f"bad_{c.lower().replace(' ', '_')}")
@@ -264,6 +288,7 @@ def q_prepared_cohort(spark, sf_dir):
     return rounded(prep.frame.select(SPEC.entity, SPEC.period, prep.label, "consecutive_history_months", *prep.features))
 
 
+@once
 def _dev(spark, sf_dir, fs=None):
     """Development cohort (labeled, history >= minimum, before the holdout), materialized once."""
     from dataclasses import replace
@@ -578,13 +603,29 @@ def q_prevalence_populations(spark, sf_dir):
     return rounded(wide.select(F.inline(F.array(*rows))).withColumn("safe_source_unlabeled_rows", unlabeled))
 
 
+def _safe_flagged(spark, sf_dir):
+    """The panel up to the holdout start, which only serves as the outcome of the period before; no later label exists."""
+    from .operators.history import add_consecutive_history, add_eligibility_flags
+    from .operators.splits import holdout_window
+    panel = _panel(spark, sf_dir)
+    start, _ = holdout_window(panel, SPEC, 3)
+    return add_consecutive_history(add_eligibility_flags(panel.where(F.col(SPEC.period) <= start), SPEC, TEST_RUN.excluded_suffixes), SPEC), start
+
+
 @query("label_decomposition")
 def q_label_decomposition(spark, sf_dir):
+    """D6 over development rows: clauses of the next-period label."""
     from .operators.labels import label_decomposition
-    from .plans.cohort import flag_and_label
-    from .operators.history import add_consecutive_history, add_eligibility_flags
-    flagged = add_consecutive_history(add_eligibility_flags(_panel(spark, sf_dir), SPEC, TEST_RUN.excluded_suffixes), SPEC)
-    return label_decomposition(flagged.where("eligible_for_modeling"), SPEC, RULE)
+    flagged, start = _safe_flagged(spark, sf_dir)
+    return label_decomposition(flagged.where("eligible_for_modeling"), SPEC, RULE, before=start)
+
+
+@query("prevalence_alternatives")
+def q_prevalence_alternatives(spark, sf_dir):
+    """Prevalence under other label definitions, with and without the excluded entities."""
+    from .operators.labels import prevalence_alternatives
+    flagged, start = _safe_flagged(spark, sf_dir)
+    return rounded(prevalence_alternatives(flagged, SPEC, RULE, start))
 
 
 # --- A: source profile, fingerprint, snapshot diff ----------------------------------------
@@ -608,9 +649,9 @@ def q_source_profile(spark, sf_dir):
 @query("table_fingerprint")
 def q_table_fingerprint(spark, sf_dir):
     """Order-insensitive content fingerprint of each input table (row count + hash sum)."""
-    from .sources.tables import read_table
+    from .sources.tables import TABLES, read_table
     from .functions.fingerprint import table_fingerprint
-    parts = [table_fingerprint(read_table(spark, sf_dir, t)).withColumn("table", F.lit(t)) for t in ("lineitem", "orders", "events")]
+    parts = [table_fingerprint(read_table(spark, sf_dir, t, list(cols))).withColumn("table", F.lit(t)) for t, cols in TABLES.items()]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -629,6 +670,13 @@ def q_snapshot_diff(spark, sf_dir):
 
 # --- J: scoring outputs -----------------------------------------------------------------------
 
+def _latest(spark, sf_dir):
+    """Unlabeled rows of the panel's latest period; the period is that of the source, not of the rows left after filters."""
+    from .operators.scoring import latest_unlabeled
+    return latest_unlabeled(_scored(spark, sf_dir), SPEC, RULE.name, source=_panel(spark, sf_dir))
+
+
+@once
 def _scored(spark, sf_dir):
     """History>=6 panel rows with the rule score (labels may be null)."""
     from .plans.cohort import prepare_cohort
@@ -650,28 +698,27 @@ def q_prediction_table(spark, sf_dir):
 @query("latest_unlabeled")
 def q_latest_unlabeled(spark, sf_dir):
     """The latest period's unlabeled eligible rows and the period they predict."""
-    from .operators.scoring import latest_unlabeled
-    return rounded(latest_unlabeled(_scored(spark, sf_dir), SPEC, RULE.name).select(SPEC.entity, SPEC.period, "target_period", "probability"))
+    return rounded(_latest(spark, sf_dir).select(SPEC.entity, SPEC.period, "target_period", "probability"))
 
 
 @query("risk_tiers")
 def q_risk_tiers(spark, sf_dir):
-    from .operators.scoring import latest_unlabeled, risk_tier
-    df = latest_unlabeled(_scored(spark, sf_dir), SPEC, RULE.name)
+    from .operators.scoring import risk_tier
+    df = _latest(spark, sf_dir)
     return rounded(df.select(SPEC.entity, "probability", risk_tier(F.col("probability")).alias("risk_tier")))
 
 
 @query("tier_counts")
 def q_tier_counts(spark, sf_dir):
-    from .operators.scoring import latest_unlabeled, tier_counts
-    return tier_counts(latest_unlabeled(_scored(spark, sf_dir), SPEC, RULE.name), "probability")
+    from .operators.scoring import tier_counts
+    return tier_counts(_latest(spark, sf_dir), "probability")
 
 
 @query("scored_batch")
 def q_scored_batch(spark, sf_dir):
     """Batch rows with constant metadata and optional context columns present in the source."""
-    from .operators.scoring import latest_unlabeled, scored_batch
-    df = latest_unlabeled(_scored(spark, sf_dir), SPEC, RULE.name)
+    from .operators.scoring import scored_batch
+    df = _latest(spark, sf_dir)
     return rounded(scored_batch(df, SPEC, "probability", model_name="rule_unplanned_r3", threshold=0.4433219097353501,
                                 context=("avail_all_day", "not_a_column")))
 
@@ -679,8 +726,8 @@ def q_scored_batch(spark, sf_dir):
 @query("ranked_batch")
 def q_ranked_batch(spark, sf_dir):
     """Probability descending, entity ascending (distributed range sort)."""
-    from .operators.scoring import latest_unlabeled, risk_tier
-    df = latest_unlabeled(_scored(spark, sf_dir), SPEC, RULE.name)
+    from .operators.scoring import risk_tier
+    df = _latest(spark, sf_dir)
     return rounded(df.select(SPEC.entity, "probability", risk_tier(F.col("probability")).alias("risk_tier"))
                    .orderBy(F.col("probability").desc(), F.col(SPEC.entity)))
 
@@ -790,6 +837,7 @@ def q_baseline_scores(spark, sf_dir):
 @query("sequence_scale")
 def q_sequence_scale(spark, sf_dir):
     """Per-channel median and robust scale over all steps of the development sequences."""
+    from .operators.prep import fit_stats
     from .operators.features import build_sequences
     from .operators.splits import holdout_window
     from .spec import feature_prefix
@@ -797,9 +845,8 @@ def q_sequence_scale(spark, sf_dir):
     seq = build_sequences(_labeled(spark, sf_dir), SPEC, SEQ_LEN, RULE.name).where(F.col("end_period") < start)
     steps = seq.select(F.explode("steps").alias("s")).select("s.*")
     chans = [feature_prefix(c) for c in SPEC.operational]
-    med = steps.agg(*[F.median(c).alias(c) for c in chans]).first().asDict()
-    q = steps.agg(*[F.percentile(F.coalesce(F.col(c), F.lit(med[c])), [0.25, 0.5, 0.75]).alias(c) for c in chans]).first().asDict()
-    rows = [(c, med[c], q[c][1], (q[c][2] - q[c][0]) or 1.0) for c in chans]
+    stats = fit_stats(steps, chans)
+    rows = [(c, stats.medians[c], stats.centers[c], stats.scales[c]) for c in chans]
     return rounded(spark.createDataFrame(rows, "channel string, median double, center double, scale double"))
 
 
@@ -1012,7 +1059,7 @@ def _weak(z):
 @query("cohort_profile")
 def q_cohort_profile(spark, sf_dir):
     """I4: weak fold validation vs. other folds: rows, entities, prevalence, rows at the entity's first
-    development period, null share of the operational columns."""
+    development period, null share of every feature."""
     from .operators.splits import assign_folds
     prep, _, _ = _dev(spark, sf_dir)
     dev = prep.frame
@@ -1025,7 +1072,7 @@ def q_cohort_profile(spark, sf_dir):
         F.count(F.lit(1)).alias("rows"), F.countDistinct(SPEC.entity).alias("entities"),
         F.avg(F.col(RULE.name).cast("double")).alias("prevalence"),
         F.count_if(F.col(SPEC.period) == F.col("_first")).alias("new_entity_rows"),
-        *[F.avg(F.col(c).isNull().cast("double")).alias(f"null_share_{c}") for c in SPEC.operational]))
+        *[F.avg(F.col(c).isNull().cast("double")).alias(f"null_share_{c}") for c in prep.features]))
 
 
 @query("feature_drift")
@@ -1074,12 +1121,27 @@ def q_high_correlation(spark, sf_dir):
     return rounded(high_correlation(folds[-1].train, prep.features))
 
 
+@query("correlation_pairs")
+def q_correlation_pairs(spark, sf_dir):
+    """I2 at |r| >= 0.3, where the test panels do have pairs."""
+    from .plans.reports import high_correlation
+    prep, dev, folds = _dev_folds(spark, sf_dir)
+    return rounded(high_correlation(folds[-1].train, prep.features, 0.3))
+
+
 @query("candidate_ranking")
 def q_candidate_ranking(spark, sf_dir):
     from .plans.reports import candidate_ranking
     return rounded(candidate_ranking(_zoo_summary(spark, sf_dir)))
 
 
+@query("ranking_orders")
+def q_ranking_orders(spark, sf_dir):
+    """The candidates' ranks under each of the three orderings."""
+    from .plans.reports import ranking_orders
+    return ranking_orders(_zoo_summary(spark, sf_dir))
+
+
 @query("model_comparison")
 def q_model_comparison(spark, sf_dir):
     return rounded(_zoo_summary(spark, sf_dir))
@@ -1099,7 +1161,7 @@ def q_readiness_gate(spark, sf_dir):
 
 @query("stage_comparison")
 def q_stage_comparison(spark, sf_dir):
-    """Development (latest fold) vs. holdout for the primary rule score at 0.5."""
+    """Development (latest fold), holdout and the labeled prospective rows after it, for the primary rule score at 0.5."""
     from .operators.metrics import evaluate
     from .operators.splits import holdout_window
     z = _zoo_preds(spark, sf_dir).where((F.col("model") == "rule_unplanned_r3") & (F.col("fold") == TEST_RUN.fold_count))

@@ -6,7 +6,6 @@ session when they exist; only local runs and tests fill in defaults.
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,12 +40,14 @@ def build_session(master: str | None = None, app: str = "panelcast", shuffle_par
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for lineage cuts: ``spark.checkpoint.dir`` if the cluster names one.
 
-    Only when it is unset (local runs, tests) a scratch folder is created and registered.
+    Only a local master, where driver and executors are one process, may go without: it gets a scratch
+    folder. A cluster without the setting is an error, because a machine's own folder loses data.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        configured = spark.sparkContext.getCheckpointDir()
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not configured:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="panelcast-ckpt-")
         spark.conf.set("spark.checkpoint.dir", configured)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -58,15 +59,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared folder (survives executor loss)."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A table path below the shared checkpoint folder."""
-    return os.path.join(checkpoint_dir(spark), name)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin to the default parallelism when a (small, AQE-coalesced) frame has fewer
-    partitions than cores; a no-op for large inputs, which already have more."""
-    dp = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(dp) if df.rdd.getNumPartitions() < dp else df

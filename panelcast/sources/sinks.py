@@ -15,16 +15,18 @@ def write_table(df: DataFrame, path: str, *, partition_by: tuple[str, ...] = ("p
                 fmt: str = "parquet") -> None:
     """A2: predictions / canonical / comparison tables; one directory per period."""
     w = df.write.mode("overwrite" if overwrite else "errorifexists")
-    cols = [c for c in partition_by if c in df.columns]
-    if cols:
-        w = w.partitionBy(*cols)
+    missing = [c for c in partition_by if c not in df.columns]
+    if missing:
+        raise ValueError(f"no column {missing} to partition by; pass partition_by=() for one directory")
+    if partition_by:
+        w = w.partitionBy(*partition_by)
     if fmt == "csv":
         w.option("header", True).csv(path)
     else:
         w.format(fmt).save(path)
 
 
-def write_metrics(df: DataFrame, path: str, *, overwrite: bool = True) -> None:
+def write_metrics(df: DataFrame, path: str, *, overwrite: bool = False) -> None:
     """A3: metric table as JSON lines (small: models x folds x metrics rows)."""
     df.write.mode("overwrite" if overwrite else "errorifexists").json(path)
 

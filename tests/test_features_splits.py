@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelcast.operators.features import build_features, build_sequences
-from panelcast.operators.splits import access_holdout_labels, create_development_split, rolling_folds
+from panelcast.operators.splits import SplitError, holdout_labels, label_access_row, rolling_folds, split_periods
 from panelcast.operators.labels import add_next_period_label
 from panelcast.spec import FEATURE_SETS, PRIMARY_RULE, FeatureSet
 
@@ -53,15 +53,20 @@ def test_sequences_consecutive_and_single_entity(spark, monthly, spec):
     assert seq and all((r["end_period"].year * 12 + r["end_period"].month) - (r["start_period"].year * 12 + r["start_period"].month) == 2 for r in seq)
 
 
-def test_holdout_split_and_guarded_labels(tmp_path, monthly, spec):
+def test_holdout_split_and_guarded_labels(spark, tmp_path, monthly, spec):
     lab = add_next_period_label(monthly, spec, PRIMARY_RULE)
-    split = create_development_split(lab, spec, "2025-02-01", "2025-04-01", PRIMARY_RULE.name)
-    assert split.development.agg(F.max(spec.period)).first()[0] < dt.date(2025, 2, 1)
-    assert PRIMARY_RULE.name not in split.holdout_features.columns
+    marked = split_periods(lab, spec, "2025-02-01", "2025-04-01", PRIMARY_RULE.name)
+    sides = {r["split"]: (r["lo"], r["hi"]) for r in marked.groupBy("split").agg(F.min(spec.period).alias("lo"), F.max(spec.period).alias("hi")).collect()}
+    assert sides == {"development": (month(0), dt.date(2025, 1, 1)), "holdout": (dt.date(2025, 2, 1), dt.date(2025, 4, 1))}
+    assert marked.where(F.col(PRIMARY_RULE.name).isNull()).count() == 0
+    with pytest.raises(SplitError):
+        split_periods(lab, spec, "2024-01-01", "2025-04-01", PRIMARY_RULE.name)
     with pytest.raises(PermissionError):
-        access_holdout_labels(split, "wrong", str(tmp_path / "audit.log"))
-    got = access_holdout_labels(split, "I_UNDERSTAND_THIS_ACCESSES_THE_FROZEN_TEST_SET", str(tmp_path / "audit.log"))
-    assert got.count() > 0 and (tmp_path / "audit.log").read_text().count("accessed") == 1
+        holdout_labels(marked, "wrong")
+    assert holdout_labels(marked, "I_UNDERSTAND_THIS_ACCESSES_THE_FROZEN_TEST_SET").count() == 6
+    for _ in range(2):
+        label_access_row(spark).write.mode("append").json(str(tmp_path / "audit"))
+    assert spark.read.json(str(tmp_path / "audit")).count() == 2
 
 
 def test_rolling_folds_ordered_disjoint(monthly, spec):
@@ -92,6 +97,10 @@ def test_sinks_roundtrip(spark, tmp_path, monthly, spec):
     write_table(df, path, overwrite=True)
     m = spark.createDataFrame([("m", 1, 0.5)], "model string, fold int, pr_auc double")
     write_metrics(m, str(tmp_path / "m"))
+    with pytest.raises(Exception):
+        write_metrics(m, str(tmp_path / "m"))
+    with pytest.raises(ValueError, match="partition"):
+        write_table(m, str(tmp_path / "n"))
     back = read_metrics(spark, str(tmp_path / "m"), "model string, fold int, pr_auc double").collect()
     assert [tuple(r) for r in back] == [("m", 1, 0.5)]
 
@@ -120,6 +129,9 @@ def test_guarded_canonical_sink(spark, tmp_path, monthly):
     protected = str(tmp_path / "snapshot")
     with pytest.raises(CanonicalError):
         write_canonical(monthly, protected, protected=(protected,))
+    for spelling in ("file://" + protected, "file:" + protected + "/", str(tmp_path) + "/x/../snapshot"):
+        with pytest.raises(CanonicalError):
+            write_canonical(monthly, spelling, protected=(protected,))
     out = str(tmp_path / "out")
     write_canonical(monthly, out)
     with pytest.raises(Exception):

@@ -147,3 +147,59 @@ def test_ladder_matches_brute_force_with_groups_and_buckets(spark):
     for g, (ap, auc) in expect.items():
         assert got[g][0] == pytest.approx(ap, abs=1e-12)
         assert got[g][1] == pytest.approx(auc, abs=1e-12)
+
+
+def test_numeric_and_text_counts(spark):
+    from panelcast.operators.canonical import coerce_count
+    df = spark.createDataFrame([("3", 3.0), ("3.0", 4.0), (" 7 ", None), ("2.5", 2.5), ("x", float("nan")), (None, 5.0)], "t string, d double")
+    assert [r[0] for r in df.select(coerce_count("t")).collect()] == [3, 3, 7, None, None, None]
+    assert [r[0] for r in df.select(coerce_count("d")).collect()] == [3, 4, None, None, None, 5]
+
+
+def test_nan_does_not_decide_a_ratio_scale(spark):
+    text = spark.createDataFrame([("98.5",), ("50",), ("nan",)], "r string")
+    assert [r[0] for r in normalize_ratios(text, ["r"]).collect()] == [0.985, 0.5, None]
+    number = spark.createDataFrame([(98.5,), (50.0,), (float("nan"),)], "r double")
+    assert [r[0] for r in normalize_ratios(number, ["r"]).collect()] == [0.985, 0.5, None]
+
+
+def test_age_column_is_required(monthly, spec):
+    with pytest.raises(DataValidationError, match="lacks"):
+        validate(monthly.drop(spec.age), spec)
+
+
+def test_calibration_rule_is_anchored_on_uncalibrated(spark):
+    from panelcast.plans.reports import choose_calibration
+    cols = "method string, pr_auc double, brier_score double"
+
+    def run(*rows):
+        return {r["method"]: (r["eligible"], r["chosen"], r["calibration_needed"]) for r in choose_calibration(spark.createDataFrame(rows, cols)).collect()}
+
+    # platt ranks 0.02 better: uncalibrated stays eligible, and platt's Brier gain decides
+    got = run(("uncalibrated", 0.50, 0.20), ("platt", 0.52, 0.19), ("isotonic", 0.48, 0.10))
+    assert got == {"uncalibrated": (True, False, True), "platt": (True, True, True), "isotonic": (False, False, True)}
+    # a gain under 0.005 chooses platt but calls no need; the best Brier being uncalibrated neither
+    assert run(("uncalibrated", 0.50, 0.200), ("platt", 0.50, 0.198))["platt"] == (True, True, False)
+    assert run(("uncalibrated", 0.50, 0.200), ("platt", 0.50, 0.21))["uncalibrated"] == (True, True, False)
+
+
+def test_readiness_uses_all_fold_means(spark):
+    from panelcast.plans.reports import readiness_gate
+    cols = "model string, all_fold_mean_pr_auc double, selection_mean_pr_auc double, worst_fold_pr_auc double"
+    # the worst single fold is under 0.45, the mean is not
+    ready = spark.createDataFrame([("a", 0.50, 0.52, 0.40), ("b", 0.47, 0.40, 0.30), ("base", 0.30, 0.60, 0.1)], cols)
+    assert readiness_gate(ready, ["base"]).first()["ready"]
+    assert not readiness_gate(ready.unionByName(spark.createDataFrame([("c", 0.44, 0.9, 0.44)], cols)), ["base"]).first()["ready"]
+
+
+def test_latest_period_is_that_of_the_source(spark):
+    import datetime as dt
+    from panelcast.operators.scoring import assert_nonempty, latest_unlabeled
+    from panelcast.spec import PanelSpec
+    spec = PanelSpec()
+    rows = [("a", dt.date(2024, 1, 1), None, True), ("a", dt.date(2024, 2, 1), None, False)]
+    panel = spark.createDataFrame(rows, "entity_id string, period date, label int, ok boolean")
+    batch = latest_unlabeled(panel.where("ok"), spec, "label", source=panel)
+    assert batch.count() == 0
+    with pytest.raises(ValueError, match="nothing to score"):
+        assert_nonempty(batch)
