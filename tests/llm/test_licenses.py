@@ -17,7 +17,7 @@ def test_families_unknown_class_and_cases(spark, model):
             (5, "You need a driver license to drive to the public house.", 0), (6, "All rights reserved.\n\nAll rights reserved.", 0), (6, "All rights reserved.\n\nAll rights reserved.", 0),
             (None, "Licensed under CC BY-NC 4.0.", 0), (7, ("plain words of the text " * 3000) + "\nThis work is licensed under the GNU General Public License, version 3.", 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, paragraph int")
-    out = sorted(((r["doc_id"], r["paragraph"], r["family"], r["confirmed"]) for r in licenses.scan(docs, model).collect()), key=str)
+    out = sorted(((r["doc_id"], r["paragraph"], r["family"], r["confirmed"]) for r in licenses.scan(docs, model).collect() if r["confirmed"]), key=str)
     assert out == sorted([(1, 1, "mit", True), (2, 0, "apache-2.0", True), (None, 0, "cc-by-nc", True), (7, 1, "gpl", True)] + [(6, k, "proprietary", True) for k in (0, 2)] * 2, key=str)
     assert not licenses.scan(docs.limit(0), model).collect()
 
