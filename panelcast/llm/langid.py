@@ -3,7 +3,8 @@
 Document frequencies come from every training document. The centroids of a language are spherical
 k-means clusters of at most ``SAMPLE_PER_LANG`` of its documents (chosen by a hash of the id). A text
 gets the language of the nearest centroid by cosine, and is rejected when even that one is farther
-than nearly all documents of the language's own sample.
+than nearly all short snippets of the language's own sample (a short text has few n-grams, and so a
+low cosine, without being foreign).
 
 Defined cases: a null text or one without letters is ``und`` with score 0 and rejected; a text of any
 length is read whole; rows without a language or doc_id teach nothing; repeated rows are predicted
@@ -30,8 +31,8 @@ DIMS = 1 << 13
 CLUSTERS = 4
 SAMPLE_PER_LANG = 400          # bound of the clustering sample
 ROUNDS = 12
-#: Rejection: this quantile of the own-language cosines in the sample, times the slack.
-REJECT_QUANTILE, REJECT_SLACK = 0.005, 0.6
+#: Rejection: this quantile of the own-language cosines of the sample's snippets, times the slack.
+REJECT_QUANTILE, REJECT_SLACK, SNIPPET = 0.005, 0.6, 64
 CHUNK = 1 << 20
 LETTER = re.compile(r"[^\W\d_]")
 _ONLY_LETTERS = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
@@ -126,17 +127,24 @@ def fit(docs: DataFrame) -> Model:
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = [vector(ngram_counts(t.as_py()), idf).tobytes() for t in b.column(0)]
-            yield pa.record_batch([b.column(1), b.column(2), pa.array(made, pa.binary())], names=["lang", "at", "v"])
+            whole, parts = [], []
+            for t in b.column(0):
+                text = t.as_py()
+                mid = max(0, (len(text) - SNIPPET) // 2)
+                whole.append(vector(ngram_counts(text), idf).tobytes())
+                parts.append(vector(ngram_counts(text[mid:mid + SNIPPET]), idf).tobytes())
+            yield pa.record_batch([b.column(1), b.column(2), pa.array(whole, pa.binary()), pa.array(parts, pa.binary())], names=["lang", "at", "v", "snippet"])
 
     def cluster(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["at", "v"]).head(SAMPLE_PER_LANG)
         x = np.stack([np.frombuffer(v, dtype=np.float32) for v in group["v"]])
         c = spherical_kmeans(x, CLUSTERS)
-        floor = float(np.quantile((x @ c.T).max(axis=1), REJECT_QUANTILE)) * REJECT_SLACK
+        parts = np.stack([np.frombuffer(v, dtype=np.float32) for v in group["snippet"]])
+        near = (parts[parts.any(axis=1)] @ c.T).max(axis=1)
+        floor = float(np.quantile(near, REJECT_QUANTILE)) * REJECT_SLACK if len(near) else 0.0
         return pd.DataFrame({"lang": group["lang"].iloc[0], "c": [row.tobytes() for row in c], "floor": floor})
 
-    found = (sample.select("text", "lang", "at").mapInArrow(vectors, "lang string, at long, v binary")
+    found = (sample.select("text", "lang", "at").mapInArrow(vectors, "lang string, at long, v binary, snippet binary")
              .groupBy("lang").applyInPandas(cluster, "lang string, c binary, floor double").collect())  # CLUSTERS rows a language
     found.sort(key=lambda r: (r["lang"], bytes(r["c"])))
     return Model([r["lang"] for r in found], np.stack([np.frombuffer(r["c"], dtype=np.float32) for r in found]),
