@@ -8,6 +8,8 @@ fit and transform is distributed. Predictions of all folds form one table
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -57,6 +59,17 @@ def _learner(m: ModelSpec, weight_sum: float):
     raise ValueError(m.kind)
 
 
+FIT_WORKERS = 4  # independent fits in flight at once: a small fit is driver-bound, a large one fills the cluster by itself
+
+
+def in_parallel(jobs: list[Callable], workers: int = FIT_WORKERS) -> list:
+    """Results of independent fits, in order, with at most ``workers`` running."""
+    if workers <= 1 or len(jobs) <= 1:
+        return [job() for job in jobs]
+    with ThreadPoolExecutor(workers) as pool:
+        return list(pool.map(lambda job: job(), jobs))
+
+
 @dataclass(frozen=True)
 class FoldPrep:
     """Training-fold statistics shared by every candidate fitted on the same rows."""
@@ -93,11 +106,11 @@ def score(model: PipelineModel, df: DataFrame) -> DataFrame:
 
 
 def fold_predictions(folds: list[Fold], spec: PanelSpec, features: list[str], label: str, m: ModelSpec,
-                     keep_models: list | None = None, prepared: dict | None = None) -> DataFrame:
+                     keep_models: list | None = None, prepared: dict | None = None, workers: int = FIT_WORKERS) -> DataFrame:
     """Fit per fold on its training rows, score its validation rows, union."""
     parts = []
-    for f in folds:
-        model = fit_pipeline(f.train, features, label, m, (prepared or {}).get(f.position), spec.key)
+    models = in_parallel([lambda f=f: fit_pipeline(f.train, features, label, m, (prepared or {}).get(f.position), spec.key) for f in folds], workers)
+    for f, model in zip(folds, models):
         if keep_models is not None:
             keep_models.append((f, model))
         parts.append(score(model, f.validation).select(
@@ -158,8 +171,8 @@ def tune(folds: list[Fold], spec: PanelSpec, features: list[str], label: str, ca
     shared = {scaled: {f.position: prepare_fold(f.train, features, label, scaled) for f in folds}
               for scaled in {m.scaled for m in candidates}}
     parts = []
-    for i, m in enumerate(candidates):
-        p = fold_predictions(folds, spec, features, label, m, prepared=shared[m.scaled])
+    scored = in_parallel([lambda m=m: fold_predictions(folds, spec, features, label, m, prepared=shared[m.scaled], workers=1) for m in candidates])
+    for i, (m, p) in enumerate(zip(candidates, scored)):
         parts.append(ranking_metrics(score_ladder(p, by=["fold"]), ["fold"]).withColumns(
             {"candidate": F.lit(i), "kind": F.lit(m.kind), "params": F.lit(repr(sorted(m.params.items())))}))
     out = parts[0]

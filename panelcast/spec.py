@@ -121,10 +121,20 @@ class RunConfig:
     validation_months: int = 3
     fold_count: int = 4
 
-# The reference's first tree grids (two candidates each), in Spark terms.
-# Forest: trees, minimum leaf rows, features per split. Boosting: iterations, step size,
-# depth ~ ceil(log2(max leaf nodes)) for 15 and 31 leaves.
-FOREST_GRID = ({"numTrees": 200, "minInstancesPerNode": 5, "featureSubsetStrategy": "sqrt"},
-               {"numTrees": 200, "minInstancesPerNode": 12, "featureSubsetStrategy": "0.7"})
-BOOSTING_GRID = ({"maxIter": 150, "stepSize": 0.1, "maxDepth": 4},
-                 {"maxIter": 150, "stepSize": 0.05, "maxDepth": 5})
+# The reference's tree grids in Spark terms. No depth limit is Spark's largest depth, 30;
+# 7, 15 and 31 leaf nodes are depths 3, 4 and 5. Spark's boosting has no L2 term, so candidates that
+# differ by it alone coincide; all twelve are kept.
+def _forest(trees: int, depth: int, leaf: int, features: str) -> dict:
+    return {"numTrees": trees, "maxDepth": depth, "minInstancesPerNode": leaf, "featureSubsetStrategy": features}
+
+
+def _boosting(iterations: int, step: float, depth: int, leaf: int, bins: int) -> dict:
+    return {"maxIter": iterations, "stepSize": step, "maxDepth": depth, "minInstancesPerNode": leaf, "maxBins": bins}
+
+
+FOREST_GRID = (_forest(300, 30, 5, "sqrt"), _forest(600, 30, 5, "sqrt"), _forest(300, 12, 5, "sqrt"), _forest(300, 20, 5, "0.5"),
+               _forest(300, 30, 10, "sqrt"), _forest(600, 30, 10, "0.5"), _forest(300, 12, 15, "0.5"), _forest(600, 20, 15, "sqrt"))
+LOCKED_FOREST = FOREST_GRID[-1]
+BOOSTING_GRID = (_boosting(150, 0.10, 4, 20, 255), _boosting(300, 0.05, 4, 20, 255), _boosting(500, 0.03, 4, 20, 255), _boosting(150, 0.10, 3, 20, 255),
+                 _boosting(300, 0.05, 3, 40, 255), _boosting(500, 0.03, 3, 40, 255), _boosting(150, 0.10, 5, 20, 255), _boosting(300, 0.05, 5, 40, 255),
+                 _boosting(300, 0.05, 4, 10, 255), _boosting(300, 0.05, 4, 40, 255), _boosting(300, 0.05, 4, 20, 63), _boosting(500, 0.03, 5, 40, 63))
