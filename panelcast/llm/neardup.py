@@ -7,8 +7,10 @@ frequent, its COORDS - MATCHES + 1 rarest ones must meet (prefix); the frequent
 
 Links are only needed as far as they connect: a list first links its members to two leaders, links
 that hold are merged to components, and only then pairs of different components inside a list are
-taken, each once. Copies inside a component are never expanded to pairs, and no pair of different
-components is skipped. Every candidate is counted on its signature and confirmed on full sets.
+taken, each once. Copies inside a component are never expanded to pairs. Of the pairs of different
+components only those are left out that cannot be similar: parity sketches bound the symmetric
+difference of two sets from below. Every candidate is counted on its signature and confirmed on full
+sets.
 
 Defined cases: a null or empty text (no words) has no shingles and is linked with nothing; fewer
 words than a shingle form one shingle; repeated rows share a component; an id with several texts
@@ -32,6 +34,7 @@ from panelcast.llm.common import hot_join, ship, written
 SHINGLE = 5
 SIMILARITY = 80                # per cent, inclusive
 COORDS, MATCHES = 32, 12
+SKETCH_BITS = 2048
 CACHE_WORDS = 1_000_000
 _rng = np.random.default_rng(20240229)
 _MUL = _rng.integers(0, 1 << 63, COORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -137,6 +140,22 @@ def confirmed(pairs: DataFrame, sigs: DataFrame, texts: DataFrame, size: int, si
     return both.select("x", "y", "tx", "ty").mapInArrow(check, "x long, y long").distinct()
 
 
+def parity_sketches(texts: DataFrame, reps: DataFrame, size: int) -> DataFrame:
+    """(rep, odd): for each of SKETCH_BITS shingle buckets whether the class holds an odd number, as longs.
+
+    A shingle in just one of two sets flips one bit of the difference of their sketches, and two may
+    only cancel out, so the differing bits never exceed the size of the symmetric difference."""
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            odd = []
+            for text in batch.column(1):
+                at = (shingles(text.as_py(), size) * _PLACE[-1]) >> np.uint64(65 - SKETCH_BITS.bit_length())
+                odd.append(np.packbits((np.bincount(at.astype(np.int64), minlength=SKETCH_BITS) & 1).astype(np.uint8)).view(np.int64))
+            yield pa.record_batch([batch.column(0), pa.array(odd, pa.list_(pa.int64()))], names=["rep", "odd"])
+
+    return texts.join(reps, "rep", "left_semi").select("rep", "text").mapInArrow(make, "rep long, odd array<long>")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(rep, component) of every linked class: least label over links, with pointer jumps, until it stands."""
     edges = written(links.select(F.col("x").alias("u"), F.col("y").alias("w")).unionByName(links.select(F.col("y").alias("u"), F.col("x").alias("w"))), "edges")
@@ -156,7 +175,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, similarity: int = SIMI
     """(doc_id, n_shingles, component_id, kept) of every row."""
     ship(docs.sparkSession)
     feats = written(features(docs, size), "features")
-    classes = written(feats.filter("n_shingles > 0").groupBy("digest", "sig").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_docs")), "classes")
+    classes = written(feats.filter("n_shingles > 0").groupBy("digest", "sig", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_docs")), "classes")
     total = classes.count()
     named = classes.filter("rep IS NOT NULL")
     posted = written(prefixes(named.select("rep", "sig"), total), "prefixes")
@@ -178,10 +197,19 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, similarity: int = SIMI
     placed = written(placed, "placed")
     sizes = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
     main = sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").select("key", "main")
-    open_lists = placed.join(main, "key").join(sigs, "rep")
-    one = open_lists.filter("component <> main").select("key", F.col("rep").alias("x"), F.col("component").alias("cx"), F.col("sig").alias("sx"))
-    two = open_lists.select("key", F.col("rep").alias("y"), F.col("component").alias("cy"), F.col("sig").alias("sy"), (F.col("component") == F.col("main")).alias("in_main"))
-    meets = (one["key"] == two["key"]) & (F.col("cx") != F.col("cy")) & (F.col("in_main") | (F.col("x") > F.col("y"))) & (agreeing("sx", "sy") >= MATCHES)
+    open_lists = written(placed.join(main, "key"), "open")
+    open_reps = open_lists.select("rep").distinct()
+    several = named.groupBy("rep").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("rep")  # one id with several texts: no bound
+    odd = parity_sketches(texts, open_reps, size).join(several, "rep", "left_anti")
+    sides = written(named.select("rep", "sig", "n_shingles").join(open_reps, "rep", "left_semi").join(odd, "rep", "left"), "sides")
+    able = open_lists.join(sides, "rep")
+    one = able.filter("component <> main").select("key", F.col("rep").alias("x"), F.col("component").alias("cx"), F.col("sig").alias("sx"), F.col("odd").alias("ox"), F.col("n_shingles").alias("nx"))
+    two = able.select("key", F.col("rep").alias("y"), F.col("component").alias("cy"), F.col("sig").alias("sy"), F.col("odd").alias("oy"), F.col("n_shingles").alias("ny"),
+                      (F.col("component") == F.col("main")).alias("in_main"))
+    # |x & y| / |x | y| >= s means |x ^ y| <= (1 - s) / (1 + s) * (|x| + |y|)
+    apart = sum(F.bit_count(F.get("ox", F.lit(k)).bitwiseXOR(F.get("oy", F.lit(k)))) for k in range(SKETCH_BITS // 64))
+    possible = F.coalesce((100 + similarity) * apart <= (100 - similarity) * (F.col("nx") + F.col("ny")), F.lit(True))
+    meets = (one["key"] == two["key"]) & (F.col("cx") != F.col("cy")) & (F.col("in_main") | (F.col("x") > F.col("y"))) & possible & (agreeing("sx", "sy") >= MATCHES)
     rest = one.join(two, meets).select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct()
     more = written(confirmed(rest, sigs, texts, size, similarity), "links")
     merged = components(links.unionByName(more))
