@@ -146,9 +146,9 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
     lines = F.split("text", "\n")
     chosen = chosen.select("at", F.posexplode(F.slice(lines, 1 + F.pmod("at", F.size(lines)).cast("int"), 2)).alias("k", "line")).filter(F.col("line").rlike(r"[\p{L}\p{N}]"))
     shingles = F.array_distinct(F.flatten(F.collect_list(_shingles(F.col("words")))))
-    known = templates.agg(shingles.alias("known"))  # one row
-    lent = chosen.withColumn("words", words_of(F.col("line"))).join(F.broadcast(known)).filter(
-        F.size(F.array_intersect(_shingles(F.col("words")), "known")) == 0).select("at", "k", "words")  # licence lines are not unknown
+    known = templates.agg(shingles.alias("known")).scalar()  # of the fixed templates
+    lent = chosen.withColumn("words", words_of(F.col("line"))).filter(
+        F.size(F.array_intersect(_shingles(F.col("words")), known)) == 0).select("at", "k", "words")  # licence lines are not unknown
     lent = written(lent, "unknown")
     train = lent.filter(F.pmod("at", F.lit(3)) != 0).select("words", F.lit(float(len(classes) - 1)).alias("label"))
     misses = spark.createDataFrame([(x,) for x in NEAR_MISSES], "line string").select(words_of(F.col("line")).alias("words"), F.lit(float(len(classes) - 1)).alias("label"))
