@@ -2,10 +2,13 @@
 
 Markup is stripped into lines: a block element is a line of text, and each change of a structural
 container, or a removed part (script, style, menu, form, advert and the like), leaves a valley of
-empty lines. The lengths of a sliding window of ``BLOCK`` lines then give a distribution over the
-lines: a region runs from its surge point (the first line whose window rises above zero) to its dive
-point (the window falls back to zero). The highest region and all that come near it are kept; link
-text weighs nothing, and where the page marks its article, lines outside weigh nothing.
+empty lines. An element is removed by its name, or where a whole class or id word names a menu, an
+advert and the like, but not if it holds the article or most of the unlinked text. Where the page
+marks its article, all lines left inside are the result. Otherwise the lengths of a sliding window
+of ``BLOCK`` lines give a distribution over the lines, in which link text weighs nothing: a region
+runs from its surge point (the first line whose window rises above zero) to its dive point (the
+window falls back to zero). The highest region, all lines of the element around it, and all regions
+that come near it are kept.
 
 Defined cases: null and empty html, or html without text, gives the empty string; unclosed and
 stray tags, comments and raw text elements are tolerated to the end of the page; pages of any length
@@ -17,6 +20,8 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from html import unescape
+from itertools import accumulate
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,130 +34,210 @@ VALLEY = BLOCK                 # empty lines at a structural border: windows on
 NEAR_PEAK = 0.2                # regions whose highest window reaches this share of the page's highest are kept
 # fixed values: element names and the words of class, id and role that mark what is not the article
 RAW = "script style noscript template svg math iframe object canvas textarea title"
-DROPPED = "head nav footer aside form select button menu dialog figcaption"
+DROPPED = "head nav footer aside select button menu dialog figcaption"
+PROMPTS = "label legend"        # dropped inside a form only
+CONTROLS = "head select button label legend figcaption"   # their words are no evidence of an article
 BLOCKS = ("p div h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption thead tbody tfoot tr td th blockquote pre section article main header figure hr address "
-          "details summary fieldset center body html")
-BORDERS = "div section article main header table ul ol dl body figure details"
+          "details summary fieldset form center body html")
+BORDERS = "div section article main header table ul ol dl body figure details form"
+HOLDERS = "div form body header"   # containers of blocks; the other borders are blocks of an article themselves
 VOID = "area base br col embed hr img input link meta param source track wbr"
 ARTICLE = "article main"
 MARKED = ("nav menu navbar breadcrumb breadcrumbs sidebar side footer header masthead banner ad ads advert adverts advertisement advertising sponsor sponsored promo "
           "cookie cookies consent notice gdpr comment comments reply replies respond disqus share sharing social related recommended newsletter subscribe signup "
           "login popup modal widget pagination pager toolbar copyright disclaimer")
-_RAW, _DROPPED, _BLOCKS, _BORDERS, _VOID, _ARTICLE, _MARKED = (frozenset(x.split()) for x in (RAW, DROPPED, BLOCKS, BORDERS, VOID, ARTICLE, MARKED))
+REMARKS = "comment comments reply replies respond disqus cookie cookies consent gdpr"   # may well be longer than the article
+PLACES = ("site page main top bottom left right upper lower primary secondary global wrap wrapper container box bar slot block list links link item items area "
+          "section inner outer row col unit panel posts post articles stories form")
+CONTENT = "content article post entry story text maintext"
+_RAW, _DROPPED, _PROMPTS, _CONTROLS, _BLOCKS, _BORDERS, _HOLDERS, _VOID, _ARTICLE, _MARKED, _REMARKS, _PLACES, _CONTENT = (
+    frozenset(x.split()) for x in (RAW, DROPPED, PROMPTS, CONTROLS, BLOCKS, BORDERS, HOLDERS, VOID, ARTICLE, MARKED, REMARKS, PLACES, CONTENT))
+_NONE, _NAMED, _WORDED, _REMARK = range(4)
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"(class|id|role|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 
 
-def _boilerplate(attrs: str, in_article: bool) -> bool:
-    """Whether class, id or role names something other than the article."""
+def _words(attrs: str) -> list[str]:
+    """The words of class and id."""
+    return [word for m in _ATTR.finditer(attrs) if m[1].lower() in ("class", "id") for word in (m[2] or "").strip("\"'").lower().split()]
+
+
+def _kind(name: str, attrs: str, in_article: bool, in_form: bool) -> int:
+    """Whether an element is something other than the article: by its name, by class, id or role, or as remarks and notices."""
+    if name in ("html", "body", "article", "main"):
+        return _NONE
+    if name in _DROPPED or name == "header" and not in_article or name in _PROMPTS and in_form:
+        return _NAMED
+    found = _NONE
     for m in _ATTR.finditer(attrs):
-        name, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
-        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in _ROLES:
-            return True
-        if name in ("class", "id"):
+        key, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
+        if key == "hidden" or key == "aria-hidden" and value == "true":
+            return _NAMED
+        if key == "role" and value in _ROLES:
+            found = max(found, _WORDED)
+        if key in ("class", "id"):
             for word in value.split():
-                parts = set(re.split(r"[^a-z0-9]+", word))
-                # "header" or "side" inside the article names a part of it; whole words only
-                if parts & _MARKED and not (in_article and parts & {"header"} and not parts & (_MARKED - {"header"})):
-                    return True
-    return False
+                parts = {x for x in re.split(r"[^a-z0-9]+", word) if x}
+                marks = parts & _MARKED
+                # the whole word must name it: "site-footer" does, "has-sidebar" does not; a "header" inside the article is a part of it
+                if marks and parts <= _MARKED | _PLACES and not (in_article and marks == {"header"}):
+                    found = max(found, _REMARK if marks & _REMARKS else _WORDED)
+    return found
 
 
-def lines_of(html: str) -> list[tuple[str, int, bool]]:
-    """Strip markup: (text, weight without link text, inside a marked article) per line, empty at valleys."""
-    lines: list[tuple[str, int, bool]] = []
-    text: list[str] = []
-    linked = 0
-    stack: list[tuple[str, bool]] = []   # open elements and whether each is dropped
-    dropped = article = links = 0
-    at, size = 0, len(html)
+class Node:
+    """An element: ``text`` and ``marked`` are the unlinked characters below it, all and those of articles."""
+    __slots__ = ("name", "attrs", "up", "inside", "in_form", "kind", "out", "text", "marked", "first", "last")
 
-    def flush() -> None:
-        nonlocal linked
-        line = " ".join(unescape("".join(text)).split())
-        if line:
-            lines.append((line, max(0, len(line) - linked), article > 0))
-        text.clear()
-        linked = 0
+    def __init__(self, name: str, attrs: str, up: Node | None):
+        self.name, self.attrs, self.up = name, attrs, up
+        self.inside = up is not None and (up.inside or up.name in _ARTICLE)
+        self.in_form = up is not None and (up.in_form or up.name == "form")
+        self.kind = _kind(name, attrs, self.inside, self.in_form)
+        self.out, self.text, self.marked, self.first, self.last = False, 0, 0, 0, 0
 
-    def add(part: str) -> None:
-        nonlocal linked
-        if part and not dropped:
-            text.append(part)
-            if links:
-                linked += len(part.strip())
 
-    def border() -> None:
-        flush()
-        lines.extend([("", 0, article > 0)] * VALLEY)
+class Line(NamedTuple):
+    text: str                  # empty in a valley
+    weight: int                # characters outside links
+    article: Node | None       # outermost article or main
+    node: Node | None          # innermost border element
+
+
+def _parse(html: str) -> tuple[list, list[Node]]:
+    """Events of a page and its elements: text, None at the end of a line, (True, node) and (False, node)."""
+    events: list = []
+    nodes: list[Node] = []
+    stack: list[Node] = []
+    at, size = 0, len(html)
 
     def close(depth: int) -> None:
-        nonlocal dropped, article, links
         while len(stack) > depth:
-            name, out = stack.pop()
-            if name in _ARTICLE:
-                flush()
-                article -= 1
-            dropped -= out
-            links -= name == "a"
-            if out or name in _BORDERS:
-                border()
+            events.append((False, stack.pop()))
 
     while at < size:
         m = _TOKEN.search(html, at)
         if m is None:
-            add(html[at:])
+            events.append(html[at:])
             break
-        add(html[at:m.start()])
+        if m.start() > at:
+            events.append(html[at:m.start()])
         at = m.end()
         if m[2] is None:
             continue
         name, closing = m[2].lower(), bool(m[1])
         if closing:
             if name in _BLOCKS:
-                flush()
-            depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
+                events.append(None)
+            depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k].name == name), None)
             if depth is not None:
                 close(depth)
             continue
         if name in _RAW:
             end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(html, at)
             at = end.end() if end else size
-            if name != "title":
-                continue
             continue
         if name == "br":
-            add(" ")
+            events.append(" ")
             continue
+        if name == "body":
+            head = next((k for k, x in enumerate(stack) if x.name == "head"), None)  # left open
+            if head is not None:
+                close(head)
         if name in _BLOCKS:
-            flush()
+            events.append(None)
             # a new paragraph or item ends an open one, and with it inline elements left open inside
             ends = {"p": ("p",), "li": ("li",), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "dt": ("dt", "dd"), "dd": ("dt", "dd")}.get(name, ("p",))
             for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in ends:
+                if stack[k].name in ends:
                     close(k)
                     break
-                if stack[k][0] in _BORDERS or stack[k][0] in _DROPPED:
+                if stack[k].name in _BORDERS or stack[k].name in _DROPPED:
                     break
         if name in _VOID or m[3].endswith("/") and name not in _BLOCKS:
             continue
-        out = name in _DROPPED or name not in ("html", "body", "article", "main") and _boilerplate(m[3], article > 0) or name == "header" and not article
-        if out or name in _BORDERS:
-            border()
-        stack.append((name, out))
-        dropped += out
-        article += name in _ARTICLE
-        links += name == "a"
+        nodes.append(Node(name, m[3], stack[-1] if stack else None))
+        stack.append(nodes[-1])
+        events.append((True, nodes[-1]))
     close(0)
+    return events, nodes
+
+
+def _judge(events: list, nodes: list[Node]) -> None:
+    """Set ``out`` of the elements to drop: those of a kind, but none that holds the article or most of the unlinked text."""
+    text = marked = links = unread = remarks = article = 0
+    for e in events:
+        if isinstance(e, str):
+            if not (links or unread or remarks):
+                n = len("".join(e.split()))
+                text += n
+                marked += n if article else 0
+        elif e is not None:
+            opened, x = e
+            step = 1 if opened else -1
+            links += step * (x.name == "a")
+            unread += step * (x.name in _CONTROLS)
+            remarks += step * (x.kind == _REMARK)
+            article += step * (x.name in _ARTICLE)
+            x.text, x.marked = (text, marked) if opened else (text - x.text, marked - x.marked)
+    for x in nodes:
+        if x.kind == _REMARK:
+            x.out = text > 0    # nothing else on the page otherwise
+        elif x.kind:
+            holds = not x.inside and 2 * x.marked > marked if marked else x.kind == _WORDED and 2 * x.text > text
+            x.out = not (holds or x.inside and x.kind == _WORDED and 2 * x.text > marked > 0)
+
+
+def lines_of(html: str) -> list[Line]:
+    """Strip markup into lines, with empty ones at valleys."""
+    events, nodes = _parse(html)
+    _judge(events, nodes)
+    lines: list[Line] = []
+    text: list[str] = []
+    linked = dropped = links = 0
+    holders: list[Node] = []   # open border elements
+    articles: list[Node] = []
+
+    def flush() -> None:
+        nonlocal linked
+        line = " ".join(unescape("".join(text)).split())
+        if line:
+            lines.append(Line(line, max(0, len(line) - linked), articles[0] if articles else None, holders[-1] if holders else None))
+        text.clear()
+        linked = 0
+
+    for e in events:
+        if isinstance(e, str):
+            if not dropped:
+                text.append(e)
+                if links:
+                    linked += len(e.strip())
+        elif e is None:
+            flush()
+        else:
+            opened, x = e
+            structural = x.out or x.name in _BORDERS
+            if structural:
+                flush()
+                x.last = len(lines)
+                lines.extend([Line("", 0, None, None)] * VALLEY)
+                if opened:
+                    x.first = len(lines)
+            step = 1 if opened else -1
+            dropped += step * x.out
+            links += step * (x.name == "a")
+            for names, at in ((_BORDERS, holders), (_ARTICLE, articles)):
+                if x.name in names:
+                    at.append(x) if opened else at.pop()
     flush()
     return lines
 
 
 def main_text(html: str | None) -> str:
     lines = lines_of(html or "")
-    marked = any(text and inside and weight for text, weight, inside in lines)
-    weights = [weight if inside or not marked else 0 for _, weight, inside in lines]
+    marked = any(x.article is not None and x.weight for x in lines)
+    weights = [x.weight if x.article is not None or not marked else 0 for x in lines]
     total = sum(weights[:BLOCK])
     window = []                # sums over lines i .. i + BLOCK - 1
     for i in range(len(weights)):
@@ -171,7 +256,7 @@ def main_text(html: str | None) -> str:
         while i < len(window) and window[i]:
             i += 1
         if max(window[surge:i]) >= NEAR_PEAK * peak or marked:
-            kept += [text for text, weight, inside in lines[surge:i] if text and (inside or not marked)]
+            kept += [x.text for x in lines[surge:i] if x.text and (x.article is not None or not marked)]
     return "\n".join(kept)
 
 

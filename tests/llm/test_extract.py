@@ -26,6 +26,22 @@ def test_cases(spark):
     assert not extract.extract(pages.limit(0)).collect()
 
 
+def test_wrappers_that_only_mention_boilerplate_stay():
+    page = f"<article><h1>Title</h1><p>{PARA}</p></article>"
+    for word in ("has-sidebar", "no-sidebar", "comments-open", "with-banner", "sidebar", "widget"):
+        assert extract.main_text(f"<body><div class='{word}'><nav><a href=a>Home</a></nav>{page}</div></body>") == f"Title\n{PARA}", word
+    assert extract.main_text(f"<body class=x><div id='social'><p>{PARA}</p><p>{PARA}</p></div><div class=ad>Buy</div></body>") == f"{PARA}\n{PARA}"
+    assert extract.main_text(f"<article><p>{PARA}</p><section class='side-effects'><p>They are mild.</p></section><div class='site-footer'>(c)</div></article>") == f"{PARA}\nThey are mild."
+    assert extract.main_text(f"<article><p>{PARA}</p></article><aside><article>Teaser</article></aside><div id=comments><article>{PARA * 9}</article></div>") == PARA
+    assert extract.main_text(f"<head><meta x><body><p>{PARA}</p>") == PARA
+
+
+def test_forms_lose_their_controls_only():
+    fields = "<label>Name</label><input><select><option>a</option></select><button>Go</button>"
+    assert extract.main_text(f"<body><form><div><p>{PARA}</p><p>last</p>{fields}</div></form></body>") == f"{PARA}\nlast"
+    assert extract.main_text(f"<form><main><p>{PARA}</p></main>{fields}</form>") == PARA
+
+
 def test_long_page_is_read_whole():
     html = "<article>" + "".join(f"<p>{PARA} {i}</p>" for i in range(20000)) + "</article>"
     assert extract.main_text(html).count("\n") == 19999
