@@ -234,19 +234,52 @@ def lines_of(html: str) -> list[Line]:
     return lines
 
 
+def _container(lines: list[Line], at: int) -> range:
+    """The lines of the element whose blocks belong together with line ``at``."""
+    node = lines[at].node
+    texts, solid, chars = ([0, *accumulate(f(x) for x in lines)] for f in (lambda x: x.text != "", lambda x: x.weight, lambda x: len(x.text)))
+
+    def sums(r: range) -> tuple[int, int, int]:
+        return texts[r.stop] - texts[r.start], solid[r.stop] - solid[r.start], chars[r.stop] - chars[r.start]
+
+    while node is not None:
+        up = node.up
+        while up is not None and up.name not in _BORDERS:
+            up = up.up
+        own, around = range(node.first, node.last), range(up.first, up.last) if up is not None else range(len(lines))
+        n, weight, size = sums(own)
+        n_up, weight_up, size_up = sums(around)
+        if n_up > n:
+            block = node.name not in _HOLDERS or n == 1   # a part of an article, not a container
+            page = up is None or up.name == "body"
+            named = any(x in _CONTENT for word in _words(node.attrs) for x in re.split(r"[^a-z0-9]+", word))
+            if node.name == "body" or named or page and not block or 2 * (weight_up - weight) < size_up - size:
+                break
+        node = up
+    if node is not None and node.name != "body":
+        return range(node.first, node.last)
+    # the page itself: links before and after all text are no part of it
+    found = [k for k in (range(node.first, node.last) if node is not None else range(len(lines))) if lines[k].weight]
+    return range(found[0], found[-1] + 1)
+
+
 def main_text(html: str | None) -> str:
     lines = lines_of(html or "")
-    marked = any(x.article is not None and x.weight for x in lines)
-    weights = [x.weight if x.article is not None or not marked else 0 for x in lines]
-    total = sum(weights[:BLOCK])
+    weight: dict[Node, int] = {}
+    for x in lines:
+        if x.article is not None:
+            weight[x.article] = weight.get(x.article, 0) + x.weight
+    if any(weight.values()):   # the page marks its article: all that is inside and not dropped
+        return "\n".join(x.text for x in lines if x.text and x.article is not None and weight[x.article])
+    total = sum(x.weight for x in lines[:BLOCK])
     window = []                # sums over lines i .. i + BLOCK - 1
-    for i in range(len(weights)):
+    for i in range(len(lines)):
         window.append(total)
-        total += (weights[i + BLOCK] if i + BLOCK < len(weights) else 0) - weights[i]
+        total += (lines[i + BLOCK].weight if i + BLOCK < len(lines) else 0) - lines[i].weight
     peak = max(window, default=0)
     if not peak:
         return ""
-    kept: list[str] = []
+    kept: set[int] = set()
     i = 0
     while i < len(window):
         if not window[i]:
@@ -255,9 +288,14 @@ def main_text(html: str | None) -> str:
         surge = i
         while i < len(window) and window[i]:
             i += 1
-        if max(window[surge:i]) >= NEAR_PEAK * peak or marked:
-            kept += [x.text for x in lines[surge:i] if x.text and (x.article is not None or not marked)]
-    return "\n".join(kept)
+        top = max(range(surge, i), key=window.__getitem__)
+        if window[top] < NEAR_PEAK * peak:
+            continue
+        kept.update(range(surge, i))
+        if window[top] == peak:
+            heaviest = max(range(top, min(top + BLOCK, len(lines))), key=lambda k: lines[k].weight)
+            kept.update(_container(lines, heaviest))
+    return "\n".join(lines[k].text for k in sorted(kept) if lines[k].text)
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -42,6 +42,20 @@ def test_forms_lose_their_controls_only():
     assert extract.main_text(f"<form><main><p>{PARA}</p></main>{fields}</form>") == PARA
 
 
+def test_no_block_of_the_article_is_lost():
+    long = PARA * 8
+    parts = "<ul><li>one</li></ul><table><tr><td>cell</td></tr></table><section><p>short</p></section><figure><p>shown</p></figure><p>end</p>"
+    body = f"<p>{long}</p>{parts}"
+    want = f"{long}\none\ncell\nshort\nshown\nend"
+    menu = "<ul><li><a href=x>only links here</a></li></ul>"
+    for page in (f"<body>{menu}<div id=content>{body}</div>{menu}</body>", f"<body>{menu}{body}{menu}</body>", f"<div><div>{body}</div></div>", body):
+        assert extract.main_text(page) == want
+    assert extract.main_text(f"{menu}<div><section><p>{long}</p></section><section><p>short</p></section></div>") == f"{long}\nshort"
+    linked = f"<header><h1><a href=t>Title</a></h1></header><div><p>{long}</p></div><ul><li><a href=l>see one</a></li></ul><p><a href=m>see two</a></p>"
+    assert extract.main_text(f"{menu}<article>{linked}</article>") == f"Title\n{long}\nsee one\nsee two"
+    assert extract.main_text(f"{menu}<div class=post><h1><a href=t>Title</a></h1><p>{long}</p><ul><li><a href=l>see</a></li></ul></div>") == f"Title\n{long}\nsee"
+
+
 def test_long_page_is_read_whole():
     html = "<article>" + "".join(f"<p>{PARA} {i}</p>" for i in range(20000)) + "</article>"
     assert extract.main_text(html).count("\n") == 19999
