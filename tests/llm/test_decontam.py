@@ -45,6 +45,19 @@ def test_slots_must_be_consistent(spark):
     assert found(decontam.leaks(docs, benchmark).collect()) == {(1, 1), (3, 1)}
 
 
+@pytest.mark.parametrize("bound", [decontam.BROADCAST_WINDOWS, 0])
+def test_exact_copies_match_in_any_case_with_any_slots(spark, bound):
+    sums = "12 plus 30 equals 42 and 7 times 6 equals 42"
+    names = "Meet Anna Berta Carla Doris Emma Frieda Greta Hanna Ida"
+    items = {1: ITEM, 2: OTHER, 3: sums, 4: names, 5: "2 + 2 = 4", 6: "Capital of France?", 7: "Yes"}
+    texts = {1: f"{FILL} {ITEM.upper()} {FILL}", 2: ITEM.lower(), 3: f"{FILL} {sums.upper()}", 4: f"{FILL} {names.lower()}", 5: f"{FILL} Now 2 + 2 = 4 of course", 6: f"{FILL} CAPITAL of france",
+             7: f"{FILL} Yes.", 8: OTHER.replace("exactly", "literally"), 9: OTHER.replace("number", "figure"), 10: ITEM.upper().replace("300", "480"),
+             11: " ".join(OTHER.split()[:9]), 12: OTHER.replace("any", "some").replace("stand", "are").replace("exactly", "fully").replace("later", "just")}
+    benchmark = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert found(decontam.leaks(docs, benchmark, bound).collect()) == {(1, 1), (2, 1), (3, 3), (4, 4), (5, 5), (6, 6), (8, 2), (9, 2), (10, 1)}
+
+
 def test_empty_tables(spark, benchmark):
     docs = spark.createDataFrame([(1, ITEM)], "doc_id long, text string")
     assert not decontam.leaks(docs.limit(0), benchmark).collect()
