@@ -5,14 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 
-def _as_text(df: DataFrame, name: str) -> Column:
-    """One spelling per value: floating numbers as whole millionths, times to the second, null as a bare mark."""
+def _as_text(df: DataFrame, name: str, exact: bool) -> Column:
+    """One spelling per value, null as a bare mark: floating numbers as whole millionths and times to the second,
+    or, if ``exact``, as the shortest text that reads back alike and as microseconds."""
     kind, c = dict(df.dtypes)[name], F.col(f"`{name}`")
 
     def millionths(x: Column) -> Column:
         return F.round(x.cast("double") * 1_000_000).cast("decimal(38,0)").cast("string")
 
-    if kind in ("double", "float"):
+    if exact and kind.startswith("timestamp"):
+        text = F.unix_micros(c.cast("timestamp")).cast("string")
+    elif exact and kind.startswith("array<"):
+        text = F.to_json(F.transform(c, lambda x: x.cast("string")), {"ignoreNullFields": "false"})
+    elif exact:
+        text = c.cast("string")
+    elif kind in ("double", "float"):
         text = millionths(c)
     elif kind in ("array<float>", "array<double>"):
         text = F.array_join(F.transform(c, millionths), ";")
@@ -23,10 +30,10 @@ def _as_text(df: DataFrame, name: str) -> Column:
     return F.coalesce(F.concat(F.lit("="), text), F.lit("-"))
 
 
-def table_fingerprint(df: DataFrame) -> DataFrame:
+def table_fingerprint(df: DataFrame, exact: bool = False) -> DataFrame:
     """Order-insensitive: row count and the exact sum of 60 bits of each row's MD5, which other engines
-    compute alike. Partial sums combine map side, so it scales like a count."""
-    row = F.md5(F.concat_ws("|", *[_as_text(df, c) for c in df.columns]).cast("binary"))
+    compute alike unless ``exact``. Partial sums combine map side, so it scales like a count."""
+    row = F.md5(F.concat_ws("|", *[_as_text(df, c, exact) for c in df.columns]).cast("binary"))
     h = F.conv(F.substring(row, 1, 15), 16, 10).cast("decimal(38,0)")
     return df.agg(F.count(F.lit(1)).alias("rows"), F.sum(h).cast("string").alias("hash_sum"))
 

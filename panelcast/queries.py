@@ -648,10 +648,21 @@ def q_source_profile(spark, sf_dir):
 
 @query("table_fingerprint")
 def q_table_fingerprint(spark, sf_dir):
-    """Order-insensitive content fingerprint of each input table (row count + hash sum)."""
+    """Order-insensitive content fingerprint of each input table (row count + hash sum); its SQL form reads
+    times to the second and floats to the millionth, ``content_fingerprint`` every digit."""
+    return _fingerprints(spark, sf_dir, False)
+
+
+@query("content_fingerprint")
+def q_content_fingerprint(spark, sf_dir):
+    """The same over the whole content: microseconds and all digits of floats."""
+    return _fingerprints(spark, sf_dir, True)
+
+
+def _fingerprints(spark, sf_dir, exact):
     from .sources.tables import TABLES, read_table
     from .functions.fingerprint import table_fingerprint
-    parts = [table_fingerprint(read_table(spark, sf_dir, t, list(cols))).withColumn("table", F.lit(t)) for t, cols in TABLES.items()]
+    parts = [table_fingerprint(read_table(spark, sf_dir, t, list(cols)), exact).withColumn("table", F.lit(t)) for t, cols in TABLES.items()]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -203,3 +203,11 @@ def test_latest_period_is_that_of_the_source(spark):
     assert batch.count() == 0
     with pytest.raises(ValueError, match="nothing to score"):
         assert_nonempty(batch)
+
+
+def test_exact_fingerprint_reads_microseconds_and_all_digits(spark):
+    from panelcast.functions.fingerprint import table_fingerprint
+    rows = ["1.0d x, timestamp'2024-01-01 00:00:00.000001' t, array(0.1f, null) e", "1.0d x, timestamp'2024-01-01 00:00:00.000002' t, array(0.1f, null) e",
+            "1.0000000001d x, timestamp'2024-01-01 00:00:00.000001' t, array(0.1f, null) e", "1.0d x, timestamp'2024-01-01 00:00:00.000001' t, array(0.10000001f, null) e",
+            "1.0d x, timestamp'2024-01-01 00:00:00.000001' t, array(0.1f) e"]
+    assert len({table_fingerprint(spark.sql(f"SELECT {r}"), exact=True).first()["hash_sum"] for r in rows}) == len(rows)
