@@ -46,6 +46,15 @@ def test_stages_keep_columns_and_take_effect(spark, corpus):
     assert all(0 < r["length"] <= packing.CAPACITY for r in packed)
 
 
+def test_near_dedup_keeps_one_row_of_every_group(spark):
+    a, b, c, d = (" ".join(f"{w}{i}" for i in range(40)) for w in "abcd")
+    rows = [(1, a), (None, a + " more"), (None, b), (None, b), (None, b + " more"), (2, c), (2, d), (2, d), (3, c + " more"), (4, d)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = cp.near_dedup(spark, docs, "").collect()
+    assert sorted(r["text"].split()[0] for r in out) == ["a0", "b0", "c0", "d0"]
+    assert {r["doc_id"] for r in out if r["text"][0] == "a"} == {1} and {r["doc_id"] for r in out if r["text"][0] == "b"} == {None}
+
+
 def test_empty_documents(spark, corpus):
     sf_dir, docs = corpus
     now = docs.limit(0)
