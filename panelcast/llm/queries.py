@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelcast.llm import decontam, extract, langid, licenses, neardup, packing, pieces, quality, sharding, toxicity, warc
+from panelcast.llm import decontam, extract, langid, licenses, neardup, negatives, packing, pieces, quality, sharding, toxicity, warc
 from panelcast.llm.common import table
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,11 +55,17 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), size=4)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.hard_negatives(negatives.relabelled(table(spark, sf_dir, "embeddings")))
+
+
 def op12_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(pieces.encode_documents(table(spark, sf_dir, "documents")))
 
 
 for _query in (op1_toxicity, op2_best_fit_packing, op3_quality_rules, op4_language_id, op5_benchmark_decontamination, op6_karmarkar_karp_sharding,
-               op7_html_extraction, op8_warc, op9_license_scans, op10_minhash_near_dedup, op12_sentencepiece_codec):
+               op7_html_extraction, op8_warc, op9_license_scans, op10_minhash_near_dedup, op11_hard_negatives,
+               op12_sentencepiece_codec):
     REGISTRY[_query.__name__] = _query
 SQL["op3_quality_rules"] = quality.REPORT_SQL
+SQL["op11_hard_negatives"] = negatives.SQL
