@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelcast.llm import decontam, extract, langid, licenses, neardup, negatives, packing, pieces, quality, sharding, toxicity, warc
+from panelcast.llm import decontam, dialogues, extract, langid, licenses, neardup, negatives, packing, pieces, quality, sharding, toxicity, warc
 from panelcast.llm.common import table
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,9 +63,14 @@ def op12_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(pieces.encode_documents(table(spark, sf_dir, "documents")))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dialogues.repair(dialogues.damaged(table(spark, sf_dir, "conversations")))
+
+
 for _query in (op1_toxicity, op2_best_fit_packing, op3_quality_rules, op4_language_id, op5_benchmark_decontamination, op6_karmarkar_karp_sharding,
                op7_html_extraction, op8_warc, op9_license_scans, op10_minhash_near_dedup, op11_hard_negatives,
-               op12_sentencepiece_codec):
+               op12_sentencepiece_codec, op13_conversation_repair):
     REGISTRY[_query.__name__] = _query
 SQL["op3_quality_rules"] = quality.REPORT_SQL
 SQL["op11_hard_negatives"] = negatives.SQL
+SQL["op13_conversation_repair"] = dialogues.SQL
