@@ -10,8 +10,8 @@ text has one encoding only, so a position that failed once fails always: a bitfi
 positions, and the work is linear in the text.
 
 A character outside the vocabulary is a symbol of its own, spelled by the byte pieces of its UTF-8
-form. Text is cut before a space mark that follows another character where no piece of the vocabulary
-spans such a place (then no merge does), and each distinct part is encoded once per worker.
+form. Text is cut before a space mark that follows another character, and between letters and others, where
+no piece of the vocabulary spans such a place (then no merge does); each distinct part is encoded once per worker.
 
 Defined cases: null and empty texts have the end id only; equal or repeated rows are encoded one by
 one; a null doc_id is kept; an empty table gives an empty result; other columns are ignored. Models
@@ -21,7 +21,8 @@ with user-defined symbols are not supported; unused pieces are an error.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,14 +34,23 @@ from panelcast.llm.common import ship
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
+NEVER = float("-inf")
 #: Parts a worker remembers with their ids (those of at most LONG_PART characters) and pairs with their verdicts; a full memory is emptied.
-CACHE_PARTS, LONG_PART, CACHE_PAIRS = 200_000, 64, 1_000_000
+CACHE_PARTS, LONG_PART, CACHE_PAIRS = 1_000_000, 64, 1_000_000
 #: A worker hands on its rows after this many ids and characters.
 FLUSH = 2_000_000
 
 ENCODED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
 
 
+def cuts(pieces: Iterable[str]) -> list[tuple[str, str]]:
+    """Ways to cut a normalised text into parts, the finest first, each with the places that no piece may span."""
+    odd = re.escape("".join(sorted({c for p in pieces for c in p if re.match(r"[^\W\d_]", c) and not c.isalpha()})))  # number signs
+    letter, other = rf"[^\W\d_{odd}]", rf"(?:[\d_{odd}]|[^\w{SPACE}])"
+    return [(f"{SPACE}*{letter}+|{SPACE}*{other}+|{SPACE}+", f"{letter}{other}|{other}{letter}|[^{SPACE}]{SPACE}"),
+            (f"{SPACE}*[^{SPACE}]+|{SPACE}+", f"[^{SPACE}]{SPACE}")]
+
+
 class PieceCodec:
     """``encode(text)`` gives the ids as int32 bytes (without an end id), ``decode(ids)`` the text."""
 
@@ -62,9 +72,10 @@ class PieceCodec:
         for piece in self.id:
             self.found.add_word(piece, len(piece))
         self.found.make_automaton()
-        spans = re.compile(f"[^{SPACE}]{SPACE}")
-        self.parts = None if any(spans.search(p) for p in self.id) else re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+        self.parts = next((re.compile(parts) for parts, spanned in cuts(self.id) if not any(re.search(spanned, p) for p in self.id)), None)
         self.known: dict[str, bytes] = {}
+        self.widest = max(map(len, self.id))
+        self.next_shorter: dict[str, str | None] = {}
         self.pairs: dict[tuple[str | None, str], bool] = {}
 
     @classmethod
@@ -79,16 +90,17 @@ class PieceCodec:
 
     def merged(self, text: str) -> list[str]:
         """The merge process itself, for the few characters of one or two pieces."""
-        symbols, score = list(text), self.score
-        while True:
-            best, at = None, -1
-            for k in range(len(symbols) - 1):
-                s = score.get(symbols[k] + symbols[k + 1])
-                if s is not None and (best is None or s > best):
-                    best, at = s, k
-            if best is None:
-                return symbols
-            symbols[at:at + 2] = [symbols[at] + symbols[at + 1]]
+        symbols, score = list(text), self.score.get
+        gains = [score(a + b, NEVER) for a, b in zip(symbols, symbols[1:])]
+        while gains and (best := max(gains)) > NEVER:
+            k = gains.index(best)  # the leftmost of the best
+            symbols[k:k + 2] = [symbols[k] + symbols[k + 1]]
+            del gains[k]
+            if k:
+                gains[k - 1] = score(symbols[k - 1] + symbols[k], NEVER)
+            if k < len(gains):
+                gains[k] = score(symbols[k] + symbols[k + 1], NEVER)
+        return symbols
 
     def compatible(self, left: str | None, right: str) -> bool:
         """Whether the two pieces (or, at the start, the one) stay as they are when merged anew."""
@@ -100,36 +112,47 @@ class PieceCodec:
             verdict = self.pairs[key] = self.merged(right) == [right] if left is None else self.merged(left + right) == [left, right]
         return verdict
 
+    def longest(self, text: str, pos: int) -> str:
+        """The longest piece that starts here; a character outside the vocabulary stands for itself."""
+        ahead = text[pos:pos + self.widest]
+        for end, length in self.found.iter_long(ahead):
+            return ahead[:length] if end + 1 == length else ahead[0]
+        return ahead[0]
+
+    def shorter(self, piece: str) -> str | None:
+        """The next shorter piece that starts the same way."""
+        if piece not in self.next_shorter:
+            cuts = (piece[:n] for n in range(len(piece) - 1, 0, -1))
+            self.next_shorter[piece] = next((c for c in cuts if len(c) == 1 or c in self.id), None)
+        return self.next_shorter[piece]
+
     def cover(self, text: str) -> list[str]:
         """The pieces (and unknown characters) of a normalised text."""
         n = len(text)
-        lengths: list[list[int]] = [[] for _ in range(n)]  # of the pieces at a position, shortest first
-        for end, length in self.found.iter(text):
-            lengths[end - length + 1].append(length)
-        for at, here in enumerate(lengths):
-            if not here or here[0] != 1:
-                here.insert(0, 1)
         failed = bytearray((n >> 3) + 1)
         pieces: list[str] = []
-        choices: list[int] = []
-        pos, choice, last = 0, len(lengths[0]) - 1 if n else 0, None
+        last: str | None = None
+        pos = 0
+        piece = self.longest(text, 0) if n else None
+        known = self.pairs
         while pos < n:
-            here, end = lengths[pos], pos
-            while choice >= 0:
-                end = pos + here[choice]
-                if not failed[end >> 3] >> (end & 7) & 1 and self.compatible(last, text[pos:end]):
-                    break
-                choice -= 1
-            if choice >= 0:
-                last = text[pos:end]
-                pieces.append(last)
-                choices.append(choice)
-                pos = end
-                choice = len(lengths[pos]) - 1 if pos < n else 0
+            while piece is not None:
+                end = pos + len(piece)
+                if not failed[end >> 3] >> (end & 7) & 1:
+                    verdict = known.get((last, piece))
+                    if verdict or verdict is None and self.compatible(last, piece):
+                        break
+                piece = self.shorter(piece)
+            if piece is not None:
+                pieces.append(piece)
+                last, pos = piece, end
+                if pos < n:
+                    piece = self.longest(text, pos)
             else:
                 failed[pos >> 3] |= 1 << (pos & 7)
-                pos -= len(pieces.pop())
-                choice = choices.pop() - 1
+                last = pieces.pop()
+                pos -= len(last)
+                piece = self.shorter(last)
                 last = pieces[-1] if pieces else None
         return pieces
 
@@ -141,7 +164,7 @@ class PieceCodec:
                 out += [self.byte[b] for b in piece.encode()]
             else:
                 out.append(at)
-        return np.asarray(out, dtype="<i4").tobytes()
+        return array("i", out).tobytes()
 
     def encode(self, text: str) -> bytes:
         shown = self.model.normalize(text)
