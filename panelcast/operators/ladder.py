@@ -1,7 +1,8 @@
 """Score ladder: cumulative positives / rows at or above every distinct score,
 per group, without a single-partition global window.
 
-1. ``groupBy(by, score)`` combines map side: one row per distinct score.
+1. ``groupBy(by, score)`` combines map side: one row per distinct score. This tally is written and
+   serves all metrics: average precision, ROC-AUC, Brier, calibration, confusion and policies.
 2. Equi-depth buckets over the distinct scores (approximate quantiles; a cut point
    per ROWS_PER_BUCKET distinct scores reaches the driver) keep every bucket about the same
    size even when scores pile up in a narrow range or one group is hot.
@@ -17,9 +18,9 @@ from __future__ import annotations
 import math
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, written
 
 BUCKET = "_bucket"
 ROWS_PER_BUCKET = 50_000
@@ -33,13 +34,30 @@ def _cuts(g: DataFrame, score: str, buckets: int) -> list[float]:
     return sorted({q for q in qs if q is not None})
 
 
+def score_tally(preds: DataFrame, label: str = "label", score: str = "score", by: list[str] | tuple = ()) -> DataFrame:
+    """The sufficient statistics of every metric here: (by..., score, pos, n), written once.
+
+    Predictions are evaluated for this table alone, whatever is asked of it later; rows without a label
+    or a score are left out.
+    """
+    known = preds.where(F.col(label).isNotNull() & F.col(score).isNotNull())
+    return written(known.groupBy(*by, F.col(score).alias("score")).agg(F.sum(F.col(label).cast("long")).alias("pos"), F.count(F.lit(1)).alias("n")), "tally")
+
+
+def rolled_up(tally: DataFrame, by: list[str] | tuple = ()) -> DataFrame:
+    """The tally of coarser groups."""
+    return tally.groupBy(*by, "score").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n"))
+
+
 def score_ladder(preds: DataFrame, label: str = "label", score: str = "score", by: list[str] | tuple = (), buckets: int | None = None) -> DataFrame:
+    """The ladder of a prediction table, see ``ladder_of``."""
+    return ladder_of(score_tally(preds, label, score, by), by, buckets)
+
+
+def ladder_of(tally: DataFrame, by: list[str] | tuple = (), buckets: int | None = None) -> DataFrame:
     """Rows: by..., score, pos, n, cum_pos (score >= s), cum_n, total_pos, total_n.
     Without ``buckets`` their number follows from ROWS_PER_BUCKET and the distinct scores."""
-    by = list(by)
-    g = preds.where(F.col(label).isNotNull() & F.col(score).isNotNull()).groupBy(*by, score).agg(
-        F.sum(F.col(label).cast("long")).alias("pos"), F.count(F.lit(1)).alias("n")
-    )
+    by, g, score = list(by), tally, "score"
     cuts = _cuts(g, score, buckets or max(1, math.ceil(g.count() / ROWS_PER_BUCKET)))
     if cuts:
         splits = [float("-inf"), *cuts, float("inf")]
@@ -65,43 +83,37 @@ def score_ladder(preds: DataFrame, label: str = "label", score: str = "score", b
     )
 
 
-def ranking_metrics(ladder: DataFrame, by: list[str] | tuple = ()) -> DataFrame:
-    """Step-wise average precision and ROC-AUC with half credit for ties.
+def ranking_columns() -> dict[str, Column]:
+    """Step-wise average precision and ROC-AUC with half credit for ties, as aggregates over a ladder.
 
     AP = sum_s pos_s * precision_s / P; AUC = sum_s neg_s * (above_s + pos_s / 2) / (P * N).
     AUC is null for a one-class group; AP is null without positives.
     """
-    pos, n = F.col("pos"), F.col("n")
-    neg = n - pos
+    pos, neg = F.col("pos"), F.col("n") - F.col("pos")
     above = F.col("cum_pos") - pos
     P = F.first("total_pos")
     N = F.first("total_n") - F.first("total_pos")
-    return ladder.groupBy(*by).agg(
-        F.when(P > 0, F.sum(pos * (F.col("cum_pos") / F.col("cum_n"))) / P).alias("pr_auc"),
-        F.when((P > 0) & (N > 0), F.sum(neg * (above + pos / 2.0)) / (P * N)).alias("roc_auc"),
-        P.alias("positives"),
-        F.first("total_n").alias("rows"),
-    )
+    return {"pr_auc": F.when(P > 0, F.sum(pos * (F.col("cum_pos") / F.col("cum_n"))) / P),
+            "roc_auc": F.when((P > 0) & (N > 0), F.sum(neg * (above + pos / 2.0)) / (P * N))}
 
 
-def threshold_candidates(preds: DataFrame, ladder: DataFrame, label: str = "label", score: str = "score", by: list[str] | tuple = ()) -> DataFrame:
+def ranking_metrics(ladder: DataFrame, by: list[str] | tuple = ()) -> DataFrame:
+    """(by..., pr_auc, roc_auc, positives, rows)."""
+    return ladder.groupBy(*by).agg(*[c.alias(name) for name, c in ranking_columns().items()], F.first("total_pos").alias("positives"), F.first("total_n").alias("rows"))
+
+
+def threshold_candidates(ladder: DataFrame, by: list[str] | tuple = ()) -> DataFrame:
     """Candidates {0, 1} U distinct scores with tp, fp, fn, tn, precision, recall, f1."""
     by = list(by)
-    base = ladder.select(*by, F.col(score).alias("threshold"), F.col("cum_pos").alias("tp"), F.col("cum_n").alias("pp"),
+    base = ladder.select(*by, F.col("score").alias("threshold"), F.col("cum_pos").alias("tp"), F.col("cum_n").alias("pp"),
                          "total_pos", "total_n")
-    v = preds.where(F.col(label).isNotNull() & F.col(score).isNotNull())
-    edge = [
-        v.groupBy(*by).agg(
-            F.lit(float(t)).alias("threshold"),
-            F.sum(F.when(F.col(score) >= t, F.col(label)).otherwise(0)).cast("long").alias("tp"),
-            F.count_if(F.col(score) >= t).alias("pp"),
-            F.sum(F.col(label).cast("long")).alias("total_pos"),
-            F.count(F.lit(1)).alias("total_n"),
-        )
-        for t in (0.0, 1.0)
-    ]
-    # an edge that is also a score is in the ladder already
-    ends = edge[0].unionByName(edge[1]).join(base.where(F.col("threshold").isin(0.0, 1.0)).select(*by, "threshold"), [*by, "threshold"], "left_anti")
+    s, edges = F.col("score"), (0.0, 1.0)
+    aggs = [agg for i, t in enumerate(edges) for agg in (
+        F.coalesce(F.sum(F.when(s >= t, F.col("pos"))), F.lit(0)).alias(f"tp{i}"), F.coalesce(F.sum(F.when(s >= t, F.col("n"))), F.lit(0)).alias(f"pp{i}"),
+        F.max(s == t).alias(f"there{i}"))]
+    at = [F.struct(F.lit(t).alias("threshold"), F.col(f"tp{i}").alias("tp"), F.col(f"pp{i}").alias("pp"), F.col(f"there{i}").alias("there")) for i, t in enumerate(edges)]
+    ends = ladder.groupBy(*by).agg(*aggs, F.sum("pos").alias("total_pos"), F.sum("n").alias("total_n"), F.count(F.lit(1)).alias("_rows")).where("_rows > 0")
+    ends = ends.select(*by, "total_pos", "total_n", F.inline(F.array(*at))).where("NOT there").drop("there")  # an edge that is a score is in the ladder
     cand = base.unionByName(ends)
     tp, pp = F.col("tp"), F.col("pp")
     prec = F.when(pp > 0, tp / pp).otherwise(0.0)

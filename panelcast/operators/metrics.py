@@ -1,25 +1,31 @@
-"""Probability metrics (H1-H15) on a prediction table (by..., label, score)."""
+"""Probability metrics (H1-H15) on a prediction table (by..., label, score).
+
+Every metric is a sum over the score tally (``ladder.score_tally``), so predictions, often a model's
+transform, are evaluated once per query.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .ladder import policy_thresholds, ranking_metrics, score_ladder, select_threshold, threshold_candidates
+from .ladder import ladder_of, policy_thresholds, ranking_columns, rolled_up, score_tally, select_threshold, threshold_candidates
 
 # Reliability bin edges equal numpy.linspace(0, 1, 6) element by element.
 BIN_EDGES = (0.0, 0.2, 0.4, 0.6000000000000001, 0.8, 1.0)
 
 
-def confusion(preds: DataFrame, threshold: Column | float, label: str = "label", score: str = "score", by=()) -> DataFrame:
-    """H1/H2: counts at ``score >= t`` plus precision and recall (zero division -> 0)."""
+def _sums(tally: DataFrame, columns: dict[str, Column], by=()) -> DataFrame:
+    return tally.groupBy(*by).agg(*[c.alias(name) for name, c in columns.items()])
+
+
+def _confusion_columns(threshold: Column | float) -> dict[str, Column]:
     t = threshold if isinstance(threshold, Column) else F.lit(float(threshold))
-    y, hit = F.col(label) == 1, F.col(score) >= t
-    out = preds.where(F.col(label).isNotNull()).groupBy(*by).agg(
-        F.count_if(y & hit).alias("true_positives"),
-        F.count_if(~y & hit).alias("false_positives"),
-        F.count_if(y & ~hit).alias("false_negatives"),
-        F.count_if(~y & ~hit).alias("true_negatives"),
-    )
+    hit, pos, neg = F.col("score") >= t, F.col("pos"), F.col("n") - F.col("pos")
+    count = lambda c, rows: F.coalesce(F.sum(F.when(c, rows)), F.lit(0))
+    return {"true_positives": count(hit, pos), "false_positives": count(hit, neg), "false_negatives": count(~hit, pos), "true_negatives": count(~hit, neg)}
+
+
+def _with_rates(out: DataFrame) -> DataFrame:
     tp, fp, fn = F.col("true_positives"), F.col("false_positives"), F.col("false_negatives")
     return out.withColumns({
         "precision": F.when(tp + fp > 0, tp / (tp + fp)).otherwise(0.0),
@@ -27,13 +33,27 @@ def confusion(preds: DataFrame, threshold: Column | float, label: str = "label",
     })
 
 
+def _brier_column() -> Column:
+    """sum of (p - y)^2 over a score's rows: n p^2 - 2 p pos + pos."""
+    p, pos, n = F.col("score"), F.col("pos"), F.col("n")
+    return F.sum(n * p * p - 2 * p * pos + pos) / F.sum(n)
+
+
+def _ece_column() -> Column:
+    """sum over bins of |sum p - sum y|, over the rows: each bin's n/N |mean p - observed|."""
+    bin_, gap = bin_index(F.col("score")), F.col("n") * F.col("score") - F.col("pos")
+    return sum((F.abs(F.coalesce(F.sum(F.when(bin_ == i, gap)), F.lit(0.0))) for i in range(len(BIN_EDGES) - 1)), F.lit(0.0)) / F.sum("n")
+
+
+def confusion(preds: DataFrame, threshold: Column | float, label: str = "label", score: str = "score", by=()) -> DataFrame:
+    """H1/H2: counts at ``score >= t`` plus precision and recall (zero division -> 0)."""
+    return _with_rates(_sums(score_tally(preds, label, score, by), _confusion_columns(threshold), by))
+
+
 def brier(preds: DataFrame, label: str = "label", score: str = "score", by=()) -> DataFrame:
     """H5: mean squared error of the probability."""
-    return preds.where(F.col(label).isNotNull()).groupBy(*by).agg(
-        F.avg(F.pow(F.col(score) - F.col(label), 2)).alias("brier_score"),
-        F.avg(F.col(label).cast("double")).alias("observed_prevalence"),
-        F.avg(F.col(score)).alias("mean_probability"),
-    )
+    return _sums(score_tally(preds, label, score, by), {"brier_score": _brier_column(), "observed_prevalence": F.sum("pos") / F.sum("n"),
+                                                        "mean_probability": F.sum(F.col("n") * F.col("score")) / F.sum("n")}, by)
 
 
 def bin_index(score: Column) -> Column:
@@ -46,89 +66,75 @@ def bin_index(score: Column) -> Column:
 
 
 def calibration_bins(preds: DataFrame, label: str = "label", score: str = "score", by=()) -> DataFrame:
-    """H6: five bins, empty ones listed with null means (right join to a bin spine)."""
-    spark = preds.sparkSession
-    spine = spark.createDataFrame(
-        [(i, BIN_EDGES[i], BIN_EDGES[i + 1]) for i in range(len(BIN_EDGES) - 1)], "bin int, lower double, upper double"
-    )
-    v = preds.where(F.col(label).isNotNull())
-    agg = v.groupBy(*by, bin_index(F.col(score)).alias("bin")).agg(
-        F.count(F.lit(1)).alias("rows"), F.avg(score).alias("mean_probability"), F.avg(F.col(label).cast("double")).alias("observed_rate"),
-    )
-    if by:
-        groups = v.select(*by).distinct()
-        spine = _spine_per_group(groups)
-    out = spine.join(agg, [*by, "bin"], "left")
-    return out.select(*by, "bin", "lower", "upper", F.coalesce("rows", F.lit(0)).alias("rows"), "mean_probability", "observed_rate")
-
-
-def _spine_per_group(groups: DataFrame) -> DataFrame:
-    """Groups x 5 bins without a join: each group row carries the bin array and explodes it."""
-    bins = F.array(*[F.struct(F.lit(i).alias("bin"), F.lit(BIN_EDGES[i]).alias("lower"), F.lit(BIN_EDGES[i + 1]).alias("upper"))
-                     for i in range(len(BIN_EDGES) - 1)])
-    return groups.select("*", F.inline(bins))
+    """H6: five bins per group, empty ones listed with null means."""
+    tally = score_tally(preds, label, score, by)
+    bin_ = bin_index(F.col("score"))
+    sums = []
+    for i in range(len(BIN_EDGES) - 1):
+        here = bin_ == i
+        sums += [F.coalesce(F.sum(F.when(here, F.col("n"))), F.lit(0)).alias(f"n{i}"), F.sum(F.when(here, F.col("n") * F.col("score"))).alias(f"p{i}"),
+                 F.sum(F.when(here, F.col("pos"))).alias(f"y{i}")]
+    rows = [F.struct(F.lit(i).alias("bin"), F.lit(BIN_EDGES[i]).alias("lower"), F.lit(BIN_EDGES[i + 1]).alias("upper"), F.col(f"n{i}").alias("rows"),
+                     (F.col(f"p{i}") / F.col(f"n{i}")).alias("mean_probability"), (F.col(f"y{i}") / F.col(f"n{i}")).alias("observed_rate"))
+            for i in range(len(BIN_EDGES) - 1)]
+    # an empty bin's sums are null, so its means are
+    return tally.groupBy(*by).agg(*sums).select(*by, F.inline(F.array(*rows)))
 
 
 def ece(preds: DataFrame, label: str = "label", score: str = "score", by=()) -> DataFrame:
     """H6: expected calibration error = sum n/N |mean p - observed| over non-empty bins."""
-    v = preds.where(F.col(label).isNotNull())
-    per = v.groupBy(*by, bin_index(F.col(score)).alias("bin")).agg(
-        F.count(F.lit(1)).alias("_n"), F.avg(score).alias("_p"), F.avg(F.col(label).cast("double")).alias("_y"))
-    return per.groupBy(*by).agg(
-        (F.sum(F.col("_n") * F.abs(F.col("_p") - F.col("_y"))) / F.sum("_n")).alias("expected_calibration_error"))
+    return _sums(score_tally(preds, label, score, by), {"expected_calibration_error": _ece_column()}, by)
+
+
+def evaluate(preds: DataFrame, threshold, label: str = "label", score: str = "score", by=(), buckets: int | None = None, calibration: bool = False) -> DataFrame:
+    """Full metric row per group: AP, ROC-AUC, Brier + confusion at the threshold (and ECE with ``calibration``)."""
+    return evaluate_tally(score_tally(preds, label, score, by), threshold, by, buckets, calibration)
 
 
-def evaluate(preds: DataFrame, threshold, label: str = "label", score: str = "score", by=(), buckets: int | None = None) -> DataFrame:
-    """Full metric row per group: AP, ROC-AUC, Brier + confusion at the threshold."""
+def evaluate_tally(tally: DataFrame, threshold, by=(), buckets: int | None = None, calibration: bool = False) -> DataFrame:
+    """The metric row per group from its tally: one ladder and one aggregate over it."""
     pooled = not by
     if pooled:  # one group: a constant key keeps the same grouped code path
-        preds, by = preds.withColumn("_all", F.lit(0)), ["_all"]
+        tally, by = tally.withColumn("_all", F.lit(0)), ["_all"]
     by = list(by)
-    lad = score_ladder(preds, label, score, by, buckets)
-    rank = ranking_metrics(lad, by).drop("positives", "rows")
-    conf = confusion(preds, threshold, label, score, by)
-    b = brier(preds, label, score, by).select(*by, "brier_score")
-    out = rank.join(b, by).join(conf, by)
+    columns = ranking_columns() | {"brier_score": _brier_column()} | _confusion_columns(threshold)
+    if calibration:
+        columns["expected_calibration_error"] = _ece_column()
+    out = _with_rates(_sums(ladder_of(tally, by, buckets), columns, by))
     return out.drop("_all") if pooled else out
 
 
 def operating_threshold(preds: DataFrame, minimum_recall: float = 0.70, label: str = "label", score: str = "score", by=(), buckets: int | None = None) -> DataFrame:
     """H7: one threshold per group from the ladder candidates."""
-    lad = score_ladder(preds, label, score, by, buckets)
-    return select_threshold(threshold_candidates(preds, lad, label, score, by), minimum_recall, by)
+    return threshold_of(score_tally(preds, label, score, by), minimum_recall, by, buckets)
+
+
+def threshold_of(tally: DataFrame, minimum_recall: float = 0.70, by=(), buckets: int | None = None) -> DataFrame:
+    return select_threshold(threshold_candidates(ladder_of(tally, by, buckets), by), minimum_recall, by)
 
 
 def threshold_policies(preds: DataFrame, label: str = "label", score: str = "score", by=(), buckets: int | None = None) -> DataFrame:
     """H8: four policies."""
-    lad = score_ladder(preds, label, score, by, buckets)
-    return policy_thresholds(threshold_candidates(preds, lad, label, score, by), by)
+    return policies_of(score_tally(preds, label, score, by), by, buckets)
+
+
+def policies_of(tally: DataFrame, by=(), buckets: int | None = None) -> DataFrame:
+    return policy_thresholds(threshold_candidates(ladder_of(tally, by, buckets), by), by)
 
 
 def policy_transfer(preds: DataFrame, fold: str = "fold", label: str = "label", score: str = "score", buckets: int | None = None) -> DataFrame:
     """H9: policies chosen on all folds but the last, evaluated on the last fold only.
-    One aggregate over the latest fold scores all four thresholds."""
-    last = preds.select(F.max(fold)).scalar()
-    sel = preds.where(F.col(fold) < last)
-    latest = preds.where((F.col(fold) == last) & F.col(label).isNotNull())
+    One tally by fold serves both; one aggregate over the latest fold scores all four thresholds."""
+    tally = score_tally(preds, label, score, [fold])
+    last = tally.select(F.max(fold)).scalar()
     # four (policy, threshold) rows: a bounded result, fetched once
-    pol = {r["policy"]: r["threshold"] for r in threshold_policies(sel, label, score, (), buckets).collect()}
+    pol = {r["policy"]: r["threshold"] for r in policies_of(rolled_up(tally.where(F.col(fold) < last)), (), buckets).collect()}
     names = ["approximately_70_percent_recall", "approximately_80_percent_recall", "best_validation_f1", "fn_cost_3x_fp"]
-    y = F.col(label) == 1
-    aggs, rows = [], []
-    for i, n in enumerate(names):
-        t = F.lit(float(pol[n]))
-        hit = F.col(score) >= t
-        aggs += [F.first(t).alias(f"t{i}"), F.count_if(y & hit).alias(f"tp{i}"), F.count_if(~y & hit).alias(f"fp{i}"),
-                 F.count_if(y & ~hit).alias(f"fn{i}"), F.count_if(~y & ~hit).alias(f"tn{i}")]
-        rows.append(F.struct(F.lit(n).alias("policy"), F.col(f"t{i}").alias("threshold"),
-                             F.col(f"tp{i}").alias("true_positives"), F.col(f"fp{i}").alias("false_positives"),
-                             F.col(f"fn{i}").alias("false_negatives"), F.col(f"tn{i}").alias("true_negatives")))
-    out = latest.agg(*aggs).select(F.inline(F.array(*rows)))
-    tp, fp, fn = F.col("true_positives"), F.col("false_positives"), F.col("false_negatives")
-    return out.withColumns({
-        "precision": F.when(tp + fp > 0, tp / (tp + fp)).otherwise(0.0),
-        "recall": F.when(tp + fn > 0, tp / (tp + fn)).otherwise(0.0),
-    })
+    counts = ("true_positives", "false_positives", "false_negatives", "true_negatives")
+    at = {n: _confusion_columns(float(pol[n])) for n in names}
+    sums = tally.where(F.col(fold) == last).agg(*[at[n][c].alias(f"{c}{i}") for i, n in enumerate(names) for c in counts])
+    rows = [F.struct(F.lit(n).alias("policy"), F.lit(float(pol[n])).alias("threshold"), *[F.col(f"{c}{i}").alias(c) for c in counts]) for i, n in enumerate(names)]
+    return _with_rates(sums.select(F.inline(F.array(*rows))))
 
 
 def fold_summary(metric_table: DataFrame, metrics=("pr_auc", "roc_auc", "brier_score", "precision", "recall", "false_positives", "false_negatives"), by=()) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.ml.feature import SQLTransformer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.periods import nan_to_null
-from ..session import cut_lineage
+from ..session import cut_lineage, written
 
 
 @dataclass(frozen=True)
@@ -88,6 +88,39 @@ class ValueCounts:
         return {f: [value(f, lo) + (value(f, hi) - value(f, lo)) * (at - lo) for lo, hi, at in spans[f]] if f in spans else [None] * len(probs) for f in size}
 
 
+def fold_bins(df: DataFrame, cols, folds: list[tuple[int, Column]], bins: int) -> dict[tuple[int, int], tuple[list[float], float | None]]:
+    """(fold, feature number) -> (least value of each quantile bin, exact midpoint median) over the fold's rows.
+
+    One value count serves all folds: a value keeps its rows per fold, and a running count per fold gives its
+    rank there. Only bounds come back: folds x features x bins rows at most.
+    """
+    pairs = F.inline(F.array(*[F.struct(F.lit(i).alias("f"), nan_to_null(F.col(f"`{c}`").cast("double")).alias("v")) for i, c in enumerate(cols)]))
+    ks = range(len(folds))
+    values = df.select(*[inside.cast("int").alias(f"m{k}") for k, (_, inside) in enumerate(folds)], pairs).where("v IS NOT NULL")
+    counts = values.groupBy("f", "v").agg(*[F.sum(f"m{k}").alias(f"n{k}") for k in ks])
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = written(counts.repartitionByRange(ranges, "f", "v").withColumn("p", F.spark_partition_id()), "value-counts")
+    before = Window.partitionBy("f").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.groupBy("f", "p").agg(*[F.sum(f"n{k}").alias(f"n{k}") for k in ks]).select(
+        "f", "p", *[F.coalesce(F.sum(f"n{k}").over(before), F.lit(0)).alias(f"a{k}") for k in ks], *[F.sum(f"n{k}").over(Window.partitionBy("f")).alias(f"t{k}") for k in ks])
+    inside = Window.partitionBy("f", "p").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    run = counts.join(starts, ["f", "p"]).withColumns({f"u{k}": F.col(f"a{k}") + F.sum(f"n{k}").over(inside) for k in ks})
+    run = run.select("f", "v", F.inline(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"n{k}").alias("n"), F.col(f"u{k}").alias("upto"), F.col(f"t{k}").alias("total")) for k in ks]))).where("n > 0")
+    at = lambda rank: F.max(F.when((F.col("upto") - F.col("n") <= rank) & (rank < F.col("upto")), F.col("v")))
+    rows = run.groupBy("k", "f", F.expr(f"(upto - n) * {bins} div total").alias("bin")).agg(
+        F.min("v").alias("low"), at(F.expr("(total - 1) div 2")).alias("lo"), at(F.expr("total div 2")).alias("hi")).collect()
+    out = {(fold, i): ([], None) for fold, _ in folds for i in range(len(cols))}
+    for r in sorted(rows, key=lambda r: r["low"]):
+        spot = folds[r["k"]][0], r["f"]
+        out[spot][0].append(r["low"])
+    middle: dict = {}
+    for r in rows:
+        spot = folds[r["k"]][0], r["f"]
+        middle.setdefault(spot, [None, None])
+        middle[spot] = [v if r[c] is None else r[c] for v, c in zip(middle[spot], ("lo", "hi"))]
+    return {spot: (lows or [0.0], (middle[spot][0] + middle[spot][1]) / 2 if spot in middle else None) for spot, (lows, _) in out.items()}
+
+
 def fit_medians(train: DataFrame, cols) -> dict[str, float | None]:
     """G1: exact midpoint medians (not ml.Imputer, which returns an element)."""
     if not cols:

@@ -456,9 +456,14 @@ SQL["fold_summary"] = POOLED + """
 """ + "\nUNION ALL\n".join(_SUMMARY_PARTS)
 
 SQL["metrics_by_period"] = PREDS + eval_sql(["period"], "0.5") + f"""
-SELECT s.period, s.rows, s.entities, s.positives, round(s.prevalence, 6) AS prevalence, {EVAL_COLS}
+, cal AS (SELECT period, sum(n * abs(p - y)) / sum(n) AS ece
+          FROM (SELECT period, {BIN} AS bin, count(*) AS n, avg(score) AS p, avg(CAST(label AS DOUBLE)) AS y FROM preds GROUP BY 1, 2) GROUP BY period)
+SELECT s.period, s.rows, s.entities, s.positives, round(s.prevalence, 6) AS prevalence, {EVAL_COLS}, round(cal.ece, 6) AS expected_calibration_error
 FROM (SELECT period, count(*) AS rows, count(DISTINCT entity_id) AS entities, CAST(sum(label) AS BIGINT) AS positives,
-             avg(CAST(label AS DOUBLE)) AS prevalence FROM preds GROUP BY 1) s JOIN ev ON ev.period = s.period"""
+             avg(CAST(label AS DOUBLE)) AS prevalence FROM preds GROUP BY 1) s JOIN ev ON ev.period = s.period JOIN cal ON cal.period = s.period"""
+
+SQL["calibration_by_period"] = SQL["calibration_bins"].replace("fold FROM preds", "period FROM preds").replace("SELECT fold, ", "SELECT period, ") \
+    .replace("g.fold", "g.period").replace("agg.fold", "agg.period")
 
 SQL["subgroup_metrics"] = PREDS + """
 , sp AS (SELECT *, CASE WHEN age IS NULL THEN 'imputed_age' ELSE 'observed_age' END AS subgroup FROM preds)

@@ -21,7 +21,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators.prep import as_sql_stage, class_weight, class_weight_values, fit_stats
 from ..operators.splits import Fold
+from ..session import written
 from ..spec import PanelSpec
+from .forest import ForestParams, fit_forests
 
 
 @dataclass(frozen=True)
@@ -151,31 +153,42 @@ def isotonic_calibrate(cal: DataFrame, target: DataFrame) -> DataFrame:
         .drop("features", "calibrated")
 
 
-def holdout_evaluation(dev: DataFrame, holdout: DataFrame, spec: PanelSpec, features: list[str], label: str, m: ModelSpec,
-                       threshold: float) -> DataFrame:
-    """Final evaluation: fit once on all development rows, score the holdout rows, then
-    AP / ROC-AUC / Brier / confusion at the locked threshold and ECE in one metric row."""
-    from ..operators.metrics import ece, evaluate
-    model = fit_pipeline(dev, features, label, m, spread_by=spec.key)
-    preds = score(model, holdout).select(spec.entity, spec.period, F.col(label).alias("label"), "score").withColumn("_all", F.lit(0))
-    metrics = evaluate(preds, threshold, by=["_all"])
-    calib = ece(preds, by=["_all"])
+def final_metrics(preds: DataFrame, spec: PanelSpec, threshold: float) -> DataFrame:
+    """Final evaluation of (entity, period, label, score): rows, entities, prevalence, AP / ROC-AUC / Brier /
+    confusion at the locked threshold and ECE in one metric row. The predictions are cut once."""
+    from ..operators.metrics import evaluate
+    preds = written(preds, "predictions").withColumn("_all", F.lit(0))
     stats = preds.groupBy("_all").agg(F.count(F.lit(1)).alias("rows"), F.countDistinct(spec.entity).alias("entities"),
                                       F.avg(F.col("label").cast("double")).alias("prevalence"))
-    return stats.join(metrics, "_all").join(calib, "_all").drop("_all").withColumn("threshold", F.lit(float(threshold)))
+    return stats.join(evaluate(preds, threshold, by=["_all"], calibration=True), "_all").drop("_all").withColumn("threshold", F.lit(float(threshold)))
 
 
-def tune(folds: list[Fold], spec: PanelSpec, features: list[str], label: str, candidates: list[ModelSpec]) -> DataFrame:
-    """G11 for any learner: per candidate and fold AP / ROC-AUC (metric table, candidates x folds rows)."""
-    from ..operators.ladder import ranking_metrics, score_ladder
-    shared = {scaled: {f.position: prepare_fold(f.train, features, label, scaled) for f in folds}
-              for scaled in {m.scaled for m in candidates}}
-    parts = []
-    scored = in_parallel([lambda m=m: fold_predictions(folds, spec, features, label, m, prepared=shared[m.scaled], workers=1) for m in candidates])
-    for i, (m, p) in enumerate(zip(candidates, scored)):
-        parts.append(ranking_metrics(score_ladder(p, by=["fold"]), ["fold"]).withColumns(
-            {"candidate": F.lit(i), "kind": F.lit(m.kind), "params": F.lit(repr(sorted(m.params.items())))}))
+def forest_predictions(dev: DataFrame, folds: list[Fold], spec: PanelSpec, features: list[str], label: str, models: list[ForestParams]) -> DataFrame:
+    """G7 / G10 for any number of forests at once: (model, fold, entity, period, label, score), written once."""
+    fitted = fit_forests(dev, [(f.position, F.col(spec.period) < F.lit(f.validation_start)) for f in folds], features, list(spec.key), label, models)
+    parts = [fitted.score(f.validation, f.position, list(spec.key), label).withColumn("fold", F.lit(f.position)) for f in folds]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out
+    return written(out.select("model", "fold", *spec.key, "label", "score"), "forest-scores")
+
+
+def tune_table(preds: DataFrame, candidates: list[ModelSpec]) -> DataFrame:
+    """Per candidate (``model`` is its number) and fold AP / ROC-AUC, from one ladder over all of them."""
+    from ..operators.ladder import ranking_metrics, score_ladder
+    table = ranking_metrics(score_ladder(preds, by=["model", "fold"]), ["model", "fold"]).withColumnRenamed("model", "candidate")
+    names = F.array(*[F.struct(F.lit(m.kind).alias("kind"), F.lit(repr(sorted(m.params.items()))).alias("params")) for m in candidates])
+    return table.withColumn("_m", F.element_at(names, F.col("candidate") + 1)).withColumns({"kind": F.col("_m.kind"), "params": F.col("_m.params")}).drop("_m")
+
+
+def tune(folds: list[Fold], spec: PanelSpec, features: list[str], label: str, candidates: list[ModelSpec]) -> DataFrame:
+    """G11 for any Spark ML learner: the fold statistics are fitted side by side and shared by the candidates."""
+    kinds = sorted({m.scaled for m in candidates})
+    stats = in_parallel([lambda f=f, k=k: prepare_fold(f.train, features, label, k) for k in kinds for f in folds])
+    shared = {(k, f.position): x for (k, f), x in zip([(k, f) for k in kinds for f in folds], stats)}
+    scored = in_parallel([lambda m=m: fold_predictions(folds, spec, features, label, m, prepared={f.position: shared[m.scaled, f.position] for f in folds}, workers=1) for m in candidates])
+    out = None
+    for i, p in enumerate(scored):
+        p = p.withColumn("model", F.lit(i))
+        out = p if out is None else out.unionByName(p)
+    return tune_table(out, candidates)

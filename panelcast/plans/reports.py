@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..operators.ladder import ranking_metrics, score_ladder
-from ..operators.metrics import ece
+from ..operators.metrics import evaluate
 from ..spec import CALIBRATION_GAIN, MATERIAL_AP_GAIN, MINIMUM_AP
 
 
@@ -35,11 +35,7 @@ def seed_stability(runs: DataFrame, key: list[str]) -> DataFrame:
 
 def calibration_choice(runs: DataFrame, ap_tolerance: float = 0.005, gain: float = CALIBRATION_GAIN) -> DataFrame:
     """Per method mean AP / Brier / ECE over folds, then ``choose_calibration``."""
-    by = ["method", "fold"]
-    ap = ranking_metrics(score_ladder(runs, by=by), by).select(*by, "pr_auc")
-    br = runs.groupBy(*by).agg(F.avg(F.pow(F.col("score") - F.col("label"), 2)).alias("brier_score"))
-    ec = ece(runs, by=by)
-    per = ap.join(br, by).join(ec, by).groupBy("method").agg(
+    per = evaluate(runs, 0.5, by=["method", "fold"], calibration=True).groupBy("method").agg(
         F.avg("pr_auc").alias("pr_auc"), F.avg("brier_score").alias("brier_score"), F.avg("expected_calibration_error").alias("ece"))
     return choose_calibration(per, ap_tolerance, gain)
 
@@ -135,7 +131,6 @@ def high_correlation(df: DataFrame, features: list[str], threshold: float = 0.95
 
 def metric_table(preds: DataFrame, threshold: float = 0.5, model: str = "model") -> DataFrame:
     """(model, fold, pr_auc, roc_auc, brier_score, tp, fp, fn, tn, precision, recall) for many models at once."""
-    from ..operators.metrics import evaluate
     return evaluate(preds, threshold, by=[model, "fold"])
 
 

@@ -14,9 +14,9 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .operators import history, labels
 from .plans.cohort import flag_and_label
-from .session import cut_lineage
+from .session import cut_lineage, written
 from .sources.tables import DEFAULT_PANEL, panel_from_lineitem
-from .spec import BOOSTING_GRID, FEATURE_SETS, LOCKED_FOREST, LabelRule, RunConfig
+from .spec import BOOSTING_GRID, FEATURE_SETS, LOCKED_FOREST, RISK_TIER_HIGH, LabelRule, RunConfig
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -470,7 +470,7 @@ def q_brier(spark, sf_dir):
     last = dev.agg(F.max(SPEC.period).alias("m")).first()["m"]
     prev = fold_audit(dev, SPEC, RULE.name, last, TEST_RUN.validation_months, TEST_RUN.fold_count) \
         .where("role = 'train'").select(F.col("position").alias("fold"), F.col("prevalence").alias("_prev"))
-    p = _preds(spark, sf_dir).join(F.broadcast(prev), "fold")  # k-row table
+    p = written(_preds(spark, sf_dir).join(F.broadcast(prev), "fold"), "predictions")  # a k-row table is broadcast
     ref = p.groupBy("fold").agg(F.avg(F.pow(F.col("_prev") - F.col("label"), 2)).alias("reference_brier"))
     out = brier(p, by=["fold"]).select("fold", "brier_score").join(ref, "fold")
     return rounded(out.withColumn("brier_skill", 1 - F.col("brier_score") / F.col("reference_brier")))
@@ -508,46 +508,52 @@ def q_policy_transfer(spark, sf_dir):
 
 
 def _pooled_eval(spark, sf_dir):
-    from .operators.metrics import evaluate, operating_threshold
-    p = _preds(spark, sf_dir)
-    t = operating_threshold(p, 0.70).select("threshold").scalar()
-    per_fold = evaluate(p, t, by=["fold"]).withColumn("threshold", t)
-    return p, t, per_fold
+    """One tally by fold gives the pooled threshold, the metrics per fold and the pooled ones."""
+    from .operators.ladder import rolled_up, score_tally
+    from .operators.metrics import evaluate_tally, threshold_of
+    tally = score_tally(_preds(spark, sf_dir), by=["fold"])
+    pooled = rolled_up(tally)
+    t = threshold_of(pooled, 0.70).select("threshold").scalar()
+    return evaluate_tally(tally, t, ["fold"]).withColumn("threshold", t), evaluate_tally(pooled, t).withColumn("threshold", t)
 
 
 @query("pooled_metrics")
 def q_pooled_metrics(spark, sf_dir):
     """One pooled threshold, metrics per fold plus the pooled row."""
-    from .operators.metrics import evaluate
-    p, t, per_fold = _pooled_eval(spark, sf_dir)
-    pooled = evaluate(p, t).withColumn("threshold", t).withColumn("scope", F.lit("pooled"))
+    per_fold, pooled = _pooled_eval(spark, sf_dir)
     per = per_fold.withColumn("scope", F.concat(F.lit("fold_"), F.col("fold").cast("string"))).drop("fold")
-    return rounded(per.unionByName(pooled))
+    return rounded(per.unionByName(pooled.withColumn("scope", F.lit("pooled"))))
 
 
 @query("fold_summary")
 def q_fold_summary(spark, sf_dir):
     from .operators.metrics import fold_summary
-    _, _, per_fold = _pooled_eval(spark, sf_dir)
-    return rounded(fold_summary(per_fold))
+    return rounded(fold_summary(_pooled_eval(spark, sf_dir)[0]))
 
 
 @query("metrics_by_period")
 def q_metrics_by_period(spark, sf_dir):
-    """Rows, entities, positives, prevalence, AP, AUC, Brier and confusion at 0.5 per period."""
+    """Rows, entities, positives, prevalence, AP, AUC, Brier, ECE and confusion at 0.5 per period."""
     from .operators.metrics import evaluate
-    p = _preds(spark, sf_dir)
+    p = written(_preds(spark, sf_dir), "predictions")
     stats = p.groupBy(SPEC.period).agg(F.count(F.lit(1)).alias("rows"), F.countDistinct(SPEC.entity).alias("entities"),
                                        F.sum("label").cast("bigint").alias("positives"), F.avg(F.col("label").cast("double")).alias("prevalence"))
-    return rounded(stats.join(evaluate(p, 0.5, by=[SPEC.period]), SPEC.period))
+    return rounded(stats.join(evaluate(p, 0.5, by=[SPEC.period], calibration=True), SPEC.period))
+
+
+@query("calibration_by_period")
+def q_calibration_by_period(spark, sf_dir):
+    """H6 inside H12: the five reliability bins of every validation period."""
+    from .operators.metrics import calibration_bins
+    return rounded(calibration_bins(_preds(spark, sf_dir), by=[SPEC.period]))
 
 
 @query("subgroup_metrics")
 def q_subgroup_metrics(spark, sf_dir):
     """Per fold and age subgroup; metrics only when both classes occur."""
     from .operators.metrics import evaluate
-    p = _preds(spark, sf_dir, extras=(SPEC.age,)).withColumn(
-        "subgroup", F.when(F.col(SPEC.age).isNull(), "imputed_age").otherwise("observed_age"))
+    p = written(_preds(spark, sf_dir, extras=(SPEC.age,)).withColumn(
+        "subgroup", F.when(F.col(SPEC.age).isNull(), "imputed_age").otherwise("observed_age")), "predictions")
     by = ["fold", "subgroup"]
     sizes = p.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"), (F.countDistinct("label") == 2).alias("metrics_available"))
     m = evaluate(p, 0.5, by=by).select(*by, "pr_auc", "roc_auc", "brier_score", "precision", "recall")
@@ -872,12 +878,11 @@ def q_matched_cohort(spark, sf_dir):
 
 # --- G: learned models (rows-only check: solvers differ from any SQL oracle) --------------------
 
+from .plans.forest import ForestParams  # noqa: E402
 from .plans.modeling import ModelSpec  # noqa: E402
 
 LOGISTIC = ModelSpec("logistic", {"C": 1.0, "maxIter": 2000})
-# The registered tree queries run fewer trees and iterations than the grids in ``spec`` (see README): the
-# full values take over 400 s for one forest query on the small tables of a shared 8-core machine.
-FOREST = ModelSpec("forest", LOCKED_FOREST | {"numTrees": 40, "maxDepth": 10})
+# The boosting queries run fewer iterations than the grid in ``spec`` (see README); forests run at full size.
 BOOSTING = ModelSpec("boosting", BOOSTING_GRID[0] | {"maxIter": 30, "maxDepth": 3})
 
 
@@ -892,9 +897,17 @@ def q_logreg_scores(spark, sf_dir):
     return _model_preds(spark, sf_dir, LOGISTIC)[0]
 
 
+def _forest_runs(spark, sf_dir, models: list[ForestParams]):
+    """(model, fold, entity, period, label, score) of full-size forests, all trees of all folds side by side."""
+    from .plans.modeling import forest_predictions
+    prep, dev, folds = _dev_folds(spark, sf_dir)
+    return forest_predictions(dev, folds, SPEC, prep.features, RULE.name, models)
+
+
 @query("forest_scores")
 def q_forest_scores(spark, sf_dir):
-    return _model_preds(spark, sf_dir, FOREST)[0]
+    """The locked forest (600 trees, depth 20, leaf 15) per fold."""
+    return _forest_runs(spark, sf_dir, [ForestParams.of(LOCKED_FOREST)]).drop("model")
 
 
 @query("gbt_scores")
@@ -967,18 +980,11 @@ def q_calibration_choice(spark, sf_dir):
 
 @query("seed_stability")
 def q_seed_stability(spark, sf_dir):
-    """Forest over five seeds: mean/std/min of mean AP and the largest per-row score spread."""
-    from .plans.modeling import fold_predictions, in_parallel, prepare_fold
+    """The locked forest over five seeds: mean/std/min of mean AP and the largest per-row score spread."""
     from .plans.reports import seed_stability
     from .spec import FOREST_SEEDS
-    prep, dev, folds = _dev_folds(spark, sf_dir)
-    shared = {f.position: prepare_fold(f.train, prep.features, RULE.name, False) for f in folds}  # same for every seed
-    parts = in_parallel([lambda seed=seed: fold_predictions(folds, SPEC, prep.features, RULE.name, ModelSpec("forest", LOCKED_FOREST | {"numTrees": 15, "maxDepth": 8}, seed),
-                                                            prepared=shared, workers=1).withColumn("seed", F.lit(seed)) for seed in FOREST_SEEDS])
-    runs = parts[0]
-    for p in parts[1:]:
-        runs = runs.unionByName(p)
-    return seed_stability(runs, [SPEC.entity, SPEC.period])
+    runs = _forest_runs(spark, sf_dir, [ForestParams.of(LOCKED_FOREST, seed) for seed in FOREST_SEEDS])
+    return seed_stability(runs.withColumnRenamed("model", "seed"), [SPEC.entity, SPEC.period])
 
 
 @query("coef_stability")
@@ -1190,13 +1196,14 @@ def q_stage_comparison(spark, sf_dir):
 
 @query("holdout_evaluation")
 def q_holdout_evaluation(spark, sf_dir):
-    """Final evaluation (J1 + H1-H6): forest fitted on all development rows, scored on the holdout."""
-    from .plans.modeling import holdout_evaluation
-    from .session import cut_lineage as _cut
+    """Final evaluation (J1 + H1-H6): the locked forest fitted on all development rows, scored on the holdout."""
+    from .plans.forest import fit_forests
+    from .plans.modeling import final_metrics
     prep, start, end = _dev(spark, sf_dir)
     labeled, _, _ = _labeled_feat(spark, sf_dir)
-    holdout = _cut(labeled.frame.where(F.col(SPEC.period).between(start, end)))
-    return holdout_evaluation(prep.frame, holdout, SPEC, prep.features, RULE.name, FOREST, 0.4433219097353501)
+    holdout = cut_lineage(labeled.frame.where(F.col(SPEC.period).between(start, end)))
+    fitted = fit_forests(prep.frame, [(0, F.lit(True))], prep.features, list(SPEC.key), RULE.name, [ForestParams.of(LOCKED_FOREST)])
+    return final_metrics(fitted.score(holdout, 0, list(SPEC.key), RULE.name), SPEC, RISK_TIER_HIGH)
 
 
 @query("fold_overlap")
@@ -1211,13 +1218,12 @@ def q_fold_overlap(spark, sf_dir):
 
 @query("forest_tune")
 def q_forest_tune(spark, sf_dir):
-    """The forest grid of eight with fewer and shallower trees; selection = mean AP over folds 1..3, tie-break lower std."""
-    from .plans.modeling import tune
+    """The whole forest grid of eight; selection = mean AP over folds 1..3, tie-break lower std."""
+    from .plans.modeling import tune_table
     from .plans.reports import select_candidate
     from .spec import FOREST_GRID
-    prep, dev, folds = _dev_folds(spark, sf_dir)
-    cands = [ModelSpec("forest", g | {"numTrees": g["numTrees"] // 30, "maxDepth": min(g["maxDepth"], 6)}) for g in FOREST_GRID]
-    return select_candidate(cut_lineage(tune(folds, SPEC, prep.features, RULE.name, cands)), TEST_RUN.fold_count)
+    runs = _forest_runs(spark, sf_dir, [ForestParams.of(g) for g in FOREST_GRID])
+    return select_candidate(written(tune_table(runs, [ModelSpec("forest", g) for g in FOREST_GRID]), "tuning"), TEST_RUN.fold_count)
 
 
 @query("gbt_tune")

@@ -7,6 +7,9 @@ session when they exist; only local runs and tests fill in defaults.
 from __future__ import annotations
 
 import tempfile
+import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -59,3 +62,27 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared folder (survives executor loss)."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Cut the lineage with a Parquet table in the shared folder: written once, compressed, with column pruning."""
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/panelcast-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application; they need not share the driver's folders."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    root = Path(__file__).resolve().parent
+    path = Path(tempfile.mkdtemp()) / "panelcast_package.zip"  # on the driver, which serves the file to executors
+    with zipfile.ZipFile(path, "w") as out:
+        for part in sorted(root.rglob("*.py")):
+            out.write(part, part.relative_to(root.parent))
+    context.addPyFile(str(path))
+    _shipped.add(context.applicationId)
