@@ -191,11 +191,11 @@ def _item_windows(items: DataFrame) -> DataFrame:
 
 
 def _windows(rows: DataFrame, wanted: np.ndarray | None, short: list[int]) -> DataFrame:
-    """Rows (doc_id, pos, h, slots, near) of the windows of ``text``; only the sorted hashes ``wanted``, if given."""
+    """Rows (doc_id, doc_key, pos, h, slots, near) of the windows of ``text``; only the sorted hashes ``wanted``, if given."""
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep, parts, near = [], [], []
-            for row, text in enumerate(batch.column(1)):
+            for row, text in enumerate(batch.column(2)):
                 templates, blind, differs, fewer, words = text_windows(text.as_py(), short)
                 for w in (templates, Windows(*(x[differs] for x in blind)) if differs.any() else None, *fewer):
                     if w is None:
@@ -211,19 +211,27 @@ def _windows(rows: DataFrame, wanted: np.ndarray | None, short: list[int]) -> Da
                     parts.append(w)
                     near.append(_near(words, w.pos))
             if keep:
-                yield _batch([batch.column(0)], keep, parts, near, {}, ["doc_id"])
+                yield _batch([batch.column(0), batch.column(1)], keep, parts, near, {}, ["doc_id", "doc_key"])
 
-    return rows.select("doc_id", "text").mapInArrow(make, "doc_id long, pos long, h long, slots array<long>, near array<long>")
+    return rows.select("doc_id", "doc_key", "text").mapInArrow(make, "doc_id long, doc_key long, pos long, h long, slots array<long>, near array<long>")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
-    """(doc_id, item_id, n_windows, n_matched, coverage, reparameterised) of every leaked item; coverage is by words."""
+    """(doc_id, item_id, n_windows, n_matched, coverage, reparameterised) of every leaked item; coverage is by words.
+
+    A document is an id with its text: rows of one id, or of none, that hold different texts are judged apart.
+    """
+    return _leaks(docs, benchmark, broadcast_windows).drop("doc_key")
+
+
+def _leaks(docs: DataFrame, benchmark: DataFrame, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
+    """``leaks`` with the key of the document's text."""
     ship(docs.sparkSession)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).distinct()
     items = items.withColumn("variant", F.xxhash64("text"))
     known = written(_item_windows(items), "templates").withColumnsRenamed({"pos": "item_pos", "slots": "item_slots", "near": "item_near"})
     short = sorted(r["size"] for r in known.filter(F.col("size") < WINDOW).select("size").distinct().collect())  # at most three sizes
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("doc_key"), F.col("text").cast("string").alias("text"))
     distinct = known.select("h").distinct()
     if distinct.count() <= broadcast_windows:  # the bound is checked before anything is sent to the tasks
         wanted = np.sort(np.array([r["h"] for r in distinct.collect()], dtype=np.int64))
@@ -238,18 +246,20 @@ def leaks(docs: DataFrame, benchmark: DataFrame, broadcast_windows: int = BROADC
     # the words of the window itself, and those around it that are equal
     same = F.zip_with("item_near", "near", lambda a, b: (a == b) & (a != 0))
     words = F.filter(F.transform(same, lambda x, k: F.when(x | k.between(WINDOW, WINDOW + F.col("size") - 1), (F.col("item_pos") + k - WINDOW).cast("int"))), lambda x: x.isNotNull())
-    one = met.withColumn("words", words).groupBy("doc_id", *item, (F.col("pos") - F.col("item_pos")).alias("diagonal")).agg(
+    one = met.withColumn("words", words).groupBy("doc_id", "doc_key", *item, (F.col("pos") - F.col("item_pos")).alias("diagonal")).agg(
         F.collect_set("item_pos").alias("at"), F.array_distinct(F.flatten(F.collect_set("words"))).alias("words"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"))
     values = F.size(F.array_distinct(F.transform("pairs", lambda x: x["a"])))
     consistent = one.filter(values >= MIN_CONSISTENCY * F.size("pairs"))
-    found = consistent.groupBy("doc_id", *item).agg(
+    found = consistent.groupBy("doc_id", "doc_key", *item).agg(
         F.array_distinct(F.flatten(F.collect_list("at"))).alias("at"), F.size(F.array_distinct(F.flatten(F.collect_set("words")))).alias("n"), F.max(F.exists("pairs", lambda x: x["a"] != x["b"])).alias("reparameterised"))
     found = found.withColumn("n_matched", F.size("at").cast("long")).withColumn("coverage", F.col("n") / F.col("n_words")).filter(F.col("coverage") >= MIN_COVERAGE)
     best = F.max_by(F.struct("n_windows", "n_matched", "coverage", "reparameterised"), F.struct("coverage", -F.col("kind"), "variant"))
-    return found.groupBy("doc_id", "item_id").agg(best.alias("b")).select(
-        "doc_id", "item_id", "b.n_windows", "b.n_matched", "b.coverage", "b.reparameterised")
+    return found.groupBy("doc_id", "doc_key", "item_id").agg(best.alias("b")).select(
+        "doc_id", "doc_key", "item_id", "b.n_windows", "b.n_matched", "b.coverage", "b.reparameterised")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that leak no item, with all their columns."""
-    return docs.join(leaks(docs, benchmark).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    found = _leaks(docs, benchmark).select(F.col("doc_id").alias("__leaked_id"), F.col("doc_key").alias("__leaked_key")).distinct()
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col("__leaked_id")) & (F.xxhash64(docs["text"].cast("string")) == F.col("__leaked_key"))
+    return docs.join(found, same, "left_anti")

@@ -18,6 +18,7 @@ are read whole; rows are independent, so repeated rows, null ids and urls and ex
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 from itertools import accumulate
@@ -33,10 +34,10 @@ BLOCK = 3                      # lines in the sliding window
 VALLEY = BLOCK                 # empty lines at a structural border: windows on both sides do not meet
 NEAR_PEAK = 0.2                # regions whose highest window reaches this share of the page's highest are kept
 # fixed values: element names and the words of class, id and role that mark what is not the article
-RAW = "script style noscript template svg math iframe object canvas textarea title"
-DROPPED = "head nav footer aside select button menu dialog figcaption"
+RAW = "script style noscript template svg iframe object canvas textarea title"
+DROPPED = "head nav footer aside select button menu dialog"
 PROMPTS = "label legend"        # dropped inside a form only
-CONTROLS = "head select button label legend figcaption"   # their words are no evidence of an article
+CONTROLS = "head select button label legend"   # their words are no evidence of an article
 BLOCKS = ("p div h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption thead tbody tfoot tr td th blockquote pre section article main header figure hr address "
           "details summary fieldset form center body html")
 BORDERS = "div section article main header table ul ol dl body figure details form"
@@ -44,17 +45,18 @@ HOLDERS = "div form body header"   # containers of blocks; the other borders are
 VOID = "area base br col embed hr img input link meta param source track wbr"
 ARTICLE = "article main"
 MARKED = ("nav menu navbar breadcrumb breadcrumbs sidebar side footer header masthead banner ad ads advert adverts advertisement advertising sponsor sponsored promo "
-          "cookie cookies consent notice gdpr comment comments reply replies respond disqus share sharing social related recommended newsletter subscribe signup "
+          "cookie cookies consent notice gdpr comment comments commentlist reply replies respond disqus share sharing social related recommended newsletter subscribe signup "
           "login popup modal widget pagination pager toolbar copyright disclaimer")
-REMARKS = "comment comments reply replies respond disqus cookie cookies consent gdpr"   # may well be longer than the article
+REMARKS = "comment comments commentlist reply replies respond disqus cookie cookies consent gdpr"   # may well be longer than the article
 PLACES = ("site page main top bottom left right upper lower primary secondary global wrap wrapper container box bar slot block list links link item items area "
           "section inner outer row col unit panel posts post articles stories form")
+AROUND_REMARKS = "content thread body text author meta holder entry"   # beside a word of remarks, as in comment-content
 CONTENT = "content article post entry story text maintext"
-_RAW, _DROPPED, _PROMPTS, _CONTROLS, _BLOCKS, _BORDERS, _HOLDERS, _VOID, _ARTICLE, _MARKED, _REMARKS, _PLACES, _CONTENT = (
-    frozenset(x.split()) for x in (RAW, DROPPED, PROMPTS, CONTROLS, BLOCKS, BORDERS, HOLDERS, VOID, ARTICLE, MARKED, REMARKS, PLACES, CONTENT))
+_RAW, _DROPPED, _PROMPTS, _CONTROLS, _BLOCKS, _BORDERS, _HOLDERS, _VOID, _ARTICLE, _MARKED, _REMARKS, _PLACES, _CONTENT, _AROUND = (
+    frozenset(x.split()) for x in (RAW, DROPPED, PROMPTS, CONTROLS, BLOCKS, BORDERS, HOLDERS, VOID, ARTICLE, MARKED, REMARKS, PLACES, CONTENT, AROUND_REMARKS))
 _NONE, _NAMED, _WORDED, _REMARK = range(4)
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert".split())
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*(?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))?)*)(?:>|\Z)", re.S)  # a quote counts right after = only
 _ATTR = re.compile(r"(class|id|role|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 
 
@@ -65,13 +67,15 @@ def _words(attrs: str) -> list[str]:
 
 def _kind(name: str, attrs: str, in_article: bool, in_form: bool) -> int:
     """Whether an element is something other than the article: by its name, by class, id or role, or as remarks and notices."""
-    if name in ("html", "body", "article", "main"):
+    if name in ("html", "body", "main"):
         return _NONE
     if name in _DROPPED or name == "header" and not in_article or name in _PROMPTS and in_form:
         return _NAMED
     found = _NONE
     for m in _ATTR.finditer(attrs):
         key, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
+        if name == "article" and key in ("hidden", "aria-hidden"):
+            continue
         if key == "hidden" or key == "aria-hidden" and value == "true":
             return _NAMED
         if key == "role" and value in _ROLES:
@@ -81,9 +85,9 @@ def _kind(name: str, attrs: str, in_article: bool, in_form: bool) -> int:
                 parts = {x for x in re.split(r"[^a-z0-9]+", word) if x}
                 marks = parts & _MARKED
                 # the whole word must name it: "site-footer" does, "has-sidebar" does not; a "header" inside the article is a part of it
-                if marks and parts <= _MARKED | _PLACES and not (in_article and marks == {"header"}):
+                if marks and parts <= (_MARKED | _PLACES | _AROUND if marks & _REMARKS else _MARKED | _PLACES) and not (in_article and marks == {"header"}):
                     found = max(found, _REMARK if marks & _REMARKS else _WORDED)
-    return found
+    return found if name != "article" or found == _REMARK else _NONE
 
 
 class Node:
@@ -110,10 +114,12 @@ def _parse(html: str) -> tuple[list, list[Node]]:
     events: list = []
     nodes: list[Node] = []
     stack: list[Node] = []
+    open_names: Counter[str] = Counter()
     at, size = 0, len(html)
 
     def close(depth: int) -> None:
         while len(stack) > depth:
+            open_names[stack[-1].name] -= 1
             events.append((False, stack.pop()))
 
     while at < size:
@@ -130,7 +136,7 @@ def _parse(html: str) -> tuple[list, list[Node]]:
         if closing:
             if name in _BLOCKS:
                 events.append(None)
-            depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k].name == name), None)
+            depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k].name == name), None) if open_names[name] else None
             if depth is not None:
                 close(depth)
             continue
@@ -159,6 +165,7 @@ def _parse(html: str) -> tuple[list, list[Node]]:
             continue
         nodes.append(Node(name, m[3], stack[-1] if stack else None))
         stack.append(nodes[-1])
+        open_names[name] += 1
         events.append((True, nodes[-1]))
     close(0)
     return events, nodes

@@ -14,13 +14,13 @@ empty table gives an empty result; other columns are never read.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +34,7 @@ ROUNDS = 12
 #: Rejection: this quantile of the own-language cosines of the sample's snippets, times the slack.
 REJECT_QUANTILE, REJECT_SLACK, SNIPPET = 0.005, 0.6, 64
 CHUNK = 1 << 20
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 _ONLY_LETTERS = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 
 

@@ -39,7 +39,7 @@ class WordTokenizer:
     """Token ids of a text as little-endian uint32 bytes, the same as the tokenizer's own encode.
 
     White space separates tokens in this vocabulary, so ids are looked up word by word and each
-    distinct word is encoded once per worker. The strings of special tokens are ordinary text.
+    distinct word is encoded once per worker. The strings of added tokens are cut out first and have their own ids.
     """
 
     _loaded: dict[str, "WordTokenizer"] = {}
@@ -49,7 +49,9 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.added = {t: np.asarray([i], dtype="<u4").tobytes() for t, i in added.items()}
+        self.at_added = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(added, key=len, reverse=True)) + ")") if added else None
         self.model = self.tokenizer.model
         # fixed value: the vocabulary's own split pattern
         self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -80,6 +82,8 @@ class WordTokenizer:
         return np.asarray(ids, dtype="<u4").tobytes()
 
     def ids(self, text: str) -> bytes:
+        if any([t in text for t in self.added]):
+            return b"".join([self.added[part] if part in self.added else self.ids(part) for part in self.at_added.split(text)])
         lowered = text.lower() if not text or max(text) < "ɐ" else text
         words = lowered.split()
         if self.separator.search(lowered):  # white space to str.split, but not to the tokenizer

@@ -72,3 +72,14 @@ def test_registered_query_equals_brute_force(spark):
     docs = [tuple(r) for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect()]
     items = [tuple(r) for r in spark.read.parquet(f"{d}/benchmark.parquet").select("item_id", "text").collect()]
     assert found(op5_benchmark_decontamination(spark, d).collect()) == tests_llm_brute.leaks(docs, items)
+
+
+def test_documents_of_one_id_or_none_are_judged_apart(spark):
+    words = [f"w{k}" for k in range(40)]
+    item, half, rest = " ".join(words), " ".join(words[:20]), " ".join(words[20:])
+    docs = spark.createDataFrame([(None, item, 1), (None, half, 1), (None, rest, 1), (7, half, 1), (7, rest, 1), (8, item, 1), (8, "clean text", 1), (9, "other", 1)], "doc_id long, text string, `odd.name` int")
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert sorted((r.doc_id is None, r.doc_id, r.item_id) for r in decontam.leaks(docs, bench).collect()) == [(False, 8, 1), (True, None, 1)]
+    kept = decontam.clean(docs, bench)
+    assert kept.columns == docs.columns
+    assert sorted((str(r.doc_id), r.text) for r in kept.collect()) == sorted([("None", half), ("None", rest), ("7", half), ("7", rest), ("8", "clean text"), ("9", "other")])

@@ -69,3 +69,35 @@ def test_registered_query_equals_the_article_of_every_page(spark):
         article = re.search(r"<article>(.*?)</article>", pages[r["page_id"]], re.S)[1]
         blocks = [" ".join(unescape(re.sub(r"<[^>]+>", " ", b)).split()) for b in re.split(r"</?(?:p|h1)>", article)]
         assert r["text"] == "\n".join(b for b in blocks if b)
+
+
+PARAGRAPH = "<p>" + "Plain words of an article that is long enough to be found by its lines. " * 4 + "</p>"
+
+
+def text_of(html):
+    return extract.main_text(html)
+
+
+def test_quotes_count_after_an_equals_sign_only():
+    plain = text_of(f"<body><article>{PARAGRAPH}{PARAGRAPH}</article></body>")
+    assert len(plain) > 400
+    for odd in ("<p title=it's>x</p>", '<p "stray>x</p>', "<b don't>x</b>"):
+        assert plain in text_of(f"<body><article>{PARAGRAPH}{PARAGRAPH}{odd}</article></body>")
+    assert "x > y" not in text_of(f'<body><article>{PARAGRAPH}<p title="x > y">z</p></article></body>')
+
+
+def test_reader_comments_go_and_captions_stay():
+    for mark in ('<article class="comment">{}</article>', '<div class="comment-content">{}</div>', '<ul class="commentlist"><li>{}</li></ul>', '<div id="disqus_thread">{}</div>'):
+        out = text_of(f"<body><article>{PARAGRAPH}{PARAGRAPH}</article>{mark.format('<p>Nice read, said a reader.</p>')}</body>")
+        assert "Plain words" in out and "said a reader" not in out, mark
+    out = text_of(f"<body><article>{PARAGRAPH}<figure><img src=a.png><figcaption>What the picture shows.</figcaption></figure><p>so <math><mi>x</mi></math> holds</p>{PARAGRAPH}</article></body>")
+    assert "What the picture shows." in out and "so x holds" in out
+
+
+def test_stray_closers_on_a_deep_page_are_linear():
+    import time
+    page = lambda n: "<b>" * n + "</i>" * n + PARAGRAPH
+    text_of(page(100))
+    start = time.perf_counter()
+    text_of(page(20_000))
+    assert time.perf_counter() - start < 5

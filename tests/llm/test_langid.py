@@ -38,3 +38,7 @@ def test_held_out_accuracy(spark):
     r = op4_language_id(spark, "/root/testdata/sf0.01").join(docs, "doc_id").filter("held_out").agg(
         F.avg((F.col("lang") == F.col("lang_pred")).cast("int")), F.avg(F.col("rejected").cast("int"))).first()
     assert r[0] > 0.98 and r[1] < 0.02
+
+
+def test_number_signs_are_no_letters():
+    assert not langid.LETTER.search("½ ² 12 Ⅷ ①") and langid.LETTER.search("é") and langid.LETTER.search("字")

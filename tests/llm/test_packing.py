@@ -75,7 +75,6 @@ def test_word_ids_equal_the_tokenizer(spark):
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
-    whole.encode_special_tokens = True
     tok = packing.WordTokenizer.load(None)
     for text in ["", " ", "Hello, World!! 123 it's", "É́tude  naïve\tcafé ΑΣ ß İ ﬁ 漢字かな 🙂🙂 à", "tab\x0bx y z\x1cq", "<|endoftext|> it'll  don't", "UPPER İstanbul 🙂 Ünder"]:
         want = np.asarray(whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -102,3 +101,12 @@ def test_registered_query_packs_near_the_lower_bound(spark):
     out = op2_best_fit_packing(spark, "/root/testdata/sf0.001").toPandas()
     assert out.doc_id.nunique() == 200
     assert out.sequence_id.nunique() <= -(-out.length.sum() // packing.CAPACITY) + 1
+
+
+def test_strings_of_added_tokens_have_their_ids():
+    tok = packing.WordTokenizer.load(None)
+    from tokenizers import Tokenizer
+    import public_tokenizers
+    whole = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
+    for text in ("hello <|endoftext|> x", "a<|EndOfText|>b", "A<|startoftext|>b <|endoftext|><|endoftext|>", "<|endoftext|>"):
+        assert np.frombuffer(tok.ids(text), dtype="<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
