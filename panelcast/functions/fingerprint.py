@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 def _as_text(df: DataFrame, name: str, exact: bool) -> Column:
@@ -27,7 +27,7 @@ def _as_text(df: DataFrame, name: str, exact: bool) -> Column:
         text = F.date_format(c, "yyyy-MM-dd HH:mm:ss")
     else:
         text = c.cast("string")
-    return F.coalesce(F.concat(F.lit("="), text), F.lit("-"))
+    return F.coalesce(F.concat(F.length(text).cast("string"), F.lit("="), text), F.lit("-"))  # the length keeps values apart
 
 
 def table_fingerprint(df: DataFrame, exact: bool = False) -> DataFrame:
@@ -38,6 +38,19 @@ def table_fingerprint(df: DataFrame, exact: bool = False) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("rows"), F.sum(h).cast("string").alias("hash_sum"))
 
 
+def file_fingerprints(spark: SparkSession, path: str) -> DataFrame:
+    """(file, length, sha256) of every file below a path, read as whole bytes by Spark, so on any store it opens.
+    Files beyond ``spark.sql.sources.binaryFile.maxLength`` (2 GB) are an error; Spark's scans skip empty files."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "length", F.sha2("content", 256).alias("sha256"))
+
+
+def combined_fingerprint(files: DataFrame) -> DataFrame:
+    """(files, bytes, digest): order-insensitive over (file, sha256); partial sums combine map side."""
+    h = F.conv(F.substring(F.sha2(F.concat_ws("=", "file", "sha256").cast("binary"), 256), 1, 15), 16, 10).cast("decimal(38,0)")
+    return files.agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"), F.sum(h).cast("string").alias("digest"))
+
+
 def snapshot_diff(left: DataFrame, right: DataFrame) -> DataFrame:
     """Rows only in ``left`` / only in ``right`` (multiset, both directions); 0 and 0 means equal."""
     cols = left.columns

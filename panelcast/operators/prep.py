@@ -12,7 +12,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.ml.feature import SQLTransformer
+from pyspark.ml.feature import OneHotEncoder, SQLTransformer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.periods import nan_to_null
@@ -198,15 +198,19 @@ def fit_mode(train: DataFrame, col: str):
     return train.agg(F.mode(F.col(col), deterministic=True).alias("m")).first()["m"]
 
 
-def fit_categories(train: DataFrame, col: str, max_categories: int = 1000) -> list:
-    """Sorted training categories; bounded (a categorical column, not a key)."""
-    cats = [r[0] for r in train.select(col).where(F.col(col).isNotNull()).distinct().limit(max_categories + 1).collect()]
-    if len(cats) > max_categories:
-        raise ValueError(f"{col} has more than {max_categories} categories")
-    return sorted(cats)
+def fit_levels(train: DataFrame, col: str) -> tuple[DataFrame, int]:
+    """The training categories as a table (level, slot) in ascending order and their number; nothing is collected."""
+    from .ladder import distributed_rank
+    levels = train.select(F.col(col).alias("level")).where("level IS NOT NULL").distinct()
+    ranked = written(distributed_rank(levels, "level", name="_r").select("level", (F.col("_r") - 1).cast("double").alias("slot")), "levels")
+    return ranked, ranked.count()
 
 
-def one_hot(col: str, categories: list, fill) -> dict[str, Column]:
-    """One indicator per training category; an unseen category gives all zeros."""
-    v = F.coalesce(F.col(col), F.lit(fill))
-    return {f"{col}_{c}": (v == F.lit(c)).cast("int") for c in categories}
+def one_hot(df: DataFrame, col: str, levels: DataFrame, width: int, fill, out: str) -> DataFrame:
+    """A sparse indicator vector of ``width`` slots; nulls take ``fill``, an unseen category gives all zeros.
+    Categories come by a left join, so their number is not bounded by a task or the driver."""
+    unseen = float(width)
+    coded = df.withColumn("_level", F.coalesce(F.col(col), F.lit(fill))).join(levels, F.col("_level") == F.col("level"), "left").withColumn("_slot", F.coalesce("slot", F.lit(unseen)))
+    sizes = df.sparkSession.createDataFrame([(unseen,)], "_slot double")
+    encoder = OneHotEncoder(inputCol="_slot", outputCol=out, dropLast=True).fit(sizes)  # the slot of unseen categories is the dropped last one
+    return encoder.transform(coded).drop("_level", "level", "slot", "_slot")

@@ -59,6 +59,6 @@ def run_summary(df: DataFrame, spec: PanelSpec, label: str) -> DataFrame:
     out = df.groupingSets([[spec.period], []], spec.period).agg(
         F.count(F.lit(1)).alias("rows"), F.countDistinct(spec.entity).alias("entities"),
         F.sum(F.col(label)).cast("bigint").alias("positives"), F.avg(F.col(label).cast("double")).alias("prevalence"),
-        F.countDistinct(spec.period).alias("periods"),
+        F.countDistinct(spec.period).alias("periods"), F.grouping(spec.period).alias("_all"),
     )
-    return out.withColumn("scope", F.when(F.col(spec.period).isNull(), "all").otherwise("period"))
+    return out.withColumn("scope", F.when(F.col("_all") == 1, "all").otherwise("period")).drop("_all")  # a null period is a period of its own

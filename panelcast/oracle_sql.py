@@ -286,9 +286,10 @@ SELECT strftime(f.v_start, '%Y-%m') || '_to_' || strftime(f.v_end, '%Y-%m') AS f
 FROM folds f JOIN sides s ON s.position = f.position"""
 
 SQL["group_folds"] = DEV_CTES + """
-SELECT CAST(entity_id % 4 AS INTEGER) AS group_fold, count(*) AS rows, count(DISTINCT entity_id) AS entities,
-       round(avg(CAST(label AS DOUBLE)), 6) AS prevalence, CAST(0 AS BIGINT) AS shared_entities
-FROM dev GROUP BY 1"""
+, rk AS (SELECT entity_id, row_number() OVER (ORDER BY count(*) DESC, entity_id) - 1 AS r FROM dev GROUP BY entity_id)
+, gf AS (SELECT entity_id, CAST(CASE WHEN (r // 4) % 2 = 0 THEN r % 4 ELSE 3 - r % 4 END AS INTEGER) AS group_fold FROM rk)
+SELECT group_fold, count(*) AS rows, count(DISTINCT dev.entity_id) AS entities, round(avg(CAST(label AS DOUBLE)), 6) AS prevalence, CAST(0 AS BIGINT) AS shared_entities
+FROM dev JOIN gf ON gf.entity_id = dev.entity_id GROUP BY 1"""
 
 SQL["holdout_counts"] = LABELED_FEAT + """
 , act AS (SELECT period, count(*) AS actual_rows FROM lf
@@ -307,7 +308,7 @@ SELECT strftime(tr.v_start, '%Y-%m') || '_to_' || strftime(tr.v_end, '%Y-%m') AS
        count_if(d.period >= CAST(tmax - INTERVAL 2 MONTH AS DATE)) AS calibration_rows
 FROM tr JOIN dev d ON d.period < tr.v_start GROUP BY tr.position, tr.v_start, tr.v_end, tmax"""
 
-SQL["prospective_rows"] = LABELED_FEAT + "SELECT entity_id, period, label FROM lf WHERE period > (SELECT h_end FROM bounds)"
+SQL["prospective_rows"] = LABELED_FEAT + "SELECT entity_id, period, label FROM lf WHERE period > (SELECT CAST(h_end - INTERVAL 6 MONTH AS DATE) FROM bounds)"
 
 SQL["chrono_split"] = DEV_CTES + """
 SELECT entity_id, period,
@@ -577,6 +578,8 @@ SELECT entity_id, period, target_period, round(probability, 6) AS probability, {
        round(CAST(0.4433219097353501 AS DOUBLE), 6) AS threshold, round(avail_all_day, 6) AS avail_all_day
 FROM latest"""
 
+SQL["published_batch"] = SQL["scored_batch"]
+
 SQL["run_summary"] = SCORED + """
 , h AS (SELECT * FROM scored WHERE label IS NOT NULL AND period BETWEEN (SELECT h_start FROM bounds) AND (SELECT h_end FROM bounds))
 SELECT period, count(*) AS rows, count(DISTINCT entity_id) AS entities, CAST(sum(label) AS BIGINT) AS positives,
@@ -624,9 +627,9 @@ FROM range(1, 5) AS f(p) JOIN a d ON d.first_train_fold <= f.p GROUP BY 1"""
 SQL["onehot"] = FOLD_ROWS + """
 , tr AS (SELECT * FROM a WHERE first_train_fold <= 4)
 , fill AS (SELECT month(period) AS m FROM tr GROUP BY 1 ORDER BY count(*) DESC, m ASC LIMIT 1)
-SELECT entity_id, period, """ + ", ".join(
-    f"CAST(coalesce(month(period), (SELECT m FROM fill)) = {m} AS INTEGER) AS month_of_year_{m}" for m in range(1, 13)) + \
-    " FROM a WHERE validation_fold = 4"
+, lv AS (SELECT m, row_number() OVER (ORDER BY m) - 1 AS slot FROM (SELECT DISTINCT month(period) AS m FROM tr WHERE period IS NOT NULL))
+SELECT entity_id, period, coalesce(slot, -1) AS slot, (SELECT count(*) FROM lv) AS width, CAST(slot IS NOT NULL AS INTEGER) AS hot
+FROM a LEFT JOIN lv ON lv.m = coalesce(month(a.period), (SELECT m FROM fill)) WHERE validation_fold = 4"""
 
 SQL["baseline_scores"] = FOLD_ROWS + """
 , prev AS (SELECT f.p AS fold, CAST(sum(d.label) AS BIGINT) / count(*) AS cp FROM range(1, 5) AS f(p) JOIN a d ON d.first_train_fold <= f.p GROUP BY 1)
@@ -737,11 +740,11 @@ SELECT model, CAST(row_number() OVER (ORDER BY selection_mean_pr_auc DESC, all_f
        CAST(row_number() OVER (ORDER BY all_fold_mean_pr_auc DESC, latest_fold_pr_auc DESC, model) AS INTEGER) AS by_latest_fold
 FROM summ"""
 
-SQL["stage_comparison"] = ZOO.replace("WITH ", "WITH sc_unused AS (SELECT 1), ", 1) + """
-, hs AS (SELECT entity_id, period, label, least(1.0, unplanned_events_roll_3_mean / 10.0) AS score FROM feat
-         WHERE label IS NOT NULL AND consecutive_history_months >= 6 AND period BETWEEN (SELECT h_start FROM bounds) AND (SELECT h_end FROM bounds))
-, st AS (SELECT 'development' AS stage, entity_id, period, label, score FROM zp WHERE model = 'rule_unplanned_r3' AND fold = 4
-         UNION ALL SELECT 'holdout', entity_id, period, label, score FROM hs)
+SQL["stage_comparison"] = LABELED_FEAT + """
+, st0 AS (SELECT entity_id, period, label, least(1.0, unplanned_events_roll_3_mean / 10.0) AS score,
+                 (SELECT CAST(h_start - INTERVAL 6 MONTH AS DATE) FROM bounds) AS a, (SELECT CAST(h_end - INTERVAL 6 MONTH AS DATE) FROM bounds) AS z FROM lf)
+, st AS (SELECT entity_id, period, label, score, CASE WHEN period > z THEN 'prospective' WHEN period >= a THEN 'holdout' ELSE 'development' END AS stage
+         FROM st0 WHERE period >= CAST(a - INTERVAL 3 MONTH AS DATE))
 """ + eval_sql(["stage"], "0.5", "st", "sev") + f"""
 SELECT s.stage, s.rows, s.entities, round(s.prevalence, 6) AS prevalence, {EVAL_COLS}
 FROM (SELECT stage, count(*) AS rows, count(DISTINCT entity_id) AS entities, avg(CAST(label AS DOUBLE)) AS prevalence FROM st GROUP BY 1) s
@@ -770,7 +773,7 @@ def _spelled(c: str) -> str:
         text = f"strftime({c}, '%Y-%m-%d %H:%M:%S')"
     else:
         text = f"CAST({c} AS VARCHAR)"
-    return f"coalesce('=' || {text}, '-')"
+    return f"coalesce(length({text}) || '=' || {text}, '-')"
 
 
 SQL["table_fingerprint"] = "\nUNION ALL\n".join(

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..operators.metrics import evaluate
 from ..operators.quality import eligibility_audit, feature_history_audit, validate as validate_panel
 from ..operators.scoring import assert_nonempty, latest_unlabeled, risk_tier, tier_counts
-from ..operators.splits import holdout_labels, label_access_row, split_periods, fold_audit, rolling_folds
+from ..operators.splits import holdout_labels, split_periods, fold_audit, rolling_folds
 from ..spec import FEATURE_SETS, RunConfig
 from .cohort import prepare_cohort
 from .modeling import ModelSpec, fit_pipeline, fold_predictions, score
@@ -48,8 +48,7 @@ def final_evaluation(panel: DataFrame, cfg: RunConfig, model: ModelSpec, holdout
     marked = split_periods(prep.frame, cfg.spec, holdout_start, holdout_end, prep.label)
     fitted = fit_pipeline(marked.where("split = 'development'"), prep.features, prep.label, model, spread_by=cfg.spec.key)
     scored = score(fitted, marked.where("split = 'holdout'").drop(prep.label)).select(cfg.spec.entity, cfg.spec.period, "score")
-    labels = holdout_labels(marked, acknowledgment).select(cfg.spec.entity, cfg.spec.period, F.col(prep.label).alias("label"))
-    label_access_row(panel.sparkSession).write.mode("append").json(audit_path)
+    labels = holdout_labels(marked, acknowledgment, audit_path).select(cfg.spec.entity, cfg.spec.period, F.col(prep.label).alias("label"))
     preds = scored.join(labels, [cfg.spec.entity, cfg.spec.period])
     return fitted, evaluate(preds, threshold)
 

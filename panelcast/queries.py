@@ -7,14 +7,17 @@ only where the operator is a top-k report.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from dataclasses import replace
 from functools import wraps
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .operators import history, labels
 from .plans.cohort import flag_and_label
-from .session import cut_lineage, written
+from .session import checkpoint_dir, cut_lineage, written
 from .sources.tables import DEFAULT_PANEL, panel_from_lineitem
 from .spec import BOOSTING_GRID, FEATURE_SETS, LOCKED_FOREST, RISK_TIER_HIGH, LabelRule, RunConfig
 
@@ -232,7 +235,6 @@ def q_age_resets(spark, sf_dir):
 # --- C5 / E: features ---------------------------------------------------------------------
 
 def _featured(spark, sf_dir, fs=None, age=True, season=True):
-    from dataclasses import replace
     from .operators.features import build_features
     fs = replace(fs or FEATURE_SETS["full_history"], include_age=age, include_season=season)
     return build_features(_labeled(spark, sf_dir), SPEC, fs)
@@ -291,7 +293,6 @@ def q_prepared_cohort(spark, sf_dir):
 @once
 def _dev(spark, sf_dir, fs=None):
     """Development cohort (labeled, history >= minimum, before the holdout), materialized once."""
-    from dataclasses import replace
     from .plans.cohort import development_panel
     prep, start, end = development_panel(_panel(spark, sf_dir), TEST_RUN, fs)
     return replace(prep, frame=cut_lineage(prep.frame)), start, end
@@ -386,14 +387,23 @@ def q_fold_audit(spark, sf_dir):
 
 @query("group_folds")
 def q_group_folds(spark, sf_dir):
-    """entity-disjoint folds; ``shared_entities`` counts entities seen in more than one fold (must be 0)."""
+    """entity-disjoint folds of like size; ``shared_entities`` counts entities seen in more than one fold (must be 0)."""
     from .operators.splits import group_folds
+    from .plans.diagnostics import shared_entities
     prep, _, _ = _dev(spark, sf_dir)
-    g = group_folds(prep.frame, SPEC, 4)
-    per = g.groupBy("group_fold").agg(F.count(F.lit(1)).alias("rows"), F.countDistinct(SPEC.entity).alias("entities"),
-                                      F.avg(F.col(RULE.name).cast("double")).alias("prevalence"))
-    shared = g.groupBy(SPEC.entity).agg(F.countDistinct("group_fold").alias("_k")).where("_k > 1").select(F.count(F.lit(1)).alias("shared_entities"))
-    return rounded(per.withColumn("shared_entities", shared.scalar()))
+    g = written(group_folds(prep.frame.select(*SPEC.key, RULE.name), SPEC, 4), "groups")
+    per = g.groupBy("group_fold").agg(F.count(F.lit(1)).alias("rows"), F.avg(F.col(RULE.name).cast("double")).alias("prevalence"))
+    return rounded(per.join(shared_entities(g, SPEC), "group_fold"))
+
+
+@query("entity_disjoint_models")
+def q_entity_disjoint_models(spark, sf_dir):
+    """F5 with fitted models: logistic and the locked forest, each group scored by a fit on all other groups."""
+    from .operators.splits import group_folds
+    from .plans.diagnostics import entity_disjoint
+    prep, _, _ = _dev(spark, sf_dir)
+    g = written(group_folds(prep.frame, SPEC, 4), "groups")
+    return entity_disjoint(g, SPEC, prep.features, RULE.name, 4, LOGISTIC, ForestParams.of(LOCKED_FOREST))
 
 
 @query("holdout_counts")
@@ -418,11 +428,28 @@ def q_calibration_split(spark, sf_dir):
     return calibration_split_counts(dev, SPEC, last, TEST_RUN.validation_months, TEST_RUN.fold_count, 3)
 
 
+#: Periods that arrive after the earlier holdout of the prospective stage.
+ARRIVED = 6
+
+
+def _earlier_holdout(spark, sf_dir):
+    """The holdout as it was ARRIVED periods ago; all labeled rows behind it are prospective now."""
+    from .operators.splits import holdout_window
+    return holdout_window(_panel(spark, sf_dir), SPEC, 3, gap=1 + ARRIVED)
+
+
 @query("prospective_rows")
 def q_prospective_rows(spark, sf_dir):
+    """labeled rows after an earlier holdout, as a table that they were appended to holds them."""
     from .operators.splits import prospective_rows
-    prep, _, end = _labeled_feat(spark, sf_dir)
-    return prospective_rows(prep.frame, SPEC, RULE.name, end).select(SPEC.entity, SPEC.period, RULE.name)
+    from .sources.sinks import append_periods
+    prep, _, _ = _labeled_feat(spark, sf_dir)
+    _, end = _earlier_holdout(spark, sf_dir)
+    rows = written(prep.frame.select(SPEC.entity, SPEC.period, RULE.name), "labeled")
+    path = f"{checkpoint_dir(spark)}/panelcast-periods-{uuid.uuid4().hex}"
+    append_periods(rows.where(F.col(SPEC.period) <= end), path, SPEC.period)
+    table = append_periods(rows, path, SPEC.period)  # adds the later periods alone
+    return prospective_rows(table, SPEC, RULE.name, end).select(SPEC.entity, SPEC.period, RULE.name)
 
 
 @query("chrono_split")
@@ -675,6 +702,18 @@ def _fingerprints(spark, sf_dir, exact):
     return out
 
 
+@query("file_fingerprints")
+def q_file_fingerprints(spark, sf_dir):
+    """Length and SHA-256 of every input file."""
+    from .functions.fingerprint import file_fingerprints
+    from .sources.tables import TABLES
+    parts = [file_fingerprints(spark, f"{sf_dir}/{t}.parquet").withColumn("table", F.lit(t)) for t in TABLES]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 @query("snapshot_diff")
 def q_snapshot_diff(spark, sf_dir):
     """Canonical snapshot vs. a regeneration from the export; rows only on either side."""
@@ -740,6 +779,17 @@ def q_scored_batch(spark, sf_dir):
                                 context=("avail_all_day", "not_a_column")))
 
 
+@query("published_batch")
+def q_published_batch(spark, sf_dir):
+    """The scored batch published twice to a table partitioned by period, read back: its periods are replaced, not doubled."""
+    from .sources.sinks import replace_periods
+    path = f"{checkpoint_dir(spark)}/panelcast-published-{uuid.uuid4().hex}"
+    batch = written(q_scored_batch(spark, sf_dir), "batch")
+    for _ in range(2):
+        replace_periods(batch, path, SPEC.period)
+    return spark.read.schema(batch.schema).parquet(path).select(*batch.columns)
+
+
 @query("ranked_batch")
 def q_ranked_batch(spark, sf_dir):
     """Probability descending, entity ascending (distributed range sort)."""
@@ -818,16 +868,17 @@ def q_class_weights(spark, sf_dir):
 
 @query("onehot")
 def q_onehot(spark, sf_dir):
-    """Month of year one-hot from the last fold's training categories, mode-imputed, on its validation rows."""
-    from dataclasses import replace
-    from .operators.features import build_features
-    from .operators.prep import fit_categories, fit_mode, one_hot
+    """Month of year one-hot from the last fold's training categories, mode-imputed, on its validation rows:
+    the slots of the sparse vector and its width."""
+    from .operators.prep import fit_levels, fit_mode, one_hot
     from .operators.splits import rolling_folds
     prep, _, _ = _dev(spark, sf_dir, replace(FEATURE_SETS["full_history"], include_season=True))
     folds = rolling_folds(prep.frame, SPEC, TEST_RUN.validation_months, TEST_RUN.fold_count, check=False)
     tr, va = folds[-1].train, folds[-1].validation
-    cats, fill = fit_categories(tr, "month_of_year"), fit_mode(tr, "month_of_year")
-    return va.select(SPEC.entity, SPEC.period, *[e.alias(n) for n, e in one_hot("month_of_year", cats, fill).items()])
+    levels, width = fit_levels(tr, "month_of_year")
+    coded = one_hot(va.select(*SPEC.key, "month_of_year"), "month_of_year", levels, width, fit_mode(tr, "month_of_year"), "hot")
+    v = vector_to_array("hot")
+    return coded.select(*SPEC.key, (F.array_position(v, F.lit(1.0)) - 1).alias("slot"), F.size(v).cast("bigint").alias("width"), F.aggregate(v, F.lit(0.0), lambda a, x: a + x).cast("int").alias("hot"))
 
 
 @query("baseline_scores")
@@ -1001,7 +1052,6 @@ def q_coef_stability(spark, sf_dir):
 @query("ablation_summary")
 def q_ablation_summary(spark, sf_dir):
     """Logistic AP over folds for current / short / full feature sets, with and without age."""
-    from dataclasses import replace
     from .plans.modeling import fold_predictions
     from .operators.ladder import ranking_metrics, score_ladder
     from .operators.features import feature_names
@@ -1180,18 +1230,33 @@ def q_readiness_gate(spark, sf_dir):
 
 @query("stage_comparison")
 def q_stage_comparison(spark, sf_dir):
-    """Development (latest fold), holdout and the labeled prospective rows after it, for the primary rule score at 0.5."""
-    from .operators.metrics import evaluate
-    from .operators.splits import holdout_window
-    z = _zoo_preds(spark, sf_dir).where((F.col("model") == "rule_unplanned_r3") & (F.col("fold") == TEST_RUN.fold_count))
-    start, end = holdout_window(_panel(spark, sf_dir), SPEC, 3)
-    h = _scored(spark, sf_dir).where(F.col(SPEC.period).between(start, end) & F.col(RULE.name).isNotNull()) \
-        .select(SPEC.entity, SPEC.period, F.col(RULE.name).alias("label"), F.col("probability").alias("score"))
-    both = z.select(F.lit("development").alias("stage"), SPEC.entity, SPEC.period, "label", "score") \
-        .unionByName(h.select(F.lit("holdout").alias("stage"), SPEC.entity, SPEC.period, "label", "score"))
-    stats = both.groupBy("stage").agg(F.count(F.lit(1)).alias("rows"), F.countDistinct(SPEC.entity).alias("entities"),
-                                      F.avg(F.col("label").cast("double")).alias("prevalence"))
-    return rounded(stats.join(evaluate(both, 0.5, by=["stage"]), "stage"))
+    """Development (its last three periods), the earlier holdout and the labeled prospective rows behind it,
+    for the primary rule score at 0.5."""
+    from .functions.periods import add_periods
+    from .plans.diagnostics import stage_metrics
+    start, end = _earlier_holdout(spark, sf_dir)
+    p = F.col(SPEC.period)
+    stage = F.when(p > end, "prospective").when(p >= start, "holdout").when(p >= add_periods(start, -3, SPEC.grain), "development")
+    rows = _scored(spark, sf_dir).where(F.col(RULE.name).isNotNull()).select(stage.alias("stage"), *SPEC.key, F.col(RULE.name).alias("label"), F.col("probability").alias("score"))
+    return rounded(stage_metrics(rows.where("stage IS NOT NULL"), SPEC))
+
+
+@query("age_pressure_test")
+def q_age_pressure_test(spark, sf_dir):
+    """Logistic with and without age, age alone, age and the current period, by observed and imputed age."""
+    from .operators.features import feature_names
+    from .plans.diagnostics import age_pressure, sliced_predictions
+    prep, _, _ = _dev(spark, sf_dir)
+    from .operators.splits import rolling_folds
+    frame = prep.frame.withColumn("age_missing", F.col(SPEC.age).isNull().cast("int"))
+    folds = rolling_folds(frame, SPEC, TEST_RUN.validation_months, TEST_RUN.fold_count, check=False)
+    plain = feature_names(SPEC, replace(FEATURE_SETS["full_history"], include_age=False))
+    aged = feature_names(SPEC, replace(FEATURE_SETS["full_history"], include_age=True))
+    age = [c for c in aged if c not in plain]
+    current = feature_names(SPEC, replace(FEATURE_SETS["current_only"], include_age=False))
+    variants = {"full_history_with_age": aged, "full_history_without_age": plain, "age_only": age, "age_plus_current_month": [*age, *[c for c in current if c in plain]]}
+    preds = sliced_predictions(folds, SPEC, aged, RULE.name, variants, LOGISTIC, {"age_group": F.when(F.col(SPEC.age).isNull(), "imputed_age").otherwise("observed_age")})
+    return age_pressure(preds, "full_history_with_age", "full_history_without_age", TEST_RUN.fold_count)
 
 
 @query("holdout_evaluation")

@@ -8,7 +8,8 @@ read back with an explicit schema. Writes refuse an existing target unless
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def write_table(df: DataFrame, path: str, *, partition_by: tuple[str, ...] = ("period",), overwrite: bool = False,
@@ -26,6 +27,29 @@ def write_table(df: DataFrame, path: str, *, partition_by: tuple[str, ...] = ("p
         w.format(fmt).save(path)
 
 
+def replace_periods(df: DataFrame, path: str, partition_by: str = "period") -> None:
+    """A2: publish a batch: its periods replace those of the table, all others stay. Files are staged below the
+    table and published when the job commits, so a failed write leaves the table as it was."""
+    if partition_by not in df.columns:
+        raise ValueError(f"no column {partition_by!r} to partition by")
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition_by).parquet(path)
+
+
+def append_periods(df: DataFrame, path: str, period: str = "period") -> DataFrame:
+    """add the periods that the table does not hold yet and return the table. A batch sent again adds nothing.
+    The periods at hand are read off the directory names (a row per period)."""
+    spark = df.sparkSession
+    try:
+        held = spark.read.schema(df.schema).parquet(path).select(F.col(period).alias("_held")).distinct()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        held = None
+    new = df if held is None else df.join(held, F.col(period).eqNullSafe(F.col("_held")), "left_anti")
+    new.write.mode("append").partitionBy(period).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def write_metrics(df: DataFrame, path: str, *, overwrite: bool = False) -> None:
     """A3: metric table as JSON lines (small: models x folds x metrics rows)."""
     df.write.mode("overwrite" if overwrite else "errorifexists").json(path)

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelcast.operators.features import build_features, build_sequences
-from panelcast.operators.splits import SplitError, holdout_labels, label_access_row, rolling_folds, split_periods
+from panelcast.operators.splits import SplitError, holdout_labels, rolling_folds, split_periods
 from panelcast.operators.labels import add_next_period_label
 from panelcast.spec import FEATURE_SETS, PRIMARY_RULE, FeatureSet
 
@@ -62,11 +62,14 @@ def test_holdout_split_and_guarded_labels(spark, tmp_path, monthly, spec):
     with pytest.raises(SplitError):
         split_periods(lab, spec, "2024-01-01", "2025-04-01", PRIMARY_RULE.name)
     with pytest.raises(PermissionError):
-        holdout_labels(marked, "wrong")
-    assert holdout_labels(marked, "I_UNDERSTAND_THIS_ACCESSES_THE_FROZEN_TEST_SET").count() == 6
-    for _ in range(2):
-        label_access_row(spark).write.mode("append").json(str(tmp_path / "audit"))
+        holdout_labels(marked, "wrong", str(tmp_path / "audit"))
+    assert not (tmp_path / "audit").exists()
+    for _ in range(2):  # each access leaves a record before labels are returned
+        assert holdout_labels(marked, "I_UNDERSTAND_THIS_ACCESSES_THE_FROZEN_TEST_SET", str(tmp_path / "audit")).count() == 6
     assert spark.read.json(str(tmp_path / "audit")).count() == 2
+    (tmp_path / "file").write_text("no folder")
+    with pytest.raises(Exception):
+        holdout_labels(marked, "I_UNDERSTAND_THIS_ACCESSES_THE_FROZEN_TEST_SET", str(tmp_path / "file" / "audit"))
 
 
 def test_rolling_folds_ordered_disjoint(monthly, spec):
