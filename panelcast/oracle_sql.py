@@ -740,6 +740,21 @@ SELECT model, CAST(row_number() OVER (ORDER BY selection_mean_pr_auc DESC, all_f
        CAST(row_number() OVER (ORDER BY all_fold_mean_pr_auc DESC, latest_fold_pr_auc DESC, model) AS INTEGER) AS by_latest_fold
 FROM summ"""
 
+# isotonic regression without pooling: the fit at i is the largest over starts of the least over ends of the range averages
+SQL["isotonic_rule"] = FOLD_ROWS + """
+, sc AS (SELECT *, least(1.0, unplanned_events_roll_3_mean / 10.0) AS score FROM a)
+, c AS (SELECT p AS fold, score, sum(label) AS y, count(*) AS n FROM sc JOIN range(1, 5) AS f(p) ON back BETWEEN (4 - p) * 3 + 3 AND (4 - p) * 3 + 5
+        WHERE score IS NOT NULL GROUP BY 1, 2)
+, r AS (SELECT *, sum(y) OVER w AS cy, sum(n) OVER w AS cn, row_number() OVER w AS i FROM c WINDOW w AS (PARTITION BY fold ORDER BY score))
+, g AS (SELECT x.fold, x.i AS i0, z.i AS i1, CAST(z.cy - x.cy + x.y AS DOUBLE) / CAST(z.cn - x.cn + x.n AS DOUBLE) AS v FROM r x JOIN r z ON x.fold = z.fold AND x.i <= z.i)
+, m AS (SELECT r.fold, r.i, r.score, g.i0, min(g.v) AS v FROM r JOIN g ON g.fold = r.fold AND g.i0 <= r.i AND g.i1 >= r.i GROUP BY 1, 2, 3, 4)
+, fit AS (SELECT fold, score, max(v) AS fit FROM m GROUP BY fold, i, score)
+, v AS (SELECT validation_fold AS fold, entity_id, period, label, score FROM sc WHERE validation_fold IS NOT NULL)
+, lo AS (SELECT v.*, fit.score AS s0, fit.fit AS f0 FROM v ASOF LEFT JOIN fit ON v.fold = fit.fold AND v.score >= fit.score)
+, both_ AS (SELECT lo.*, fit.score AS s1, fit.fit AS f1 FROM lo ASOF LEFT JOIN fit ON lo.fold = fit.fold AND lo.score <= fit.score)
+SELECT fold, entity_id, period, label, round(CASE WHEN s0 IS NULL THEN f1 WHEN s1 IS NULL THEN f0 WHEN s0 = s1 THEN f0
+       ELSE f0 + (f1 - f0) * (score - s0) / (s1 - s0) END, 6) AS score FROM both_"""
+
 SQL["stage_comparison"] = LABELED_FEAT + """
 , st0 AS (SELECT entity_id, period, label, least(1.0, unplanned_events_roll_3_mean / 10.0) AS score,
                  (SELECT CAST(h_start - INTERVAL 6 MONTH AS DATE) FROM bounds) AS a, (SELECT CAST(h_end - INTERVAL 6 MONTH AS DATE) FROM bounds) AS z FROM lf)

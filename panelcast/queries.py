@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from contextvars import ContextVar
 from dataclasses import replace
 from functools import wraps
 
@@ -28,18 +29,19 @@ RULE = LabelRule(unplanned_threshold=5, severe_threshold=0, name="label")
 TEST_RUN = RunConfig(spec=SPEC, rule=RULE, feature_set=FEATURE_SETS["full_history"], excluded_suffixes=("7",))
 
 
-_BUILT: dict = {}
+#: Frames that the running query call has built; each call, thread and session has its own.
+_BUILT: ContextVar[dict | None] = ContextVar("built", default=None)
 
 
 def query(name: str):
     def deco(fn):
         @wraps(fn)
         def call(spark, sf_dir):
-            _BUILT.clear()
+            outer = _BUILT.set({})
             try:
                 return fn(spark, sf_dir)
             finally:
-                _BUILT.clear()
+                _BUILT.reset(outer)
 
         REGISTRY[name] = call
         return fn
@@ -50,10 +52,13 @@ def once(fn):
     """Frames that several parts of one query use are built (and the raw table read) once per query call."""
     @wraps(fn)
     def build(spark, sf_dir, *args):
+        built = _BUILT.get()
+        if built is None:
+            return fn(spark, sf_dir, *args)
         key = (fn.__name__, sf_dir, *args)
-        if key not in _BUILT:
-            _BUILT[key] = fn(spark, sf_dir, *args)
-        return _BUILT[key]
+        if key not in built:
+            built[key] = fn(spark, sf_dir, *args)
+        return built[key]
     return build
 
 
@@ -1021,6 +1026,21 @@ def q_isotonic_scores(spark, sf_dir):
     return _calibration_runs(spark, sf_dir).where("method = 'isotonic'")
 
 
+@query("isotonic_rule")
+def q_isotonic_rule(spark, sf_dir):
+    """G13 on the rule score: isotonic regression on each fold's calibration tail, applied to its validation rows."""
+    from .plans.modeling import isotonic_calibrate
+    from .plans.predictions import rule_score
+    _, dev, folds = _dev_folds(spark, sf_dir)
+    keep = [*SPEC.key, F.col(RULE.name).alias("label"), rule_score(SPEC).alias("score")]
+    parts = [isotonic_calibrate(f.train.where(F.col(SPEC.period) >= F.add_months(F.lit(f.validation_start), -3)).select(*keep), f.validation.select(*keep))
+             .select(F.lit(f.position).alias("fold"), *SPEC.key, "label", "score") for f in folds]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return rounded(out)
+
+
 @query("calibration_choice")
 def q_calibration_choice(spark, sf_dir):
     """AP, Brier, ECE per method and fold; methods within 0.005 AP; best Brier; needed if gain >= 0.005."""
