@@ -38,6 +38,13 @@ def risk_tier(p: Column, high: float = RISK_TIER_HIGH, medium: float = RISK_TIER
     return F.when(p >= high, "high").when(p >= medium, "medium").otherwise("low")
 
 
+def ranked(df: DataFrame, order: dict[str, Column]) -> DataFrame:
+    """Rows in order with their ``position`` from 1, ranked in range partitions; ``order`` has ascending, together unique keys."""
+    from .ladder import distributed_rank
+    keyed = df.withColumn("_o", F.struct(*[c.alias(n) for n, c in order.items()]))
+    return distributed_rank(keyed, "_o", name="position").drop("_o").orderBy("position")
+
+
 def tier_counts(df: DataFrame, prob: str) -> DataFrame:
     """Counts per tier, missing tiers as 0 (one aggregate, stacked)."""
     t = risk_tier(F.col(prob))

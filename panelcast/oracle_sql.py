@@ -199,6 +199,9 @@ FROM steps"""
 SQL["age_resets"] = AGE_STEPS + """
 SELECT entity_id, period, round(age, 6) AS age FROM steps WHERE reset ORDER BY entity_id, period LIMIT 20"""
 
+SQL["age_anomalies"] = AGE_STEPS + """
+SELECT entity_id, period, round(age, 6) AS age FROM steps WHERE anomaly ORDER BY entity_id, period LIMIT 20"""
+
 from .oracle import EVENTS_PANEL, OPS, feature_select, fold_cte  # noqa: E402
 
 SQL["feature_eligibility"] = with_(PANEL, history_ctes(), label_cte()) + \
@@ -543,6 +546,8 @@ FROM export GROUP BY 1"""
 
 _CANON_SELECT = SQL["canonicalize"].split("SELECT \"Month\", \"Borough\"", 1)
 _CANON_BODY = "SELECT \"Month\", \"Borough\"" + _CANON_SELECT[1]
+SQL["export_order"] = _CANON_SELECT[0] + ", canon AS (" + _CANON_BODY + """)
+SELECT "Month", "Equipment Code", row_number() OVER (ORDER BY strptime("Month", '%m/%d/%Y') DESC, "Equipment Code") AS position FROM canon"""
 SQL["snapshot_diff"] = _CANON_SELECT[0] + """
 , regen AS (""" + _CANON_BODY + """)
 , snap AS (""" + _CANON_BODY.replace("DATE '1996-01-01'", "DATE '1997-01-01'") + """)
@@ -565,7 +570,7 @@ FROM scored WHERE label IS NOT NULL AND period BETWEEN (SELECT h_start FROM boun
 SQL["latest_unlabeled"] = SCORED + "SELECT entity_id, period, target_period, round(probability, 6) AS probability FROM latest"
 
 SQL["risk_tiers"] = SCORED + f"SELECT entity_id, round(probability, 6) AS probability, {TIER} AS risk_tier FROM latest"
-SQL["ranked_batch"] = SQL["risk_tiers"] + " ORDER BY probability DESC, entity_id"
+SQL["ranked_batch"] = "SELECT *, row_number() OVER (ORDER BY probability DESC, entity_id) AS position FROM (" + SQL["risk_tiers"] + ")"
 
 SQL["tier_counts"] = SCORED + f"""
 SELECT t.risk_tier, count(l.entity_id) AS rows

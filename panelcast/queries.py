@@ -137,6 +137,15 @@ def q_canonicalize(spark, sf_dir):
     return rounded(canonicalize(_export(spark, sf_dir), start_month="1996-01-01", equipment_type="Elevator"))
 
 
+@query("export_order")
+def q_export_order(spark, sf_dir):
+    """Newest month first, then entity: the position of every canonical row in the export."""
+    from .operators.canonical import canonicalize, parse_period
+    from .operators.scoring import ranked
+    rows = canonicalize(_export(spark, sf_dir), start_month="1996-01-01", equipment_type="Elevator").select("Month", "`Equipment Code`")
+    return ranked(rows, {"d": -F.unix_date(parse_period("Month")), "e": F.col("`Equipment Code`")})
+
+
 @query("parse_failures")
 def q_parse_failures(spark, sf_dir):
     """B3/B4 on a dirty export: unparseable months and non-numeric counts."""
@@ -237,6 +246,13 @@ def q_age_resets(spark, sf_dir):
     return rounded(age_examples(_pre_holdout_eligible(spark, sf_dir), SPEC, AGE_BAND, "reset", 20))
 
 
+@query("age_anomalies")
+def q_age_anomalies(spark, sf_dir):
+    """The first twenty transitions outside the band that are no resets."""
+    from .operators.quality import age_examples
+    return rounded(age_examples(_pre_holdout_eligible(spark, sf_dir), SPEC, AGE_BAND, "anomaly", 20))
+
+
 # --- C5 / E: features ---------------------------------------------------------------------
 
 def _featured(spark, sf_dir, fs=None, age=True, season=True):
@@ -797,11 +813,10 @@ def q_published_batch(spark, sf_dir):
 
 @query("ranked_batch")
 def q_ranked_batch(spark, sf_dir):
-    """Probability descending, entity ascending (distributed range sort)."""
-    from .operators.scoring import risk_tier
-    df = _latest(spark, sf_dir)
-    return rounded(df.select(SPEC.entity, "probability", risk_tier(F.col("probability")).alias("risk_tier"))
-                   .orderBy(F.col("probability").desc(), F.col(SPEC.entity)))
+    """Probability descending, entity ascending, with the position in that order."""
+    from .operators.scoring import ranked, risk_tier
+    df = _latest(spark, sf_dir).select(SPEC.entity, "probability", risk_tier(F.col("probability")).alias("risk_tier"))
+    return rounded(ranked(df, {"p": -F.col("probability"), "e": F.col(SPEC.entity)}))
 
 
 @query("run_summary")
