@@ -88,11 +88,10 @@ class ValueCounts:
         return {f: [value(f, lo) + (value(f, hi) - value(f, lo)) * (at - lo) for lo, hi, at in spans[f]] if f in spans else [None] * len(probs) for f in size}
 
 
-def fold_bins(df: DataFrame, cols, folds: list[tuple[int, Column]], bins: int) -> dict[tuple[int, int], tuple[list[float], float | None]]:
-    """(fold, feature number) -> (least value of each quantile bin, exact midpoint median) over the fold's rows.
+def fold_counts(df: DataFrame, cols, folds: list[tuple[int, Column]]) -> DataFrame:
+    """(k, f, v, n, upto, total): per fold and feature number the rows of every known value and up to it.
 
-    One value count serves all folds: a value keeps its rows per fold, and a running count per fold gives its
-    rank there. Only bounds come back: folds x features x bins rows at most.
+    One value count serves all folds: a value keeps its rows per fold, and a running count per fold gives its rank there.
     """
     pairs = F.inline(F.array(*[F.struct(F.lit(i).alias("f"), nan_to_null(F.col(f"`{c}`").cast("double")).alias("v")) for i, c in enumerate(cols)]))
     ks = range(len(folds))
@@ -105,7 +104,15 @@ def fold_bins(df: DataFrame, cols, folds: list[tuple[int, Column]], bins: int) -
         "f", "p", *[F.coalesce(F.sum(f"n{k}").over(before), F.lit(0)).alias(f"a{k}") for k in ks], *[F.sum(f"n{k}").over(Window.partitionBy("f")).alias(f"t{k}") for k in ks])
     inside = Window.partitionBy("f", "p").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     run = counts.join(starts, ["f", "p"]).withColumns({f"u{k}": F.col(f"a{k}") + F.sum(f"n{k}").over(inside) for k in ks})
-    run = run.select("f", "v", F.inline(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"n{k}").alias("n"), F.col(f"u{k}").alias("upto"), F.col(f"t{k}").alias("total")) for k in ks]))).where("n > 0")
+    return run.select("f", "v", F.inline(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"n{k}").alias("n"), F.col(f"u{k}").alias("upto"), F.col(f"t{k}").alias("total")) for k in ks]))).where("n > 0")
+
+
+def fold_bins(df: DataFrame, cols, folds: list[tuple[int, Column]], bins: int) -> dict[tuple[int, int], tuple[list[float], float | None]]:
+    """(fold, feature number) -> (least value of each quantile bin, exact midpoint median) over the fold's rows.
+
+    Only bounds come back: folds x features x bins rows at most.
+    """
+    run = fold_counts(df, cols, folds)
     at = lambda rank: F.max(F.when((F.col("upto") - F.col("n") <= rank) & (rank < F.col("upto")), F.col("v")))
     rows = run.groupBy("k", "f", F.expr(f"(upto - n) * {bins} div total").alias("bin")).agg(
         F.min("v").alias("low"), at(F.expr("(total - 1) div 2")).alias("lo"), at(F.expr("total div 2")).alias("hi")).collect()
@@ -158,6 +165,50 @@ def fit_stats(train: DataFrame, cols, scale: bool = True) -> Stats:
     return Stats(med, centers, scales)
 
 
+def fold_stats(df: DataFrame, cols, folds: list[tuple[int, Column]]) -> dict[int, Stats]:
+    """G1 and G2 of every fold from one value count: the same numbers as ``fit_stats`` over each fold's rows.
+
+    The filled value is the median, so its place among the known values is known; a quartile's rank over the filled
+    column is its rank among the known values, that rank less the nulls, or the filled value itself.
+    """
+    cols = list(cols)
+    run = fold_counts(df, cols, folds).withColumnRenamed("k", "k_")
+    spark = df.sparkSession
+    counted = df.agg(*[F.count_if(inside) for _, inside in folds]).first()
+    at = lambda rank: F.max(F.when((F.col("upto") - F.col("n") <= rank) & (rank < F.col("upto")), F.col("v")))
+    rows = run.groupBy("k_", "f").agg(F.max("total").alias("known"), at(F.expr("(total - 1) div 2")).alias("lo"), at(F.expr("total div 2")).alias("hi")).collect()
+    middle = {(r["k_"], r["f"]): (r["known"], (r["lo"] + r["hi"]) / 2) for r in rows}
+    spans = {}
+    for (k, f), (known, m) in middle.items():
+        n = counted[k]
+        spans[k, f] = [(math.floor(p * (n - 1)), math.ceil(p * (n - 1)), p * (n - 1)) for p in (0.25, 0.5, 0.75)]
+    asked = [(k, f, m, [r for lo, hi, _ in spans[k, f] for r in (lo, hi)], counted[k] - known) for (k, f), (known, m) in middle.items()]
+    found = {}
+    if asked:
+        spots = F.broadcast(spark.createDataFrame(asked, "k_ int, f int, m double, ranks array<long>, nulls long"))  # a row per fold and feature
+        rank = lambda i: F.col("ranks")[i]
+        rows = run.join(spots, ["k_", "f"]).groupBy("k_", "f").agg(
+            F.sum(F.when(F.col("v") < F.col("m"), F.col("n")).otherwise(0)).alias("less"), F.sum(F.when(F.col("v") == F.col("m"), F.col("n")).otherwise(0)).alias("same"),
+            F.first("nulls").alias("nulls"), *[at(rank(i)).alias(f"low{i}") for i in range(6)], *[at(rank(i) - F.col("nulls")).alias(f"high{i}") for i in range(6)]).collect()
+        found = {(r["k_"], r["f"]): r for r in rows}
+    out = {}
+    for k, (fold, _) in enumerate(folds):
+        medians, centers, scales = {}, {}, {}
+        for f, c in enumerate(cols):
+            if (k, f) not in middle:  # no known value: all filled with 0
+                medians[c], centers[c], scales[c] = None, 0.0, 1.0
+                continue
+            r, m = found[k, f], middle[k, f][1]
+            values = []
+            for i, wanted in enumerate(x for lo, hi, _ in spans[k, f] for x in (lo, hi)):
+                inside = r["less"] <= wanted < r["less"] + r["same"] + r["nulls"]
+                values.append(m if inside and r["nulls"] else r[f"low{i}"] if wanted < r["less"] or not r["nulls"] else r[f"high{i}"])
+            q1, q2, q3 = (values[2 * i] + (values[2 * i + 1] - values[2 * i]) * (spot - lo) for i, (lo, _, spot) in enumerate(spans[k, f]))
+            medians[c], centers[c], scales[c] = m, q2, (q3 - q1) or 1.0
+        out[fold] = Stats(medians, centers, scales)
+    return out
+
+
 def apply_stats(df: DataFrame, stats: Stats) -> DataFrame:
     imp = impute(list(stats.medians), stats.medians)
     return df.withColumns({c: (imp[c] - F.lit(stats.centers[c])) / F.lit(stats.scales[c]) for c in stats.medians})

@@ -3,25 +3,23 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
-from pyspark.ml.feature import VectorAssembler, VectorSlicer
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators.metrics import evaluate
-from ..operators.prep import as_sql_stage, class_weight, fit_stats, class_weight_values
 from ..operators.splits import Fold
 from ..session import written
 from ..spec import PanelSpec
 from .forest import ForestParams, fit_forests
-from .modeling import ModelSpec, _learner, fold_predictions, in_parallel
+from .logistic import Candidate, fit_logistic, sides
+from .modeling import ModelSpec
 
 GROUP = "group_fold"
 
 
 def disjoint_groups(grouped: DataFrame, spec: PanelSpec, k: int) -> list[Fold]:
     """The groups of ``splits.group_folds`` as folds: every other group trains, the group validates."""
-    return [Fold(f"group_{g + 1}", g, None, None, grouped.where(F.col(GROUP) != g), grouped.where(F.col(GROUP) == g)) for g in range(k)]
+    other, own = [F.col(GROUP) != g for g in range(k)], [F.col(GROUP) == g for g in range(k)]
+    return [Fold(f"group_{g + 1}", g, None, None, grouped.where(other[g]), grouped.where(own[g]), grouped, other[g], own[g]) for g in range(k)]
 
 
 def shared_entities(grouped: DataFrame, spec: PanelSpec) -> DataFrame:
@@ -38,7 +36,8 @@ def entity_disjoint(grouped: DataFrame, spec: PanelSpec, features: list[str], la
     folds = disjoint_groups(grouped, spec, k)
     fitted = fit_forests(grouped, [(g, F.col(GROUP) != g) for g in range(k)], features, list(spec.key), label, [forest])
     columns = [F.col(GROUP), "label", "score"]
-    parts = [fold_predictions(folds, spec, features, label, logistic).withColumnRenamed("fold", GROUP).select(F.lit("logistic").alias("learner"), *columns)]
+    linear = fit_logistic(grouped, sides(folds), {c: F.col(c) for c in spec.key}, label, [Candidate.of(features, logistic.params)])
+    parts = [linear.score().withColumnRenamed("fold", GROUP).select(F.lit("logistic").alias("learner"), *columns)]
     parts += [fitted.score(f.validation, f.position, list(spec.key), label).withColumn(GROUP, F.lit(f.position)).select(F.lit("forest").alias("learner"), *columns) for f in folds]
     preds = parts[0]
     for p in parts[1:]:
@@ -48,31 +47,13 @@ def entity_disjoint(grouped: DataFrame, spec: PanelSpec, features: list[str], la
 
 
 def sliced_predictions(folds: list[Fold], spec: PanelSpec, features: list[str], label: str, variants: dict[str, list[str]], m: ModelSpec, extras: dict) -> DataFrame:
-    """(variant, fold, key, extras, label, score): all features are imputed, scaled and assembled once per fold;
-    a variant reads its slice of that vector, which equals an assembly of its own, as statistics are per feature."""
-    place = {f: i for i, f in enumerate(features)}
-
-    def assembled(fold: Fold) -> tuple[DataFrame, float]:
-        stats, weights = fit_stats(fold.train, features), class_weight_values(fold.train, label)
-        stage = Pipeline(stages=[as_sql_stage(stats), VectorAssembler(inputCols=[f"{c}__prep" for c in features], outputCol="all")])
-        both = fold.train.withColumn("role", F.lit("train")).unionByName(fold.validation.withColumn("role", F.lit("validation")))
-        rows = stage.fit(both).transform(both).select(*spec.key, *[c.alias(n) for n, c in extras.items()], "role", F.col(label).cast("double").alias("label"),
-                                                      class_weight(label, weights).alias("weight"), "all")
-        table = written(rows, "assembled")
-        return table, table.where("role = 'train'").agg(F.sum("weight")).first()[0]
-
-    ready = in_parallel([lambda f=f: assembled(f) for f in folds])
-
-    def one(name: str, fold: Fold, table: DataFrame, weight_sum: float) -> DataFrame:
-        model = Pipeline(stages=[VectorSlicer(inputCol="all", outputCol="features", indices=[place[c] for c in variants[name]]), _learner(m, weight_sum)]).fit(table.where("role = 'train'"))
-        scored = model.transform(table.where("role = 'validation'"))
-        return scored.select(F.lit(name).alias("variant"), F.lit(fold.position).alias("fold"), *spec.key, *extras, F.col("label").cast("int").alias("label"), vector_to_array("probability")[1].alias("score"))
-
-    parts = in_parallel([lambda n=n, f=f, r=r: one(n, f, *r) for n in variants for f, r in zip(folds, ready)])
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return written(out, "variants")
+    """(variant, fold, key, extras, label, score): all variants of all folds in the same passes over one table; a variant
+    reads its slice of the imputed and scaled features, which equals an assembly of its own, as statistics are per feature."""
+    candidates = [Candidate.of(variants[name], m.params) for name in variants]
+    keep = {c: F.col(c) for c in spec.key} | extras
+    scored = fit_logistic(folds[0].rows, sides(folds), keep, label, candidates).score()
+    name = F.element_at(F.array(*[F.lit(v) for v in variants]), F.col("model") + 1)
+    return written(scored.select(name.alias("variant"), "fold", *keep, F.col("label").cast("int").alias("label"), "score"), "variants")
 
 
 def age_pressure(preds: DataFrame, baseline: str, without: str, fold_count: int) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomF
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators.prep import as_sql_stage, class_weight, class_weight_values, fit_stats
 from ..operators.splits import Fold
@@ -132,16 +132,14 @@ def coefficients(spark, models: list, features: list[str]) -> DataFrame:
     return spark.createDataFrame(rows, "fold int, feature string, value double")
 
 
-def platt_calibrate(cal: DataFrame, target: DataFrame, eps: float = 1e-6) -> DataFrame:
-    """Logistic fit on the clipped logit of calibration scores; applied to ``target``."""
-    def logit(df):
-        p = F.least(F.greatest(F.col("score"), F.lit(eps)), F.lit(1 - eps))
-        return df.withColumn("_logit", F.log(p / (1 - p)))
-    n = cal.count()
-    lr = Pipeline(stages=[VectorAssembler(inputCols=["_logit"], outputCol="features"),
-                          LogisticRegression(featuresCol="features", labelCol="label", regParam=1.0 / max(n, 1), standardization=False)])
-    model = lr.fit(logit(cal).withColumn("label", F.col("label").cast("double")))
-    return model.transform(logit(target)).withColumn("score", vector_to_array("probability")[1]).drop("_logit", "features", "rawPrediction", "probability", "prediction")
+def platt_calibrate(scored: DataFrame, held: Column, spec: PanelSpec, folds: list[int], eps: float = 1e-6) -> DataFrame:
+    """Per fold a logistic fit on the clipped logit of its calibration scores, applied to its held-out rows (``held``)."""
+    from .logistic import Candidate, Side, fit_logistic
+    p = F.least(F.greatest(F.col("score"), F.lit(eps)), F.lit(1 - eps))
+    own = [F.col("fold") == f for f in folds]
+    split = [Side(f, mine & ~held, mine & held) for f, mine in zip(folds, own)]
+    fitted = fit_logistic(scored.withColumn("_logit", F.log(p / (1 - p))), split, {c: F.col(c) for c in spec.key}, "label", [Candidate(("_logit",))], balanced=False, scaled=False)
+    return fitted.score().drop("model")
 
 
 def isotonic_calibrate(cal: DataFrame, target: DataFrame) -> DataFrame:

@@ -957,15 +957,20 @@ LOGISTIC = ModelSpec("logistic", {"C": 1.0, "maxIter": 2000})
 BOOSTING = ModelSpec("boosting", BOOSTING_GRID[0] | {"maxIter": 30, "maxDepth": 3})
 
 
-def _model_preds(spark, sf_dir, m: ModelSpec, keep=None):
-    from .plans.modeling import fold_predictions
+def _keys() -> dict:
+    return {c: F.col(c) for c in SPEC.key}
+
+
+def _logistic_runs(spark, sf_dir):
+    """The logistic model fitted on every fold."""
+    from .plans.logistic import Candidate, fit_logistic, sides
     prep, dev, folds = _dev_folds(spark, sf_dir)
-    return fold_predictions(folds, SPEC, prep.features, RULE.name, m, keep), prep
+    return fit_logistic(dev, sides(folds), _keys(), RULE.name, [Candidate.of(prep.features, LOGISTIC.params)])
 
 
 @query("logreg_scores")
 def q_logreg_scores(spark, sf_dir):
-    return _model_preds(spark, sf_dir, LOGISTIC)[0]
+    return _logistic_runs(spark, sf_dir).score().drop("model")
 
 
 def _forest_runs(spark, sf_dir, models: list[ForestParams]):
@@ -983,14 +988,16 @@ def q_forest_scores(spark, sf_dir):
 
 @query("gbt_scores")
 def q_gbt_scores(spark, sf_dir):
-    return _model_preds(spark, sf_dir, BOOSTING)[0]
+    from .plans.modeling import fold_predictions
+    prep, dev, folds = _dev_folds(spark, sf_dir)
+    return fold_predictions(folds, SPEC, prep.features, RULE.name, BOOSTING)
 
 
 @query("cv_predictions")
 def q_cv_predictions(spark, sf_dir):
     """Per-fold metric table of the logistic model at the pooled operating threshold."""
     from .operators.metrics import evaluate, operating_threshold
-    p = _model_preds(spark, sf_dir, LOGISTIC)[0]
+    p = written(_logistic_runs(spark, sf_dir).score().drop("model"), "predictions")
     t = float(operating_threshold(p, 0.70).first()["threshold"])  # one scalar
     return evaluate(p, t, by=["fold"]).withColumn("threshold", F.lit(t))
 
@@ -998,47 +1005,53 @@ def q_cv_predictions(spark, sf_dir):
 @query("tune_select")
 def q_tune_select(spark, sf_dir):
     """Logistic grid; mean AP over all folds but the last, tie-break lower std over all folds.
-    Fold statistics are fitted once per fold and shared by the seven candidates."""
-    from .plans.modeling import tune
+    All candidates of all folds are fitted in the same passes over the rows."""
+    from .plans.logistic import Candidate, fit_logistic, sides
+    from .plans.modeling import tune_table
     from .plans.reports import select_candidate
     from .spec import LOGISTIC_GRID
     prep, dev, folds = _dev_folds(spark, sf_dir)
     cands = [ModelSpec("logistic", {"C": C, "penalty": pen, "maxIter": 2000}) for pen, C in LOGISTIC_GRID]
-    return select_candidate(cut_lineage(tune(folds, SPEC, prep.features, RULE.name, cands)), TEST_RUN.fold_count)
+    scored = fit_logistic(dev, sides(folds), _keys(), RULE.name, [Candidate.of(prep.features, c.params) for c in cands]).score()
+    return select_candidate(cut_lineage(tune_table(scored, cands)), TEST_RUN.fold_count)
 
 
-def _calibration_runs(spark, sf_dir):
+def _calibration_runs(spark, sf_dir, methods=("uncalibrated", "platt", "isotonic")):
     """Per fold: base model on training rows before the 3-month tail, calibrators on the tail."""
-    from .plans.modeling import fit_pipeline, isotonic_calibrate, platt_calibrate, score
-    from .functions.periods import add_periods
+    from .plans.logistic import Candidate, Side, fit_logistic
+    from .plans.modeling import isotonic_calibrate, platt_calibrate
     prep, dev, folds = _dev_folds(spark, sf_dir)
+    p = F.col(SPEC.period)
+    last = dev.agg(*[F.max(F.when(f.training, p)).alias(str(i)) for i, f in enumerate(folds)]).first()
+    tail = [f.training & (p >= F.add_months(F.lit(last[i]), -2)) for i, f in enumerate(folds)]
+    split = [Side(f.position, f.training & ~t, t | f.validating) for f, t in zip(folds, tail)]
+    scored = written(fit_logistic(dev, split, _keys(), RULE.name, [Candidate.of(prep.features, LOGISTIC.params)]).score().drop("model"), "calibration")
+    validating = [(F.col("fold") == f.position) & f.validating for f in folds]
+    held = F.coalesce(*[F.when(F.col("fold") == f.position, f.validating) for f in folds])
     out = []
-    for f in folds:
-        tmax = f.train.agg(F.max(SPEC.period).alias("m")).first()["m"]
-        cal_start = F.add_months(F.lit(tmax), -2)
-        base = f.train.where(F.col(SPEC.period) < cal_start)
-        cal = f.train.where(F.col(SPEC.period) >= cal_start)
-        model = fit_pipeline(base, prep.features, RULE.name, LOGISTIC)
-        keep = [SPEC.entity, SPEC.period, F.col(RULE.name).alias("label"), "score"]
-        sc_cal = score(model, cal).select(*keep)
-        sc_val = score(model, f.validation).select(*keep)
-        for method, frame in (("uncalibrated", sc_val), ("platt", platt_calibrate(sc_cal, sc_val)),
-                              ("isotonic", isotonic_calibrate(sc_cal, sc_val))):
-            out.append(frame.select(F.lit(f.position).alias("fold"), F.lit(method).alias("method"), *[c for c in frame.columns]))
+    if "uncalibrated" in methods:
+        out.append(scored.where(held).withColumn("method", F.lit("uncalibrated")))
+    if "platt" in methods:
+        out.append(platt_calibrate(scored, held, SPEC, [f.position for f in folds]).withColumn("method", F.lit("platt")))
+    if "isotonic" in methods:
+        keep = [*SPEC.key, "label", "score"]
+        out += [isotonic_calibrate(scored.where((F.col("fold") == f.position) & ~held).select(*keep), scored.where(v).select(*keep)).withColumns({"fold": F.lit(f.position), "method": F.lit("isotonic")})
+                for f, v in zip(folds, validating)]
+    out = [part.select("fold", "method", *SPEC.key, "label", "score") for part in out]
     table = out[0]
-    for p in out[1:]:
-        table = table.unionByName(p)
+    for part in out[1:]:
+        table = table.unionByName(part)
     return table
 
 
 @query("platt_scores")
 def q_platt_scores(spark, sf_dir):
-    return _calibration_runs(spark, sf_dir).where("method = 'platt'")
+    return _calibration_runs(spark, sf_dir, ("platt",))
 
 
 @query("isotonic_scores")
 def q_isotonic_scores(spark, sf_dir):
-    return _calibration_runs(spark, sf_dir).where("method = 'isotonic'")
+    return _calibration_runs(spark, sf_dir, ("isotonic",))
 
 
 @query("isotonic_rule")
@@ -1076,37 +1089,26 @@ def q_seed_stability(spark, sf_dir):
 @query("coef_stability")
 def q_coef_stability(spark, sf_dir):
     """Logistic coefficients per fold: mean, pop std, direction, sign stability, counter-intuitive flag."""
-    from .plans.modeling import coefficients
     from .plans.reports import coefficient_report
-    keep = []
-    p, prep = _model_preds(spark, sf_dir, LOGISTIC, keep)
-    coef = coefficients(spark, keep, prep.features)
+    coef = _logistic_runs(spark, sf_dir).coefficients().drop("model")
     return coefficient_report(coef, negative_tokens=("avail",), positive_tokens=("events",))
 
 
 @query("ablation_summary")
 def q_ablation_summary(spark, sf_dir):
     """Logistic AP over folds for current / short / full feature sets, with and without age."""
-    from .plans.modeling import fold_predictions
+    from .plans.logistic import Candidate, fit_logistic, sides
     from .operators.ladder import ranking_metrics, score_ladder
     from .operators.features import feature_names
     from .operators.splits import rolling_folds
     prep, _, _ = _dev(spark, sf_dir, FEATURE_SETS["full_history"])  # same rows for every variant, built once
     base = prep.frame.withColumn("age_missing", F.col(SPEC.age).isNull().cast("int"))
     folds = rolling_folds(base, SPEC, TEST_RUN.validation_months, TEST_RUN.fold_count, check=False)
-    parts = []
-    for name in ("current_only", "short_history", "full_history"):
-        for age in (False, True):
-            fs = replace(FEATURE_SETS[name], include_age=age)
-            feats = feature_names(SPEC, fs)
-            p = fold_predictions(folds, SPEC, feats, RULE.name, ModelSpec("logistic", {"maxIter": 2000}))
-            m = ranking_metrics(score_ladder(p, by=["fold"]), ["fold"])
-            parts.append(m.agg(F.avg("pr_auc").alias("mean_pr_auc"), F.min("pr_auc").alias("worst_pr_auc"))
-                         .withColumns({"feature_set": F.lit(name), "include_age": F.lit(age), "features": F.lit(len(feats))}))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    variants = [(name, age, feature_names(SPEC, replace(FEATURE_SETS[name], include_age=age))) for name in ("current_only", "short_history", "full_history") for age in (False, True)]
+    scored = fit_logistic(base, sides(folds), _keys(), RULE.name, [Candidate.of(feats, {}) for _, _, feats in variants]).score()
+    m = ranking_metrics(score_ladder(scored, by=["model", "fold"]), ["model", "fold"]).groupBy("model").agg(F.avg("pr_auc").alias("mean_pr_auc"), F.min("pr_auc").alias("worst_pr_auc"))
+    names = F.array(*[F.struct(F.lit(name).alias("feature_set"), F.lit(age).alias("include_age"), F.lit(len(feats)).alias("features")) for name, age, feats in variants])
+    return m.select("mean_pr_auc", "worst_pr_auc", F.inline(F.array(F.element_at(names, F.col("model") + 1))))
 
 
 # --- I: diagnostics over a deterministic scorer set (exact SQL oracle) -----------------------------
