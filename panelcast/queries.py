@@ -726,13 +726,13 @@ def _fingerprints(spark, sf_dir, exact):
 @query("file_fingerprints")
 def q_file_fingerprints(spark, sf_dir):
     """Length and SHA-256 of every input file."""
-    from .functions.fingerprint import file_fingerprints
+    from .functions.fingerprint import digests, listed
     from .sources.tables import TABLES
-    parts = [file_fingerprints(spark, f"{sf_dir}/{t}.parquet").withColumn("table", F.lit(t)) for t in TABLES]
+    parts = [listed(spark, f"{sf_dir}/{t}.parquet").withColumn("table", F.lit(t)) for t in TABLES]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out
+    return digests(out).select(F.element_at(F.split("path", "/"), -1).alias("file"), "length", "sha256", "table")
 
 
 @query("snapshot_diff")

@@ -131,6 +131,21 @@ def test_fingerprints_keep_values_apart_and_pin_files(spark, tmp_path):
     assert combined_fingerprint(file_fingerprints(spark, str(tmp_path / "f"))).first()["digest"] != before["digest"] and before["files"] == 2
 
 
+def test_a_file_is_hashed_by_several_tasks(spark, tmp_path, monkeypatch):
+    from panelcast.functions import fingerprint
+    (tmp_path / "g").mkdir()
+    contents = {"long file.bin": bytes(range(256)) * 40 + b"end", "even.bin": b"z" * 4096, "short.bin": b"q"}
+    for name, content in contents.items():
+        (tmp_path / "g" / name).write_bytes(content)
+    rounds, real = [], fingerprint.written
+    monkeypatch.setattr(fingerprint, "written", lambda df, name: rounds.append(real(df, name)) or rounds[-1])
+    files = file_fingerprints(spark, str(tmp_path / "g"), part=1000)
+    assert {r.file: (r.length, r.sha256) for r in files.collect()} == {n: (len(b), hashlib.sha256(b).hexdigest()) for n, b in contents.items()}
+    if fingerprint._openssl():
+        steps = [max(r.done for r in states.collect()) for states in rounds]
+        assert len(steps) == 11 and steps[:2] == [1000, 2000]  # no task reads more than a part
+
+
 def test_one_hot_has_no_cap_and_unseen_levels_are_zeros(spark):
     train = spark.range(50_000).selectExpr("concat('c', lpad(id, 6, '0')) AS c").union(spark.sql("SELECT CAST(NULL AS STRING)"))
     levels, width = fit_levels(train, "c")
