@@ -1,9 +1,9 @@
 """Licence scan: a trained paragraph classifier with DataFrame functions and Spark ML only.
 
 A multinomial logistic regression on word n-grams of the licence templates tells a paragraph's licence
-family from the unknown class, which is learned from a bounded sample of the corpus' own paragraphs.
-The accepting probability is calibrated on other sampled paragraphs, and a prediction is confirmed by
-comparing the paragraph's word shingles with the family's templates.
+family from the unknown class, which is learned from all lines of two thirds of the documents, counted by
+the grams they hold. The accepting probability is calibrated on all lines of the other third, and a
+prediction is confirmed by comparing the paragraph's word shingles with the family's templates.
 
 The penalty makes the model sparse. Scoring therefore first drops paragraphs that provably stay
 unknown: ``needles`` are the n-grams without which the sum of all other positive weights cannot reach
@@ -27,10 +27,11 @@ from pyspark.sql import functions as F
 from panelcast.llm.common import written
 
 UNKNOWN = "unknown"
-SAMPLE_DOCS = 4000             # bound (expected) of the documents that lend the unknown class two lines each
+UNKNOWN_WEIGHT = 5000.0        # all unknown lines together weigh at most this, a template row 20
 SHINGLE = 3
 MIN_SIMILARITY = 0.5
-CALIBRATED_RATE = 0.999        # share of sampled unknown paragraphs below the accepting probability
+CALIBRATED_RATE = 0.999        # share of the held unknown lines below the accepting probability
+STEPS = 10_000                 # that probability is a multiple of a STEPS-th
 LEAST_PROBABILITY = 0.5
 # fixed values: words that are no feature alone, nor paired with each other
 COMMON = "a all an and any as at be by for from in is it may no not of on or that the this to used with without you".split()
@@ -136,43 +137,58 @@ def _probabilities(rows: DataFrame, model: Model, keys: list[str]) -> DataFrame:
     return z.withColumn("e", e).select(*keys, F.transform("e", lambda x: x / F.aggregate("e", F.lit(0.0), lambda a, b: a + b)).alias("p"))
 
 
-def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
+def unknown_lines(docs: DataFrame, vocabulary: list[str], known: list[str]) -> DataFrame:
+    """(held, grams, n): all lines of the corpus without a licence shingle, counted by the vocabulary's grams that they hold.
+
+    ``held`` lines, those of a third of the documents, calibrate; the others teach the unknown class.
+    """
+    # words come out of the explode as a column: an expression would be worked out again for every shingle
+    lines = F.transform(F.split(F.col("text").cast("string"), "\n"), words_of)
+    words = docs.select((F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.col("text").cast("string")), F.lit(3)) == 0).alias("held"), F.explode(lines).alias("words")).filter(F.size("words") > 0)
+    lent = words.filter(~F.exists(_shingles(F.col("words")), lambda s: s.isin(known)))  # licence lines are not unknown
+    return lent.groupBy("held", F.array_sort(F.filter(_grams(F.col("words")), lambda g: g.isin(vocabulary))).alias("grams")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def accepting(held: DataFrame, model: Model) -> float:
+    """The probability, rounded up to a STEPS-th, that CALIBRATED_RATE of all held lines stay below; bounded by STEPS counts."""
+    marked = held.select("n", "grams", F.concat(F.array(F.lit("")), "grams").alias("own"))  # a line without a gram has the bias alone
+    p = _probabilities(marked.select("n", F.col("grams").alias("key"), F.col("own").alias("grams")), model, ["key", "n"])
+    steps = p.groupBy((F.floor((1 - F.col("p")[len(model.classes) - 1]) * STEPS) + 1).alias("step")).agg(F.sum("n").alias("n")).orderBy("step").collect()
+    wanted, seen = CALIBRATED_RATE * sum(r["n"] for r in steps), 0
+    for r in steps:
+        seen += r["n"]
+        if seen >= wanted:
+            return max(LEAST_PROBABILITY, min(0.99, r["step"] / STEPS))
+    return LEAST_PROBABILITY
+
+
+def fit(docs: DataFrame) -> Model:
     spark = docs.sparkSession
     templates = template_rows(spark)
     classes = [*sorted(TEMPLATES), UNKNOWN]
-    n_docs = docs.count()
-    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("doc_id").cast("string"), "text").alias("at")).filter(
-        F.pmod("at", F.lit(1 << 20)) < int(min(1.0, sample_docs / max(n_docs, 1)) * (1 << 20)))
-    lines = F.split("text", "\n")
-    chosen = chosen.select("at", F.posexplode(F.slice(lines, 1 + F.pmod("at", F.size(lines)).cast("int"), 2)).alias("k", "line")).filter(F.col("line").rlike(r"[\p{L}\p{N}]"))
-    shingles = F.array_distinct(F.flatten(F.collect_list(_shingles(F.col("words")))))
-    known = templates.agg(shingles.alias("known")).scalar()  # of the fixed templates
-    lent = chosen.withColumn("words", words_of(F.col("line"))).filter(
-        F.size(F.array_intersect(_shingles(F.col("words")), known)) == 0).select("at", "k", "words")  # licence lines are not unknown
-    lent = written(lent, "unknown")
-    train = lent.filter(F.pmod("at", F.lit(3)) != 0).select("words", F.lit(float(len(classes) - 1)).alias("label"))
-    misses = spark.createDataFrame([(x,) for x in NEAR_MISSES], "line string").select(words_of(F.col("line")).alias("words"), F.lit(float(len(classes) - 1)).alias("label"))
+    known = [r["s"] for r in templates.select(F.explode(_shingles(F.col("words"))).alias("s")).distinct().orderBy("s").collect()]  # of the fixed templates
+    grams = templates.select(F.explode(_grams(F.col("words"))).alias("g")).distinct().orderBy("g").collect()  # of the fixed templates
+    vocabulary = [r["g"] for r in grams if not set(r["g"].split(" ")) <= set(COMMON)]
+    lent = written(unknown_lines(docs, vocabulary, known), "unknown")
+    lines = lent.filter(~F.col("held")).agg(F.sum("n")).first()[0] or 0
+    label = F.lit(float(len(classes) - 1))
+    train = lent.filter(~F.col("held")).select("grams", label.alias("label"), (F.col("n") * F.lit(min(1.0, UNKNOWN_WEIGHT / max(lines, 1)))).alias("weight"))
+    misses = spark.createDataFrame([(x,) for x in NEAR_MISSES], "line string").select(_grams(words_of(F.col("line"))).alias("grams"), label.alias("label"), F.lit(1.0).alias("weight"))
     number = F.create_map(*[F.lit(x) for k, c in enumerate(classes) for x in (c, float(k))])
     # a template teaches as a whole, and long ones by their halves
     size = F.size("words")
     half = F.ceil(size / 2).cast("int")
     cuts = F.when(size > 16, F.array(F.col("words"), F.slice("words", 1, half), F.slice("words", half, size))).otherwise(F.array(F.col("words")))
-    shown = templates.select(F.explode(cuts).alias("words"), number[F.col("family")].alias("label"))
-    rows = shown.unionByName(train).unionByName(misses).withColumn("weight", F.when(F.col("label") == len(classes) - 1, 1.0).otherwise(20.0)).withColumn("grams", _grams(F.col("words")))
-    grams = templates.select(F.explode(_grams(F.col("words"))).alias("g")).distinct().orderBy("g").collect()  # of the fixed templates
-    vocabulary = [r["g"] for r in grams if not set(r["g"].split(" ")) <= set(COMMON)]
+    shown = templates.select(F.explode(cuts).alias("words"), number[F.col("family")].alias("label")).select(_grams(F.col("words")).alias("grams"), "label", F.lit(20.0).alias("weight"))
     vectors = CountVectorizerModel.from_vocabulary(vocabulary, "grams", "features").setBinary(True)
-    data = written(vectors.transform(rows).select("features", "label", "weight"), "training")
+    data = written(vectors.transform(shown.unionByName(train).unionByName(misses)).select("features", "label", "weight"), "training")
     lr = LogisticRegression(family="multinomial", weightCol="weight", regParam=0.0008, elasticNetParam=1.0, maxIter=60, standardization=False)
     fitted = lr.fit(data)
     matrix, bias = fitted.coefficientMatrix.toArray().tolist(), fitted.interceptVector.toArray().tolist()
     weights = spark.createDataFrame([(g, [matrix[c][k] for c in range(len(classes))]) for k, g in enumerate(vocabulary) if any(matrix[c][k] for c in range(len(classes)))],
                                     "gram string, w array<double>")
     model = Model(classes, weights, bias, _needles(vocabulary, matrix, bias, len(classes) - 1), LEAST_PROBABILITY)
-    held = lent.filter(F.pmod("at", F.lit(3)) == 0).withColumn("grams", _grams(F.col("words")))
-    unknown = F.percentile_approx(1 - F.col("p")[len(classes) - 1], F.lit(CALIBRATED_RATE), F.lit(10_000))
-    seen = _probabilities(held, model, ["at", "k"]).agg(unknown).first()[0]
-    model.accept = max(LEAST_PROBABILITY, min(0.99, seen or 0.0))
+    model.accept = accepting(lent.filter("held"), model)
     return model
 
 

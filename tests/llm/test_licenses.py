@@ -40,6 +40,23 @@ def test_empty_corpus_still_fits(spark):
     assert licenses.scan_licenses(docs).count() == 0
 
 
+def test_every_line_counts_for_the_unknown_class(spark):
+    """Many more documents and lines than a sample would hold; copies count, licence lines don't."""
+    rows = [(i, "\n".join([f"the version {k % 7} of the software is a work" for k in range(5)] + ["", "Released under the MIT License.", "plain words"])) for i in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").unionByName(spark.createDataFrame([(None, None), (1, "")], "doc_id long, text string")).repartition(4)
+    found = licenses.unknown_lines(docs, ["software", "version", "the software", "mit license"], ["released under the", "under the mit", "the mit license"]).collect()
+    assert sum(r["n"] for r in found) == 6000 * 6
+    assert {tuple(r["grams"]) for r in found} == {(), ("software", "the software", "version")}
+    assert 0.2 < sum(r["n"] for r in found if r["held"]) / 36000 < 0.46
+
+
+def test_accepting_probability_counts_all_held_lines(spark, model):
+    mit = licenses._grams(licenses.words_of(F.lit("Released under the MIT License.")))
+    held = lambda n: spark.range(1).select(F.array().cast("array<string>").alias("grams"), F.lit(100_000).alias("n")).unionByName(spark.range(1).select(mit.alias("grams"), F.lit(n).alias("n")))
+    assert licenses.accepting(held(50), model) == 0.5  # fewer than a thousandth
+    assert licenses.accepting(held(500), model) > 0.5
+
+
 def test_registered_query_finds_every_planted_notice(spark):
     """Held against the sentences that the test tables plant; no other line may be called."""
     from panelcast.llm.queries import op9_license_scans
