@@ -207,9 +207,11 @@ def _sums(table: DataFrame, start: int, width: int, shapes: list, weights: list,
     return {r["fit"]: np.frombuffer(r["sums"]) for r in parts.groupBy("fit").applyInPandas(added, "fit int, sums binary").collect()}
 
 
-def fit_logistic(rows: DataFrame, sides: list[Side], keep: dict[str, Column], label: str, candidates: list[Candidate], balanced: bool = True, scaled: bool = True) -> Logistic:
+def fit_logistic(rows: DataFrame, sides: list[Side], keep: dict[str, Column], label: str, candidates: list[Candidate], balanced: bool = True, scaled: bool = True,
+                 counts: DataFrame | None = None) -> Logistic:
     """Fit every candidate on every fold. ``keep`` names the columns that scores carry on. Statistics and class
-    weights are those of a fold's training rows; without ``scaled`` features enter as they are."""
+    weights are those of a fold's training rows; without ``scaled`` features enter as they are. ``counts``: ``fold_counts``
+    of the candidates' features over the training rows of ``sides``."""
     spark = rows.sparkSession
     ship(spark)
     features = list(dict.fromkeys(c for one in candidates for c in one.features))
@@ -218,11 +220,11 @@ def fit_logistic(rows: DataFrame, sides: list[Side], keep: dict[str, Column], la
                          *[F.col(f"`{c}`").cast("double").alias(f"_x{j}") for j, c in enumerate(features)])
     table = written(narrow, "design")
     inside = [(k, F.col("_in").bitwiseAND(F.lit(1 << k)) != 0) for k in range(len(sides))]
-    counts = table.agg(*[F.count_if(c) for _, c in inside], *[F.count_if(c & (F.col("label") == 1)) for _, c in inside]).first()
-    sizes = [(counts[k], counts[len(sides) + k]) for k in range(len(sides))]
+    sums = table.agg(*[F.count_if(c) for _, c in inside], *[F.count_if(c & (F.col("label") == 1)) for _, c in inside]).first()
+    sizes = [(sums[k], sums[len(sides) + k]) for k in range(len(sides))]
     weights = [((n / (2.0 * (n - p)) if n > p else 0.0, n / (2.0 * p) if p else 0.0) if balanced else (1.0, 1.0)) for n, p in sizes]
     columns = [f"_x{j}" for j in range(len(features))]
-    stats = fold_stats(table, columns, inside) if scaled else {k: Stats({}, {}, {}) for k, _ in inside}
+    stats = fold_stats(table, columns, inside, counts) if scaled else {k: Stats({}, {}, {}) for k, _ in inside}
     array = lambda values, none: np.asarray([none if values.get(c) is None else values[c] for c in columns], dtype=float)
     shapes = [(array(stats[k].medians, 0.0), array(stats[k].centers, 0.0), array(stats[k].scales, 1.0)) for k, _ in inside]
     place = {c: j for j, c in enumerate(features)}

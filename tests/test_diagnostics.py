@@ -1,5 +1,6 @@
 import datetime as dt
 import hashlib
+import time
 
 import numpy as np
 import pytest
@@ -9,11 +10,15 @@ from pyspark.sql import functions as F
 from panelcast.functions.fingerprint import combined_fingerprint, file_fingerprints, table_fingerprint
 from panelcast.operators.ladder import rolled_up, score_tally
 from panelcast.operators.metrics import brier, ece, evaluate, evaluate_tally
+from panelcast.operators import prep
 from panelcast.operators.prep import fit_levels, one_hot
 from panelcast.operators.scoring import run_summary
 from panelcast.operators.splits import fold_bounds, group_folds
+from panelcast.plans import diagnostics
 from panelcast.plans.diagnostics import age_pressure, disjoint_groups, shared_entities, sliced_predictions
-from panelcast.plans.modeling import ModelSpec, fold_predictions
+from panelcast.plans.forest import ForestParams, fit_forests
+from panelcast.plans.modeling import ModelSpec, fold_predictions, in_parallel
+from panelcast.session import ship
 from panelcast.sources.sinks import append_periods, replace_periods
 from panelcast.spec import PanelSpec
 
@@ -42,6 +47,37 @@ def test_groups_are_disjoint_and_even_on_patterned_ids(spark):
         assert f.train.join(f.validation, SPEC.entity, "left_semi").count() == 0
 
 
+def test_learners_of_the_groups_share_one_value_count(spark, monkeypatch):
+    frame = group_folds(panel(spark, 40, lambda e: 10), SPEC, 2).persist()
+    forest, logistic = ForestParams(12, 5, 4, bins=16), ModelSpec("logistic", {"C": 1.0})
+    counted, real = [], prep.fold_counts
+    for module in (prep, diagnostics):
+        monkeypatch.setattr(module, "fold_counts", lambda *a: counted.append(len(a[2])) or real(*a))
+    got = {(r.learner, r.group_fold): r for r in diagnostics.entity_disjoint(frame, SPEC, ["a", "age_now"], "label", 2, logistic, forest).collect()}
+    assert counted == [2] and len(got) == 4  # one count for both learners and groups
+    key = list(SPEC.key)
+    for f in disjoint_groups(frame, SPEC, 2):
+        alone = fit_forests(f.train, [(0, F.lit(True))], ["a", "age_now"], key, "label", [forest]).score(f.validation, 0, key, "label")
+        linear = fold_predictions([f], SPEC, ["a", "age_now"], "label", ModelSpec("logistic", {"maxIter": 200}))
+        for learner, scored, near in (("forest", alone, 1e-9), ("logistic", linear, 1e-5)):
+            want, r = evaluate(scored.withColumn("all", F.lit(0)), 0.5, by=["all"]).first(), got[learner, f.position]
+            assert r.pr_auc == pytest.approx(want.pr_auc, abs=near) and r.brier_score == pytest.approx(want.brier_score, abs=near) and r.shared_entities == 0
+
+
+def test_fits_side_by_side_ship_the_package_once(monkeypatch):
+    class Context:
+        applicationId, sent = "side-by-side", []
+
+        def addPyFile(self, path):
+            time.sleep(0.2)
+            self.sent.append(path)
+
+    session = type("Session", (), {"sparkContext": Context()})()
+    monkeypatch.setattr("panelcast.session._shipped", set())
+    in_parallel([lambda: ship(session)] * 4)
+    assert len(Context.sent) == 1
+
+
 def test_sliced_variant_equals_its_own_assembly(spark):
     frame = panel(spark, 40, lambda e: 10).persist()
     folds = disjoint_groups(group_folds(frame, SPEC, 2), SPEC, 2)
