@@ -65,3 +65,9 @@ def test_boosting_scores_are_the_whole_model():
     """No rounds or levels are left out."""
     from panelcast.queries import BOOSTING, BOOSTING_GRID
     assert BOOSTING.params == BOOSTING_GRID[0] and BOOSTING.params["maxIter"] == 150 and BOOSTING.params["maxDepth"] == 4
+
+
+def test_boosting_grid_is_whole():
+    from panelcast.queries import BOOSTING_GRID, boosting_candidates
+    assert [c.params for c in boosting_candidates()] == list(BOOSTING_GRID)
+    assert sum(c.params["maxIter"] for c in boosting_candidates()) == 3750
