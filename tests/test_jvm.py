@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from panelcast.plans import jvm
 from panelcast.plans.boosting import BoostingParams, fit_boosting
+from panelcast.plans.forest import ForestParams, fit_forests
 
 KEY, FEATURES = ["e", "t"], ["a", "b", "c", "d"]
 
@@ -39,6 +40,18 @@ def folds():
     return [(1, F.col("t") < 8), (2, F.col("t") < 10)]
 
 
+@pytest.mark.parametrize("share", ["sqrt", "0.5", "1.0"])
+def test_forest_in_the_jvm_equals_numpy(monkeypatch, rows, share):
+    models = [ForestParams(30, 30, 1, share, 7, 64), ForestParams(28, 6, 4, share, 7, 64), ForestParams(30, 30, 4, share, 7, 64), ForestParams(9, 5, 15, share, 8, 64)]
+
+    def fit():
+        found = fit_forests(rows, folds(), FEATURES, KEY, "label", models).trees.collect()
+        return {(r.model, r.fold, r.tree): tuple(bytes(r[c]) for c in ("ids", "feature", "bin", "p")) for r in found}
+
+    got, want = both(monkeypatch, fit)
+    assert got == want and len(got) == 2 * (30 + 28 + 30 + 9)
+
+
 def test_boosting_in_the_jvm_equals_numpy(monkeypatch, rows):
     models = [BoostingParams(20, 0.1, 3, 10, 128), BoostingParams(12, 0.3, 5, 1, 128), BoostingParams(4, 0.5, 1, 400, 128)]
 
@@ -57,8 +70,9 @@ def test_boosting_in_the_jvm_equals_numpy(monkeypatch, rows):
 def test_large_tables_stay_out_of_the_heap(monkeypatch, rows):
     assert jvm.share_of_heap(rows.sparkSession) > 0
     monkeypatch.setattr(jvm, "share_of_heap", lambda spark: 1000)
-    assert jvm.mapped(rows, "Boosting", [], "a int", 1001) is None
-    assert len(fit_boosting(rows, folds(), FEATURES, KEY, "label", [BoostingParams(3, 0.1, 2, 5, 64)]).trees[0, 2]) == 3
+    assert jvm.mapped(rows, "Forest", [], "a int", 1001) is None
+    trees = fit_forests(rows, folds(), FEATURES, KEY, "label", [ForestParams(3, 5, 5)]).trees
+    assert trees.count() == 6
 
 
 def test_boosting_scores_are_the_whole_model():
