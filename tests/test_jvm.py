@@ -52,6 +52,22 @@ def test_forest_in_the_jvm_equals_numpy(monkeypatch, rows, share):
     assert got == want and len(got) == 2 * (30 + 28 + 30 + 9)
 
 
+@pytest.mark.parametrize("spread", [500_000, 100])
+def test_scores_of_the_jvm_equal_numpy(monkeypatch, rows, spread):
+    from panelcast.plans import forest
+    monkeypatch.setattr(forest, "SCORED", spread)
+    monkeypatch.setattr(forest, "CHUNK", 37)
+    fitted = fit_forests(rows, folds(), FEATURES, KEY, "label", [ForestParams(30, 30, 1), ForestParams(26, 3, 9), ForestParams(3, 1, 900)])
+
+    def scores():
+        found = fitted.score_folds(rows, [(1, F.col("t") >= 8), (2, F.col("t") >= 10)], KEY, "label").collect()
+        return {(r.model, r.fold, r.e, r.t): r.score for r in found}
+
+    got, want = both(monkeypatch, scores)
+    assert got.keys() == want.keys() and len(got) == 3 * 150 * (4 + 2)
+    assert max(abs(got[k] - want[k]) for k in got) < 1e-11
+
+
 def test_boosting_in_the_jvm_equals_numpy(monkeypatch, rows):
     models = [BoostingParams(20, 0.1, 3, 10, 128), BoostingParams(12, 0.3, 5, 1, 128), BoostingParams(4, 0.5, 1, 400, 128)]
 
